@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table as _table
-from . import bpe, fingerprint, licenses, minhash, packing, repeats, urlfilter
+from . import bpe, embeddings, fingerprint, licenses, minhash, packing, quality, repeats, urlfilter, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,17 +32,30 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "log_weight", "kept")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_document_fingerprints, op3_suffix_array_dedup, op4_license_scan, op5_byte_bpe, op7_harmonic_packing, op10_url_filter)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_document_fingerprints, op3_suffix_array_dedup, op4_license_scan, op5_byte_bpe, op6_importance_resampling, op7_harmonic_packing, op8_embedding_near_dedup, op9_warc_bundles, op10_url_filter)
 }
 ORACLE: dict[str, str] = {}

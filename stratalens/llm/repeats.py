@@ -1,14 +1,14 @@
 """Exact repeats of long byte strings, found with suffix order and backward extension.
 
-Windows of ``LENGTH`` bytes that are equal pick the same anchor: the smallest
-hash of a ``GRAM``-byte string inside them. So anchors are sampled from every
+Windows of ``length`` bytes that are equal pick the same anchor: the smallest
+hash of a shorter string inside them. So anchors are sampled from every
 text, counted, and only occurrences whose anchor hash occurs again go on. Each
 distinct surrounding of such an anchor is one suffix with its left context.
 Per group of one anchor the suffixes are sorted, their common prefixes taken,
 and intervals are expanded breadth-first by one preceding byte at a time, as
 in backward search on a Burrows-Wheeler transform: a stable sort by that byte
 splits each interval, common prefixes follow by range minima, an interval of
-one suffix ends, and extension stops where left and right reach ``LENGTH``.
+one suffix ends, and extension stops where left and right reach ``length``.
 Surroundings that occur twice or more are repeats outright.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .core import map_arrow, materialise, partitions, slices
 from .hashing import _BASE, _CODES, _INVERSE, flat, mix, powers
 
-LENGTH, GRAM = 400, 160
-REACH = LENGTH - GRAM
+#: Bytes of a string that counts as a repeat.
+LENGTH = 400
 #: Distinct surroundings of one anchor that one task sorts; larger groups are counted window by window.
 GROUP = 16_384
 #: Documents up to which texts are filtered by a broadcast of ids before a shuffle.
@@ -36,6 +38,20 @@ PIECE = 1 << 21
 _NO_ID = -(1 << 63)
 
 
+class Sizes(NamedTuple):
+    """Bytes of a repeat, of an anchor, and of a repeat besides its anchor."""
+
+    length: int
+    gram: int
+    reach: int
+
+
+def sizes(length: int) -> Sizes:
+    """Anchors of two fifths of the length leave about one anchor per third of it."""
+    gram = max(1, 2 * length // 5)
+    return Sizes(length, gram, length - gram)
+
+
 def _prefix(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODES[raw] * powers(_BASE, len(raw)), out=out[1:])
@@ -46,15 +62,15 @@ def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position, hash and surroundings' hash of every anchor of the rows end to end in ``raw``."""
-    sizes = np.diff(offsets)
+    lengths = np.diff(offsets)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if not (sizes >= LENGTH).any():
+    if not (lengths >= z.length).any():
         return none
     prefix = _prefix(raw)
-    n, window = len(raw) - GRAM + 1, REACH + 1
-    keys = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(_INVERSE, n))
+    n, window = len(raw) - z.gram + 1, z.reach + 1
+    keys = mix((prefix[z.gram:] - prefix[:-z.gram]) * powers(_INVERSE, n))
     place = np.arange(n, dtype=np.uint64)
     low = np.uint64((1 << 24) - 1)
     keys = (keys & ~low) | (low - place)
@@ -65,49 +81,49 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
     edges = np.zeros(len(raw) + 1, np.int32)
-    long = sizes >= LENGTH
+    long = lengths >= z.length
     np.add.at(edges, offsets[:-1][long], 1)
-    np.add.at(edges, (offsets[1:] - LENGTH + 1)[long], -1)
+    np.add.at(edges, (offsets[1:] - z.length + 1)[long], -1)
     valid = np.cumsum(edges)[: len(least)] > 0
     fresh = valid.copy()
     fresh[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
     at = np.unique((low - (least[fresh] & low)).astype(np.int64))
     row = np.searchsorted(offsets, at, "right") - 1
-    left = np.minimum(REACH, at - offsets[row])
-    right = np.minimum(LENGTH, offsets[row + 1] - at)
-    gram = mix(_between(prefix, at, at + GRAM))
+    left = np.minimum(z.reach, at - offsets[row])
+    right = np.minimum(z.length, offsets[row + 1] - at)
+    gram = mix(_between(prefix, at, at + z.gram))
     around = _between(prefix, at - left, at + right) + left.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + right.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     return row, at - offsets[row], gram, mix(mix(around) ^ gram)
 
 
-def _pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _pieces(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> Iterator[tuple[np.ndarray, ...]]:
     """Anchors of all rows; a row over ``PIECE`` bytes is read in overlapping pieces."""
     if len(raw) <= 2 * PIECE:
-        yield anchors(raw, offsets)
+        yield anchors(raw, offsets, z)
         return
     for i in range(len(offsets) - 1):
         text, found = raw[offsets[i] : offsets[i + 1]], {}
-        for s in range(0, max(1, len(text) - LENGTH + 1), PIECE):
+        for s in range(0, max(1, len(text) - z.length + 1), PIECE):
             # window starts s..s+PIECE; anchors and their surroundings reach further on both sides
-            e = min(s + PIECE, len(text) - LENGTH + 1)
-            a, z = max(0, s - REACH), min(len(text), e + LENGTH + REACH + LENGTH)
-            piece = text[a:z]
-            _, pos, gram, around = anchors(piece, np.array([0, len(piece)]))
+            e = min(s + PIECE, len(text) - z.length + 1)
+            a, b = max(0, s - z.reach), min(len(text), e + z.length + z.reach + z.length)
+            piece = text[a:b]
+            _, pos, gram, around = anchors(piece, np.array([0, len(piece)]), z)
             for p, g, c in zip((pos + a).tolist(), gram, around, strict=True):
-                if (p - REACH >= a or a == 0) and (p + LENGTH <= z or z == len(text)):
+                if (p - z.reach >= a or a == 0) and (p + z.length <= b or b == len(text)):
                     found[p] = (g, c)
         at = np.array(sorted(found), np.int64)
         yield np.full(len(at), i), at, np.array([found[p][0] for p in at.tolist()], np.uint64), np.array([found[p][1] for p in at.tolist()], np.uint64)
 
 
-def _anchor_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     for part in slices(batch, "text", PIECE):
         ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy().astype(np.int64)
-        for row, pos, gram, around in _pieces(*flat(part.column("text"))):
+        for row, pos, gram, around in _pieces(*flat(part.column("text")), z):
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((tags[row] << 32) | pos), pa.array(gram.view(np.int64)), pa.array(around.view(np.int64))], names=["id", "loc", "h", "ctx"])
 
 
-def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
     for part in slices(batch, "text"):
         h, ctx, left, right = [], [], [], []
@@ -117,24 +133,24 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 p = x["pos"]
                 h.append(x["h"])
                 ctx.append(x["ctx"])
-                left.append(raw[max(0, p - REACH) : p])
-                right.append(raw[p : p + LENGTH])
+                left.append(raw[max(0, p - z.reach) : p])
+                right.append(raw[p : p + z.length])
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "ctx", "left", "right"])
 
 
-def expand(groups: list[int], lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def expand(groups: list[int], lefts: list[bytes], rights: list[bytes], z: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest left reach at which each suffix starts a string that occurs again; -1: none."""
     n = len(groups)
     rank = sorted(range(n), key=lambda i: (groups[i], rights[i]))
     gid = np.array([groups[i] for i in rank])
     sizes = np.array([len(rights[i]) for i in rank])
     depth = np.array([len(lefts[i]) for i in rank])
-    table = np.frombuffer(b"".join(rights[i].ljust(LENGTH, b"\0") for i in rank), np.uint8).reshape(n, LENGTH)
-    before = np.frombuffer(b"".join(lefts[i][::-1].ljust(REACH, b"\0") for i in rank), np.uint8).reshape(n, REACH)
+    table = np.frombuffer(b"".join(rights[i].ljust(z.length, b"\0") for i in rank), np.uint8).reshape(n, z.length)
+    before = np.frombuffer(b"".join(lefts[i][::-1].ljust(z.reach, b"\0") for i in rank), np.uint8).reshape(n, z.reach)
     common = np.zeros(n, np.int64)
     if n > 1:
         unequal = table[1:] != table[:-1]
-        common[1:] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), LENGTH)
+        common[1:] = np.where(unequal.any(axis=1), unequal.argmax(axis=1), z.length)
         common[1:] = np.minimum(common[1:], np.minimum(sizes[1:], sizes[:-1]))
         common[1:][gid[1:] != gid[:-1]] = 0
     minima = [common]  # minima[k][i]: the least of common[i : i + 2**k]
@@ -144,23 +160,23 @@ def expand(groups: list[int], lefts: list[bytes], rights: list[bytes]) -> tuple[
     least, most = np.full(n, -1), np.full(n, -1)
     act = np.arange(n)
     interval = gid.copy()
-    for reach in range(REACH + 1):
+    for reach in range(z.reach + 1):
         together = interval[1:] == interval[:-1]
-        a, z = act[:-1][together] + 1, act[1:][together] + 1
-        power = np.frexp((z - a).astype(float))[1] - 1
+        a, b = act[:-1][together] + 1, act[1:][together] + 1
+        power = np.frexp((b - a).astype(float))[1] - 1
         shared = np.zeros(len(act) + 1, np.int64)
         inner = np.empty(len(a), np.int64)
         for k in np.unique(power).tolist():
             of = power == k
-            inner[of] = np.minimum(minima[k][a[of]], minima[k][z[of] - (1 << k)])
+            inner[of] = np.minimum(minima[k][a[of]], minima[k][b[of] - (1 << k)])
         shared[1:-1][together] = inner
         best = np.maximum(shared[:-1], shared[1:])
-        hit = act[best >= LENGTH - reach]
+        hit = act[best >= z.length - reach]
         most[hit] = reach
         least[hit[least[hit] < 0]] = reach
-        alive = (best >= LENGTH - depth[act]) & (depth[act] > reach)
+        alive = (best >= z.length - depth[act]) & (depth[act] > reach)
         act, interval = act[alive], interval[alive]
-        if not len(act) or reach == REACH:
+        if not len(act) or reach == z.reach:
             break
         key = before[act, reach].astype(np.int64)
         order = np.lexsort((act, key, interval))
@@ -175,12 +191,12 @@ def expand(groups: list[int], lefts: list[bytes], rights: list[bytes]) -> tuple[
     return lo, hi
 
 
-def _expand_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand_rows(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor hash; some thousand suffixes of whole groups are expanded at a time."""
     held: list[tuple] = []
 
     def done() -> Iterator[pa.RecordBatch]:
-        lo, hi = expand([x[0] for x in held], [x[2] for x in held], [x[3] for x in held])
+        lo, hi = expand([x[0] for x in held], [x[2] for x in held], [x[3] for x in held], z)
         at = np.flatnonzero(hi >= 0)
         yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in at], pa.int64()), pa.array([held[i][1] for i in at], pa.int64()), pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], names=["h", "ctx", "lo", "hi"])
 
@@ -194,14 +210,14 @@ def _expand_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _windows(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     """A hash of every window around each anchor, for groups too large to sort in one task."""
     for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         h, ctx, left, right = row
         prefix = _prefix(np.frombuffer(left + right, np.uint8))
-        reach = np.arange(max(0, LENGTH - len(right)), len(left) + 1)
+        reach = np.arange(max(0, z.length - len(right)), len(left) + 1)
         start = len(left) - reach
-        digest = mix(mix(_between(prefix, start, start + LENGTH)) ^ np.uint64(h & (2**64 - 1)) + reach.astype(np.uint64))
+        digest = mix(mix(_between(prefix, start, start + z.length)) ^ np.uint64(h & (2**64 - 1)) + reach.astype(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reach), h)), pa.array(np.full(len(reach), ctx)), pa.array(reach, pa.int32()), pa.array(digest.view(np.int64))], names=["h", "ctx", "reach", "digest"])
 
 
@@ -217,29 +233,31 @@ def _filtered(texts: DataFrame, ids: DataFrame, anti: bool = False) -> DataFrame
     return texts.join(F.broadcast(ids), "id", "left_anti" if anti else "left_semi")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Texts (id, text, tag) and, by id and tag, the spans around anchors whose bytes repeat."""
+    z = sizes(length)
     texts = _texts(docs, id_col, text_col)
-    found = map_arrow(texts.where(F.octet_length("text") >= LENGTH), _anchor_rows, "id long, loc long, h long, ctx long")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = map_arrow(texts.where(F.octet_length("text") >= z.length), partial(_anchor_rows, z=z), "id long, loc long, h long, ctx long")
+    # written first: between two plain exchanges, a hot anchor's rows can be split
+    again = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     shared = materialise(found.join(again, "h", "left_semi"))
     kinds = materialise(shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "loc")).alias("at")))
     groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("h", "kinds")
     wanted = materialise(kinds.join(groups, "h").select("h", "ctx", "n", "kinds", "at.id", "at.loc"))
     by_text = wanted.groupBy("id", F.shiftright("loc", 32).cast("int").alias("tag")).agg(F.collect_list(F.struct(F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "h", "ctx")).alias("wanted"))
     some = _filtered(texts, wanted.select("id").distinct())
-    around = map_arrow((texts if some is None else some).join(by_text, ["id", "tag"]).select("text", "wanted"), _cut, "h long, ctx long, left binary, right binary")
+    around = map_arrow((texts if some is None else some).join(by_text, ["id", "tag"]).select("text", "wanted"), partial(_cut, z=z), "h long, ctx long, left binary, right binary")
     large = wanted.where(F.col("kinds") > GROUP).select("h").distinct()
     if large.isEmpty():
         regular, resolved_large = around, None
     else:
         around = materialise(around)
         regular = around.join(large, "h", "left_anti")
-        digests = map_arrow(around.join(large, "h", "left_semi"), _windows, "h long, ctx long, reach int, digest long")
+        digests = map_arrow(around.join(large, "h", "left_semi"), partial(_windows, z=z), "h long, ctx long, reach int, digest long")
         twice = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
         resolved_large = digests.join(twice, "digest", "left_semi").groupBy("h", "ctx").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"))
     n = partitions(docs.sparkSession)
-    expanded = regular.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_expand_rows, "h long, ctx long, lo int, hi int")
+    expanded = regular.repartition(n, "h").sortWithinPartitions("h").mapInArrow(partial(_expand_rows, z=z), "h long, ctx long, lo int, hi int")
     if resolved_large is not None:
         expanded = expanded.unionByName(resolved_large)
     whole = kinds.where("n > 1").select("h", "ctx", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
@@ -248,7 +266,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return texts, materialise(spans.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("spans")))
 
 
-def _strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _strip(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     """The texts without the bytes of their spans; (-1, -1) stands for the full reach."""
     for part in slices(batch, "text"):
         size, removed, runs, kept = [], [], [], []
@@ -257,11 +275,11 @@ def _strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n = len(raw)
             pos = np.array([x["pos"] for x in spans])
             lo, hi = np.array([x["lo"] for x in spans]), np.array([x["hi"] for x in spans])
-            lo = np.where(lo < 0, np.maximum(0, LENGTH - (n - pos)), lo)
-            hi = np.where(hi < 0, np.minimum(REACH, pos), hi)
+            lo = np.where(lo < 0, np.maximum(0, z.length - (n - pos)), lo)
+            hi = np.where(hi < 0, np.minimum(z.reach, pos), hi)
             edge = np.zeros(n + 1, np.int32)
             np.add.at(edge, pos - hi, 1)
-            np.add.at(edge, pos - lo + LENGTH, -1)
+            np.add.at(edge, pos - lo + z.length, -1)
             gone = np.cumsum(edge)[:n] > 0
             size.append(n)
             removed.append(int(gone.sum()))
@@ -270,28 +288,44 @@ def _strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["id", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of ``docs``: id, tag, n_bytes, n_removed, n_spans and ``kept``, the bytes that stay.
 
-    A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere
+    A byte goes if a string of ``length`` bytes that covers it starts anywhere
     else too, in this text or another; strings never cross texts and are judged
     on the input. A null text is empty. Rows that repeat a text lose it whole if
-    it has ``LENGTH`` bytes or more. ``kept`` may end inside a character. ``tag``
+    it has ``length`` bytes or more. ``kept`` may end inside a character. ``tag``
     is a hash of the input text that tells rows with equal ids apart; a null id
     stays null. Other columns are ignored.
     """
-    texts, spans = repeated_spans(docs, id_col, text_col)
+    z = sizes(length)
+    texts, spans = repeated_spans(docs, id_col, text_col, length)
     ids = spans.select("id").distinct()
     some, rest = _filtered(texts, ids), _filtered(texts, ids, anti=True)
     untouched = lambda x: x.select("id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     both = (texts if some is None else some).join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans")
-    out = map_arrow(both.where("spans is not null"), _strip, "id long, tag int, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(untouched(both.where("spans is null")))
+    out = map_arrow(both.where("spans is not null"), partial(_strip, z=z), "id long, tag int, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(untouched(both.where("spans is null")))
     if rest is not None:
         out = out.unionByName(untouched(rest))
     return out.withColumn(id_col, F.when(F.col("id") != _NO_ID, F.col("id"))).select(id_col, "tag", "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """:func:`remove_repeats` with a SHA-256 of the bytes that stay in their place."""
-    out = remove_repeats(docs, id_col, text_col)
+    out = remove_repeats(docs, id_col, text_col, length)
     return out.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def strip_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeats taken out of the text; bytes of a character that was cut through go too.
+
+    Rows are matched by id and text, so rows that repeat both get the same text;
+    a null text stays null. Columns __tag and __kept must be free.
+    """
+    kept = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0")
+    kept = kept.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.first("kept").alias("__kept"))
+    tagged = docs.withColumn("__own", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "left")
+    whole = F.try_validate_utf8(F.col("__kept").cast("string"))
+    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "\uFFFD", "")))
+    return joined.withColumn(text_col, text).select(*docs.columns)
