@@ -1,0 +1,157 @@
+"""Spatial image operators on tiles ``(image_id, h, w, rgb array<float>)``, in numpy within Arrow batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = "image_id long, h int, w int, rgb array<float>"
+
+
+def over_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Every tile through a kernel from an HxWx3 array to another."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                out = kernel(np.asarray(row.rgb, np.float32).reshape(row.h, row.w, 3)).astype(np.float32)
+                rows.append((row.image_id, out.shape[0], out.shape[1], out.ravel()))
+            yield pd.DataFrame(rows, columns=["image_id", "h", "w", "rgb"])
+
+    return tiles.select("image_id", "h", "w", "rgb").mapInPandas(run, SCHEMA)
+
+
+def box(x: np.ndarray, radius: int) -> np.ndarray:
+    """Mean over a square window, edges repeated."""
+    if radius < 1:
+        return x
+    pad = [(radius, radius), (radius, radius)] + [(0, 0)] * (x.ndim - 2)
+    total = np.pad(x, pad, mode="edge").astype(np.float64).cumsum(0).cumsum(1)
+    total = np.pad(total, [(1, 0), (1, 0)] + [(0, 0)] * (x.ndim - 2))
+    n = 2 * radius + 1
+    return (total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]) / (n * n)
+
+
+def blur(x: np.ndarray, radius: int) -> np.ndarray:
+    """Three box means, close to a Gaussian."""
+    for _ in range(3):
+        x = box(x, radius)
+    return x
+
+
+def luma(x: np.ndarray) -> np.ndarray:
+    return x @ np.array([0.2126, 0.7152, 0.0722])
+
+
+def unsharp(x: np.ndarray, amount: float, radius: int = 1, threshold: float = 0.0) -> np.ndarray:
+    edge = x - blur(x, radius)
+    return np.clip(x + np.where(np.abs(edge) > threshold, edge, 0) * amount / 100, 0, 1)
+
+
+def clarity(x: np.ndarray, amount: float, radius: int = 8) -> np.ndarray:
+    """Local contrast of the luma, applied as one ratio to all channels."""
+    y = luma(x)
+    moved = np.clip(y + (y - blur(y, radius)) * amount / 100, 1e-4, 1)
+    return np.clip(x * (moved / np.maximum(y, 1e-4))[..., None], 0, 1)
+
+
+def dehaze(x: np.ndarray, amount: float, radius: int = 4) -> np.ndarray:
+    """Dark-channel haze taken out, or put in by a negative amount."""
+    veil = box(x.min(axis=2), radius)
+    strength = amount / 100 * 0.8
+    if strength < 0:
+        return np.clip(x + (1 - x) * -strength * 0.5, 0, 1)
+    through = np.maximum(1 - strength * veil, 0.1)[..., None]
+    return np.clip((x - 1) / through + 1, 0, 1)
+
+
+def denoise(x: np.ndarray, amount: float) -> np.ndarray:
+    """Luma by a guided filter on itself, colour by a wide mean."""
+    y = luma(x)
+    eps = (amount / 100 * 0.1) ** 2 + 1e-8
+    mean, square = box(y, 2), box(y * y, 2)
+    a = (square - mean * mean) / (square - mean * mean + eps)
+    smooth = box(a, 2) * y + box(mean - a * mean, 2)
+    colour = x - y[..., None]
+    return np.clip(smooth[..., None] + colour + (box(colour, 4) - colour) * amount / 100, 0, 1)
+
+
+def glow(x: np.ndarray, amount: float, radius: int = 6) -> np.ndarray:
+    return 1 - (1 - x) * (1 - np.clip(blur(np.maximum(x - 0.6, 0), radius), 0, 1) * amount / 100)
+
+
+def grain(x: np.ndarray, amount: float, seed: int) -> np.ndarray:
+    """Band-pass noise of a given seed, strongest in the midtones."""
+    noise = np.random.default_rng(seed).standard_normal(x.shape[:2])
+    noise = box(noise, 1) - box(noise, 3)
+    y = luma(x)
+    return np.clip(x + (noise * amount / 100 * 0.3 * 4 * y * (1 - y))[..., None], 0, 1)
+
+
+def distorted(x: np.ndarray, amount: float) -> np.ndarray:
+    """A radial map with nearest samples."""
+    h, w = x.shape[:2]
+    v, u = np.mgrid[0:h, 0:w]
+    du, dv = (u - (w - 1) / 2) / (w / 2), (v - (h - 1) / 2) / (h / 2)
+    f = 1 + amount / 100 * 0.3 * (du * du + dv * dv)
+    su, sv = np.rint(du * f * w / 2 + (w - 1) / 2), np.rint(dv * f * h / 2 + (h - 1) / 2)
+    return x[np.clip(sv, 0, h - 1).astype(int), np.clip(su, 0, w - 1).astype(int)]
+
+
+def aberration(x: np.ndarray, amount: float) -> np.ndarray:
+    """Red and blue moved along the radius against each other."""
+    return np.stack([distorted(x, amount / 10)[..., 0], x[..., 1], distorted(x, -amount / 10)[..., 2]], axis=2)
+
+
+def oriented(x: np.ndarray, quarter_turns: int = 0, flip_h: bool = False, flip_v: bool = False, crop: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """Flips, then clockwise quarter turns, then a crop in fractions (x, y, width, height)."""
+    x = x[:, ::-1] if flip_h else x
+    x = x[::-1] if flip_v else x
+    x = np.rot90(x, -quarter_turns % 4)
+    if crop:
+        h, w = x.shape[:2]
+        a, b = round(crop[0] * w), round(crop[1] * h)
+        x = x[b : b + max(1, round(crop[3] * h)), a : a + max(1, round(crop[2] * w))]
+    return x
+
+
+def framed(x: np.ndarray, percent: float) -> np.ndarray:
+    """A white border of a percentage of the longer side."""
+    n = round(max(x.shape[:2]) * percent / 100)
+    return np.pad(x, [(n, n), (n, n), (0, 0)], constant_values=1.0)
+
+
+def downscaled(x: np.ndarray, most: int) -> np.ndarray:
+    """Means of whole blocks in linear light until the longer side fits; never larger."""
+    step = -(-max(x.shape[:2]) // most)
+    if step <= 1:
+        return x
+    h, w = x.shape[0] // step * step, x.shape[1] // step * step
+    lin = np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)[:h, :w]
+    mean = lin.reshape(h // step, step, w // step, step, 3).mean(axis=(1, 3))
+    return np.where(mean <= 0.0031308, mean * 12.92, 1.055 * mean ** (1 / 2.4) - 0.055)
+
+
+def perceptual_hash(x: np.ndarray) -> str:
+    """64 bits of the low frequencies of a 32x32 luma, in hex."""
+    y = luma(x)
+    rows, cols = (np.linspace(0, n - 1, 32).round().astype(int) for n in y.shape)
+    small = y[rows][:, cols]
+    k = np.arange(32)
+    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64)
+    low = (basis @ small @ basis.T)[:8, :8]
+    return f"{int(''.join('1' if v else '0' for v in (low > np.median(low)).ravel()), 2):016x}"
+
+
+def brush_field(h: int, w: int, strokes: list[tuple[float, float, float]], flow: float = 1.0) -> np.ndarray:
+    """A mask of discs (x, y, radius in pixels) that build up by flow."""
+    v, u = np.mgrid[0:h, 0:w]
+    out = np.zeros((h, w))
+    for x, y, r in strokes:
+        disc = np.clip(r - np.hypot(u - x, v - y) + 0.5, 0, 1)
+        out = out + (1 - out) * disc * flow
+    return out
