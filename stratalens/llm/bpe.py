@@ -18,15 +18,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import materialise, partitions
+from .core import partitions, slices
 from .pretokens import distinct, parts, ragged, split
 
 #: Code points of a block; more texts start a new one.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 _SCHEMA = "block long, kind int, bucket int, id long, n long, data binary"
 _NAMES = ["block", "kind", "bucket", "id", "n", "data"]
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -77,13 +76,22 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
-def _block(key: int, ids: list, texts: list[str], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: kind 1 carries words by bucket, kind 0 a text's word numbers."""
+def _block(ids: list, texts: list[str], buckets: int, words_wanted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of one block: of kind 1 with its words by bucket, or of kind 0 with each text's word numbers.
+
+    The block's key is a hash of its texts, so should a lost task be run again
+    over rows in another order, its words would be missed, not mistaken.
+    """
+    digest = hashlib.blake2b(digest_size=8)
+    for text in texts:
+        digest.update(len(text).to_bytes(8, "little") + text.encode())
+    key = int.from_bytes(digest.digest(), "little", signed=True)
     hashes, owners, known = [], [], {}
     for part in parts(texts):
         joined, start, end, hashed, row = split([x for _, x in part], True)
         keys, words, _ = distinct(joined, start, end, hashed)
-        known.update(zip(keys.tolist(), words, strict=True))
+        if words_wanted:
+            known.update(zip(keys.tolist(), words, strict=True))
         hashes.append(hashed)
         owners.append(np.array([r for r, _ in part])[row])
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -91,19 +99,20 @@ def _block(key: int, ids: list, texts: list[str], buckets: int) -> Iterator[pa.R
     frequent = np.argsort(-count, kind="stable")
     number = np.empty(len(keys), np.int64)
     number[frequent] = np.arange(len(keys))
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((number, bucket))
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = []
-    for b in range(buckets):
-        mine = order[bounds[b] : bounds[b + 1]]
-        if len(mine):
-            words = [known[k].encode() for k in keys[mine].tolist()]
-            sizes = _pack(number[mine], np.array([len(x) for x in words]))
-            text = zstandard.ZstdCompressor(level=3).compress(b"".join(words))
-            rows.append((key, 1, b, None, len(sizes), sizes + text))
-    if rows:
-        yield _rows(rows)
+    if words_wanted:
+        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((number, bucket))
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            mine = order[bounds[b] : bounds[b + 1]]
+            if len(mine):
+                words = [known[k].encode() for k in keys[mine].tolist()]
+                sizes = _pack(number[mine], np.array([len(x) for x in words]))
+                rows.append((key, 1, b, None, len(sizes), sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(words))))
+        if rows:
+            yield _rows(rows)
+        return
     per_text = np.bincount(np.concatenate(owners), minlength=len(texts)) if owners else np.zeros(len(texts), np.int64)
     cuts = np.append(0, np.cumsum(per_text))
     numbers = number[inverse]
@@ -111,20 +120,20 @@ def _block(key: int, ids: list, texts: list[str], buckets: int) -> Iterator[pa.R
         yield _rows([(key, 0, -1, ids[j], int(per_text[j]), _pack(numbers[cuts[j] : cuts[j + 1]])) for j in range(i, min(i + 512, len(texts)))])
 
 
-def _to_blocks(buckets: int):
+def _to_blocks(buckets: int, words_wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, total, made = [], [], 0, 0
-        task = TaskContext.get().partitionId() << 24
+        ids, texts, total = [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(text or "")
-                total += len(texts[-1])
-                if total >= BLOCK:
-                    yield from _block(task | made, ids, texts, buckets)
-                    ids, texts, total, made = [], [], 0, made + 1
+            for part in slices(batch, "text"):
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(text or "")
+                    total += len(texts[-1])
+                    if total >= BLOCK:
+                        yield from _block(ids, texts, buckets, words_wanted)
+                        ids, texts, total = [], [], 0
         if texts:
-            yield from _block(task | made, ids, texts, buckets)
+            yield from _block(ids, texts, buckets, words_wanted)
 
     return run
 
@@ -163,13 +172,15 @@ def _assemble(path: str):
         block, table, values, offsets = None, [], None, None
         for batch in batches:
             ids, sequences = [], []
-            for key, kind, _, i, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, kind, _, i, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != block:
                     block, table, values = key, [], None
                 if kind:
                     table.append(_unpack(data))
                     continue
                 if values is None:
+                    if not table and n:
+                        raise RuntimeError("a block's words are missing; its rows came in another order when a task ran again")
                     number = np.concatenate([x[0] for x in table] or [np.zeros(0, np.uint32)])
                     sizes = np.concatenate([x[1] for x in table] or [np.zeros(0, np.uint32)]).astype(np.int64)
                     flat = np.concatenate([x[2] for x in table] or [np.zeros(0, np.uint32)])
@@ -210,14 +221,14 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``docs``, as the library encodes ordinary text.
 
-    A null or empty text has no ids. Rows that repeat an id each get a row and a
+    A null or empty text has no ids. The rows must come in the same order when
+    a lost task is run again, as those of files do. Rows that repeat an id each get a row and a
     null id stays null. Other columns are ignored.
     """
     n = partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = materialise(own.mapInArrow(_to_blocks(n), _SCHEMA))
-    words = blocks.where("kind = 1").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), _SCHEMA)
-    joined = blocks.where("kind = 0").unionByName(words).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"))
+    words = own.mapInArrow(_to_blocks(n, True), _SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), _SCHEMA)
+    joined = own.mapInArrow(_to_blocks(n, False), _SCHEMA).unionByName(words).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"))
     return joined.mapInArrow(_assemble(path), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
