@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from .pretokens import distinct, parts, ragged, split
 
 CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker process remembers.
-REMEMBERED = 1_200_000
-_known: dict[int, list[int]] = {}
+REMEMBERED = 500_000
+_known: dict[int, bytes] = {}
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -78,11 +78,12 @@ def encode_rows(texts: list[str], path: str) -> list[np.ndarray]:
             _known.clear()
         new = [i for i, k in enumerate(keys) if k not in _known]
         if new:
-            found = _tokenizer(path).encode_batch_fast([words[i] for i in new], add_special_tokens=False)
-            _known.update((keys[i], x.ids) for i, x in zip(new, found, strict=True))
+            for i in range(0, len(new), 4096):
+                found = _tokenizer(path).encode_batch_fast([words[j] for j in new[i : i + 4096]], add_special_tokens=False)
+                _known.update((keys[j], array("I", x.ids).tobytes()) for j, x in zip(new[i : i + 4096], found, strict=True))
         ids = [_known[k] for k in keys]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         values, count = ragged(flat, np.append(0, np.cumsum(sizes)), number)
         per_row = np.bincount(row, weights=count, minlength=len(part)).astype(np.int64)
         for (i, _), own in zip(part, np.split(values, np.cumsum(per_row)[:-1]), strict=True):
