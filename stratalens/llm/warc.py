@@ -218,7 +218,7 @@ def export(table: DataFrame, folder: str) -> None:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         for row in rows:
-            with store.open_output_stream(f"{path}/{row['bundle']}") as out:
+            with store.open_output_stream(f"{path}/{row['bundle']}", compression=None) as out:
                 out.write(bytes(row["content"]))
 
     table.select("bundle", "content").foreachPartition(run)
