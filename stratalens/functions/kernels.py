@@ -104,7 +104,7 @@ def distorted(x: np.ndarray, amount: float) -> np.ndarray:
 
 def aberration(x: np.ndarray, amount: float) -> np.ndarray:
     """Red and blue moved along the radius against each other."""
-    return np.stack([distorted(x, amount / 10)[..., 0], x[..., 1], distorted(x, -amount / 10)[..., 2]], axis=2)
+    return np.stack([distorted(x, amount / 2)[..., 0], x[..., 1], distorted(x, -amount / 2)[..., 2]], axis=2)
 
 
 def oriented(x: np.ndarray, quarter_turns: int = 0, flip_h: bool = False, flip_v: bool = False, crop: tuple[float, float, float, float] | None = None) -> np.ndarray:

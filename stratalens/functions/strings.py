@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: File name endings of each kind.
 EXTENSIONS = {
@@ -23,7 +24,7 @@ def file_type(path: Column) -> Column:
     return F.coalesce(*[F.when(ext.isin(*names), kind) for kind, names in EXTENSIONS.items()])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised_name(names: pd.Series) -> pd.Series:
     """Lower case without marks; everything but letters and digits is one space. Spark has no NFKD."""
 
@@ -68,7 +69,7 @@ def clean_lens(value: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 64-bit perceptual hashes in hex."""
     bits = lambda x: F.conv(x, 16, 10).cast("decimal(20,0)")
-    signed = lambda x: F.when(bits(x) > 2**63 - 1, bits(x) - F.lit(2**64).cast("decimal(20,0)")).otherwise(bits(x)).cast("long")
+    signed = lambda x: F.when(bits(x) > 2**63 - 1, bits(x) - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(bits(x)).cast("long")
     return F.bit_count(signed(a).bitwiseXOR(signed(b)))
 
 
