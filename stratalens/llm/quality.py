@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import map_arrow, slices
+from .core import map_arrow, materialise, slices
 from .hashing import mix
 from .pretokens import distinct, parts, split
 
@@ -85,14 +85,14 @@ def _rows(key: np.ndarray, first: np.ndarray, second: np.ndarray, totals: tuple[
 
 
 def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice and feature, target and non-target documents that have it; in all, their numbers."""
+    """Per slice and feature, target and non-target documents that have it."""
     for batch in batches:
         for part in slices(batch, "text", 16_000_000):
             target = part.column("kind").to_numpy() == 1
             row, key = features([x or "" for x in part.column("text").to_pylist()])
             keys, which = np.unique(key, return_inverse=True)
-            first = np.bincount(which, weights=target[row], minlength=len(keys))
-            yield _rows(keys, first, np.bincount(which, minlength=len(keys)) - first, (int(target.sum()), int((~target).sum())))
+            first = np.bincount(which, weights=target[row], minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first), pa.array(np.bincount(which, minlength=len(keys)) - first)], names=["key", "target", "other"])
 
 
 def _count_candidates(candidates: np.ndarray):
@@ -122,13 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     own = own.select(F.col("doc_id").alias("__label"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(2).alias("kind"))
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("__id") == F.col("__label"), "left")
-    sums = marked.where("kind is not null").select("text", "kind").mapInArrow(_count_labelled, _COUNTS).groupBy("key", "total").agg(F.sum("first").alias("target"), F.sum("second").alias("other"))
-    totals = sums.where("total").first()
+    labelled = marked.where("kind is not null").select("text", "kind")
+    totals = labelled.agg(F.count_if(F.col("kind") == 1).alias("target"), F.count_if(F.col("kind") == 2).alias("other")).first()
     none = np.zeros(0, np.int64), np.zeros(0)
-    if totals is None or not totals["target"] or not totals["other"]:
+    if not totals["target"] or not totals["other"]:
         return none
+    sums = labelled.mapInArrow(_count_labelled, "key long, target long, other long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
     borne_out = (F.col("other") >= max(LEAST, SUPPORT * totals["other"])) & (F.col("target") / totals["target"] < RARER / totals["other"] * F.col("other"))
-    found = sums.where(~F.col("total") & borne_out).select("key", "target").toPandas().sort_values("key")
+    found = sums.where(borne_out).select("key", "target").toPandas().sort_values("key")
     if not len(found):
         return none
     keys = found["key"].to_numpy()
@@ -204,7 +205,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     out = scored(docs, fit(docs, labels, id_col, text_col), text_col)
     out = out.withColumn("key", gumbel_key(F.col("log_weight"), id_col, text_col))
-    keys = out.select("log_weight", "key")
+    keys = materialise(out.select("log_weight", "key"))
     row = keys.agg(F.count_if(F.col("log_weight") > CUTOFF).alias("k"), F.count("*").alias("n")).first()
     if row["k"] == row["n"]:
         return out.withColumn("kept", F.lit(True))
