@@ -58,4 +58,50 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_document_fingerprints, op3_suffix_array_dedup, op4_license_scan, op5_byte_bpe, op6_importance_resampling, op7_harmonic_packing, op8_embedding_near_dedup, op9_warc_bundles, op10_url_filter)
 }
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_NEAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(id, other) AS (
+  SELECT a, b FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other
+), least AS (SELECT id, min(other) AS other FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(l.other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id
+"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, e.b FROM reach r JOIN links e ON e.a = r.other), least AS (SELECT id, min(other) AS other FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(l.other, x.vec_id)) AS component_id, x.vec_id = least(x.vec_id, coalesce(l.other, x.vec_id)) AS kept
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN least l ON l.id = x.vec_id
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS w FROM d)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> cast(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> w THEN w END AS refers_to FROM m
+"""
+
+_URLS = f"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+), c AS (
+  SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') AS canon,
+    CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p
+), listed AS (SELECT canon FROM (SELECT DISTINCT canon, url FROM c WHERE url IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c
+"""
+
+#: The other operators have no form in SQL; the tests hold them against brute force.
+ORACLE: dict[str, str] = {"op1_minhash_near_dedup": _NEAR, "op8_embedding_near_dedup": _VECTORS, "op9_warc_bundles": _WARC, "op10_url_filter": _URLS}
