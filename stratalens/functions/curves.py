@@ -1,0 +1,81 @@
+"""Tone curves: monotone tables from points, parametric curves, and conversion between the two."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+SIZE = 256
+#: Centre and half width, in 0..1, of the parametric regions.
+REGIONS = {"shadows": (0.125, 0.25), "darks": (0.35, 0.25), "lights": (0.65, 0.25), "highlights": (0.875, 0.25)}
+
+
+def table(points: list[tuple[float, float]]) -> np.ndarray:
+    """A 256-entry table through the points, monotone between them and level beyond."""
+    x, y = np.array(sorted(points), float).T
+    x, keep = np.unique(x, return_index=True)
+    y = y[keep]
+    at = np.arange(SIZE, dtype=float)
+    if len(x) == 1:
+        return np.full(SIZE, y[0])
+    step = np.diff(x)
+    slope = np.diff(y) / step
+    inner = np.zeros(len(x))
+    if len(x) > 2:
+        same = slope[:-1] * slope[1:] > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            harmonic = (step[:-1] + step[1:]) * 3 / ((2 * step[1:] + step[:-1]) / slope[:-1] + (step[1:] + 2 * step[:-1]) / slope[1:])
+        inner[1:-1] = np.where(same, harmonic, 0)
+    inner[0], inner[-1] = slope[0], slope[-1]
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
+    t = np.clip((at - x[i]) / step[i], 0, 1)
+    out = (2 * t**3 - 3 * t**2 + 1) * y[i] + (t**3 - 2 * t**2 + t) * step[i] * inner[i] + (3 * t**2 - 2 * t**3) * y[i + 1] + (t**3 - t**2) * step[i] * inner[i + 1]
+    return np.clip(out, 0, 255)
+
+
+def _tents() -> np.ndarray:
+    x = np.linspace(0, 1, SIZE)
+    return np.stack([np.maximum(0, 1 - np.abs(x - c) / w) * x * (1 - x) * 4 for c, w in REGIONS.values()])
+
+
+def parametric_table(amounts: dict[str, float]) -> np.ndarray:
+    """The straight line plus a tent per region; 100 lifts a region's middle by a quarter of the range."""
+    lift = np.array([amounts.get(r, 0) for r in REGIONS]) / 100 * 64
+    return np.clip(np.maximum.accumulate(np.arange(SIZE) + lift @ _tents()), 0, 255)
+
+
+def parametric_from_points(points: list[tuple[float, float]]) -> dict[str, int]:
+    """The regions' amounts that come nearest to a point curve, by least squares."""
+    fit, *_ = np.linalg.lstsq(_tents().T * 64 / 100, table(points) - np.arange(SIZE), rcond=None)
+    return {r: int(np.clip(np.rint(v), -100, 100)) for r, v in zip(REGIONS, fit, strict=True)}
+
+
+def points_from_parametric(amounts: dict[str, float], count: int = 9) -> list[tuple[int, int]]:
+    """Evenly spaced points on a parametric curve."""
+    values = parametric_table(amounts)
+    return [(int(x), int(np.rint(values[int(x)]))) for x in np.linspace(0, SIZE - 1, count).round()]
+
+
+def applied(v: Column, values: np.ndarray) -> Column:
+    """A channel of 0..1 through a table, straight between its entries."""
+    lut = F.lit([float(x) for x in values])
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * (SIZE - 1)
+    low = F.floor(at).cast("int")
+    a, b = F.get(lut, low), F.get(lut, F.least(low + 1, F.lit(SIZE - 1)))
+    return (a + (b - a) * (at - low)) / 255.0
+
+
+def cube_applied(x: np.ndarray, cube: np.ndarray, intensity: float = 1.0) -> np.ndarray:
+    """An HxWx3 frame of 0..1 through an NxNxNx3 cube, trilinear, blended by intensity."""
+    n = len(cube)
+    at = np.clip(x, 0, 1) * (n - 1)
+    low = np.minimum(at.astype(int), n - 2)
+    f = at - low
+    out = np.zeros_like(x, dtype=float)
+    for corner in range(8):
+        d = np.array([corner >> 2 & 1, corner >> 1 & 1, corner & 1])
+        weight = np.prod(np.where(d, f, 1 - f), axis=2, keepdims=True)
+        i = low + d
+        out += weight * cube[i[..., 0], i[..., 1], i[..., 2]]
+    return x + (out - x) * intensity

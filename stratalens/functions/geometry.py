@@ -1,0 +1,57 @@
+"""Edit geometry: straightening, keystone correction and masks that follow a crop."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def inscribed(width: Column, height: Column, degrees: Column) -> Column:
+    """The largest upright rectangle within a rotated one, as (w, h)."""
+    a = F.radians(F.abs(degrees))
+    sin, cos = F.abs(F.sin(a)), F.abs(F.cos(a))
+    long, short = F.greatest(width, height), F.least(width, height)
+    wide = width >= height
+    half = 0.5 * short
+    w1, h1 = F.when(wide, half / sin).otherwise(half / cos), F.when(wide, half / cos).otherwise(half / sin)
+    d = cos * cos - sin * sin
+    w2, h2 = (width * cos - height * sin) / d, (height * cos - width * sin) / d
+    thin = (short <= 2 * sin * cos * long) | (F.abs(sin - cos) < 1e-10)
+    return F.when(sin < 1e-12, F.struct(width.cast("double").alias("w"), height.cast("double").alias("h"))).otherwise(F.struct(F.when(thin, w1).otherwise(w2).alias("w"), F.when(thin, h1).otherwise(h2).alias("h")))
+
+
+def perspective(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> np.ndarray:
+    """The eight coefficients of the map that takes four target points to four source points."""
+    rows, values = [], []
+    for (u, v), (x, y) in zip(source, target, strict=True):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        values += [u, v]
+    return np.linalg.solve(np.array(rows, float), np.array(values, float))
+
+
+def keystone(x: np.ndarray, horizontal: float, vertical: float) -> np.ndarray:
+    """A frame with one pair of edges drawn in by up to a quarter, nearest samples, edges repeated."""
+    h, w = x.shape[:2]
+    dh, dv = horizontal / 100 * 0.25 * h, vertical / 100 * 0.25 * w
+    corners = [(0.0, 0.0), (w - 1.0, 0.0), (w - 1.0, h - 1.0), (0.0, h - 1.0)]
+    drawn = [(max(dv, 0), max(-dh, 0)), (w - 1 - max(dv, 0), max(dh, 0)), (w - 1 - max(-dv, 0), h - 1 - max(dh, 0)), (max(-dv, 0), h - 1 - max(-dh, 0))]
+    a, b, c, d, e, f, g, i = perspective(drawn, corners)
+    v, u = np.mgrid[0:h, 0:w]
+    z = g * u + i * v + 1
+    return x[np.clip(np.rint((d * u + e * v + f) / z), 0, h - 1).astype(int), np.clip(np.rint((a * u + b * v + c) / z), 0, w - 1).astype(int)]
+
+
+def remapped(mask: Column, crop_x: float, crop_y: float, crop_w: float, crop_h: float) -> Column:
+    """A radial mask (cx, cy, rx, ry) in fractions of the frame, in fractions of a crop of it."""
+    return F.struct(((mask["cx"] - crop_x) / crop_w).alias("cx"), ((mask["cy"] - crop_y) / crop_h).alias("cy"), (mask["rx"] / crop_w).alias("rx"), (mask["ry"] / crop_h).alias("ry"))
+
+
+def rotated_crop(crop: tuple[float, float, float, float], quarter_turns: int) -> tuple[float, float, float, float]:
+    """A crop in fractions after clockwise quarter turns."""
+    x, y, w, h = crop
+    for _ in range(quarter_turns % 4):
+        x, y, w, h = 1 - y - h, x, h, w
+    return tuple(round(v, 12) + 0.0 for v in (x, y, w, h)) if not any(map(math.isnan, (x, y, w, h))) else crop

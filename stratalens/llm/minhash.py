@@ -11,6 +11,7 @@ so that no link is lost because the star's centre was the wrong member.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,60 +20,74 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .core import map_arrow, materialise, partitions, slices
-from .hashing import jaccard, mix, powers, shingle_sets
+from .hashing import jaccard, mix, shingle_sets
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 1024
+#: Ids of unconfirmed pairs up to which the texts are filtered by a broadcast before they are shuffled.
+BROADCAST_IDS = 4_000_000
 #: Share of equal bins under which a pair isn't confirmed: the threshold less four deviations.
 SLACK = 4 * (0.75 * 0.25 / BINS) ** 0.5
+#: Bins of the finer signature, eight bits each, that members of mixed buckets are compared on.
+FINE = 1024
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _ORDER = np.random.default_rng(7).permuted(np.tile(np.arange(BINS), (BINS, 1)), axis=1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, edges: np.ndarray = _EDGES, order: np.ndarray = _ORDER) -> np.ndarray:
     """The densified bins of a non-empty sorted set of hashes."""
-    at = np.searchsorted(hashes, _EDGES)
+    at = np.searchsorted(hashes, edges)
     filled = np.append(at[1:], len(hashes)) > at
     out = hashes[np.minimum(at, len(hashes) - 1)]
     empty = np.flatnonzero(~filled)
     if len(empty):
-        donors = _ORDER[empty]
+        donors = order[empty]
         out[empty] = out[donors[np.arange(len(empty)), filled[donors].argmax(axis=1)]]
     return out
 
 
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    weights = powers(0xD6E8FEB86659FD93, ROWS)
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for part in slices(batch, "text"):
-        n, low, high, signs, bands = [], [], [], [], []
+        n, low, high, signs = [], [], [], []
         for hashes in shingle_sets(part.column("text")):
             n.append(len(hashes))
             low.append(int(hashes.sum(dtype=np.uint64).view(np.int64)))
             high.append(int(mix(hashes ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64).view(np.int64)))
-            if len(hashes):
-                bins = signature(hashes)
-                signs.append((bins & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                bands.append(mix((bins.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
-            else:
-                signs.append(None)
-                bands.append(None)
+            signs.append((signature(hashes) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(hashes) else None)
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["id", "n", "low", "high", "sign", "bands"],
+            [part.column("id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())],
+            names=["id", "n", "low", "high", "sign"],
         )
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, low, high, sign, bands): set size, 128-bit digest of the set, packed bins, band keys."""
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _sign, "id long, n long, low long, high long, sign binary, bands array<long>")
+    """(id, n, low, high, sign): set size, 128-bit digest of the set, the low 16 bits of each bin."""
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), _sign, "id long, n long, low long, high long, sign binary")
+
+
+@cache
+def _fine() -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(FINE, dtype=np.uint64) << np.uint64(54), np.random.default_rng(8).permuted(np.tile(np.arange(FINE), (FINE, 1)), axis=1)
+
+
+def _sign_finely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for part in slices(batch, "text"):
+        signs = [(signature(x, *_fine()) & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in shingle_sets(part.column("text"))]
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(signs, pa.binary())], names=["id", "fine"])
+
+
+def _chosen(docs: DataFrame, ids: DataFrame, count: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of these ids: by a broadcast of bounded size, or else by a shuffle of the texts."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets are alike by ``percent`` at least."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    texts = _chosen(docs, ids, ids.count(), id_col, text_col)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -98,6 +113,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([x[1] for x in rows], np.int64)
         groups = np.array([x[2] for x in rows], np.int64)
         signs = np.frombuffer(b"".join(x[3] for x in rows), np.uint16).reshape(len(rows), BINS)
+        bands = signs.view(np.uint64)
+        fine = np.frombuffer(b"".join(x[7] for x in rows), np.uint8).reshape(len(rows), FINE)
         left = np.array([x[4] for x in rows], bool)
         right = np.array([x[5] for x in rows], bool)
         second = np.flatnonzero(right)
@@ -105,6 +122,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             others = second[(groups[second] != groups[i]) & (ids[second] != ids[i])]
             if len(others):
                 close = others[(signs[others] == signs[i]).mean(axis=1) >= rows[0][6]]
+                # low bits also agree by chance, once in 256
+                close = close[(fine[close] == fine[i]).mean(axis=1) >= rows[0][8] + (1 - rows[0][8]) / 256]
+                # a pair that meets in several buckets is told in the first
+                close = close[(bands[close] == bands[i]).argmax(axis=1) == rows[0][9]]
                 if len(close):
                     a, b = np.minimum(ids[i], ids[close]), np.maximum(ids[i], ids[close])
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -121,8 +142,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def residual_pairs(members: DataFrame, floor: float) -> DataFrame:
-    """``members(bucket, id, component, sign)`` -> pairs of a bucket, in different components, over the floor.
+def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``members(band, bucket, id, component, sign, fine)`` -> pairs of a bucket, in different components, that look alike.
+
+    Both signatures may fall short of ``percent`` by four standard deviations.
 
     A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of
     blocks is one group, so no task holds more than two blocks of a bucket.
@@ -132,7 +155,7 @@ def residual_pairs(members: DataFrame, floor: float) -> DataFrame:
     sides = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = sides.select(
         F.concat_ws("-", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "component", "sign",
-        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.lit(float(floor)).alias("floor"),
+        (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.lit(percent / 100 - SLACK).alias("floor"), "fine", F.lit(percent / 100 - SLACK * (BINS / FINE) ** 0.5).alias("fine_floor"), "band",
     )
     n = partitions(members.sparkSession)
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_alike, "a long, b long").distinct()
@@ -151,18 +174,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(signatures(docs, id_col, text_col))
     sets = signed.where("n > 0 and id is not null")
     # one representative per distinct set: exact copies never enter a bucket
-    distinct = materialise(sets.groupBy("n", "low", "high").agg(F.min(F.struct("id", "sign", "bands")).alias("r")).select("n", "low", "high", "r.*"))
-    banded = distinct.select("id", F.explode("bands").alias("bucket"))
+    distinct = materialise(sets.groupBy("n", "low", "high").agg(F.min(F.struct("id", "sign")).alias("r")).select("n", "low", "high", "r.*"))
+    banded = distinct.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    banded = banded.select("id", "band", F.xxhash64("band", F.substring("sign", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").select("bucket", "centre")
-    stars = banded.join(shared, "bucket")
-    edges = stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    stars = materialise(banded.join(shared, "bucket"))
+    edges = materialise(stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = materialise(confirm(edges, docs, id_col, text_col, percent))
     labels = connected_components(links)
-    open_buckets = stars.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    open_buckets = stars.join(labels, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = open_buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-    members = open_buckets.join(mixed, "bucket").join(distinct.select("id", "sign"), "id")
-    rest = materialise(residual_pairs(members, percent / 100 - SLACK).join(edges, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
+    members = materialise(open_buckets.join(mixed, "bucket"))
+    ids = materialise(members.select("id").distinct())
+    count = ids.count()
+    if count:
+        fine = materialise(map_arrow(_chosen(docs.where(F.col(id_col).isNotNull()), ids, count, id_col, text_col), _sign_finely, "id long, fine binary").dropDuplicates(["id"]))
+        members = members.join(distinct.join(ids, "id", "left_semi").select("id", "sign").join(fine, "id"), "id")
+        rest = materialise(residual_pairs(members, percent).join(edges, ["a", "b"], "left_anti"))
         more = materialise(confirm(rest, docs, id_col, text_col, percent))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
