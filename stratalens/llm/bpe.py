@@ -79,12 +79,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _block(ids: list, texts: list[str], buckets: int, words_wanted: bool) -> Iterator[pa.RecordBatch]:
     """Rows of one block: of kind 1 with its words by bucket, or of kind 0 with each text's word numbers.
 
-    The block's key is a hash of its texts, so should a lost task be run again
-    over rows in another order, its words would be missed, not mistaken.
+    The block's key is a hash of its ids and texts, so should a lost task be run
+    again over rows in another order, its words would be missed, not mistaken.
+    Blocks of equal ids and texts share a key and have equal words.
     """
     digest = hashlib.blake2b(digest_size=8)
-    for text in texts:
-        digest.update(len(text).to_bytes(8, "little") + text.encode())
+    for i, text in zip(ids, texts, strict=True):
+        digest.update(f"{i} {len(text)} ".encode() + text.encode())
     key = int.from_bytes(digest.digest(), "little", signed=True)
     hashes, owners, known = [], [], {}
     for part in parts(texts):
@@ -166,27 +167,28 @@ def _encode_words(path: str, pattern: str):
 
 
 def _assemble(path: str):
-    """Rows come sorted by block, its words before its texts."""
+    """Rows come sorted by block, its words before its texts; blocks that share a key have the same words, which count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table, values, offsets = None, [], None, None
+        block, table, values, offsets = None, {}, None, None
         for batch in batches:
             ids, sequences = [], []
-            for key, kind, _, i, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, kind, b, i, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != block:
-                    block, table, values = key, [], None
+                    block, table, values = key, {}, None
                 if kind:
-                    table.append(_unpack(data))
+                    if b not in table:
+                        table[b] = _unpack(data)
                     continue
                 if values is None:
                     if not table and n:
                         raise RuntimeError("a block's words are missing; its rows came in another order when a task ran again")
-                    number = np.concatenate([x[0] for x in table] or [np.zeros(0, np.uint32)])
-                    sizes = np.concatenate([x[1] for x in table] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                    flat = np.concatenate([x[2] for x in table] or [np.zeros(0, np.uint32)])
+                    number = np.concatenate([x[0] for x in table.values()] or [np.zeros(0, np.uint32)])
+                    sizes = np.concatenate([x[1] for x in table.values()] or [np.zeros(0, np.uint32)]).astype(np.int64)
+                    flat = np.concatenate([x[2] for x in table.values()] or [np.zeros(0, np.uint32)])
                     order = np.argsort(number)
                     values, _ = ragged(flat, np.append(0, np.cumsum(sizes)), order)
-                    offsets, table = np.append(0, np.cumsum(sizes[order])), []
+                    offsets, table = np.append(0, np.cumsum(sizes[order])), {}
                 ids.append(i)
                 sequences.append(ragged(values, offsets, _unpack(data)[0])[0].astype(np.int32))
             if ids:

@@ -240,6 +240,23 @@ def test_byte_bpe_is_the_librarys(spark, monkeypatch):
     assert bpe.round_trip(docs(spark, []), path, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[1, 2, 3, 4], [None] * 4])
+def test_byte_bpe_of_blocks_with_equal_texts(spark, ids):
+    """Equal last blocks of two partitions, and consecutive blocks of copies."""
+    import tiktoken
+
+    path, text = P.path("byte_bpe_50k.tiktoken"), " ".join(words(60, 3))
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    short = bpe.encode_texts(docs(spark, [(i, text) for i in ids]).repartition(2), path, P.PATTERN)
+    assert [r.ids for r in short.collect()] == [enc.encode_ordinary(text)] * 4
+    long = (text + " ") * (bpe.BLOCK // len(text) + 1)
+    want = hashlib.sha256(" ".join(map(str, enc.encode_ordinary(long))).encode()).hexdigest()
+    copies = bpe.round_trip(docs(spark, [(i, long) for i in ids]).coalesce(1), path, P.PATTERN)
+    assert [r.ids_sha256 for r in copies.collect()] == [want] * 4
+
+
 def test_long_texts_are_cut_where_it_does_no_harm(monkeypatch):
     regex = pytest.importorskip("regex")
     monkeypatch.setattr(pretokens, "LIMIT", 20)
