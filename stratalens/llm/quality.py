@@ -2,9 +2,11 @@
 
 Two generative models are fitted over hashed n-gram features, one for target text
 (labelled good and not toxic) and one for the raw corpus. A document's log
-weight is the sum of log(p_target / p_raw) over its distinct features, of which
-only those count that labelled non-target documents bear out: without that,
-words of any one group of copies would count against its members. Keys are
+weight is the sum of min(0, log(p_target / p_raw)) over its distinct features, of
+which only those count that labelled non-target documents bear out and that are
+ten times rarer in target ones: without that, words of any one group of copies
+would count against its members. So it is not the whole ratio: evidence for the
+target is left out, and a text without such a feature has weight 0. Keys are
 log weight / temperature plus Gumbel noise, and the k largest keys are kept;
 k is the number of documents whose log weight is over the cutoff.
 
