@@ -82,12 +82,15 @@ def unused_tags(tags: DataFrame, links: DataFrame) -> DataFrame:
 def covers(images: DataFrame, group: list[str], k: int = 4) -> DataFrame:
     """(group, covers): the k newest ids of a group, JPEGs if it has any, undated last.
 
-    A ranked filter before the collect keeps every group's list at k.
+    A ranked filter right above the window keeps k rows of a group per task before
+    the shuffle, however large it is; JPEGs rank first, so the first row tells if there are any.
     """
-    w = Window.partitionBy(*group).orderBy((F.col("file_type") == "jpeg").desc(), F.col("taken_at").desc_nulls_last(), "id")
-    has = F.max((F.col("file_type") == "jpeg").cast("int")).over(Window.partitionBy(*group))
-    top = images.withColumn("__rank", F.row_number().over(w)).withColumn("__has", has).where((F.col("__rank") <= k) & ((F.col("__has") == 0) | (F.col("file_type") == "jpeg")))
-    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "id"))), lambda x: x["id"]).alias("covers"))
+    jpeg = F.col("file_type") == "jpeg"
+    w = Window.partitionBy(*group).orderBy(jpeg.desc(), F.col("taken_at").desc_nulls_last(), "id")
+    top = images.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k)
+    ranked = F.array_sort(F.collect_list(F.struct("__rank", "id", F.coalesce(jpeg, F.lit(False)).alias("jpeg"))))
+    kept = F.filter("ranked", lambda x: x["jpeg"] == F.col("ranked")[0]["jpeg"])
+    return top.groupBy(*group).agg(ranked.alias("ranked")).select(*group, F.transform(kept, lambda x: x["id"]).alias("covers"))
 
 
 def sync_progress(images: DataFrame, mode: str = "all") -> DataFrame:

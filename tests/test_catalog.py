@@ -140,6 +140,13 @@ def test_covers_are_newest_jpegs_else_others(spark):
     assert got == {"A": [5, 4, 3, 2], "B": [10]}
 
 
+def test_covers_hold_no_group_as_a_whole(spark, capsys):
+    rows = images(spark, [dict(id=1, gps_country="A")])
+    aggregates.covers(rows, ["gps_country"]).explain()
+    plan = capsys.readouterr().out
+    assert "WindowGroupLimit" in plan and "unboundedfollowing" not in plan
+
+
 def test_greedy_clusters_names_and_selection(spark):
     e = np.eye(4)
     rows = [(i, i, (e[0] + 0.05 * e[2] * i).tolist()) for i in range(5)] + [(10 + i, 10 + i, e[1].tolist()) for i in range(5)] + [(20, 20, e[3].tolist())]
