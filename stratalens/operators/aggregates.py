@@ -39,7 +39,7 @@ def totals(images: DataFrame) -> DataFrame:
     return images.agg(
         F.count("*").alias("photos"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("bytes"),
         F.count_if(F.col("file_type") == "raw").alias("raws"), F.count_if(F.col("file_type") == "jpeg").alias("jpegs"),
-        F.floor(F.count_if(F.col("paired_image_id").isNotNull()) / 2).cast("long").alias("pairs"), F.count_if(edited()).alias("edited"),
+        F.floor(F.count_if(F.col("paired_image_id").isNotNull()) / 2).cast("long").alias("pairs"), F.count_if(edited(images.columns)).alias("edited"),
         F.count_if(F.col("gps_lat").isNotNull()).alias("located"), F.count_if(F.col("rating") > 0).alias("rated"),
         F.countDistinct(F.nullif("camera_model", F.lit(""))).alias("cameras"), F.countDistinct(F.nullif("lens_model", F.lit(""))).alias("lenses"),
         F.min("taken_at").alias("first_taken"), F.max("taken_at").alias("last_taken"),

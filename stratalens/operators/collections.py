@@ -50,7 +50,7 @@ def tag_albums(images: DataFrame, links: DataFrame) -> DataFrame:
 
 def edited_album(images: DataFrame) -> DataFrame:
     """One row with the number of edited images, none if there are none."""
-    return images.agg(F.count_if(edited()).alias("n")).where("n > 0")
+    return images.agg(F.count_if(edited(images.columns)).alias("n")).where("n > 0")
 
 
 def time_albums(images: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -101,9 +102,10 @@ def apply(images: DataFrame, f: LibraryFilter, links: DataFrame | None = None, a
     return out
 
 
-def edited() -> Column:
-    """Edited in place, or with a look baked in."""
-    return F.col("edit_rev") > 0
+def edited(columns: Iterable[str] = ()) -> Column:
+    """Edited in place, or with a look baked in; ``columns`` are those of the rows, which may lack ``applied_adjustments``."""
+    in_place = F.col("edit_rev") > 0
+    return in_place | F.col("applied_adjustments").isNotNull() if "applied_adjustments" in columns else in_place
 
 
 def expired(days: int, now: dt.datetime) -> Column:
@@ -131,8 +133,8 @@ def in_time(kind: str, key: str) -> Column:
     return (F.col("taken_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("taken_at") < F.lit(end).cast("timestamp_ntz"))
 
 
-def smart_predicate(smart_id: str) -> Column:
-    """The predicate of a derived collection's id ``kind:key``."""
+def smart_predicate(smart_id: str, columns: Iterable[str] = ()) -> Column:
+    """The predicate of a derived collection's id ``kind:key`` over rows of these columns."""
     kind, _, key = smart_id.partition(":")
     if kind in ("year", "month", "day"):
         return in_time(kind, key)
@@ -142,7 +144,7 @@ def smart_predicate(smart_id: str) -> Column:
         country, _, year = key.rpartition(":")
         return (F.col("gps_country") == country) & in_time("year", year)
     if kind == "edits":
-        return edited()
+        return edited(columns)
     raise ValueError(f"unknown collection {smart_id}")
 
 

@@ -103,6 +103,12 @@ def test_wildcards_stay_active(spark):
     assert names.where(filters.name_contains("sUn")).count() == 2 and names.where(filters.name_contains("s_n")).count() == 2 and names.where(filters.name_contains("%")).count() == 3
 
 
+def test_rows_with_a_look_baked_in_are_edited(spark):
+    rows = images(spark, [dict(id=1, edit_rev=1), dict(id=2), dict(id=3)]).withColumn("applied_adjustments", F.when(F.col("id") == 2, "{}"))
+    assert collections.edited_album(rows).first().n == 2 and aggregates.totals(rows).first().edited == 2
+    assert sorted(ids(rows.where(filters.smart_predicate("edits", rows.columns)))) == [1, 2]
+
+
 def test_smart_ids(spark):
     rows = images(spark, [dict(id=1, edit_rev=1), dict(id=2, taken_at=dt.datetime(2026, 12, 31, 23, 59)), dict(id=3, gps_country="Italy")])
     assert ids(rows.where(filters.smart_predicate("edits"))) == [1] and ids(rows.where(filters.smart_predicate("month:2026-12"))) == [2]
