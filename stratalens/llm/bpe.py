@@ -79,8 +79,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _block(ids: list, texts: list[str], buckets: int, words_wanted: bool) -> Iterator[pa.RecordBatch]:
     """Rows of one block: of kind 1 with its words by bucket, or of kind 0 with each text's word numbers.
 
-    The block's key is a hash of its ids and texts, so should a lost task be run
-    again over rows in another order, its words would be missed, not mistaken.
+    The block's key is a hash of its ids and texts, so were rows to come in
+    another order, its words would be missed, not mistaken.
     Blocks of equal ids and texts share a key and have equal words.
     """
     digest = hashlib.blake2b(digest_size=8)
@@ -182,7 +182,7 @@ def _assemble(path: str):
                     continue
                 if values is None:
                     if not table and n:
-                        raise RuntimeError("a block's words are missing; its rows came in another order when a task ran again")
+                        raise RuntimeError("a block's words are missing; rows said to be in order came in another one when they were read again")
                     number = np.concatenate([x[0] for x in table.values()] or [np.zeros(0, np.uint32)])
                     sizes = np.concatenate([x[1] for x in table.values()] or [np.zeros(0, np.uint32)]).astype(np.int64)
                     flat = np.concatenate([x[2] for x in table.values()] or [np.zeros(0, np.uint32)])
@@ -220,15 +220,19 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return ragged(values, offsets, ids)[0].tobytes()
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """(id, ids array<int>) for every row of ``docs``, as the library encodes ordinary text.
 
-    A null or empty text has no ids. The rows must come in the same order when
-    a lost task is run again, as those of files do. Rows that repeat an id each get a row and a
-    null id stays null. Other columns are ignored.
+    A null or empty text has no ids. Rows that repeat an id each get a row and a
+    null id stays null. Other columns are ignored. The texts are read twice and
+    must come in one order both times, also when a lost task is run again:
+    partitions are sorted for that, unless ``in_order`` says that rows come
+    straight from files.
     """
     n = partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not in_order:
+        own = own.sortWithinPartitions("id", F.xxhash64("text"), "text")
     words = own.mapInArrow(_to_blocks(n, True), _SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path, pattern), _SCHEMA)
     joined = own.mapInArrow(_to_blocks(n, False), _SCHEMA).unionByName(words).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"))
     return joined.mapInArrow(_assemble(path), "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -244,7 +248,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     return encoded.select(F.col(id_col).alias("id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the number of ids, a digest of the ids and a digest of the bytes that they decode to."""
-    encoded = encode_texts(docs, path, pattern, id_col, text_col).select(F.col(id_col).alias("id"), "ids")
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
+    """Per row the number of ids, a digest of the ids and a digest of the bytes that they decode to, as of :func:`encode_texts`."""
+    encoded = encode_texts(docs, path, pattern, id_col, text_col, in_order).select(F.col(id_col).alias("id"), "ids")
     return encoded.mapInArrow(_digests(path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -1,7 +1,9 @@
 """Vectorised hashing of words and byte windows inside Arrow tasks.
 
-All hashes are 64-bit polynomial sums over random byte codes, so any window's
-hash is one difference of prefix sums; :func:`mix` spreads the bits afterwards.
+Hashes of short ranges are 64-bit polynomial sums over random byte codes, so any
+range's hash is one difference of prefix sums; :func:`mix` spreads the bits
+afterwards. Modulo 2**64 such sums collide on long strings of a certain pattern
+(Thue-Morse), so ranges over ``SHORT`` units are hashed whole by xxHash.
 Everything here is a small helper that a Spark task calls on one Arrow batch.
 """
 
@@ -10,9 +12,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes hashed at a time; bounds the memory of one step whatever a text's length.
 CHUNK = 1 << 21
+#: Bytes or code points up to which a range is hashed by a sum.
+SHORT = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +59,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def long_hashes(out: np.ndarray, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    """Puts the hash of the units themselves in the place of every range over ``SHORT`` units."""
+    rows = np.flatnonzero(ends - starts > SHORT)
+    if len(rows):
+        data, width = memoryview(np.ascontiguousarray(units).view(np.uint8)), units.itemsize
+        out[rows] = [xxhash.xxh3_64_intdigest(data[a * width : z * width]) for a, z in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+
+
 def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges, which must be in order and not overlap."""
     out = np.empty(len(starts), np.uint64)
@@ -66,7 +79,9 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = (prefix[e] - prefix[s]) * powers(_INVERSE, z - a)[s]
         i = j
-    return mix(out)
+    out = mix(out)
+    long_hashes(out, raw, starts, ends)
+    return out
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from .pretokens import distinct, parts, ragged, split
 CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker process remembers.
 REMEMBERED = 500_000
-_known: dict[int, bytes] = {}
+_known: dict[str, bytes] = {}
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -72,16 +72,14 @@ def encode_rows(texts: list[str], path: str) -> list[np.ndarray]:
             plain.append(_normalised(text, path))
     for part in parts(plain):
         joined, start, end, hashed, row = split([x for _, x in part], False)
-        keys, words, number = distinct(joined, start, end, hashed)
-        keys = keys.tolist()
+        _, words, number = distinct(joined, start, end, hashed)
         if len(_known) > REMEMBERED:
             _known.clear()
-        new = [i for i, k in enumerate(keys) if k not in _known]
-        if new:
-            for i in range(0, len(new), 4096):
-                found = _tokenizer(path).encode_batch_fast([words[j] for j in new[i : i + 4096]], add_special_tokens=False)
-                _known.update((keys[j], array("I", x.ids).tobytes()) for j, x in zip(new[i : i + 4096], found, strict=True))
-        ids = [_known[k] for k in keys]
+        new = [w for w in words if w not in _known]
+        for i in range(0, len(new), 4096):
+            found = _tokenizer(path).encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
+            _known.update((w, array("I", x.ids).tobytes()) for w, x in zip(new[i : i + 4096], found, strict=True))
+        ids = [_known[w] for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         values, count = ragged(flat, np.append(0, np.cumsum(sizes)), number)

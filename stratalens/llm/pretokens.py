@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-from .hashing import mix, powers
+from .hashing import long_hashes, mix, powers
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -99,6 +99,7 @@ def split(texts: list[str], spaced: bool) -> tuple[str, np.ndarray, np.ndarray,
     prefix = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(_codes()[points] * powers(_BASE, len(points)), out=prefix[1:])
     hashed = mix((prefix[e] - prefix[s]) * powers(_INVERSE, len(points))[s])
+    long_hashes(hashed, points, s, e)
     return joined, s, e, hashed, np.searchsorted(ends, s)
 
 

@@ -107,6 +107,19 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def complements(n):
+    """Two words of Thue-Morse order: polynomial sums modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_minhash_tells_complementary_words_apart(spark):
+    one, two = complements(2048)
+    rows = [(1, f"{one} x y z w"), (2, f"{two} x y z w"), (3, f"{one} x y z w")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_shingle_hashes_cross_chunks(monkeypatch):
     import pyarrow as pa
 
@@ -186,6 +199,17 @@ def test_strip_texts_keeps_characters_whole(spark):
     assert out.columns == ["doc_id", "text", "id", "sign"] and got[3] is None
     assert got[1] == "ab" and got[2] == "cd"
     assert repeats.repeat_report(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        repeats.strip_texts(docs(spark, []).selectExpr("*", "1 as __tag"))
+
+
+def test_repeats_tell_rows_without_an_id_apart(spark):
+    body, rng = "q" * 10 + "".join(chr(97 + i % 26) for i in range(80)), random.Random(4)
+    rows = [(None, "".join(rng.choice("xyz ") for _ in range(50)) + str(i) + (body if i % 2 else "")) for i in range(6)] + [(None, None)]
+    got = sorted((r.n_bytes, r.n_removed) for r in repeats.repeat_report(docs(spark, rows), length=60).collect())
+    assert got == sorted((len(t or ""), len(body) if t and body in t else 0) for _, t in rows)
+    left = {r.text for r in repeats.repeat_report(docs(spark, rows), length=60).collect()}
+    assert left == {(t or "").replace(body, "") for _, t in rows}
 
 
 def test_license_scan(spark):
@@ -257,6 +281,30 @@ def test_byte_bpe_of_blocks_with_equal_texts(spark, ids):
     assert [r.ids_sha256 for r in copies.collect()] == [want] * 4
 
 
+def test_byte_bpe_of_complementary_words_and_rows_that_were_shuffled(spark):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, f"{w} tail") for i, w in enumerate(complements(2048))]
+    out = bpe.encode_texts(docs(spark, rows).repartition(3, "doc_id"), path, P.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in out} == {i: enc.encode_ordinary(t) for i, t in rows}
+
+
+def test_packing_of_complementary_words(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    rows = list(enumerate(complements(2048)))
+    want = {i: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids + [2] for i, t in rows}
+    got = {}
+    for r in sorted(packing.pack(docs(spark, rows), path, with_ids=True).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, []) + r.ids
+    assert got == want
+
+
 def test_long_texts_are_cut_where_it_does_no_harm(monkeypatch):
     regex = pytest.importorskip("regex")
     monkeypatch.setattr(pretokens, "LIMIT", 20)
