@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import map_arrow, materialise, partitions, shared_folder, slices
+from .core import map_arrow, materialise, shared_folder, slices
 
 #: Bytes of records in a frame, and of frames in a bundle, before the next begins.
 FRAME, BUNDLE = 256 << 10, 8 << 20
@@ -42,14 +42,14 @@ def _id_of(text: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit has the HTTP header without its payload."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC record; a revisit has the HTTP header with the size of its payload, not the payload."""
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    block = _HTTP.format(len(payload)).encode() + (b"" if revisit else payload)
+    block = _HTTP.format(size).encode() + (b"" if revisit else payload)
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -114,9 +114,9 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     writer = _Writer()
     for batch in batches:
         for part in slices(batch, "payload"):
-            for page, url, payload, sha1, refers_to, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "revisit")), strict=True):
+            for page, url, payload, size, sha1, refers_to, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "bytes", "sha1", "refers_to", "revisit")), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                out = writer.add(record_id(page), record(page, url, payload, digest, refers_to, revisit))
+                out = writer.add(record_id(page), record(page, url, payload, size, digest, refers_to, revisit))
                 if out is not None:
                     yield out
     if (out := writer.close()) is not None:
@@ -133,11 +133,13 @@ def bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    # written first: the join below stands between two plain exchanges, so a payload that many rows share can be split,
+    # and it is the only time that payloads are shuffled
     winners = materialise(rows.groupBy("sha1").agg(F.max("page_id").alias("winner")))
-    known = rows.join(winners, "sha1").withColumn("revisit", (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("winner")))
-    known = known.withColumn("refers_to", F.when(F.col("revisit"), F.col("winner")))
-    spread = known.repartition(partitions(pages.sparkSession), F.xxhash64("page_id", "sha1"))
-    return spread.select("page_id", "url", "payload", "sha1", "refers_to", "revisit").mapInArrow(_bundle, _SCHEMA)
+    known = rows.join(winners.hint("merge"), "sha1").withColumn("revisit", (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("winner")))
+    known = known.withColumn("refers_to", F.when(F.col("revisit"), F.col("winner"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    known = known.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    return known.select("page_id", "url", "payload", "bytes", "sha1", "refers_to", "revisit").mapInArrow(_bundle, _SCHEMA)
 
 
 def write_archive(pages: DataFrame, path: str, **columns) -> None:
