@@ -1,11 +1,13 @@
 """Harmonic packing of tokenised documents into sequences of at most 4096 ids.
 
-A bin of class j holds exactly j pieces of at most capacity / j ids. As texts
-may be cut freely, each is cut into pieces of 4096 ids and then into smaller
-powers of two, so a piece fills its share exactly and full bins have no
-padding. Workers (hash buckets of pieces) fill the bins of each class on their
-own; what a worker has left over of a class is closed in groups of a power of
-two, whose total is a power of two and needs no padding either.
+Lengths fall into classes of reciprocal capacity: a bin of class j holds exactly
+j pieces of at most 4096 / j ids. Long texts are cut into pieces of 4096, 2048
+and 1024 ids, which fill their shares; what remains is one piece, kept whole
+unless its class would waste over a sixteenth of the share, in which case the
+next class's share is cut off. Workers (hash buckets of pieces, as many as the
+ids call for) fill the bins of each class on their own. What a worker has left
+over of all classes shares mixed bins: shares rounded up to powers of two, the
+largest first, never cross the end of a bin.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import map_arrow, partitions, slices
+from .core import map_arrow, materialise, partitions, slices
 from .pretokens import distinct, parts, ragged, split
 
 CAPACITY, END_ID = 4096, 2
+#: Pieces of a bin by class; short pieces share wider classes, so that few bins are left over.
+CLASSES = (1, 2, *range(4, 17), 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024, 4096)
+#: Ids of a worker.
+WORKER = 2_000_000
 #: Words whose ids a worker process remembers.
 REMEMBERED = 500_000
 _known: dict[str, bytes] = {}
@@ -89,10 +95,26 @@ def encode_rows(texts: list[str], path: str) -> list[np.ndarray]:
     return [np.concatenate([*x, [END_ID]]).astype("<u4") for x in out]
 
 
+def class_of(length: int, capacity: int = CAPACITY) -> int:
+    """The class of a piece: the largest one whose share holds it."""
+    most = capacity // length
+    return max(j for j in CLASSES if j <= most)
+
+
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Sizes of the pieces: full ones, then the rest's powers of two, largest first."""
-    rest = length % capacity
-    return [capacity] * (length // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if rest >> b & 1]
+    """Sizes of the pieces: full bins, then halves and quarters, then what remains in one piece or two."""
+    out, rest = [capacity] * (length // capacity), length % capacity
+    for part in (capacity // 2, capacity // 4):
+        if rest > capacity // 4 and rest >= part:
+            out.append(part)
+            rest -= part
+    if rest > capacity // 16:
+        j = class_of(rest, capacity)
+        share = capacity // CLASSES[CLASSES.index(j) + 1]
+        if 16 * rest * j < 15 * capacity:
+            out.append(share)
+            rest -= share
+    return [*out, rest] if rest else out
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -121,22 +143,28 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return map_arrow(own, run, _SCHEMA + ", ids array<int>" * with_ids)
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` with the sequence and the offset of each piece; lengths are powers of two up to capacity."""
-    workers = 4 * partitions(cut.sparkSession)
-    placed = cut.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers)))
-    group = Window.partitionBy("__worker", "length")
-    placed = placed.withColumn("__rank", F.row_number().over(group.orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
-    placed = placed.withColumn("__all", F.count("*").over(group)).withColumn("__per", (F.lit(capacity) / F.col("length")).cast("int"))
-    placed = placed.withColumn("__full", F.floor(F.col("__all") / F.col("__per"))).withColumn("__bin", F.floor(F.col("__rank") / F.col("__per")))
-    # of the q pieces left over, the i-th is in the group of the highest bit in which i and q differ
-    left, i = F.col("__all") - F.col("__full") * F.col("__per"), F.col("__rank") - F.col("__full") * F.col("__per")
-    bit = F.floor(F.log2(i.bitwiseXOR(left).cast("double")))
-    own = F.when(F.col("__bin") < F.col("__full"), F.col("__rank") % F.col("__per")).otherwise(i % F.pow(F.lit(2.0), bit).cast("long"))
-    number = F.when(F.col("__bin") < F.col("__full"), F.col("__bin")).otherwise(F.col("__full") + bit)
-    level = F.log2(F.col("length").cast("double")).cast("int")
-    key = (F.col("__worker") * 16 + level) * F.lit(1 << 36) + number
-    return placed.select(*cut.columns, key.cast("long").alias("sequence_id"), (own * F.col("length")).cast("long").alias("offset"))
+def assign(cut: DataFrame, workers: int, capacity: int = CAPACITY) -> DataFrame:
+    """``cut`` with the sequence and the offset of each piece."""
+    most = F.floor(F.lit(capacity) / F.col("length"))
+    number = F.lit(0)  # of the class among the classes
+    for i, j in enumerate(CLASSES):
+        number = F.when(most >= j, i).otherwise(number)
+    placed = cut.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers))).withColumn("__class", number)
+    # all windows are over parts of one worker, so one exchange serves them
+    placed = placed.repartition(partitions(cut.sparkSession), "__worker")
+    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    group = Window.partitionBy("__worker", "__class")
+    per = F.element_at(F.array(*map(F.lit, CLASSES)), F.col("__class") + 1)
+    placed = placed.withColumn("__rank", F.row_number().over(group.orderBy(*order)) - 1).withColumn("__all", F.count("*").over(group))
+    placed = placed.withColumn("__left", F.col("__rank") >= F.floor(F.col("__all") / per) * per)
+    share = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("length").cast("double")))).cast("long")
+    mixed = Window.partitionBy("__worker", "__left").orderBy(F.desc("__share"), *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("__share", share).withColumn("__at", F.sum("__share").over(mixed) - F.col("__share"))
+    own = F.when(F.col("__left"), F.floor(F.col("__at") / capacity)).otherwise(F.floor(F.col("__rank") / per))
+    key = (F.col("__worker") * 64 + F.when(F.col("__left"), len(CLASSES)).otherwise(F.col("__class"))) * F.lit(1 << 30) + own
+    placed = placed.withColumn("sequence_id", key.cast("long"))
+    inside = Window.partitionBy("__worker", "sequence_id").orderBy("__at", "__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select(*cut.columns, "sequence_id", (F.sum("length").over(inside) - F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -144,7 +172,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text is the end id alone. Rows that repeat an id are packed
     each; a null id stays null. Other columns are ignored; ``with_ids`` adds the
-    ids of each piece.
+    ids of each piece. Sequences are to be padded to their capacity.
     """
-    out = assign(pieces(docs, path, id_col, text_col, with_ids))
+    cut = materialise(pieces(docs, path, id_col, text_col, with_ids))
+    ids = cut.agg(F.sum("length")).first()[0] or 0
+    out = assign(cut, 1 + ids // WORKER)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
