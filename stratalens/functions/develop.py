@@ -2,38 +2,87 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Scalar adjustments with their lowest, highest and neutral value; whole numbers but for exposure.
 SCALARS = {
-    "exposure": (-5.0, 5.0, 0.0),
-    "brightness": (-100, 100, 0),
+    "exposure": (-8.0, 8.0, 0.0),
+    "brightness": (-200, 200, 0),
     "contrast": (-100, 100, 0),
-    "highlights": (-100, 100, 0),
-    "shadows": (-100, 100, 0),
-    "whites": (-100, 100, 0),
-    "blacks": (-100, 100, 0),
-    "temperature": (-100, 100, 0),
-    "tint": (-100, 100, 0),
-    "vibrance": (-100, 100, 0),
-    "saturation": (-100, 100, 0),
+    "highlights": (-200, 200, 0),
+    "shadows": (-200, 200, 0),
+    "whites": (-200, 200, 0),
+    "blacks": (-200, 200, 0),
+    "temperature": (-250, 250, 0),
+    "tint": (-250, 250, 0),
+    "vibrance": (-200, 200, 0),
+    "saturation": (-200, 200, 0),
+    "hue": (-180, 180, 0),
+    "sharpness": (-100, 100, 0),
+    "sharpness_threshold": (0, 80, 15),
     "clarity": (-100, 100, 0),
     "dehaze": (-100, 100, 0),
-    "sharpness": (0, 100, 0),
-    "grain": (0, 100, 0),
-    "vignette": (-100, 100, 0),
+    "structure": (-100, 100, 0),
+    "denoise": (0, 100, 0),
+    "luma_noise_reduction": (0, 100, 0),
+    "color_noise_reduction": (0, 100, 0),
+    "chromatic_aberration_red_cyan": (-100, 100, 0),
+    "chromatic_aberration_blue_yellow": (-100, 100, 0),
+    "glow_amount": (0, 100, 0),
+    "halation_amount": (0, 100, 0),
+    "flare_amount": (0, 100, 0),
+    "grain_amount": (0, 100, 0),
+    "grain_size": (0, 100, 25),
+    "grain_roughness": (0, 100, 50),
+    "vignette_amount": (-100, 100, 0),
+    "vignette_midpoint": (0, 100, 50),
+    "vignette_roundness": (-100, 100, 0),
+    "vignette_feather": (0, 100, 50),
+    "lut_intensity": (0, 100, 100),
+    "chrome_effect": (0, 100, 0),
+    "chrome_blue": (0, 100, 0),
+    "mist": (0, 100, 0),
+    "frame_width": (0, 20, 0),
+}
+#: Named choices, the neutral one first.
+ENUMS = {
+    "tone_mapper": ("basic", "agx"),
+    "curve_mode": ("point", "parametric"),
+    "film_sim": ("none", "provia", "velvia", "astia", "classic_chrome", "classic_neg", "nostalgic_neg", "eterna", "acros", "acros_ye", "acros_r", "monochrome"),
 }
-#: The colour bands of the mixer, and the groups a partial copy names.
+#: Colour bands, curve channels, and the parts of curves, wheels and calibration with their neutral values.
 BANDS = ("red", "orange", "yellow", "green", "aqua", "blue", "purple", "magenta")
+CHANNELS = ("luma", "red", "green", "blue")
+PARAMETRIC = {"highlights": 0, "lights": 0, "darks": 0, "shadows": 0, "white_level": 0, "black_level": 0, "split1": 25, "split2": 50, "split3": 75}
+ZONES = ("shadows", "midtones", "highlights", "global")
+WHEEL = {"hue": (0, 360, 0), "saturation": (0, 100, 0), "luminance": (-100, 100, 0)}
+CALIBRATION = ("shadows_tint", "red_hue", "red_saturation", "green_hue", "green_saturation", "blue_hue", "blue_saturation")
+#: The groups that a partial copy names.
 GROUPS = {
-    "light": ("exposure", "brightness", "contrast", "highlights", "shadows", "whites", "blacks"),
-    "color": ("temperature", "tint", "vibrance", "saturation", "hsl"),
-    "detail": ("clarity", "dehaze", "sharpness"),
-    "effects": ("grain", "vignette"),
+    "tone": ("exposure", "brightness", "contrast", "highlights", "shadows", "whites", "blacks", "tone_mapper"),
+    "white_balance": ("temperature", "tint"),
+    "color": ("vibrance", "saturation", "hue", "chrome_effect", "chrome_blue", "film_sim", "hsl", "color_grading", "color_calibration"),
+    "details": ("sharpness", "sharpness_threshold", "clarity", "dehaze", "structure", "denoise", "luma_noise_reduction", "color_noise_reduction", "chromatic_aberration_red_cyan", "chromatic_aberration_blue_yellow"),
+    "curves": ("curve_mode", "point_curves", "parametric_curve"),
+    "effects": ("glow_amount", "halation_amount", "flare_amount", "grain_amount", "grain_size", "grain_roughness", "vignette_amount", "vignette_midpoint", "vignette_roundness", "vignette_feather", "lut_intensity", "mist"),
 }
+#: Kinds and modes of a mask's parts; points of a curve at most; where blended curves are read.
+MASK_TYPES = ("radial", "linear", "brush", "luminance", "color", "semantic", "all")
+MASK_MODES = ("additive", "subtractive", "intersect")
 CURVE_POINTS = 16
-_SCHEMA = ", ".join([*(f"{n} string" for n in SCALARS), "hsl map<string,array<string>>", "curve array<array<string>>"])
+CURVE_XS = (0, 32, 64, 96, 128, 160, 192, 224, 255)
+
+_SUB_MASK = "struct<id:string,type:string,mode:string,visible:string,invert:string,parameters:map<string,string>>"
+_MASK = f"struct<id:string,name:string,visible:string,opacity:string,invert:string,sub_masks:array<{_SUB_MASK}>,adjustments:map<string,string>>"
+_SCHEMA = ", ".join(
+    [
+        *(f"{n} string" for n in (*SCALARS, *ENUMS)), "hsl map<string,array<string>>", "point_curves map<string,array<array<string>>>", "parametric_curve map<string,map<string,string>>",
+        f"color_grading struct<{','.join(f'{z}:map<string,string>' for z in ZONES)},blending:string,balance:string>", "color_calibration map<string,string>", f"masks array<{_MASK}>",
+    ]
+)
 
 
 def clamp(value: Column, low: float, high: float, default: float) -> Column:
@@ -44,31 +93,77 @@ def clamp(value: Column, low: float, high: float, default: float) -> Column:
     return held if isinstance(low, float) else F.bround(held).cast("int")
 
 
+def _clamped(value: Column, spec: Column) -> Column:
+    """:func:`clamp` with the bounds in a struct column, as a double."""
+    number = value.try_cast("double")
+    number = F.when(number.isNull() | F.isnan(number), spec["default"]).otherwise(F.greatest(spec["low"], F.least(spec["high"], number)))
+    return F.when(spec["whole"], F.bround(number)).otherwise(number)
+
+
 def parsed(doc: Column) -> Column:
     """The document as text fields; null and malformed documents have none."""
     return F.from_json(doc, _SCHEMA)
 
 
+def _curve(points: Column) -> Column:
+    """The first sixteen points in bounds; the straight line unless two or more come."""
+    some = F.filter(F.slice(points, 1, CURVE_POINTS), lambda p: F.size(p) >= 2)
+    clean = F.transform(some, lambda p: F.array(clamp(p[0], 0, 255, 0), clamp(p[1], 0, 255, 0)))
+    return F.when((F.size(points) >= 2) & (F.size(clean) >= 2), clean).otherwise(F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255))))
+
+
+def _flag(value: Column, default: bool) -> Column:
+    """A JSON truth value from text; absent, the default."""
+    return F.coalesce(~F.lower(value).isin("false", "0", ""), F.lit(default))
+
+
+def _masks(raw: Column) -> Column:
+    """Masks with known parts, and of their adjustments those that are known and not neutral."""
+    spec = F.create_map(*[c for n, (low, high, default) in SCALARS.items() for c in (F.lit(n), F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(float(default)).alias("default"), F.lit(not isinstance(low, float)).alias("whole")))])
+    known = lambda m: F.transform_values(F.map_filter(m, lambda k, _: F.map_contains_key(spec, k)), lambda k, v: F.struct(_clamped(v, F.try_element_at(spec, k)).alias("now"), F.try_element_at(spec, k)["default"].alias("default")))
+    sparse = lambda m: F.transform_values(F.map_filter(known(m), lambda _, v: v["now"] != v["default"]), lambda _, v: v["now"])
+    part = lambda s: F.struct(
+        F.coalesce(s["id"], F.lit("")).alias("id"), s["type"].alias("type"), F.when(s["mode"].isin(*MASK_MODES), s["mode"]).otherwise("additive").alias("mode"),
+        _flag(s["visible"], True).alias("visible"), _flag(s["invert"], False).alias("invert"), F.coalesce(s["parameters"], F.create_map().cast("map<string,string>")).alias("parameters"),
+    )
+    parts = lambda m: F.transform(F.filter(F.coalesce(m["sub_masks"], F.array().cast(f"array<{_SUB_MASK}>")), lambda s: s["type"].isin(*MASK_TYPES)), part)
+    mask = lambda m: F.struct(
+        F.coalesce(m["id"], F.lit("")).alias("id"), F.coalesce(m["name"], F.lit("Mask")).alias("name"), _flag(m["visible"], True).alias("visible"), clamp(m["opacity"], 0, 100, 100).alias("opacity"),
+        _flag(m["invert"], False).alias("invert"), parts(m).alias("sub_masks"), F.coalesce(sparse(m["adjustments"]), F.create_map().cast("map<string,double>")).alias("adjustments"),
+    )
+    return F.transform(F.filter(F.coalesce(raw, F.array().cast(f"array<{_MASK}>")), lambda m: m.isNotNull()), mask)
+
+
 def normalised(doc: Column) -> Column:
     """Every key present and in bounds, unknown keys dropped."""
     raw = parsed(doc)
     fields = [clamp(raw[n], *spec).alias(n) for n, spec in SCALARS.items()]
+    fields += [F.when(raw[n].isin(*names), raw[n]).otherwise(names[0]).alias(n) for n, names in ENUMS.items()]
     band = lambda b: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: clamp(F.get(raw["hsl"][b], i), -100, 100, 0))
     hsl = F.struct(*[band(b).alias(b) for b in BANDS])
-    points = F.filter(F.coalesce(raw["curve"], F.array().cast("array<array<string>>")), lambda p: (F.size(p) == 2) & p[0].try_cast("double").isNotNull() & p[1].try_cast("double").isNotNull())
-    points = F.array_sort(F.transform(F.slice(points, 1, CURVE_POINTS), lambda p: F.array(clamp(p[0], 0, 255, 0), clamp(p[1], 0, 255, 0))))
-    curve = F.when(F.size(points) >= 2, points).otherwise(F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255))))
-    return F.struct(*fields, hsl.alias("hsl"), curve.alias("curve"))
+    curves = F.struct(*[_curve(raw["point_curves"][c]).alias(c) for c in CHANNELS])
+    parametric = F.struct(*[F.struct(*[clamp(raw["parametric_curve"][c][k], -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
+    grade = raw["color_grading"]
+    wheels = [F.struct(*[clamp(grade[z][k], *spec).alias(k) for k, spec in WHEEL.items()]).alias(z) for z in ZONES]
+    grading = F.struct(*wheels, clamp(grade["blending"], 0, 100, 50).alias("blending"), clamp(grade["balance"], -100, 100, 0).alias("balance"))
+    calibration = F.struct(*[clamp(raw["color_calibration"][k], -100, 100, 0).alias(k) for k in CALIBRATION])
+    return F.struct(*fields, hsl.alias("hsl"), curves.alias("point_curves"), parametric.alias("parametric_curve"), grading.alias("color_grading"), calibration.alias("color_calibration"), _masks(raw["masks"]).alias("masks"))
+
+
+def _neutral_text() -> str:
+    """The JSON text of a neutral document up to its masks, which come last."""
+    line = [[0, 0], [255, 255]]
+    out = {n: default for n, (_, _, default) in SCALARS.items()} | {n: names[0] for n, names in ENUMS.items()}
+    out |= {"hsl": {b: [0, 0, 0] for b in BANDS}, "point_curves": {c: line for c in CHANNELS}, "parametric_curve": {c: PARAMETRIC for c in CHANNELS}}
+    out["color_grading"] = {z: {k: default for k, (_, _, default) in WHEEL.items()} for z in ZONES} | {"blending": 50, "balance": 0}
+    out["color_calibration"] = {k: 0 for k in CALIBRATION}
+    return json.dumps(out, separators=(",", ":"))[:-1]
 
 
 def is_neutral(adjustments: Column) -> Column:
-    """Whether a normalised document changes nothing."""
-    same = F.lit(True)
-    for name, (_, _, default) in SCALARS.items():
-        same = same & (adjustments[name] == default)
-    for b in BANDS:
-        same = same & F.forall(adjustments["hsl"][b], lambda x: x == 0)
-    return same & F.forall(adjustments["curve"], lambda p: p[0] == p[1])
+    """Whether a normalised document changes nothing: all values neutral and no visible mask with a part and an adjustment."""
+    same = F.split(F.to_json(adjustments), ',"masks":', 2)[0] == _neutral_text()
+    return same & ~F.exists(adjustments["masks"], lambda m: m["visible"] & (F.size(m["sub_masks"]) > 0) & (F.size(F.map_keys(m["adjustments"])) > 0))
 
 
 def dumped(adjustments: Column) -> Column:
@@ -87,13 +182,66 @@ def merged(current: Column, partial: Column) -> Column:
     return F.map_concat(F.map_filter(current, lambda k, _: ~F.map_contains_key(partial, k)), partial)
 
 
+def _polar(x: Column, y: Column) -> Column:
+    return F.when((F.abs(x) < 1e-9) & (F.abs(y) < 1e-9), 0.0).otherwise(F.degrees(F.atan2(y, x)))
+
+
 def blended(neighbours: DataFrame, by: str = "query") -> DataFrame:
-    """``neighbours(query, weight, adj)``: weighted means of the scalars, rounded as clamped."""
-    means = []
-    for name, spec in SCALARS.items():
-        mean = F.sum(F.col("weight") * F.col("adj")[name]) / F.sum("weight")
-        means.append(clamp(mean.cast("string"), *spec).alias(name))
-    return neighbours.groupBy(by).agg(*means)
+    """``neighbours(query, weight, adj)``: one document of a query's few neighbours, without masks.
+
+    Numbers are weighted means, rounded as clamped; the hue is a circular mean
+    and wheels are averaged as vectors; choices are voted on, equal weights in
+    order of name; curves are read at nine places, and one that stays within
+    one of the straight line is that line.
+    """
+    w = F.col("weight") / F.col("__sum")
+    rows = neighbours.join(neighbours.groupBy(by).agg(F.sum("weight").alias("__sum")), by)
+    adj, aggs = F.col("adj"), {}
+    mean = lambda c: F.sum(w * c)
+    for name in SCALARS:
+        aggs[name] = mean(adj[name])
+    aggs["hue"] = _polar(mean(F.cos(F.radians(adj["hue"]))), mean(F.sin(F.radians(adj["hue"]))))
+    for b in BANDS:
+        for i in range(3):
+            aggs[f"hsl_{b}_{i}"] = mean(adj["hsl"][b][i])
+    for z in ZONES:
+        wheel = adj["color_grading"][z]
+        aggs[f"x_{z}"], aggs[f"y_{z}"] = (mean(wheel["saturation"] * f(F.radians(wheel["hue"]))) for f in (F.cos, F.sin))
+        aggs[f"l_{z}"] = mean(wheel["luminance"])
+    for k in ("blending", "balance"):
+        aggs[k] = mean(adj["color_grading"][k])
+    for k in CALIBRATION:
+        aggs[f"cal_{k}"] = mean(adj["color_calibration"][k])
+    for c in CHANNELS:
+        for k in PARAMETRIC:
+            aggs[f"par_{c}_{k}"] = mean(adj["parametric_curve"][c][k])
+        points = F.array_sort(adj["point_curves"][c])
+        for x in CURVE_XS:
+            aggs[f"y_{c}_{x}"] = mean(interpolated(points, F.lit(x)))
+    for name, names in ENUMS.items():
+        for choice in names:
+            aggs[f"vote_{name}_{choice}"] = mean((adj[name] == choice).cast("double"))
+    means = rows.groupBy(by).agg(*[a.alias(n) for n, a in aggs.items()])
+    held = lambda name, *spec: clamp(F.col(name).cast("string"), *spec)
+    fields = [held(n, *spec).alias(n) for n, spec in SCALARS.items()]
+    fields += [F.array_max(F.array(*[F.struct(F.col(f"vote_{n}_{c}").alias("w"), F.lit(c).alias("v")) for c in names]))["v"].alias(n) for n, names in ENUMS.items()]
+    fields.append(F.struct(*[F.array(*[held(f"hsl_{b}_{i}", -100, 100, 0) for i in range(3)]).alias(b) for b in BANDS]).alias("hsl"))
+    line = F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255)))
+    curve = lambda c: F.when(F.greatest(*[F.abs(F.col(f"y_{c}_{x}") - x) for x in CURVE_XS]) < 1, line).otherwise(F.array(*[F.array(F.lit(x), held(f"y_{c}_{x}", 0, 255, 0)) for x in CURVE_XS]))
+    fields.append(F.struct(*[curve(c).alias(c) for c in CHANNELS]).alias("point_curves"))
+    fields.append(F.struct(*[F.struct(*[held(f"par_{c}_{k}", -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS]).alias("parametric_curve"))
+    wheels = [wheel_blend(F.col(f"x_{z}"), F.col(f"y_{z}"), F.col(f"l_{z}")).alias(z) for z in ZONES]
+    fields.append(F.struct(*wheels, held("blending", 0, 100, 50).alias("blending"), held("balance", -100, 100, 0).alias("balance")).alias("color_grading"))
+    fields.append(F.struct(*[held(f"cal_{k}", -100, 100, 0).alias(k) for k in CALIBRATION]).alias("color_calibration"))
+    return means.select(by, *fields)
+
+
+def wheel_blend(x: Column, y: Column, luminance: Column) -> Column:
+    """A wheel from its mean vector: hue by the angle, saturation by the length."""
+    reach = F.hypot(x, y)
+    hue = F.when(reach > 1e-9, F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))).otherwise(0.0)
+    parts = (("hue", hue), ("saturation", reach), ("luminance", luminance))
+    return F.struct(*[clamp(c.cast("string"), *WHEEL[k]).alias(k) for k, c in parts])
 
 
 def from_legacy(exposure: Column, hue: Column, saturation: Column) -> Column:

@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 #: File name endings of each kind.
 EXTENSIONS = {
-    "raw": ("raf", "nef", "cr2", "cr3", "arw", "dng", "orf", "rw2", "pef", "srw"),
+    "raw": ("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2", "pef", "srw"),
     "jpeg": ("jpg", "jpeg"),
     "png": ("png",),
 }
+#: Texts that stand for no lens.
+NO_LENS = ("undef", "none", "unknown", "n/a")
 NAME_BYTES = 255
 
 
@@ -25,8 +27,8 @@ def file_type(path: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def normalised_name(names: pd.Series) -> pd.Series:
-    """Lower case without marks; everything but letters and digits is one space. Spark has no NFKD."""
+def _folded(names: pd.Series) -> pd.Series:
+    """Spark has no NFKD: only names beyond ASCII come here."""
 
     def one(s: str | None) -> str | None:
         if s is None:
@@ -37,6 +39,13 @@ def normalised_name(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
+def normalised_name(name: Column | str) -> Column:
+    """Lower case without marks; everything but letters and digits is one space."""
+    name = F.col(name) if isinstance(name, str) else name
+    plain = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    return F.when(name.rlike(r"^\p{ASCII}*$"), plain).otherwise(_folded(F.when(~name.rlike(r"^\p{ASCII}*$"), name)))
+
+
 def renamed(typed: Column, suffix: Column) -> Column:
     """A safe new file name with the old ending, or null: no separators or control characters, not only dots, at most 255 bytes."""
     name = F.trim(typed)
@@ -56,14 +65,25 @@ def millimetres(x: Column) -> Column:
 
 
 def clean_lens(value: Column) -> Column:
-    """A lens name: nothing for placeholders, ``8.8-25.7mm f/1.8-2.8`` for four numbers, else trimmed text."""
+    """A lens name: nothing for placeholders, ``8.8-25.7mm f/1.8-2.8`` for four numbers, else trimmed text.
+
+    More than four numbers lose zeros at their start, then at their end, until
+    four are left; other numbers alone name no lens.
+    """
     text = F.trim(value)
-    parts = F.transform(F.split(text, r"[\s,]+"), lambda x: F.try_to_number(x, F.lit("99999.9999")).cast("double"))
+    numbers = F.transform(F.split(text, r"\s+"), lambda x: x.try_cast("double"))
+    spare = F.greatest(F.size(numbers) - 4, F.lit(0))
+    zeros = lambda xs: F.least(spare, F.coalesce(F.array_position(F.transform(xs, lambda x: x != 0), True).cast("int") - 1, F.size(xs)))
+    head = F.when(F.array_position(F.transform(numbers, lambda x: x != 0), True) == 0, spare).otherwise(zeros(numbers))
+    cut = F.slice(numbers, head + 1, F.greatest(F.size(numbers) - head, F.lit(0)))
+    tail = F.least(F.greatest(F.size(cut) - 4, F.lit(0)), F.array_position(F.transform(F.reverse(cut), lambda x: x != 0), True).cast("int") - 1)
+    core = F.slice(cut, 1, F.greatest(F.size(cut) - F.greatest(tail, F.lit(0)), F.lit(0)))
     spread = lambda a, b: F.when(a == b, millimetres(a)).otherwise(F.concat(millimetres(a), F.lit("-"), millimetres(b)))
-    numeric = text.rlike(r"^[\d.]+([\s,]+[\d.]+){3}$")
-    made = F.concat(spread(parts[0], parts[1]), F.lit("mm"), F.when((parts[2] > 0) & (parts[3] > 0), F.concat(F.lit(" f/"), spread(parts[2], parts[3]))).otherwise(""))
-    nothing = F.lower(text).isin("undef", "unknown", "n/a", "----", "") | text.rlike(r"^0(\.0)?( ?mm)?( f/0(\.0)?)?$")
-    return F.when(nothing | text.isNull(), F.lit(None).cast("string")).when(numeric & (parts[0] > 0), made).when(numeric, F.lit(None).cast("string")).otherwise(text)
+    at = lambda i: F.get(core, F.lit(i))
+    made = F.concat(spread(at(0), at(1)), F.lit("mm"), F.when(at(2) > 0, F.concat(F.lit(" f/"), spread(at(2), at(3)))).otherwise(""))
+    nothing = text.isNull() | F.lower(text).isin("", *NO_LENS) | text.startswith("Unknown (") | text.startswith("0.0 mm")
+    none = F.lit(None).cast("string")
+    return F.when(nothing, none).when(F.exists(numbers, lambda x: x.isNull()), text).when((F.size(core) == 4) & (at(0) > 0), made).otherwise(none)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -81,3 +101,22 @@ def library_path(taken_at: Column, name: Column) -> Column:
 def image_path(root: str, source_root_id: Column, file_path: Column) -> Column:
     """Paths of source roots are absolute, others lie in the library."""
     return F.when(source_root_id.isNull(), F.concat_ws("/", F.lit(root), file_path)).otherwise(file_path)
+
+
+def split_name(name: Column) -> Column:
+    """(stem, ext): ext is empty for a name without a dot or with a leading one only."""
+    return F.struct(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1).alias("ext"))
+
+
+def shutter(value: Column) -> Column:
+    """Seconds as text to show: a dash for nothing, ``2.5s``, ``1/250``; what is no positive number stays."""
+    seconds = value.try_cast("double")
+    whole = F.regexp_replace(F.format_string("%.1f", F.round(seconds.cast("decimal(20,6)"), 1).cast("double")), r"\.0$", "")
+    shown = F.when(seconds >= 1, F.concat(whole, F.lit("s"))).otherwise(F.concat(F.lit("1/"), F.floor(1 / seconds + 0.5).cast("string")))
+    return F.when(value.isNull() | (value == ""), "—").when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0) | (seconds == float("inf")), value).otherwise(shown)
+
+
+def whole_number(value: Column) -> Column:
+    """A metadata value as a whole number, cut towards zero; null for ``undef`` and other text."""
+    number = value.try_cast("double")
+    return F.when(F.abs(number) < 2.0**63, number).cast("long")

@@ -6,25 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import normalised_name
+from .geo import nearest
 
 
 def country_of(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """``queries(query, lang)`` with the country that each names: a name in the query's language wins over a general one.
+    """``queries(query, lang)`` with the country that each names: a general name wins over one in the query's language.
 
-    ``names(name, lang, cc)`` is a catalogue of bounded size; a null lang is general.
+    ``names(name, lang, cc)``: a null lang is general, that is English. A query's
+    language counts up to its first hyphen, in lower case. Of several countries
+    of one name the smallest code counts.
     """
-    keyed = names.select(normalised_name("name").alias("key"), F.col("lang").alias("__lang"), "cc")
-    asked = queries.withColumn("key", normalised_name("query"))
-    hits = asked.join(F.broadcast(keyed), "key").where("__lang is null or __lang = lang")
-    best = hits.groupBy("query", "lang").agg(F.min(F.struct(F.col("__lang").isNull().alias("o"), "cc"))["cc"].alias("cc"))
-    return queries.join(best, (queries["query"] == best["query"]) & queries["lang"].eqNullSafe(best["lang"]), "left").select(queries["query"], queries["lang"], "cc")
+    keyed = names.select(normalised_name("name").alias("key"), F.col("lang").alias("__lang"), "cc").where("key <> ''")
+    asked = queries.withColumn("key", normalised_name("query")).withColumn("__own", F.lower(F.split("lang", "-")[0]))
+    best = keyed.groupBy("key", "__lang").agg(F.min("cc").alias("cc"))
+    general = best.where("__lang is null").select("key", F.col("cc").alias("__general"))
+    local = best.where("__lang is not null").select("key", F.col("__lang").alias("__own"), F.col("cc").alias("__local"))
+    found = asked.join(general, "key", "left").join(local, ["key", "__own"], "left")
+    return found.select("query", "lang", F.coalesce("__general", "__local").alias("cc"))
+
+
+def country_name(codes: DataFrame, names: DataFrame, code: str = "cc") -> DataFrame:
+    """``codes`` with ``country``: the name of its code by ``names(cc, name)``, the code itself if it has none."""
+    one = names.groupBy(F.col("cc").alias("__cc")).agg(F.min("name").alias("__name"))
+    joined = codes.join(one, F.col(code) == F.col("__cc"), "left")
+    return joined.withColumn("country", F.coalesce("__name", F.nullif(code, F.lit("")))).drop("__cc", "__name")
+
+
+def annotate_countries(images: DataFrame, cities: DataFrame, names: DataFrame) -> DataFrame:
+    """``images`` with gps_country filled in from the nearest city where a position has none.
+
+    ``cities(city, lat, lon)`` has a country code as its city.
+    """
+    pending = images.where("gps_lat is not null and gps_lon is not null and coalesce(gps_country, '') = ''")
+    named = country_name(nearest(pending, cities).select(F.col("id").alias("__id"), "city"), names, "city").select("__id", "country")
+    both = images.join(named, F.col("id") == F.col("__id"), "left")
+    return both.select(*[F.coalesce(F.col("country"), F.col(c)).alias(c) if c == "gps_country" else F.col(c) for c in images.columns])
 
 
 def spellings(queries: DataFrame, exonyms: DataFrame) -> DataFrame:
     """(query, key): the name, its local form by ``exonyms(exonym, name)``, and its reading of ae, oe, ue as umlauts."""
     own = queries.select("query", normalised_name("query").alias("key"))
     known = exonyms.select(normalised_name("exonym").alias("key"), normalised_name("name").alias("__local"))
-    local = own.join(F.broadcast(known), "key").select("query", F.col("__local").alias("key"))
+    local = own.join(known, "key").select("query", F.col("__local").alias("key"))
     plain = own.select("query", F.regexp_replace("key", "([aou])e", "$1").alias("key"))
     return own.unionByName(local).unionByName(plain).distinct()
 
@@ -44,12 +67,12 @@ def candidates(queries: DataFrame, gazetteer: DataFrame, names: DataFrame) -> Da
     """(query, name, admin1, cc, lat, lon): cities of the first split of a query that has any.
 
     A qualifier must be the city's country code, its country or its first-level
-    division. ``gazetteer(name, admin1, cc, lat, lon)`` and ``names`` are of bounded size.
+    division. ``gazetteer(name, admin1, cc, lat, lon)``, ``names(name, lang, cc)``.
     """
     g = gazetteer.withColumn("key", normalised_name("name")).withColumn("division", normalised_name("admin1"))
     countries = names.select(normalised_name("name").alias("country"), F.col("cc").alias("country_cc")).distinct()
     asked = splits(queries).withColumn("key", normalised_name("name")).withColumn("wanted", normalised_name("qualifier")).select("query", "turn", "key", "wanted")
-    found = asked.join(F.broadcast(g), "key").join(F.broadcast(countries), F.col("wanted") == F.col("country"), "left")
+    found = asked.join(g, "key").join(countries, F.col("wanted") == F.col("country"), "left")
     fits = F.col("wanted").isNull() | (F.lower("cc") == F.col("wanted")) | (F.col("division") == F.col("wanted")) | (F.col("country_cc") == F.col("cc"))
     found = found.where(fits).select("query", "turn", "name", "admin1", "cc", "lat", "lon").distinct()
     first = found.groupBy("query").agg(F.min("turn").alias("turn"))
