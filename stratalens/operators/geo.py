@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,60 +26,150 @@ def near_point(points: DataFrame, lat: float, lon: float, radius_km: float) -> D
     return out.withColumn("km", haversine_km(F.lit(lat), F.lit(lon), F.col("gps_lat"), F.col("gps_lon"))).where(F.col("km") <= radius_km)
 
 
+def _cells(lat: Column, lon: Column, height: float) -> tuple[Column, Column, Column]:
+    """Latitude band, longitude cell and number of cells of the band, in bands of ``height`` degrees.
+
+    A band's cells are so wide that a circle of that radius, centred in the band
+    or the next one, reaches no farther than into a neighbouring cell.
+    """
+    band = F.floor(lat / height).cast("int")
+    return band, *_ring(band, lon, height)
+
+
+def _ring(band: Column, lon: Column, height: float) -> tuple[Column, Column]:
+    edge = F.radians(F.greatest(F.abs(band * height), F.abs((band + 1) * height)) + height)
+    reach = math.sin(math.radians(height)) / F.cos(edge)
+    around = (edge >= math.pi / 2) | (reach >= 1)
+    count = F.when(around, 1).otherwise(F.greatest(F.lit(1), F.floor(F.lit(2 * math.pi) / F.asin(F.least(reach, F.lit(1.0)))).cast("int")))
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * count).cast("int"), count), count
+
+
 def within(points: DataFrame, centres: DataFrame, radius_km: float) -> DataFrame:
     """``points(id, gps_lat, gps_lon)`` x ``centres(centre, lat, lon)`` no farther apart than the radius.
 
-    An equi-join on latitude bands of the radius' height, each centre standing in
-    its own band and both next ones, then the exact distance; longitudes are
-    not cut, so the date line and the poles need no special case.
+    An equi-join on cells of the radius' size, each centre standing in its own
+    cell and those around it, across the date line too, then the exact distance.
+    Towards the poles cells widen to the whole circle of latitude.
     """
     height = radius_km / KM_PER_DEGREE + 0.01
-    p = points.where("gps_lat is not null and gps_lon is not null").withColumn("band", F.floor(F.col("gps_lat") / height))
-    c = centres.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("lat") / height) + d)))
-    near = p.join(c, "band").withColumn("km", haversine_km(F.col("gps_lat"), F.col("gps_lon"), F.col("lat"), F.col("lon")))
-    return near.where(F.col("km") <= radius_km).drop("band")
+    band, cell, _ = _cells(F.col("gps_lat"), F.col("gps_lon"), height)
+    p = points.where("gps_lat is not null and gps_lon is not null").withColumn("__band", band).withColumn("__cell", cell)
+    c = centres.withColumn("__band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("lat") / height).cast("int") + d)))
+    own, count = _ring(F.col("__band"), F.col("lon"), height)
+    c = c.withColumn("__cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(own + d, count)))))
+    near = p.join(c, ["__band", "__cell"]).withColumn("km", haversine_km(F.col("gps_lat"), F.col("gps_lon"), F.col("lat"), F.col("lon")))
+    return near.where(F.col("km") <= radius_km).drop("__band", "__cell")
+
+
+#: Degrees of the cells in which a nearest city is looked for, one size after another.
+NEAR_DEGREES = (1.0, 8.0)
+#: Cities at most that positions are compared with one by one: all positions, or the few that are far from everything.
+FEW_CITIES, CITIES = 256, 500_000
 
 
 def nearest(points: DataFrame, cities: DataFrame) -> DataFrame:
-    """Each point with its nearest city: (id, city, km). ``cities(city, lat, lon)`` is a gazetteer of bounded size."""
+    """Each point with its nearest city: (id, city, km), ties by city. ``cities(city, lat, lon)``.
+
+    Distinct positions meet the cities of the cells around them. A city found
+    nearer than a cell's height is the nearest there is; positions without one go
+    on to larger cells, and the few that are far from everything to the whole
+    list, whose size is checked. A short list is compared as a whole at once.
+    """
+    few = cities.limit(CITIES + 1)
+    count = few.count()
+    if count > CITIES:
+        raise ValueError(f"more than {CITIES} cities")
+    best = F.min(F.struct("km", "city")).alias("best")
+    left = points.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct().withColumn("id", F.xxhash64("gps_lat", "gps_lon"))
+    found = None
+    for degrees in NEAR_DEGREES if count > FEW_CITIES else ():
+        radius = (degrees - 0.01) * KM_PER_DEGREE
+        hits = within(left, cities.withColumnRenamed("city", "centre"), radius).withColumnRenamed("centre", "city").groupBy("gps_lat", "gps_lon").agg(best)
+        found = hits if found is None else found.unionByName(hits)
+        left = left.join(hits, ["gps_lat", "gps_lon"], "left_anti")
     km = haversine_km(F.col("gps_lat"), F.col("gps_lon"), F.col("lat"), F.col("lon"))
-    places = points.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct()
-    best = places.crossJoin(F.broadcast(cities)).groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(km.alias("km"), F.col("city"))).alias("best"))
-    return points.join(best, ["gps_lat", "gps_lon"]).select("id", "best.city", "best.km")
+    far = left.crossJoin(F.broadcast(few)).select("gps_lat", "gps_lon", km.alias("km"), "city").groupBy("gps_lat", "gps_lon").agg(best)
+    return points.join(far if found is None else found.unionByName(far), ["gps_lat", "gps_lon"]).select("id", "best.city", "best.km")
+
+
+def _lead(rows: np.ndarray, radius_km: float) -> np.ndarray:
+    """Leaders (lat, lon, count, seq) of rows (lat, lon, count, seq) in order of seq: the nearest within the radius takes a row, or it founds one."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 3]))]
+    lat, lon, n, seq = (np.empty(len(rows)) for _ in range(4))
+    size = 0
+    for a, b, count, at in rows:
+        if size:
+            km = distance_km(lat[:size], lon[:size], a, b)
+            i = int(km.argmin())
+            if km[i] <= radius_km:
+                total = n[i] + count
+                lat[i], lon[i], n[i] = (lat[i] * n[i] + a * count) / total, (lon[i] * n[i] + b * count) / total, total
+                continue
+        lat[size], lon[size], n[size], seq[size] = a, b, count, at
+        size += 1
+    return np.stack([lat[:size], lon[:size], n[:size], seq[:size]], axis=1)
 
 
 def leader_places(points: DataFrame, radius_km: float, group: str | None = None) -> DataFrame:
-    """(group, place, lat, lon, members): greedy centres in order of ``seq``; a point joins the nearest within the radius.
-
-    Sequential within a group; centres are running means, rounded to four
-    decimals so that membership by the stored centre is what is shown.
+    """(group, place, lat, lon, members): greedy centres in order of the number ``seq``.
+
+    A leader pass depends on its order, so the order is part of the definition:
+    positions equal to four decimals (some ten metres) are first summed up, at
+    the place of their first row; then each block of a degree, or of four radii,
+    finds its leaders in order; then the leaders of a group are led in turn. A
+    leader takes what is nearest within the radius, as a running mean. The rows
+    of a block are bounded by its area over ten metres squared, leaders by the
+    earth's over the radius squared, however many rows there are.
     """
-    keyed = points.withColumn("__group", F.col(group).cast("string") if group else F.lit(""))
+    keyed = points.withColumn("group", F.col(group).cast("string") if group else F.lit(""))
+    located = keyed.where("gps_lat is not null and gps_lon is not null")
+    spots = located.groupBy("group", F.round("gps_lat", 4).alias("lat"), F.round("gps_lon", 4).alias("lon")).agg(F.count("*").cast("double").alias("n"), F.min("seq").cast("double").alias("seq"))
+    size = max(1.0, 4 * radius_km / KM_PER_DEGREE)
+    columns, schema = ["lat", "lon", "n", "seq"], "group string, lat double, lon double, n double, seq double"
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres: list[list[float]] = []
-        for lat, lon in pdf.sort_values("seq")[["gps_lat", "gps_lon"]].to_numpy():
-            best, km = None, radius_km
-            for c in centres:
-                d = distance_km(lat, lon, c[0], c[1])
-                if d <= km:
-                    best, km = c, d
-            if best is None:
-                centres.append([lat, lon, 1])
-            else:
-                n = best[2]
-                best[:] = [(best[0] * n + lat) / (n + 1), (best[1] * n + lon) / (n + 1), n + 1]
-        rows = [(pdf["__group"].iloc[0], i, round(c[0], 4), round(c[1], 4), c[2]) for i, c in enumerate(centres)]
-        return pd.DataFrame(rows, columns=["group", "place", "lat", "lon", "members"])
-
-    chosen = keyed.where("gps_lat is not null and gps_lon is not null").select("__group", "seq", "gps_lat", "gps_lon")
-    return chosen.groupBy("__group").applyInPandas(lead, "group string, place int, lat double, lon double, members int")
-
-
-def distance_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    p, q = math.radians(lat1), math.radians(lat2)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * RADIUS_KM * math.asin(min(1.0, math.sqrt(h)))
+        out = pd.DataFrame(_lead(pdf[columns].to_numpy(), radius_km), columns=columns)
+        out.insert(0, "group", pdf["group"].iloc[0])
+        return out
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _lead(pdf[columns].to_numpy(), radius_km)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "place": np.arange(len(out)), "lat": out[:, 0].round(4), "lon": out[:, 1].round(4), "members": out[:, 2].astype(int)})
+
+    blocks = spots.withColumn("x", F.floor(F.col("lon") / size)).withColumn("y", F.floor(F.col("lat") / size))
+    leaders = blocks.groupBy("group", "x", "y").applyInPandas(lead, schema)
+    return leaders.groupBy("group").applyInPandas(merge, "group string, place int, lat double, lon double, members int")
+
+
+def place_albums(points: DataFrame, centres: DataFrame, radius_km: float, least: int = 5, limit: int = 30) -> DataFrame:
+    """(place, lat, lon, n, name, smart_id): the biggest centres by the points within the radius, named by ``label``.
+
+    ``centres(place, lat, lon, label)``. A point may count at several centres. A
+    label's second use gets a roman numeral, and so on; without one the position is the name.
+    """
+    counted = within(points, centres.withColumnRenamed("place", "centre"), radius_km).groupBy(F.col("centre").alias("place"), "lat", "lon", "label").agg(F.count("*").alias("n"))
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "place").limit(limit)
+    name = F.coalesce("label", F.format_string("%.3f, %.3f", "lat", "lon"))
+    use = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "place"))
+    named = top.withColumn("name", name).withColumn("__use", use)
+    shown = F.when(F.col("__use") == 1, F.col("name")).otherwise(F.concat("name", F.lit(" "), roman(F.col("__use"))))
+    return named.select("place", "lat", "lon", "n", shown.alias("name"), F.format_string("place:%.4f,%.4f", "lat", "lon").alias("smart_id"))
+
+
+#: Fixed values.
+ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+
+
+def roman(n: Column) -> Column:
+    """A small number in roman numerals, a larger one in digits."""
+    return F.coalesce(F.get(F.array(*map(F.lit, ROMAN)), n - 1), n.cast("string"))
+
+
+def distance_km(lat1, lon1, lat2, lon2):
+    """:func:`haversine_km` of numbers or arrays."""
+    p, q = np.radians(lat1), np.radians(lat2)
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(np.subtract(lon2, lon1)) / 2) ** 2
+    return 2 * RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
 def grid_cells(points: DataFrame, zoom: int, cell: int = 58) -> DataFrame:
@@ -90,6 +181,15 @@ def grid_cells(points: DataFrame, zoom: int, cell: int = 58) -> DataFrame:
     return placed.groupBy("cell_x", "cell_y").agg(F.count("*").alias("n"), F.max(F.struct("taken_at", (-F.col("id")).alias("o"), "id"))["id"].alias("front"))
 
 
+def splittable(points: DataFrame, by: list[str], cell: int = 58, zoom: int = 18) -> DataFrame:
+    """(by, splittable): whether a group's points are a cell apart at the largest zoom, so that zooming in parts them."""
+    size = float(256 << zoom)
+    x = (F.col("gps_lon") + 180.0) / 360.0 * size
+    y = (F.lit(1.0) - F.log(F.tan(F.radians("gps_lat")) + F.lit(1.0) / F.cos(F.radians("gps_lat"))) / math.pi) / 2.0 * size
+    spread = lambda c: F.max(c) - F.min(c)
+    return points.where("gps_lat is not null and gps_lon is not null").groupBy(*by).agg((F.greatest(spread(x), spread(y)) >= cell).alias("splittable"))
+
+
 def place_rows(gazetteer: DataFrame, key: Column, prefixes: int = 20) -> DataFrame:
     """Gazetteer rows whose ``key`` is the name, or begins with it as a whole word if it has four letters or more."""
     exact = gazetteer.where(F.col("key") == key)
