@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import LibraryFilter, edited, predicates
+from .filters import LibraryFilter, predicates
 
 #: Half-open focal length ranges and their names.
-FOCAL_RANGES = ((0, 16, "<16"), (16, 24, "16-24"), (24, 35, "24-35"), (35, 50, "35-50"), (50, 85, "50-85"), (85, 135, "85-135"), (135, 200, "135-200"), (200, None, "200+"))
+FOCAL_RANGES = (
+    (0, 16, "Ultra wide (<16mm)"),
+    (16, 24, "Wide (16-23mm)"),
+    (24, 36, "Semi wide (24-35mm)"),
+    (36, 51, "Normal (36-50mm)"),
+    (51, 86, "Short tele (51-85mm)"),
+    (86, 136, "Tele (86-135mm)"),
+    (136, 301, "Long tele (136-300mm)"),
+    (301, 100000, "Super tele (>300mm)"),
+)
+
+
+#: Covers of a collection.
+COVERS = 4
 
 
 def facets(images: DataFrame, f: LibraryFilter) -> DataFrame:
@@ -35,11 +48,11 @@ def facets(images: DataFrame, f: LibraryFilter) -> DataFrame:
 
 
 def totals(images: DataFrame) -> DataFrame:
-    """One row of library totals; pairs are counted by halves."""
+    """One row of library totals; pairs are counted by halves, edits by revision (copies with a baked-in look don't count)."""
     return images.agg(
         F.count("*").alias("photos"), F.coalesce(F.sum("file_size"), F.lit(0)).cast("long").alias("bytes"),
         F.count_if(F.col("file_type") == "raw").alias("raws"), F.count_if(F.col("file_type") == "jpeg").alias("jpegs"),
-        F.floor(F.count_if(F.col("paired_image_id").isNotNull()) / 2).cast("long").alias("pairs"), F.count_if(edited(images.columns)).alias("edited"),
+        F.floor(F.count_if(F.col("paired_image_id").isNotNull()) / 2).cast("long").alias("pairs"), F.count_if(F.col("edit_rev") > 0).alias("edited"),
         F.count_if(F.col("gps_lat").isNotNull()).alias("located"), F.count_if(F.col("rating") > 0).alias("rated"),
         F.countDistinct(F.nullif("camera_model", F.lit(""))).alias("cameras"), F.countDistinct(F.nullif("lens_model", F.lit(""))).alias("lenses"),
         F.min("taken_at").alias("first_taken"), F.max("taken_at").alias("last_taken"),
@@ -55,8 +68,7 @@ def focal_histogram(images: DataFrame) -> DataFrame:
     """(position, name, n) of the focal ranges that have rows."""
     bucket = F.lit(None).cast("int")
     for i, (low, high, _) in enumerate(FOCAL_RANGES):
-        fits = (F.col("focal_length") >= low) & (F.col("focal_length") < high) if high else F.col("focal_length") >= low
-        bucket = F.when(fits, i).otherwise(bucket)
+        bucket = F.when((F.col("focal_length") >= low) & (F.col("focal_length") < high), i).otherwise(bucket)
     name = F.element_at(F.array(*[F.lit(n) for *_, n in FOCAL_RANGES]), F.col("position") + 1)
     return images.select(bucket.alias("position")).where("position is not null").groupBy("position").agg(F.count("*").alias("n")).withColumn("name", name)
 
@@ -79,7 +91,7 @@ def unused_tags(tags: DataFrame, links: DataFrame) -> DataFrame:
     return tags.join(links, "name", "left_anti")
 
 
-def covers(images: DataFrame, group: list[str], k: int = 4) -> DataFrame:
+def covers(images: DataFrame, group: list[str], k: int = COVERS) -> DataFrame:
     """(group, covers): the k newest ids of a group, JPEGs if it has any, undated last.
 
     A ranked filter right above the window keeps k rows of a group per task before
@@ -104,6 +116,26 @@ def signature(images: DataFrame, vectors: DataFrame, version: int = 1) -> DataFr
     return images.agg(F.count("*").alias("n_live"), F.max("imported_at").alias("newest")).crossJoin(vectors.agg(F.count("*").alias("n_vectors"))).withColumn("version", F.lit(version))
 
 
+def example_count(images: DataFrame) -> DataFrame:
+    """(n): visible rows that a suggestion can learn from."""
+    return images.agg(F.count_if(F.col("edit_adjustments").isNotNull() | F.col("applied_adjustments").isNotNull()).alias("n"))
+
+
+def shares(counts: DataFrame, n: str = "n") -> DataFrame:
+    """``counts`` with percent of the total, halves up, and bar, the share of the largest; both 0 of nothing."""
+    whole = counts.agg(F.sum(n).alias("__sum"), F.max(n).alias("__max"))
+    part = lambda c: F.coalesce(F.col(n) / F.nullif(c, F.lit(0)), F.lit(0.0))
+    return counts.crossJoin(F.broadcast(whole)).withColumns({"percent": F.floor(part("__sum") * 100 + 0.5).cast("int"), "bar": part("__max")}).drop("__sum", "__max")
+
+
+def source_list(sources: DataFrame, images: DataFrame, scanning: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(id, name, path, n, scanning, available) of the source roots; n counts deleted rows too."""
+    counted = images.where("source_root_id is not null").groupBy(F.col("source_root_id").alias("id")).agg(F.count("*").alias("n"))
+    flag = lambda df, c: df.select("id").distinct().withColumn(c, F.lit(True))
+    joined = sources.join(counted, "id", "left").join(flag(scanning, "scanning"), "id", "left").join(flag(reachable, "available"), "id", "left")
+    return joined.select("id", "name", "path", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("scanning", "available")])
+
+
 def shared_value(column: str, default) -> Column:
     """The value that all rows of a group share, else the default."""
     return F.when((F.min(column) == F.max(column)) & (F.count(column) == F.count("*")), F.min(column)).otherwise(F.lit(default))

@@ -7,7 +7,17 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import develop
+from . import entity
+from .filters import has_edit
+
 CONFIRMATION = "DELETE"
+#: The tag that edited rows carry, and geometry without an edit.
+EDIT_TAG = "edit"
+NO_GEOMETRY = {
+    "edit_rotation": 0, "edit_crop_x": None, "edit_crop_y": None, "edit_crop_width": None, "edit_crop_height": None, "edit_flip_h": False, "edit_flip_v": False, "edit_straighten": 0.0, "edit_persp_h": 0, "edit_persp_v": 0, "edit_distortion": 0,
+}
+CROP = ("edit_crop_x", "edit_crop_y", "edit_crop_width", "edit_crop_height")
 
 
 def _ids(images: DataFrame, ids: list[int]) -> Column:
@@ -77,25 +87,99 @@ def remove_tag(links: DataFrame, name: str, ids: DataFrame | None = None) -> Dat
     return links.join(gone, ["image_id", "name"], "left_anti").select(*links.columns)
 
 
-def reset(images: DataFrame, ids: DataFrame, rating: bool = False, color: bool = False, develop: bool = False) -> DataFrame:
-    """Chosen fields back to their defaults."""
+def reset(images: DataFrame, ids: DataFrame, rating: bool = False, color: bool = False, develop: bool = False, geometry: bool = False) -> DataFrame:
+    """Chosen fields back to their defaults; a row whose edits were reset has the revision of what is left."""
     values = {}
     if rating:
         values["rating"] = F.lit(0)
     if color:
         values["color_label"] = F.lit("none")
     if develop:
-        values |= {"edit_adjustments": F.lit(None).cast("string"), "edit_rev": F.lit(0)}
-    return update(images, ids, {k: v for k, v in values.items() if k in images.columns})
+        values["edit_adjustments"] = F.lit(None).cast("string")
+    if geometry:
+        kinds = dict(images.dtypes)
+        values |= {c: F.lit(v).cast(kinds[c]) for c, v in NO_GEOMETRY.items() if c in kinds}
+    out = update(images, ids, {k: v for k, v in values.items() if k in images.columns})
+    return sync_edit_state(out, ids) if develop or geometry else out
+
 
+def reset_links(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tags or album rows without those of the images."""
+    return links.join(ids.select(F.col("id").alias("image_id")), "image_id", "left_anti").select(*links.columns)
 
-def sync_edit_state(images: DataFrame, has_edit: Column) -> DataFrame:
-    """The revision counts up with every saved edit and is 0 without one."""
-    return images.withColumn("edit_rev", F.when(has_edit, F.col("edit_rev") + 1).otherwise(0))
+
+def sync_edit_state(images: DataFrame, ids: DataFrame) -> DataFrame:
+    """The revision of these rows counts up if they carry an edit and is 0 if not."""
+    marked = _where_in(images, ids)
+    rev = F.when(F.col("__hit") & has_edit(), F.coalesce("edit_rev", F.lit(0)) + 1).when(F.col("__hit"), 0).otherwise(F.col("edit_rev"))
+    return marked.select(*[rev.alias(c) if c == "edit_rev" else F.col(c) for c in images.columns])
+
+
+def sync_edit_tag(links: DataFrame, images: DataFrame, ids: DataFrame) -> DataFrame:
+    """Tag links after :func:`sync_edit_state`: these rows carry the edit tag if they carry an edit."""
+    own = images.join(ids.select("id").distinct(), "id", "left_semi")
+    return add_tags(remove_tag(links, EDIT_TAG, own.where(~has_edit()).select("id")), own.where(has_edit()).select("id"), [EDIT_TAG])
+
+
+def crop_fits(x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Whether a crop box lies within the image and is not empty."""
+    return x.between(0, 1) & (x < 1) & y.between(0, 1) & (y < 1) & (width > 0) & (width <= 1 - x) & (height > 0) & (height <= 1 - y)
+
+
+def rotate(images: DataFrame, ids: DataFrame, degrees: int) -> DataFrame:
+    """A turn by a multiple of 90 degrees; the crop no longer fits and goes, the revision counts up."""
+    if degrees % 90:
+        raise ValueError("degrees must be a multiple of 90")
+    values = {"edit_rotation": F.pmod(F.coalesce("edit_rotation", F.lit(0)) + degrees, F.lit(360)), "edit_rev": F.coalesce("edit_rev", F.lit(0)) + 1}
+    return update(images, ids, values | {c: F.lit(None).cast("double") for c in CROP})
+
+
+def save_edits(images: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rows with the geometry and the document of ``edits(id, rotation, crop_x, .., straighten, .., adjustments)``.
+
+    Rotations are multiples of 90 and crops lie within the image, else it is an
+    error; straightening is held within 45, perspective and distortion within
+    100; documents are normalised and a neutral one is null.
+    """
+    crops = [F.col(f"crop_{c}") for c in ("x", "y", "width", "height")]
+    if not edits.where((F.col("rotation") % 90 != 0) | (crops[0].isNotNull() & ~F.coalesce(crop_fits(*crops), F.lit(False)))).isEmpty():
+        raise ValueError("a rotation isn't a multiple of 90, or a crop leaves the image")
+    within = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.col(c), F.lit(0 * most))))
+    new = edits.select(
+        F.col("id").alias("__id"), F.pmod("rotation", F.lit(360)).alias("n_rotation"), *[c.alias(f"n_crop_{k}") for c, k in zip(crops, ("x", "y", "width", "height"), strict=True)], *[F.coalesce(c, F.lit(False)).alias(f"n_{c}") for c in ("flip_h", "flip_v")],
+        within("straighten", 45.0).alias("n_straighten"), *[within(c, 100).alias(f"n_{c}") for c in ("persp_h", "persp_v", "distortion")], develop.dumped(develop.normalised(F.col("adjustments"))).alias("n_adjustments"),
+    )
+    both = images.join(new, F.col("id") == F.col("__id"), "left")
+    kinds, fields = dict(images.dtypes), {f"edit_{c.removeprefix('n_')}": c for c in new.columns if c != "__id"}
+    saved = both.select(*[F.when(F.col("__id").isNotNull(), F.col(fields[c]).cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in images.columns])
+    return sync_edit_state(saved, edits)
+
+
+def apply_develop(images: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with the normalised ``documents(id, adjustments)``; geometry stays, the revision follows."""
+    new = documents.select(F.col("id").alias("__id"), develop.dumped(develop.normalised(F.col("adjustments"))).alias("__doc"))
+    both = images.join(new, F.col("id") == F.col("__id"), "left")
+    saved = both.select(*[F.when(F.col("__id").isNotNull(), F.col("__doc")).otherwise(F.col(c)).alias(c) if c == "edit_adjustments" else F.col(c) for c in images.columns])
+    return sync_edit_state(saved, documents)
+
+
+def merge_suggestions(images: DataFrame, suggestions: DataFrame, groups: list[str]) -> DataFrame:
+    """(id, adjustments): each row's own document with the enabled groups of its suggestion laid over it; ``suggestions(id, adj)`` are normalised."""
+    if not groups:
+        raise ValueError("no group is enabled")
+    own = images.select("id", F.to_json(develop.normalised(F.col("edit_adjustments"))).alias("__own"))
+    maps = lambda c: F.from_json(c, "map<string,string>")
+    laid = own.join(suggestions.select("id", F.to_json("adj").alias("__new")), "id").select("id", develop.merged(maps("__own"), develop.only_groups(F.col("__new"), groups)).alias("m"))
+    # values that are objects or lists come back as JSON text, which a plain map would quote
+    quoted = F.transform(F.map_entries("m"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["key"].isin(*develop.ENUMS), F.concat(F.lit('"'), e["value"], F.lit('"'))).otherwise(e["value"])))
+    return laid.select("id", F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")).alias("adjustments"))
 
 
 def append_to_album(links: DataFrame, album: int, ids: list[int]) -> DataFrame:
-    """Ids that aren't in the album yet, at the positions after its last, in the order given."""
+    """Ids that aren't in the album yet, at the positions after its last, in the order given.
+
+    The list is a user's selection; it is numbered on the driver, so no window runs over it.
+    """
     spark = links.sparkSession
     wanted = spark.createDataFrame([(int(i), n) for n, i in enumerate(dict.fromkeys(ids))], "image_id long, __n int")
     mine = links.where(F.col("album_id") == album)
@@ -105,6 +189,79 @@ def append_to_album(links: DataFrame, album: int, ids: list[int]) -> DataFrame:
     return links.unionByName(placed.select(F.lit(album).cast(dict(links.dtypes)["album_id"]).alias("album_id"), "image_id", F.col("position").cast(dict(links.dtypes)["position"]).alias("position")))
 
 
+def remove_from_album(links: DataFrame, images: DataFrame, album: int, ids: DataFrame, mirrored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links, queue): the album without these rows, and the remote removals that mirror it."""
+    gone = ids.select(F.col("id").alias("image_id")).distinct().withColumn("album_id", F.lit(album).cast(dict(links.dtypes)["album_id"]))
+    queue = images.where(F.lit(mirrored) & F.col("remote_id").isNotNull()).join(ids, "id", "left_semi").select("id", "remote_id")
+    return links.join(gone, ["album_id", "image_id"], "left_anti").select(*links.columns), queue
+
+
+def set_flag(rows: DataFrame, ids: DataFrame, enabled: bool, column: str = "remote_sync") -> DataFrame:
+    """The sync flag of images or albums."""
+    return update(rows, ids, {column: F.lit(enabled)})
+
+
+def delete_from_trash(images: DataFrame, links: dict[str, DataFrame], ids: DataFrame | None = None, mounted: bool = True) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """:func:`hard_delete` of trashed rows, of all if no ids are given.
+
+    Rows of source roots stay as markers; an id that isn't in the trash is an
+    error, and so is a library that can't be reached.
+    """
+    if not mounted:
+        raise ValueError("the library can't be reached")
+    gone = images.where("deleted_at is not null and source_root_id is null")
+    if ids is not None:
+        if not images.where("deleted_at is null").join(ids, "id", "left_semi").isEmpty():
+            raise ValueError("only rows in the trash can be deleted")
+        gone = gone.join(ids.select("id"), "id", "left_semi")
+    return hard_delete(images, links, gone)
+
+
+def add_source(sources: DataFrame, source_id: str, owner: int, path: str, name: str = "") -> DataFrame:
+    """``sources`` with a root; a blank path and one that is registered are errors; without a name the path is the name."""
+    path = path.strip()
+    if not path or not sources.where((F.col("owner_id") == owner) & (F.col("path") == path)).isEmpty():
+        raise ValueError("the folder is blank or registered already")
+    kinds = dict(sources.dtypes)
+    row = {"id": source_id, "owner_id": owner, "path": path, "name": name.strip() or path}
+    return sources.unionByName(sources.sparkSession.range(1).select(*[F.lit(row.get(c)).cast(kinds[c]).alias(c) for c in sources.columns]))
+
+
+def remove_source(sources: DataFrame, images: DataFrame, staged: DataFrame, links: dict[str, DataFrame], source_id: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(sources, images, staged, links) without a root: its rows go, references to them become null, files stay."""
+    gone = images.where(F.col("source_root_id") == source_id).select("id")
+    left, children, _ = hard_delete(images.withColumn("remote_id", F.lit(None).cast("string")) if "remote_id" not in images.columns else images, links, gone)
+    marked = staged.join(gone.distinct().withColumn("__gone", F.lit(True)).withColumnRenamed("id", "duplicate_of_image_id"), "duplicate_of_image_id", "left")
+    cleared = marked.select(*[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) if c == "duplicate_of_image_id" else F.col(c) for c in staged.columns])
+    return sources.where(F.col("id") != source_id), left.select(*images.columns), cleared, children
+
+
+def sync_with_library(images: DataFrame, links: dict[str, DataFrame], files: DataFrame, derived: DataFrame, root: str, mounted: bool = True) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(images, links, report) after the files of the library: ``files(path, size, content)``, ``derived(id)`` of cached renders.
+
+    A managed row whose file is gone follows an untracked file of the same
+    content, else it is deleted with its links; rows of source roots are left
+    alone. The report counts rows removed, followed, files untracked, renders of
+    no row and rows without renders. An absent library is an error, since every
+    file would be missing.
+    """
+    if not mounted:
+        raise ValueError("the library can't be reached")
+    managed = images.where("source_root_id is null").withColumn("__path", F.concat_ws("/", F.lit(root), "file_path"))
+    missing = managed.join(files.select(F.col("path").alias("__path")), "__path", "left_anti").select("id", F.col("file_size").alias("size"), F.col("file_hash").alias("sha"))
+    free = files.join(managed.select(F.col("__path").alias("path")), "path", "left_anti")
+    moved = entity.follow_renames(missing, free)
+    lost = missing.join(moved, "id", "left_anti").select("id")
+    left, children, _ = hard_delete(images, links, lost)
+    new = moved.select(F.col("id").alias("__id"), F.expr(f"substring(path, {len(root.rstrip('/')) + 2})").alias("__new"))
+    both = left.join(new, F.col("id") == F.col("__id"), "left")
+    now = both.select(*[F.coalesce("__new", "file_path").alias(c) if c == "file_path" else F.col(c) for c in images.columns])
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    report = count(lost, "removed_missing_files").crossJoin(count(moved, "renamed_files_followed")).crossJoin(count(free.join(moved, "path", "left_anti"), "untracked_files_found"))
+    report = report.crossJoin(count(derived.join(now, "id", "left_anti"), "orphan_renders_removed")).crossJoin(count(now.join(derived, "id", "left_anti"), "renders_queued"))
+    return now, children, report
+
+
 def rename(images: DataFrame, row_id: int, name: str) -> DataFrame:
     """A row and its partner take a new stem and keep their extensions; a taken name is refused."""
     stem = F.lit(name)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import aggregates
 from .filters import edited
+from .geo import ROMAN
 
 MONTH_LEAST, DAY_LEAST, DAY_FACTOR, DAYS, SPLIT_LEAST, SPLITS = 5, 10, 3.0, 30, 3, 60
 SIMILAR, CLUSTER_LEAST, NAME_LEAST, CLUSTERS = 0.76, 5, 0.17, 40
@@ -44,19 +43,30 @@ def country_years(images: DataFrame, least: int = SPLIT_LEAST, limit: int = SPLI
 
 
 def tag_albums(images: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, n) of tags in use, the commonest first, then by name whatever its case."""
     joined = links.join(images.select("id"), links["image_id"] == images["id"])
-    return joined.groupBy("name").agg(F.count("*").alias("n"))
+    return joined.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.lower("name"), "name")
 
 
-def edited_album(images: DataFrame) -> DataFrame:
-    """One row with the number of edited images, none if there are none."""
-    return images.agg(F.count_if(edited(images.columns)).alias("n")).where("n > 0")
+def edited_album(images: DataFrame, k: int = aggregates.COVERS) -> DataFrame:
+    """One row (n, covers) of the edited images, none if there are none; covers are JPEGs if any is one, the newest first."""
+    rows = images.where(edited(images.columns))
+    jpeg = F.col("file_type") == "jpeg"
+    top = rows.orderBy(jpeg.desc(), F.col("taken_at").desc_nulls_last(), "id").limit(k).select("id", "taken_at", jpeg.alias("jpeg"))
+    ranked = F.array_sort(F.collect_list(F.struct((~F.col("jpeg")).alias("other"), F.col("taken_at").isNull().alias("undated"), (-F.unix_micros(F.col("taken_at").cast("timestamp"))).alias("at"), "id")))
+    kept = F.transform(F.filter("ranked", lambda x: x["other"] == F.col("ranked")[0]["other"]), lambda x: x["id"])
+    return rows.agg(F.count("*").alias("n")).where("n > 0").crossJoin(F.broadcast(top.agg(ranked.alias("ranked")))).select("n", kept.alias("covers"))
 
 
-def time_albums(images: DataFrame) -> DataFrame:
-    """Years with counts and covers."""
-    dated = images.where("taken_at is not null").withColumn("year", F.year("taken_at"))
-    return years(images).join(aggregates.covers(dated, ["year"]), "year")
+def time_albums(images: DataFrame, factor: float = DAY_FACTOR) -> DataFrame:
+    """(kind, key, name, n, covers) of years, of months with enough images and of big days."""
+    dated = images.where("taken_at is not null").withColumn("year", F.year("taken_at")).withColumn("key", F.date_format("taken_at", "yyyy-MM")).withColumn("day", F.to_date("taken_at"))
+    text = lambda c: F.col(c).cast("string")
+    y = years(images).join(aggregates.covers(dated, ["year"]), "year").select(F.lit("year").alias("kind"), text("year").alias("key"), text("year").alias("name"), "n", "covers")
+    m = months(images).join(aggregates.covers(dated, ["key"]), "key").select(F.lit("month").alias("kind"), "key", "name", "n", "covers")
+    days = big_days(images, factor)
+    d = days.join(aggregates.covers(dated.join(F.broadcast(days.select("day")), "day", "left_semi"), ["day"]), "day").select(F.lit("day").alias("kind"), text("day").alias("key"), F.date_format("day", "d MMMM yyyy").alias("name"), "n", "covers")
+    return y.unionByName(m).unionByName(d)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -112,10 +122,6 @@ def round_robin(clusters: DataFrame, limit: int = CLUSTERS) -> DataFrame:
     return clusters.withColumn("rank", F.row_number().over(w)).withColumn("__seen", seen).orderBy("rank", "__seen").limit(limit).drop("__seen")
 
 
-#: Fixed values.
-ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
-
-
 def roman(n: int) -> str:
     return ROMAN[n - 1] if 1 <= n <= len(ROMAN) else str(n)
 
@@ -123,22 +129,87 @@ def roman(n: int) -> str:
 def sibling_names(named: DataFrame) -> DataFrame:
     """``named(cluster, base, qualifiers array<string>, country, year)``: clusters of one base name told apart.
 
-    In order of cluster, each takes the first unused of: its qualifiers, its
-    country, its year, a roman numeral. A base used once stays as it is.
+    In order of cluster, first each takes the first of its qualifiers that none
+    before took; then each without one its country, or else its year, if free;
+    what is left is numbered: the first is the base itself, the next has II. A
+    base used once stays as it is.
     """
 
     def tell_apart(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        base = pdf["base"].iloc[0]
-        if len(pdf) == 1:
-            return pd.DataFrame({"cluster": pdf["cluster"], "name": [base]})
-        used, names = set(), []
-        for n, row in enumerate(pdf.itertuples(), start=1):
-            tries: Iterator[str] = (str(x) for x in [*row.qualifiers, row.country, None if pd.isna(row.year) else int(row.year)] if x is not None and x == x)
-            name = next((f"{base} · {t}" for t in tries if f"{base} · {t}" not in used), None) or f"{base} {roman(n)}"
-            used.add(name)
-            names.append(name)
+        base, used, names, left = pdf["base"].iloc[0], set(), [None] * len(pdf), 0
+        rows = list(pdf.itertuples()) if len(pdf) > 1 else []
+        tries = [[str(x) for x in row.qualifiers if x is not None] for row in rows], [[str(x) for x in (row.country, None if pd.isna(row.year) else int(row.year)) if x is not None and x == x and x != ""] for row in rows]
+        for offered in tries:
+            for k, own in enumerate(offered):
+                title = None if names[k] else next((t for t in own if t not in used), None)
+                if title:
+                    used.add(title)
+                    names[k] = f"{base} · {title}"
+        for k, name in enumerate(names):
+            if name is None:
+                left += 1
+                names[k] = base if left == 1 else f"{base} {roman(left)}"
         return pd.DataFrame({"cluster": pdf["cluster"], "name": names})
 
     kind = dict(named.dtypes)["cluster"]
     return named.groupBy("base").applyInPandas(tell_apart, f"cluster {kind}, name string")
+
+
+def majority(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
+    """(by, value): the commonest value that isn't null, of equals the one seen first; null if there is none."""
+    tally = rows.groupBy(*by, value).agg(F.count(value).alias("__n"), F.min(seq).alias("__s"))
+    best = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("__n", (-F.col("__s")).alias("s"))))
+    return tally.groupBy(*by).agg(best.alias(value))
+
+
+def cluster_covers(members: DataFrame, images: DataFrame, k: int = aggregates.COVERS) -> DataFrame:
+    """(cluster, covers): the newest JPEGs of a cluster, undated last; without any, its cover and then its members in order.
+
+    ``members(cluster, id, cover, pos)``. Deleted rows count, as a cluster keeps them until it is built anew.
+    """
+    rows = members.join(images.select("id", "file_type", "taken_at"), "id", "left")
+    jpeg = F.coalesce(F.col("file_type") == "jpeg", F.lit(False))
+    first = F.when(~jpeg & (F.col("id") != F.col("cover")), F.col("pos") + 1).when(~jpeg, F.lit(0))
+    w = Window.partitionBy("cluster").orderBy(jpeg.desc(), first, F.col("taken_at").desc_nulls_last(), "id")
+    top = rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k)
+    ranked = F.array_sort(F.collect_list(F.struct("__rank", "id", jpeg.alias("jpeg"))))
+    kept = F.filter("ranked", lambda x: x["jpeg"] == F.col("ranked")[0]["jpeg"])
+    return top.groupBy("cluster").agg(ranked.alias("ranked")).select("cluster", F.transform(kept, lambda x: x["id"]).alias("covers"))
+
+
+def album_covers(albums: DataFrame, rules: DataFrame, album_images: DataFrame, links: DataFrame, images: DataFrame, k: int = aggregates.COVERS) -> DataFrame:
+    """(album_id, covers): visible rows added by hand in their order, then rows of the rule, the newest first; JPEGs if there is any.
+
+    ``albums(album_id)``, ``rules(album_id, name)``. Rows of a rule are cut to
+    the newest of each distinct rule before albums meet them: as many as could
+    be needed however many of them an album holds by hand already.
+    """
+    shown = images.select(F.col("id").alias("image_id"), "taken_at", (F.col("file_type") == "jpeg").alias("jpeg"))
+    newest = [F.col("taken_at").desc_nulls_last(), F.col("image_id")]
+    manual = album_images.groupBy("album_id", "image_id").agg(F.min("position").alias("position")).join(shown, "image_id")
+    w = Window.partitionBy("album_id", "jpeg").orderBy("position", "image_id")
+    manual = manual.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).select("album_id", "image_id", "jpeg", F.lit(0).alias("__stage"), F.col("position").cast("long").alias("__a"), "taken_at")
+    sets = rules.groupBy("album_id").agg(F.array_sort(F.collect_set("name")).alias("rule"))
+    tagged = links.select("image_id", "name").join(sets.select("rule").distinct().withColumn("name", F.explode("rule")), "name").select("rule", "image_id").distinct().join(shown, "image_id")
+    by_rule = Window.partitionBy("rule", "jpeg").orderBy(*newest)
+    top = tagged.withColumn("__n", F.row_number().over(by_rule)).where(F.col("__n") <= 2 * k)
+    more = sets.join(top, "rule").select("album_id", "image_id", "jpeg", F.lit(1).alias("__stage"), F.lit(0).cast("long").alias("__a"), "taken_at")
+    # a row that comes by hand and by rule counts where it was put by hand
+    both = manual.unionByName(more)
+    one = both.groupBy("album_id", "image_id", "jpeg", "taken_at").agg(F.min(F.struct("__stage", "__a")).alias("__place")).join(albums.select("album_id"), "album_id", "left_semi")
+    ranked = one.withColumn("__rank", F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("jpeg"), "__place", *newest))).where(F.col("__rank") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("__rank", "image_id", "jpeg")))
+    kept = F.filter("listed", lambda x: x["jpeg"] == F.col("listed")[0]["jpeg"])
+    return ranked.groupBy("album_id").agg(listed.alias("listed")).select("album_id", F.transform(kept, lambda x: x["image_id"]).alias("covers"))
+
+
+def clusterable(images: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, vector, year, country) of what clusters are built from: visible rows with a vector, without the raw halves of pairs."""
+    shown = images.where("not (file_type = 'raw' and paired_image_id is not null)").select("id", F.year("taken_at").alias("year"), F.col("gps_country").alias("country"))
+    return vectors.select("id", "vector").join(shown, "id")
+
+
+def group_totals(clusters: DataFrame) -> DataFrame:
+    """(group, clusters, n): members of all clusters that share a group, a cluster without one by its name."""
+    return clusters.groupBy(F.coalesce(F.nullif("group", F.lit("")), "name").alias("group")).agg(F.count("*").alias("clusters"), F.sum("size").alias("n"))

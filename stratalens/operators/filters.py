@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import develop
+from . import geo, order
+
 #: Fixed value: stands for "has no location" in the country filter.
 NO_COUNTRY = "__none__"
 FOCAL_TOLERANCE = 0.05
@@ -91,6 +94,36 @@ def album_members(album_images: DataFrame, links: DataFrame, album: int, rule: t
     return manual.union(links.where(F.col("name").isin(*rule)).select("image_id")).distinct() if rule else manual.distinct()
 
 
+def album_sizes(rules: DataFrame, album_images: DataFrame, links: DataFrame, images: DataFrame) -> DataFrame:
+    """(album_id, n): visible images of each album that has any, added by hand or carrying a tag of its rule.
+
+    ``rules(album_id, name)``. Images are counted once per distinct rule, however
+    many albums share it, and rows added by hand count if they carry none of
+    their album's tags, so albums and images are never listed in pairs.
+    """
+    shown = images.select(F.col("id").alias("image_id"))
+    tagged = links.select("image_id", "name").join(shown, "image_id", "left_semi")
+    sets = rules.groupBy("album_id").agg(F.array_sort(F.collect_set("name")).alias("rule"))
+    by_name = sets.select("rule").distinct().withColumn("name", F.explode("rule"))
+    counted = tagged.join(by_name, "name").select("rule", "image_id").distinct().groupBy("rule").agg(F.count("*").alias("n"))
+    manual = album_images.select("album_id", "image_id").distinct().join(shown, "image_id", "left_semi").join(sets, "album_id", "left")
+    own = tagged.groupBy("image_id").agg(F.collect_set("name").alias("names"))
+    more = manual.join(own, "image_id", "left").where(F.coalesce(~F.arrays_overlap("names", "rule"), F.lit(True)))
+    both = sets.join(counted, "rule").select("album_id", "n").unionByName(more.groupBy("album_id").agg(F.count("*").alias("n")))
+    return both.groupBy("album_id").agg(F.sum("n").alias("n"))
+
+
+def clean_rule(names: Column) -> Column:
+    """A tag rule's names: trimmed, blanks dropped, the first of equal ones kept, in order."""
+    return F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+def parsed_rule(text: Column) -> Column:
+    """A stored tag rule, a JSON list of texts; nothing or anything else is the empty rule."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.filter(F.from_json(text, "array<string>"), lambda x: x.isNotNull()), none)
+
+
 def apply(images: DataFrame, f: LibraryFilter, links: DataFrame | None = None, album_images: DataFrame | None = None, rule: tuple[str, ...] = ()) -> DataFrame:
     """The visible rows that pass the filter. For a search scope, leave ``rule`` empty: only rows added by hand count there."""
     out = reduce(DataFrame.where, predicates(f).values(), images)
@@ -108,6 +141,52 @@ def edited(columns: Iterable[str] = ()) -> Column:
     return in_place | F.col("applied_adjustments").isNotNull() if "applied_adjustments" in columns else in_place
 
 
+def has_edit() -> Column:
+    """Any edit that can be undone: geometry or a develop document."""
+    off = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) != 0
+    out = (F.coalesce(F.col("edit_rotation"), F.lit(0)) % 360 != 0) | F.col("edit_crop_width").isNotNull() | F.col("edit_adjustments").isNotNull()
+    for c in ("edit_flip_h", "edit_flip_v", "edit_straighten", "edit_persp_h", "edit_persp_v", "edit_distortion"):
+        out = out | off(c)
+    return out
+
+
+def untouched() -> Column:
+    """Rendering changes nothing: no geometry and a neutral develop document. A full turn counts as geometry here."""
+    none = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0
+    out = none("edit_rotation") & F.col("edit_crop_x").isNull() & develop.is_neutral(develop.normalised(F.col("edit_adjustments")))
+    for c in ("edit_distortion", "edit_flip_h", "edit_flip_v", "edit_straighten", "edit_persp_h", "edit_persp_v"):
+        out = out & none(c)
+    return out
+
+
+def mergeable(images: DataFrame) -> DataFrame:
+    """What a merge takes from a library: managed rows out of the trash, by capture time."""
+    return images.where("source_root_id is null and deleted_at is null").orderBy(F.asc_nulls_first("taken_at"), "id")
+
+
+def trash_list(images: DataFrame, owner: int) -> DataFrame:
+    """The owner's trash, last deleted first; rows of source roots are markers and not shown."""
+    return images.where((F.col("owner_id") == owner) & F.col("deleted_at").isNotNull() & F.col("source_root_id").isNull()).orderBy(F.desc("deleted_at"), "id")
+
+
+def owned(rows: DataFrame, row_id: int, owner: int) -> DataFrame:
+    """The owner's row of that id; no such row is an error."""
+    found = rows.where((F.col("id") == row_id) & (F.col("owner_id") == owner))
+    if found.isEmpty():
+        raise LookupError(f"no row {row_id}")
+    return found
+
+
+def review(staged: DataFrame, view_mode: str = "combined", rating_min: int | None = None, color: str | None = None, hide_duplicates: bool = True) -> DataFrame:
+    """Staged files to look through: blocked duplicates are hidden, those that restore from the trash are not.
+
+    ``staged(duplicate_of_image_id, duplicate_of_staged_file_id, in_trash, file_type, rating, color_label)``.
+    """
+    duplicate = F.col("duplicate_of_image_id").isNotNull() | F.col("duplicate_of_staged_file_id").isNotNull()
+    out = staged.where(~duplicate | F.coalesce("in_trash", F.lit(False))) if hide_duplicates else staged
+    return reduce(DataFrame.where, predicates(LibraryFilter(view_mode=view_mode, rating_min=rating_min, color=color)).values(), out)
+
+
 def expired(days: int, now: dt.datetime) -> Column:
     """Trash that may be purged; no days, no purge. Rows of source roots are markers and stay."""
     if days <= 0:
@@ -148,6 +227,33 @@ def smart_predicate(smart_id: str, columns: Iterable[str] = ()) -> Column:
     raise ValueError(f"unknown collection {smart_id}")
 
 
+def smart_album(images: DataFrame, smart_id: str, links: DataFrame | None = None, clusters: DataFrame | None = None, radius_km: float = 10.0) -> DataFrame:
+    """The rows of a derived collection, in the total order.
+
+    ``links(image_id, name)`` serves tags; ``clusters(cluster, name, group, image_id)``
+    serves clusters and groups of clusters, which must exist; an unknown id is an error.
+    """
+    kind, colon, key = smart_id.partition(":")
+    if kind == "tag":
+        out = with_any_tag(images, links, (key,))
+    elif kind in ("cluster", "cluster-group") and colon:
+        if kind == "cluster" and not key.isdigit():
+            raise ValueError(f"unknown collection {smart_id}")
+        members = clusters.where(F.col("cluster") == int(key) if kind == "cluster" else F.coalesce(F.nullif("group", F.lit("")), "name") == key)
+        if members.isEmpty():
+            raise ValueError(f"no collection {smart_id}")
+        out = images.join(members.select(F.col("image_id").alias("id")).distinct(), "id", "left_semi")
+    elif kind == "place":
+        try:
+            lat, lon = map(float, key.split(","))
+        except ValueError:
+            raise ValueError(f"unknown collection {smart_id}") from None
+        out = geo.near_point(images, lat, lon, radius_km).drop("km")
+    else:
+        out = images.where(smart_predicate(smart_id, images.columns))
+    return out.orderBy(*order.total_order())
+
+
 def name_contains(query: str, column: str = "name") -> Column:
     """Case-insensitive substring with SQL wildcards left active and no escape."""
     pattern = "%" + query.lower().replace("\\", "\\\\") + "%"

@@ -30,6 +30,73 @@ def collapse_pairs(listed: DataFrame, position: str = "pos") -> DataFrame:
     return out.where("__rank = 1").withColumn(position, F.col("__first")).drop("__pair", "__first", "__rank")
 
 
+def place() -> Column:
+    """A row's place in the total order, as a value that compares like it."""
+    return F.struct(F.col("taken_at").isNull().alias("undated"), (-F.unix_micros(F.col("taken_at").cast("timestamp"))).alias("at"), F.col("original_filename").alias("name"), F.col("id").alias("id"))
+
+
+def collapse_in_order(images: DataFrame) -> DataFrame:
+    """One row per pair, the half that isn't raw, with ``place``: that of its first half in the total order.
+
+    The place is a minimum over the pair, so no row number over everything is needed.
+    """
+    raw = F.col("file_type") == "raw"
+    best = F.min_by(F.struct(*images.columns), F.struct(raw.alias("raw"), place().alias("place")))
+    both = images.groupBy(pair_key().alias("__pair")).agg(best.alias("__row"), F.min(place()).alias("place"))
+    return both.select("__row.*", "place")
+
+
+def map_pins(images: DataFrame) -> DataFrame:
+    """Located rows, one of each pair: the first half in order of id."""
+    located = images.where("gps_lat is not null and gps_lon is not null")
+    return located.groupBy(pair_key().alias("__pair")).agg(F.min_by(F.struct(*images.columns), "id").alias("__row")).select("__row.*")
+
+
+def effective_dates(files: DataFrame) -> DataFrame:
+    """``files(id, paired_with, taken_at)`` with ``effective``: the own date, else the partner's."""
+    other = files.select(F.col("id").alias("__id"), F.col("taken_at").alias("__at"))
+    both = files.join(other, F.col("paired_with") == F.col("__id"), "left")
+    return both.withColumn("effective", F.coalesce("taken_at", "__at")).drop("__id", "__at")
+
+
+def review_order(files: DataFrame) -> DataFrame:
+    """Staged files by effective date, undated last, then by ``seq``."""
+    return effective_dates(files).orderBy(F.asc_nulls_last("effective"), "seq")
+
+
+def day_sections(files: DataFrame) -> DataFrame:
+    """(day, n, first): the days of an import in order; undated files come last, without a day. ``first`` is the least seq."""
+    dated = effective_dates(files).groupBy(F.to_date("effective").alias("day")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return dated.orderBy(F.asc_nulls_last("day"))
+
+
+def destinations(files: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, path): where each of ``files(id, seq, day, name)`` goes, ``YYYY/YYYY-MM-DD/name``.
+
+    A name that is taken gets the first free ``_1``, ``_2``, and so on; in order
+    of seq, earlier files take names too. ``taken(day, name)``. Names of one day
+    that differ only in such numbers are settled together; others never meet.
+    """
+    stem, ext = F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("name", r"(?<=.)(\.[^.]*)$", 1)
+    keyed = lambda df: df.withColumn("__family", F.concat_ws("/", F.col("day").cast("string"), F.regexp_replace(stem, r"(_\d+)+$", ""), ext)).withColumn("__stem", stem).withColumn("__ext", ext)
+
+    def settle(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(old["name"]), []
+        for row in new.sort_values("seq").itertuples():
+            name, n = row.name, 0
+            while name in used:
+                n += 1
+                name = f"{row.stem}_{n}{row.ext}"
+            used.add(name)
+            out.append((row.id, row.day, name))
+        return pd.DataFrame(out, columns=["id", "day", "name"])
+
+    columns = [F.col("__family"), F.col("day").cast("string").alias("day"), "name"]
+    new = keyed(files).select(*columns, "id", "seq", F.col("__stem").alias("stem"), F.col("__ext").alias("ext"))
+    settled = new.groupBy("__family").cogroup(keyed(taken).select(*columns).groupBy("__family")).applyInPandas(settle, f"id {dict(files.dtypes)['id']}, day string, name string")
+    return settled.select("id", F.concat_ws("/", F.substring("day", 1, 4), "day", "name").alias("path"))
+
+
 def pairs_adjacent(listed: DataFrame, position: str = "pos") -> DataFrame:
     """Both halves side by side at the first half's place, the one that isn't raw first: (place, half)."""
     out = listed.withColumn("place", F.min(position).over(Window.partitionBy(pair_key())))

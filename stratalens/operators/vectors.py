@@ -26,6 +26,11 @@ def normalised(a: Column) -> Column:
     return F.transform(F.array(F.struct(a.alias("v"), F.when(norm(a) == 0, 1.0).otherwise(norm(a)).alias("n"))), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
 
 
+def multi_get(vectors: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The stored vectors of these ids; an id without one has no row."""
+    return vectors.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, exclude: list[int] | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The k vectors nearest to a query, ties by id: a bounded top-k per task, then one merge."""
     if exclude:
@@ -63,6 +68,34 @@ def neighbours_without_partner(similar: DataFrame, k: int = 5) -> DataFrame:
     return one.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("__n") <= k).drop("__n")
 
 
+def example_pool(images: DataFrame) -> DataFrame:
+    """(id, doc, is_raw, pair) of rows to learn from: visible with a saved edit; a look baked into a copy counts before its own edits."""
+    doc = F.coalesce(F.nullif("applied_adjustments", F.lit("")), "edit_adjustments")
+    some = images.where("deleted_at is null and (edit_adjustments is not null or applied_adjustments is not null)")
+    return some.select("id", doc.alias("doc"), (F.col("file_type") == "raw").alias("is_raw"), F.col("paired_image_id").alias("pair"))
+
+
+def example_neighbours(targets: DataFrame, examples: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query, id, doc, score) of the best ``k`` examples of each target, one of each pair, never itself or its partner.
+
+    ``targets(id, vector, is_raw, pair)`` are a user's selection, whose number is
+    the caller's bound, and are broadcast; examples of the target's own kind are
+    used if there are any that have a vector. An example without a vector takes its partner's.
+    """
+    own = vectors.select("id", F.col("vector").alias("__own"))
+    other = vectors.select(F.col("id").alias("pair"), F.col("vector").alias("__other"))
+    known = examples.join(own, "id", "left").join(other, "pair", "left").withColumn("v", F.coalesce("__own", "__other")).where("v is not null")
+    t = targets.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.col("is_raw").alias("raw_query"), F.col("pair").alias("pair_query"))
+    away = (F.col("id") != F.col("query")) & ~F.coalesce(F.col("id") == F.col("pair_query"), F.lit(False))
+    scored = known.join(F.broadcast(t), away).select("query", "id", "doc", "pair", (F.col("is_raw") == F.col("raw_query")).alias("same"), dot(F.col("q"), F.col("v")).alias("score"))
+    # one of each pair first, then the best k of the kind, kept small before the shuffle by the ranked filter
+    shot = F.least("id", F.coalesce("pair", "id"))
+    one = scored.groupBy("query", "same", shot.alias("shot")).agg(F.max_by(F.struct("id", "doc", "score"), F.struct("score", (-F.col("id")).alias("i"))).alias("x")).select("query", "same", "x.*")
+    ranked = one.withColumn("__n", F.row_number().over(Window.partitionBy("query", "same").orderBy(F.desc("score"), "id"))).where(F.col("__n") <= k)
+    kinds = ranked.groupBy("query").agg(F.max("same").alias("same"))
+    return ranked.join(kinds, ["query", "same"], "left_semi").select("query", "id", "doc", "score")
+
+
 def circular_mean(degrees: str, weight: str) -> Column:
     """Weighted mean of angles, an aggregate; without a direction it is 0."""
     x, y = F.sum(F.col(weight) * F.cos(F.radians(degrees))), F.sum(F.col(weight) * F.sin(F.radians(degrees)))

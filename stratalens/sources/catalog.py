@@ -11,7 +11,8 @@ from ..functions import dates, strings
 from ..operators import order
 
 VERSION = 2
-INDEX_FIELDS = ("id", "original_filename", "file_type", "rating", "color_label", "paired_image_id", "file_size", "gps_country")
+#: The fields of the slim index, beside the capture time and the version of the cached render.
+INDEX_FIELDS = ("id", "original_filename", "file_type", "width", "height", "rating", "color_label", "remote_sync", "paired_image_id", "source_root_id")
 
 
 def listing(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
@@ -46,15 +47,56 @@ def scan_source(listed: DataFrame, known: DataFrame, managed: DataFrame) -> Data
     return both.select("path", "sha", F.when(F.col("id").isNull(), "index").otherwise("relocate").alias("action"), "id")
 
 
+#: Bytes that an import leaves free on the disk.
+RESERVE = 10 << 30
+
+
+def gazetteer(spark: SparkSession, path: str) -> DataFrame:
+    """(lat, lon, name, admin1, cc, key) of a CSV file of cities; ``key`` is the name as it is searched for."""
+    rows = spark.read.csv(path, header=True, schema="lat double, lon double, name string, admin1 string, admin2 string, cc string")
+    return rows.where("lat is not null and lon is not null").withColumn("key", strings.normalised_name("name")).drop("admin2")
+
+
+def other_library(spark: SparkSession, path: str, revisions: set[str]) -> dict[str, DataFrame]:
+    """The tables of another library's snapshot folder; one of an unknown revision is refused."""
+    found = spark.read.parquet(f"{path}/version").first()
+    if found is None or found["version_num"] not in revisions:
+        raise ValueError(f"the library's revision {found and found['version_num']} is unknown")
+    return {t: spark.read.parquet(f"{path}/{t}") for t in ("images", "tags", "image_tags", "albums", "album_images")}
+
+
+def stage(listed: DataFrame, session: str, taken: DataFrame | None = None) -> DataFrame:
+    """(session, path, staged_name, original_filename, file_type, sha, size, modified, processed) of files with ``content``.
+
+    Contents are hashed as they are read; a name that is used already in the
+    session gets the first free number. ``taken(name)`` are names of earlier batches.
+    """
+    day = F.lit(session)
+    files = listed.where(strings.file_type(F.col("name")).isNotNull() & ~F.col("name").startswith("."))
+    used = taken.select(day.alias("day"), "name") if taken is not None else files.select(day.alias("day"), "name").limit(0)
+    named = order.destinations(files.select(F.col("path").alias("id"), F.col("path").alias("seq"), day.alias("day"), "name"), used)
+    staged = named.select(F.col("id").alias("path"), F.element_at(F.split("path", "/"), -1).alias("staged_name"))
+    hashed = files.select("path", F.col("name").alias("original_filename"), strings.file_type(F.col("name")).alias("file_type"), F.sha2("content", 256).alias("sha"), "size", "modified")
+    return hashed.join(staged, "path").select(F.lit(session).alias("session"), "path", "staged_name", "original_filename", "file_type", "sha", "size", "modified", F.lit(False).alias("processed"))
+
+
+def preflight(total_bytes: int, free_bytes: int, appends: bool = False) -> None:
+    """An import that can't fit is refused before its first byte, one under way once the reserve is touched."""
+    if free_bytes < RESERVE or (not appends and total_bytes and total_bytes + RESERVE > free_bytes):
+        raise ValueError(f"the import needs {total_bytes} bytes; {max(free_bytes - RESERVE, 0)} are usable")
+
+
 def untracked(listed: DataFrame, tracked: DataFrame) -> DataFrame:
     """Files that no row tracks."""
     return listed.join(tracked.select("path"), "path", "left_anti")
 
 
 def library_index(images: DataFrame) -> DataFrame:
-    """The slim index in the total order, as one JSON text per row."""
-    version = F.when(F.col("edit_rev") == 0, "").otherwise(F.col("edit_rev").cast("string"))
-    return images.orderBy(*order.total_order()).select(F.to_json(F.struct(*INDEX_FIELDS, dates.iso_seconds(F.col("taken_at")).alias("taken_at"), version.alias("thumb_version")), {"ignoreNullFields": "false"}).alias("row"))
+    """The slim index in the total order, as one JSON text per row; a field that the rows lack is null."""
+    version = F.when(F.coalesce("edit_rev", F.lit(0)) == 0, "").otherwise(F.col("edit_rev").cast("string"))
+    have = {c: F.col(c) for c in images.columns} | {"remote_sync": F.coalesce("remote_sync", F.lit(False))} if "remote_sync" in images.columns else {c: F.col(c) for c in images.columns}
+    fields = [have.get(c, F.lit(None).cast("string")).alias(c) for c in INDEX_FIELDS]
+    return images.orderBy(*order.total_order()).select(F.to_json(F.struct(*fields, dates.iso_seconds(F.col("taken_at")).alias("taken_at"), version.alias("thumb_version")), {"ignoreNullFields": "false"}).alias("row"))
 
 
 def export_names(images: DataFrame, requested: list[int]) -> DataFrame:
