@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, develop, strings
@@ -52,10 +53,8 @@ def _ids(df: DataFrame) -> DataFrame:
 )
 def library_index(spark, sf_dir):
     names = views.tags(spark, sf_dir).orderBy("name").limit(2)
-    links = views.image_tags(spark, sf_dir)
-    both = links.join(F.broadcast(names.select("name")), "name", "left_semi").groupBy("image_id").agg(F.countDistinct("name").alias("n")).where("n = 2")
-    shown = filters.apply(views.live(spark, sf_dir), FILTER).where("gps_country is not null")
-    found = shown.join(both, shown["id"] == both["image_id"], "left_semi")
+    wanted = replace(FILTER, tags=tuple(r["name"] for r in names.collect()))
+    found = filters.apply(views.live(spark, sf_dir), wanted, views.image_tags(spark, sf_dir)).where("gps_country is not null")
     return order.page(found).select(
         "id", "original_filename", "file_type", "rating", "color_label", dates.iso_seconds(F.col("taken_at")).alias("taken"), "file_size", F.when(F.col("edit_rev") == 0, "").otherwise(F.col("edit_rev").cast("string")).alias("thumb_version")
     )
@@ -98,26 +97,21 @@ def exclude_unavailable(spark, sf_dir):
 
 @query("SELECT id FROM v_live WHERE id IN (SELECT image_id FROM v_image_tag WHERE name IN (SELECT name FROM v_tag ORDER BY name LIMIT 3))")
 def tags_any_rule(spark, sf_dir):
-    links = views.image_tags(spark, sf_dir).join(F.broadcast(views.tags(spark, sf_dir).orderBy("name").limit(3).select("name")), "name", "left_semi")
-    images = views.live(spark, sf_dir)
-    return _ids(images.join(links, images["id"] == links["image_id"], "left_semi"))
+    names = tuple(r["name"] for r in views.tags(spark, sf_dir).orderBy("name").limit(3).collect())
+    return _ids(filters.with_any_tag(views.live(spark, sf_dir), views.image_tags(spark, sf_dir), names))
 
 
 @query(
-    "SELECT a.id AS album_id, count(*) AS n FROM v_album a JOIN (SELECT album_id, image_id FROM v_album_image UNION SELECT v.id, t.image_id FROM v_album v JOIN (SELECT name, row_number() OVER (ORDER BY name) AS r FROM v_tag) k ON v.rule = k.r JOIN v_image_tag t ON t.name = k.name) m ON m.album_id = a.id "
+    "SELECT a.id AS album_id, count(*) AS n FROM v_album a JOIN (SELECT album_id, image_id FROM v_album_image UNION SELECT r.album_id, t.image_id FROM v_rule r JOIN v_image_tag t ON t.name = r.name) m ON m.album_id = a.id "
     "JOIN v_live i ON i.id = m.image_id GROUP BY a.id"
 )
 def album_members(spark, sf_dir):
-    rules = views.tags(spark, sf_dir).select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("rule"))  # tag names are few
-    ruled = views.albums(spark, sf_dir).join(F.broadcast(rules), "rule").select(F.col("id").alias("album_id"), rules["name"]).join(views.image_tags(spark, sf_dir), "name").select("album_id", "image_id")
-    members = views.album_images(spark, sf_dir).select("album_id", "image_id").union(ruled).distinct()
-    live = views.live(spark, sf_dir).select(F.col("id").alias("image_id"))
-    return members.join(live, "image_id", "left_semi").groupBy("album_id").agg(F.count("*").alias("n"))
+    return filters.album_sizes(views.album_rules(spark, sf_dir), views.album_images(spark, sf_dir), views.image_tags(spark, sf_dir), views.live(spark, sf_dir))
 
 
-@query("SELECT id FROM v_image WHERE owner_id = 1 AND deleted_at IS NOT NULL AND source_root_id IS NULL")
+@query("SELECT id FROM v_image WHERE owner_id = 1 AND deleted_at IS NOT NULL AND source_root_id IS NULL ")
 def trash_list(spark, sf_dir):
-    return _ids(views.images(spark, sf_dir).where("owner_id = 1 and deleted_at is not null and source_root_id is null"))
+    return _ids(filters.trash_list(views.images(spark, sf_dir), 1))
 
 
 @query("SELECT id FROM v_image WHERE source_root_id IS NULL AND deleted_at < TIMESTAMP '1999-12-02 00:00:00'")
@@ -179,8 +173,8 @@ def stats_top_lenses(spark, sf_dir):
 
 
 @query(
-    "SELECT position, name, count(*) AS n FROM (SELECT CASE WHEN focal_length < 16 THEN 0 WHEN focal_length < 24 THEN 1 WHEN focal_length < 35 THEN 2 WHEN focal_length < 50 THEN 3 WHEN focal_length < 85 THEN 4 WHEN focal_length < 135 THEN 5 WHEN focal_length < 200 THEN 6 ELSE 7 END AS position FROM v_live WHERE focal_length IS NOT NULL) "
-    "JOIN (VALUES (0, '<16'), (1, '16-24'), (2, '24-35'), (3, '35-50'), (4, '50-85'), (5, '85-135'), (6, '135-200'), (7, '200+')) AS r(p, name) ON p = position GROUP BY position, name"
+    "SELECT p AS position, name, count(*) AS n FROM v_live JOIN (VALUES (0, 0, 16, 'Ultra wide (<16mm)'), (1, 16, 24, 'Wide (16-23mm)'), (2, 24, 36, 'Semi wide (24-35mm)'), (3, 36, 51, 'Normal (36-50mm)'), (4, 51, 86, 'Short tele (51-85mm)'), (5, 86, 136, 'Tele (86-135mm)'), "
+    "(6, 136, 301, 'Long tele (136-300mm)'), (7, 301, 100000, 'Super tele (>300mm)')) AS r(p, low, high, name) ON focal_length >= low AND focal_length < high GROUP BY p, name"
 )
 def stats_focal_buckets(spark, sf_dir):
     return aggregates.focal_histogram(views.live(spark, sf_dir))
@@ -201,9 +195,9 @@ def tag_usage_left(spark, sf_dir):
     return aggregates.tag_usage(views.tags(spark, sf_dir), views.image_tags(spark, sf_dir))
 
 
-@query("SELECT t.name, t.id FROM v_tag t WHERE NOT EXISTS (SELECT 1 FROM v_image_tag l WHERE l.name = t.name AND l.image_id % 7 = 0)")
+@query("SELECT t.name, t.id FROM v_word t WHERE NOT EXISTS (SELECT 1 FROM v_image_tag l WHERE l.name = t.name)")
 def tags_unused_anti(spark, sf_dir):
-    return aggregates.unused_tags(views.tags(spark, sf_dir), views.image_tags(spark, sf_dir).where("image_id % 7 = 0"))
+    return aggregates.unused_tags(views.tag_words(spark, sf_dir), views.image_tags(spark, sf_dir))
 
 
 @query("SELECT count(*) FILTER (WHERE remote_id IS NOT NULL) AS synced, count(*) AS total FROM v_live WHERE remote_sync AND file_type <> 'raw'")
@@ -221,9 +215,9 @@ def library_signature(spark, sf_dir):
     return aggregates.signature(views.live(spark, sf_dir), table(spark, sf_dir, "embeddings"))
 
 
-@query("SELECT gps_country, CASE WHEN min(rating) = max(rating) AND count(rating) = count(*) THEN min(rating) ELSE 0 END AS rating FROM v_live WHERE id % 1000 < 40 GROUP BY 1")
+@query("SELECT cast(taken_at AS date) AS day, CASE WHEN min(rating) = max(rating) AND count(rating) = count(*) THEN min(rating) ELSE 0 END AS rating FROM v_live GROUP BY 1")
 def shared_selection_value(spark, sf_dir):
-    return views.live(spark, sf_dir).where("id % 1000 < 40").groupBy("gps_country").agg(aggregates.shared_value("rating", 0).alias("rating"))
+    return views.live(spark, sf_dir).groupBy(F.to_date("taken_at").alias("day")).agg(aggregates.shared_value("rating", 0).alias("rating"))
 
 
 # ---- derived collections ----------------------------------------------------
@@ -251,14 +245,17 @@ def country_years_min3(spark, sf_dir):
     return collections.country_years(views.live(spark, sf_dir))
 
 
-@query("SELECT l.name, count(*) AS n FROM v_image_tag l JOIN v_live i ON i.id = l.image_id GROUP BY 1")
+@query("SELECT name, n, row_number() OVER (ORDER BY n DESC, lower(name), name) AS place FROM (SELECT l.name, count(*) AS n FROM v_image_tag l JOIN v_live i ON i.id = l.image_id GROUP BY 1)")
 def tag_albums(spark, sf_dir):
-    return collections.tag_albums(views.live(spark, sf_dir), views.image_tags(spark, sf_dir))
+    listed = collections.tag_albums(views.live(spark, sf_dir), views.image_tags(spark, sf_dir)).select("name", "n", F.monotonically_increasing_id().alias("seq"))
+    rows = listed.agg(F.sort_array(F.collect_list(F.struct("seq", "name", "n"))).alias("rows"))  # tag names are few; their order is the result
+    return rows.select(F.posexplode("rows").alias("pos", "x")).select("x.name", "x.n", (F.col("pos") + 1).cast("long").alias("place"))
 
 
-@query("SELECT count(*) AS n FROM v_live WHERE edit_rev > 0 HAVING count(*) > 0")
+@query("SELECT n, rank, id FROM (SELECT count(*) OVER () AS n, row_number() OVER (ORDER BY CASE WHEN file_type = 'jpeg' THEN 0 ELSE 1 END, taken_at DESC NULLS LAST, id) AS rank, id, file_type, bool_or(file_type = 'jpeg') OVER () AS any_jpeg FROM v_live WHERE edit_rev > 0 OR applied_adjustments IS NOT NULL) WHERE rank <= 4 AND (file_type = 'jpeg' OR NOT any_jpeg)")
 def edited_album(spark, sf_dir):
-    return collections.edited_album(views.live(spark, sf_dir))
+    out = collections.edited_album(views.live(spark, sf_dir))
+    return out.select("n", F.posexplode("covers").alias("pos", "id")).select("n", (F.col("pos") + 1).cast("long").alias("rank"), "id")
 
 
 @query("SELECT gps_country, rank, id FROM (SELECT gps_country, id, row_number() OVER (PARTITION BY gps_country ORDER BY taken_at DESC NULLS LAST, id) AS rank FROM v_live WHERE gps_country IS NOT NULL AND file_type = 'jpeg') WHERE rank <= 4")
@@ -270,9 +267,7 @@ def covers_top4(spark, sf_dir):
 @query("SELECT s.subject, s.cluster, s.size, s.rank FROM (SELECT gps_country AS subject, cast(year(taken_at) AS int) AS cluster, count(*) AS size, row_number() OVER (PARTITION BY gps_country ORDER BY count(*) DESC, cast(year(taken_at) AS int)) AS rank FROM v_live WHERE gps_country IS NOT NULL GROUP BY 1, 2) s JOIN (SELECT gps_country AS subject, min(cast(year(taken_at) AS int)) AS seen FROM v_live WHERE gps_country IS NOT NULL GROUP BY 1) m ON m.subject = s.subject ORDER BY s.rank, m.seen, s.subject LIMIT 40")
 def round_robin_subjects(spark, sf_dir):
     sizes = views.live(spark, sf_dir).where("gps_country is not null").groupBy(F.col("gps_country").alias("subject"), F.year("taken_at").alias("cluster")).agg(F.count("*").alias("size"))
-    w = Window.partitionBy("subject")
-    ranked = sizes.withColumn("rank", F.row_number().over(w.orderBy(F.desc("size"), "cluster")).cast("long")).withColumn("seen", F.min("cluster").over(w))
-    return ranked.orderBy("rank", "seen", "subject").limit(40).drop("seen")
+    return collections.round_robin(sizes).withColumn("rank", F.col("rank").cast("long"))
 
 
 # ---- geography --------------------------------------------------------------
@@ -310,7 +305,7 @@ def located_centroid(spark, sf_dir):
 
 @query()
 def leader_places(spark, sf_dir):
-    points = views.live(spark, sf_dir).withColumn("seq", F.struct(F.col("taken_at").cast("string"), F.col("id")).cast("string"))
+    points = views.live(spark, sf_dir).withColumn("seq", F.unix_micros(F.col("taken_at").cast("timestamp")))
     return geo.leader_places(points.select("id", "seq", "gps_lat", "gps_lon", "gps_country"), 500.0, group="gps_country")
 
 
@@ -371,17 +366,19 @@ def greedy_clusters(spark, sf_dir):
 
 
 def _staged(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("size"))
-    return d.where("id % 2 = 1").withColumn("seq", F.col("id")), d.where("id % 2 = 0")
+    """Two libraries, as two sides are the feature: sources of a one-digit number are home, the others come in."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("size"), "source")
+    return d.where("length(source) > 4").drop("source").withColumn("seq", F.col("id")), d.where("length(source) <= 4").drop("source")
 
 
-_STAGED = "(SELECT doc_id AS id, sha256(text) AS sha, n_chars AS size FROM documents WHERE doc_id % 2 = 1)"
-_LIBRARY = "(SELECT doc_id AS id, sha256(text) AS sha, n_chars AS size FROM documents WHERE doc_id % 2 = 0)"
+_STAGED = "(SELECT doc_id AS id, sha256(text) AS sha, n_chars AS size FROM documents WHERE length(source) > 4)"
+_LIBRARY = "(SELECT doc_id AS id, sha256(text) AS sha, n_chars AS size FROM documents WHERE length(source) <= 4)"
 
 
-@query(f"SELECT id, nullif(first_value(id) OVER (PARTITION BY sha ORDER BY id), id) AS duplicate_of FROM {_STAGED}")
+@query("SELECT doc_id AS id, CASE WHEN text IS NOT NULL THEN nullif(first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id), doc_id) END AS duplicate_of FROM documents")
 def dedup_first_wins(spark, sf_dir):
-    return entity.first_wins(_staged(spark, sf_dir)[0]).select("id", "duplicate_of")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.col("doc_id").alias("seq"))
+    return entity.first_wins(d).select("id", "duplicate_of")
 
 
 @query(f"SELECT s.id, l.library_id FROM {_STAGED} s LEFT JOIN (SELECT sha, min(id) AS library_id FROM {_LIBRARY} GROUP BY sha) l ON l.sha = s.sha")
@@ -404,12 +401,12 @@ def merge_upsert(spark, sf_dir):
 
 
 @query(
-    "SELECT m.id, u.path FROM (SELECT doc_id AS id, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0) m JOIN (SELECT 'new/' || cast(doc_id AS varchar) AS path, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY 'new/' || cast(doc_id AS varchar)) AS k FROM documents WHERE doc_id % 2 = 1) u ON u.sha = m.sha AND u.k = m.k"
+    "SELECT m.id, u.path FROM (SELECT doc_id AS id, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents WHERE length(source) <= 4) m JOIN (SELECT 'new/' || cast(doc_id AS varchar) AS path, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY 'new/' || cast(doc_id AS varchar)) AS k FROM documents WHERE length(source) > 4) u ON u.sha = m.sha AND u.k = m.k"
 )
 def rename_follow_ranked(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    missing = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
-    files = d.where("doc_id % 2 = 1").select(F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    missing = d.where("length(source) <= 4").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    files = d.where("length(source) > 4").select(F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"), F.encode("text", "UTF-8").alias("content"))
     return entity.follow_renames(missing, files)
 
 
@@ -445,11 +442,9 @@ def incomplete_pairs(spark, sf_dir):
 # ---- order, pairs, sections -------------------------------------------------
 
 
-@query(f"SELECT min(id) FILTER (WHERE half = 1) AS id, min(pos) AS pos FROM (SELECT id, pos, least(id, coalesce(paired_image_id, id)) AS p, row_number() OVER (PARTITION BY least(id, coalesce(paired_image_id, id)) ORDER BY CASE WHEN file_type = 'raw' THEN 1 ELSE 0 END, pos) AS half FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS pos FROM v_live WHERE gps_country = 'NATION_7')) GROUP BY p")
+@query(f"SELECT min(id) FILTER (WHERE half = 1) AS id, min(id) FILTER (WHERE first = 1) AS at FROM (SELECT id, least(id, coalesce(paired_image_id, id)) AS p, row_number() OVER (PARTITION BY least(id, coalesce(paired_image_id, id)) ORDER BY CASE WHEN file_type = 'raw' THEN 1 ELSE 0 END, {ORDER}) AS half, row_number() OVER (PARTITION BY least(id, coalesce(paired_image_id, id)) ORDER BY {ORDER}) AS first FROM v_live) GROUP BY p")
 def pairs_collapsed(spark, sf_dir):
-    # one country's rows; a page of the grid is numbered like this
-    listed = views.live(spark, sf_dir).where("gps_country = 'NATION_7'").withColumn("pos", F.row_number().over(Window.partitionBy("gps_country").orderBy(*order.total_order())).cast("long"))
-    return order.collapse_pairs(listed).select("id", "pos")
+    return order.collapse_in_order(views.live(spark, sf_dir)).select("id", F.col("place.id").alias("at"))
 
 
 @query(
@@ -471,7 +466,7 @@ def rolling_eta_20(spark, sf_dir):
     return order.rolling_rate(e, "user_id", "ts").select("user_id", "event_id", "n", F.round("rate", 9).alias("rate"))
 
 
-@query()
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda acc, x: acc * 0.6 + x * (1 - 0.6)), 6) AS ema FROM events GROUP BY user_id")
 def ema_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("values"))
     return e.select("user_id", F.round(order.ema(F.col("values")), 6).alias("ema"))

@@ -5,6 +5,8 @@ Every column is plain arithmetic on keys, so both engines compute the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,17 @@ IMAGE_SELECT = """
   CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 6 = 1 AND o_orderkey > 1 THEN o_orderkey - 1 END AS paired_image_id,
   cast(o_orderkey % 4 AS int) AS edit_rev,
   CASE WHEN o_orderkey % 29 = 0 THEN 'a' || cast(o_orderkey AS string) END AS remote_id,
-  o_orderkey % 7 = 0 AS remote_sync
+  o_orderkey % 7 = 0 AS remote_sync,
+  concat('dir', cast(o_orderkey % 40 AS string), '/DSCF', cast(o_orderkey % 5000 AS string), CASE WHEN o_orderkey % 3 = 0 THEN '.raf' WHEN o_orderkey % 10 = 1 THEN '.png' ELSE '.jpg' END) AS file_path,
+  concat('sum', cast(o_orderkey % 700 AS string)) AS sha1,
+  cast(o_orderkey % 5 * 90 AS int) AS edit_rotation,
+  CASE WHEN o_orderkey % 23 = 0 THEN cast(0.25 AS double) END AS edit_crop_x, CASE WHEN o_orderkey % 23 = 0 THEN cast(0.25 AS double) END AS edit_crop_y,
+  CASE WHEN o_orderkey % 23 = 0 THEN cast(0.5 AS double) END AS edit_crop_width, CASE WHEN o_orderkey % 23 = 0 THEN cast(0.5 AS double) END AS edit_crop_height,
+  o_orderkey % 19 = 0 AS edit_flip_h, o_orderkey % 37 = 0 AS edit_flip_v,
+  CASE WHEN o_orderkey % 41 = 0 THEN cast(2.5 AS double) ELSE cast(0 AS double) END AS edit_straighten,
+  cast(CASE WHEN o_orderkey % 43 = 0 THEN 10 ELSE 0 END AS int) AS edit_persp_h, cast(CASE WHEN o_orderkey % 47 = 0 THEN 10 ELSE 0 END AS int) AS edit_persp_v, cast(CASE WHEN o_orderkey % 53 = 0 THEN 10 ELSE 0 END AS int) AS edit_distortion,
+  CASE o_orderkey % 4 WHEN 1 THEN concat('{"contrast": ', cast(o_orderkey % 150 AS string), '}') WHEN 2 THEN '{}' END AS edit_adjustments,
+  CASE WHEN o_orderkey % 31 = 0 THEN '{"exposure": 1}' END AS applied_adjustments
 """
 _FROM = " FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 
@@ -49,15 +61,23 @@ IMAGE = _sql("duckdb") + _FROM
 TAG = "SELECT p_type AS name, min(p_partkey) AS id FROM part GROUP BY p_type"
 IMAGE_TAG = "SELECT DISTINCT l_orderkey AS image_id, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey"
 ALBUM = "SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 6 WHEN 0 THEN NULL ELSE s_suppkey % 6 END AS rule FROM supplier"
+WORD = "SELECT upper(split_part(p_name, ' ', 1)) AS name, min(p_partkey) AS id FROM part GROUP BY 1"
+RULE = f"SELECT a.id AS album_id, a.name AS album, k.name, a.id % 3 = 0 AS album_sync FROM ({ALBUM}) a JOIN (SELECT name, row_number() OVER (ORDER BY name) AS r FROM ({TAG})) k ON k.r IN (a.rule, a.rule + 2)"
+STAGED = """SELECT event_id AS id, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN event_id END AS duplicate_of_image_id, CASE WHEN event_id % 11 = 3 THEN event_id - 1 END AS duplicate_of_staged_file_id,
+  CASE event_id % 3 WHEN 0 THEN 'raw' ELSE 'jpeg' END AS file_type, cast(event_id % 6 AS int) AS rating, CASE event_id % 4 WHEN 0 THEN 'red' ELSE 'none' END AS color_label, event_id % 2 = 0 AS selected, event_id % 5 <> 0 AS processed,
+  CASE WHEN event_id % 4 <> 1 THEN ts END AS taken_at, CASE event_id % 6 WHEN 0 THEN event_id + 1 WHEN 1 THEN event_id - 1 END AS paired_with FROM events"""
 ALBUM_IMAGE = "SELECT l_suppkey AS album_id, l_orderkey AS image_id, min(l_linenumber) AS position FROM lineitem GROUP BY l_suppkey, l_orderkey"
 LIVE = "owner_id = 1 AND deleted_at IS NULL"
 
 
 def with_views(select: str) -> str:
     """DuckDB SQL with the views that it names in front."""
-    views = {"v_image": IMAGE, "v_live": f"SELECT * FROM v_image WHERE {LIVE}", "v_tag": TAG, "v_image_tag": IMAGE_TAG, "v_album": ALBUM, "v_album_image": ALBUM_IMAGE}
-    need = [v for v in views if v in select or (v == "v_image" and "v_live" in select)]
-    return ("WITH " + ", ".join(f"{v} AS ({views[v]})" for v in need) + " " if need else "") + select
+    views = {"v_image": IMAGE, "v_live": f"SELECT * FROM v_image WHERE {LIVE}", "v_tag": TAG, "v_image_tag": IMAGE_TAG, "v_album": ALBUM, "v_album_image": ALBUM_IMAGE, "v_word": WORD, "v_rule": RULE, "v_staged": STAGED}
+    need = [v for v in views if re.search(rf"\b{v}\b", select) or (v == "v_image" and "v_live" in select)]
+    if not need:
+        return select
+    own = select.removeprefix("WITH ")
+    return "WITH " + ", ".join(f"{v} AS ({views[v]})" for v in need) + (", " if own != select else " ") + own
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +110,24 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("id"))
 
 
+def tag_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags named by the first words of parts: few of them are in use."""
+    return table(spark, sf_dir, "part").groupBy(F.upper(F.split("p_name", " ")[0]).alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+def album_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(album_id, album, name, album_sync): an album's rule names the tag of its number and the one two places on."""
+    numbered = tags(spark, sf_dir).agg(F.array_sort(F.collect_list("name")).alias("names")).select(F.posexplode("names").alias("at", "name"))  # tag names are few
+    ruled = albums(spark, sf_dir).where("rule is not null").withColumn("at", F.explode(F.array(F.col("rule") - 1, F.col("rule") + 1)))
+    return ruled.withColumnRenamed("name", "album").join(F.broadcast(numbered), "at").select(F.col("id").alias("album_id"), "album", "name", (F.col("id") % 3 == 0).alias("album_sync"))
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an import, some of them copies of others or of library rows."""
+    select = STAGED.removeprefix("SELECT ").rsplit(" FROM ", 1)[0]
+    return table(spark, sf_dir, "events").selectExpr(*_split(select))
+
+
 def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")

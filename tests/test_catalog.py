@@ -105,7 +105,9 @@ def test_wildcards_stay_active(spark):
 
 def test_rows_with_a_look_baked_in_are_edited(spark):
     rows = images(spark, [dict(id=1, edit_rev=1), dict(id=2), dict(id=3)]).withColumn("applied_adjustments", F.when(F.col("id") == 2, "{}"))
-    assert collections.edited_album(rows).first().n == 2 and aggregates.totals(rows).first().edited == 2
+    album = collections.edited_album(rows).first()
+    assert album.n == 2 and album.covers == [1, 2] and aggregates.totals(rows).first().edited == 1
+    assert collections.edited_album(rows.where("id = 3")).count() == 0
     assert sorted(ids(rows.where(filters.smart_predicate("edits", rows.columns)))) == [1, 2]
 
 
@@ -122,6 +124,7 @@ def test_pairs_collapse_at_the_first_half_and_cuts_keep_both(spark):
     rows = images(spark, [dict(id=1, file_type="raw", paired_image_id=2), dict(id=2, paired_image_id=1), dict(id=3)]).withColumn("pos", F.element_at(F.create_map(F.lit(1), F.lit(1), F.lit(3), F.lit(2), F.lit(2), F.lit(3)), F.col("id").cast("int")))
     got = {r.id: r.pos for r in order.collapse_pairs(rows).collect()}
     assert got == {2: 1, 3: 2}
+    assert {r.id: r.place.id for r in order.collapse_in_order(rows.withColumn("taken_at", F.when(F.col("id") != 3, F.col("taken_at")))).collect()} == {2: 1, 3: 3}
     assert [(r.id) for r in order.pairs_adjacent(rows).orderBy("place", "half").collect()] == [2, 1, 3]
     ranked = rows.withColumn("rank", F.col("id").cast("int"))
     assert sorted(ids(order.boundary_safe(ranked, 1))) == [1, 2] and sorted(ids(order.boundary_safe(ranked, 2))) == [1, 2]
@@ -164,7 +167,7 @@ def test_greedy_clusters_names_and_selection(spark):
     picked = collections.round_robin(spark.createDataFrame([(0, "A", 20), (1, "A", 20), (2, "A", 20), (3, "B", 5)], "cluster int, subject string, size int"), 2)
     assert [r.cluster for r in picked.collect()] == [0, 3]
     named = spark.createDataFrame([(0, "sky", ["dusk"], "Italy", 2020), (1, "sky", ["dusk"], "Italy", 2021), (2, "sky", [], "Italy", 2021), (3, "sky", [], None, None), (4, "sea", [], None, None)], "cluster int, base string, qualifiers array<string>, country string, year int")
-    assert [r.name for r in collections.sibling_names(named).orderBy("cluster").collect()] == ["sky · dusk", "sky · Italy", "sky · 2021", "sky IV", "sea"]
+    assert [r.name for r in collections.sibling_names(named).orderBy("cluster").collect()] == ["sky · dusk", "sky · Italy", "sky · 2021", "sky", "sea"]
 
 
 def test_big_days_use_the_true_median(spark):
@@ -181,6 +184,28 @@ def test_geography(spark):
     assert {r.id: r.city for r in geo.nearest(points, cities).collect()} == {1: "Munich", 2: "Munich", 3: "Fiji", 5: "Munich"}
     places = geo.leader_places(points.withColumn("seq", F.col("id")), 1.0).orderBy("place").collect()
     assert [r.members for r in places] == [2, 1, 1] and places[0].lat == 48.0025
+    chain = images(spark, [dict(id=i, gps_lat=48.0 + 0.006 * i, gps_lon=11.0) for i in range(4)] + [dict(id=10 + i, gps_lat=0.0, gps_lon=0.001 * i) for i in range(3)])
+    led = geo.leader_places(chain.withColumn("seq", F.col("id")), 1.0).orderBy("place").collect()  # 0.006 degrees are 667 m
+    assert [(r.lat, r.members) for r in led] == [(48.003, 2), (48.015, 2), (0.0, 3)]
+    far = spark.createDataFrame([(f"c{i}", -60.0 + i % 120, -170.0 + i % 340) for i in range(300)] + [("pole", 89.0, 0.0)], "city string, lat double, lon double")
+    want = {}
+    for r in points.where("gps_lat is not null").collect():
+        want[r.id] = min((geo.distance_km(r.gps_lat, r.gps_lon, c.lat, c.lon), c.city) for c in far.collect())[1]
+    assert {r.id: r.city for r in geo.nearest(points, far).collect()} == want
+    albums = geo.place_albums(points.select("id", "gps_lat", "gps_lon"), spark.createDataFrame([(1, 48.0, 11.0, "Munich"), (2, 48.001, 11.0, "Munich"), (3, 0.0, 0.0, None)], "place int, lat double, lon double, label string"), 5.0, least=1)
+    assert [(r.name, r.n) for r in albums.orderBy("place").collect()] == [("Munich", 2), ("Munich II", 2)]
+
+
+def test_range_join_matches_brute_force_everywhere(spark):
+    rng = np.random.default_rng(5)
+    lat = np.concatenate([rng.uniform(-90, 90, 300), rng.choice([-89.5, 89.9, 0.0, 60.0], 60)])
+    lon = np.concatenate([rng.uniform(-180, 180, 300), rng.choice([-179.9, 179.9, 0.0, 180.0], 60)])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))], "id long, gps_lat double, gps_lon double")
+    centres = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat[::3], lon[::3], strict=True))], "centre int, lat double, lon double")
+    for radius in (50.0, 900.0, 6000.0):
+        want = {(c, p) for c, (x, y) in enumerate(zip(lat[::3], lon[::3], strict=True)) for p in np.flatnonzero(geo.distance_km(x, y, lat, lon) <= radius).tolist()}
+        got = [(r.centre, r.id) for r in geo.within(points, centres, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     gazetteer = spark.createDataFrame([("halle", 51.5, 11.9), ("halle saale", 51.4, 11.9), ("hal", 1.0, 1.0), ("hallein", 47.6, 13.1)], "key string, lat double, lon double")
     assert sorted(r.key for r in geo.place_rows(gazetteer, F.lit("halle")).collect()) == ["halle", "halle saale"]
     assert geo.resolve_place(geo.place_rows(gazetteer, F.lit("halle")), 51.3, 11.9).first().key == "halle saale"
@@ -232,10 +257,10 @@ def test_pairing_evidence(spark):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [
         ("close", 1, "raw", at(0), "A"), ("close", 2, "jpeg", at(5), "a "), ("far", 3, "raw", at(0), "A"), ("far", 4, "jpeg", at(60), "A"), ("two", 5, "raw", at(0), "A"), ("two", 6, "raw", at(100), "A"), ("two", 7, "jpeg", at(100), "A"),
-        ("two", 8, "jpeg", at(0), "A"), ("tied", 9, "raw", at(0), "A"), ("tied", 10, "jpeg", at(1), "A"), ("tied", 11, "jpeg", at(2), "A"), ("blank", 12, "raw", None, None), ("blank", 13, "jpeg", at(0), "A"), ("cams", 14, "raw", at(0), "A"), ("cams", 15, "jpeg", at(0), "B"),
+        ("two", 8, "jpeg", at(0), "A"), ("half", 16, "raw", at(0), "A"), ("half", 17, "raw", at(500), "A"), ("half", 18, "jpeg", at(500), "A"), ("half", 19, "jpeg", None, "A"), ("png", 20, "raw", at(0), "A"), ("png", 21, "png", at(0), "A"), ("tied", 9, "raw", at(0), "A"), ("tied", 10, "jpeg", at(1), "A"), ("tied", 11, "jpeg", at(2), "A"), ("blank", 12, "raw", None, None), ("blank", 13, "jpeg", at(0), "A"), ("cams", 14, "raw", at(0), "A"), ("cams", 15, "jpeg", at(0), "B"),
     ]
     shots = spark.createDataFrame(rows, "stem string, id long, kind string, taken_at timestamp_ntz, camera string")
-    assert sorted((r.raw_id, r.other_id) for r in entity.pair_groups(shots).collect()) == [(1, 2), (5, 8), (6, 7), (12, 13)]
+    assert sorted((r.raw_id, r.other_id) for r in entity.pair_groups(shots).collect()) == [(1, 2), (5, 8), (6, 7), (12, 13), (17, 18)]
     assert sorted((r.raw_id, r.other_id) for r in entity.pairs_one_to_one(shots).collect()) == [(1, 2), (12, 13)]
     assert entity.pair_groups(shots.limit(0)).count() == 0
 
@@ -272,7 +297,7 @@ def test_names_and_dates(spark):
     assert one(spark, strings.normalised_name(F.lit("Málaga-Ñ  Straße"))) == "malaga n straße"
     assert one(spark, strings.renamed(F.lit(" trip "), F.lit(".jpg"))) == "trip.jpg"
     assert one(spark, strings.renamed(F.lit("a/b"), F.lit(".jpg"))) is None and one(spark, strings.renamed(F.lit("é" * 130), F.lit(".jpg"))) is None and one(spark, strings.renamed(F.lit(".."), F.lit(""))) is None
-    lens = {"undef": None, "8.8 25.7 1.8 2.8": "8.8-25.7mm f/1.8-2.8", "35 35 2 2": "35mm f/2", "0 0 0 0": None, " XF23mm ": "XF23mm", "0.0 mm f/0.0": None}
+    lens = {"undef": None, "8.8 25.7 1.8 2.8": "8.8-25.7mm f/1.8-2.8", "35 35 2 2": "35mm f/2", "0 0 0 0": None, " XF23mm ": "XF23mm", "0.0 mm f/0.0": None, "128": None, "Unknown (0 0)": None, "none": None, "0 16 55 2.8 2.8 0": "16-55mm f/2.8", "10 24 4 4 0 0": "10-24mm f/4", "23 23 0 0": "23mm", "1 2 3": None, "1 2 3 4 5": None}
     for k, v in lens.items():
         assert one(spark, strings.clean_lens(F.lit(k))) == v, k
     assert one(spark, strings.hamming(F.lit("ffffffffffffffff"), F.lit("0fffffffffffffff"))) == 4
@@ -288,12 +313,23 @@ def test_develop_documents(spark):
     n = lambda doc: one(spark, develop.normalised(F.lit(doc)))
     for doc in (None, "nonsense", "{}", '{"unknown": 3}'):
         assert one(spark, develop.is_neutral(develop.normalised(F.lit(doc).cast("string")))) and one(spark, develop.dumped(develop.normalised(F.lit(doc).cast("string")))) is None
-    got = n('{"exposure": 99, "contrast": "2.5", "grain": -4, "clarity": 3.5, "hsl": {"red": [10, 300]}, "curve": [[255, 200], [0, 10], ["x", 1]]}')
-    assert (got.exposure, got.contrast, got.grain, got.clarity, got.hsl.red, got.curve) == (5.0, 2, 0, 4, [10, 100, 0], [[0, 10], [255, 200]])
-    both = one(spark, develop.merged(develop.only_groups(F.lit('{"exposure": 1, "vibrance": 2}'), ["light"]), F.create_map(F.lit("exposure"), F.lit("3"))))
+    got = n('{"exposure": 99, "contrast": "2.5", "grain_amount": -4, "clarity": 3.5, "film_sim": "velvia", "tone_mapper": "x", "hsl": {"red": [10, 300]}, "point_curves": {"luma": [[255, 200], [0, 10], ["x", 1]], "red": [[1, 2]]}, "color_grading": {"global": {"hue": 400}}, "parametric_curve": {"blue": {"split1": 30}}}')
+    assert (got.exposure, got.contrast, got.grain_amount, got.clarity, got.film_sim, got.tone_mapper) == (8.0, 2, 0, 4, "velvia", "basic")
+    assert (got.hsl.red, got.point_curves.luma, got.point_curves.red) == ([10, 100, 0], [[255, 200], [0, 10], [0, 1]], [[0, 0], [255, 255]])
+    assert (got.color_grading["global"].hue, got.color_grading.blending, got.parametric_curve.blue.split1, got.parametric_curve.red.split1, got.sharpness_threshold) == (360, 50, 30, 25, 15)
+    mask = '{"masks": [{"id": 7, "opacity": 250, "sub_masks": [{"type": "radial", "mode": "odd"}, {"type": "cube"}], "adjustments": {"exposure": 20, "contrast": 0, "unknown": 1}}, {"visible": false}]}'
+    got = n(mask).masks
+    assert [(m.id, m.name, m.visible, m.opacity, m.adjustments, [(s.type, s.mode, s.visible) for s in m.sub_masks]) for m in got] == [("7", "Mask", True, 100, {"exposure": 8.0}, [("radial", "additive", True)]), ("", "Mask", False, 100, {}, [])]
+    neutral = lambda doc: one(spark, develop.is_neutral(develop.normalised(F.lit(doc))))
+    assert not neutral(mask) and neutral(mask.replace('"exposure": 20, ', "")) and neutral(mask.replace('"radial"', '"cube"')) and not neutral('{"hue": 3}') and neutral('{"grain_size": 25, "curve_mode": "odd"}')
+    both = one(spark, develop.merged(develop.only_groups(F.lit('{"exposure": 1, "vibrance": 2}'), ["tone"]), F.create_map(F.lit("exposure"), F.lit("3"))))
     assert both == {"exposure": "3"}
     blend = spark.createDataFrame([(1, 0.75, '{"contrast": 10}'), (1, 0.25, '{"contrast": 20}')], "query int, weight double, doc string").withColumn("adj", develop.normalised(F.col("doc")))
     assert develop.blended(blend).first().contrast == 12
+    docs = [(1, 0.5, '{"hue": 170, "film_sim": "astia", "color_grading": {"shadows": {"hue": 350, "saturation": 40}}}'), (1, 0.5, '{"hue": -170, "film_sim": "astia", "color_grading": {"shadows": {"hue": 10, "saturation": 40}}}'), (1, 0.2, '{"film_sim": "velvia", "point_curves": {"luma": [[0, 60], [255, 255]]}}')]
+    mixed = develop.blended(spark.createDataFrame(docs, "query int, weight double, doc string").withColumn("adj", develop.normalised(F.col("doc")))).first()
+    assert abs(mixed.hue) == 180 and mixed.film_sim == "astia" and mixed.color_grading.shadows.hue == 0 and mixed.color_grading.shadows.saturation == 33
+    assert mixed.point_curves.luma[0] == [0, 10] and len(mixed.point_curves.luma) == 9 and mixed.point_curves.red == [[0, 0], [255, 255]]
     curve = F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(100), F.lit(200)))
     assert [one(spark, develop.interpolated(curve, F.lit(x))) for x in (-5, 50, 500)] == [0.0, 100.0, 200.0]
 
