@@ -21,7 +21,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import map_arrow, materialise, partitions, slices
@@ -31,10 +32,12 @@ from .hashing import _BASE, _CODES, _INVERSE, flat, mix, powers
 LENGTH = 400
 #: Distinct surroundings of one anchor that one task sorts; larger groups are counted window by window.
 GROUP = 16_384
+#: Surroundings that occur again which an anchor's places get as a list; anchors with more are joined by surroundings.
+FEW = 1024
 #: Documents up to which texts are filtered by a broadcast of ids before a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes of one text handled at a time.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _NO_ID = -(1 << 63)
 
 
@@ -58,12 +61,13 @@ def _prefix(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start]
-
-
 def anchors(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position, hash and surroundings' hash of every anchor of the rows end to end in ``raw``."""
+    """Row, position, hash and surroundings' hash of every anchor of the rows end to end in ``raw``.
+
+    Rolling sums only choose the anchors; what is compared are xxHash digests of
+    the bytes. Anchors meet by their own digest and then by that of the
+    surroundings, so two independent ones of 64 bits stand for equal bytes.
+    """
     lengths = np.diff(offsets)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if not (lengths >= z.length).any():
@@ -91,9 +95,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> tuple[np.ndarray,
     row = np.searchsorted(offsets, at, "right") - 1
     left = np.minimum(z.reach, at - offsets[row])
     right = np.minimum(z.length, offsets[row + 1] - at)
-    gram = mix(_between(prefix, at, at + z.gram))
-    around = _between(prefix, at - left, at + right) + left.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + right.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-    return row, at - offsets[row], gram, mix(mix(around) ^ gram)
+    data, spans = memoryview(np.ascontiguousarray(raw)), zip(at.tolist(), left.tolist(), right.tolist(), strict=True)
+    digests = [(xxhash.xxh3_64_intdigest(data[p : p + z.gram]), xxhash.xxh3_64_intdigest(data[p - m : p + n], m << 20 | n)) for p, m, n in spans]
+    gram, around = np.array(digests, np.uint64).reshape(-1, 2).T
+    return row, at - offsets[row], gram, around
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> Iterator[tuple[np.ndarray, ...]]:
@@ -118,24 +123,32 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, z: Sizes) -> Iterator[tuple[np
 
 def _anchor_rows(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     for part in slices(batch, "text", PIECE):
-        ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy().astype(np.int64)
+        ids, tags = part.column("id").to_numpy(), part.column("tag").to_numpy()
         for row, pos, gram, around in _pieces(*flat(part.column("text")), z):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((tags[row] << 32) | pos), pa.array(gram.view(np.int64)), pa.array(around.view(np.int64))], names=["id", "loc", "h", "ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tags[row]), pa.array(pos.astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (gram, around))], names=["id", "tag", "pos", "h", "ctx"])
+
+
+_CONTEXT = "id long, tag long, pos int, h long, single boolean, left binary, right binary"
+_HIT = "id long, tag long, pos int, lo int, hi int"
 
 
 def _cut(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
     """The bytes around the wanted anchors of each text."""
     for part in slices(batch, "text"):
-        h, ctx, left, right = [], [], [], []
-        for text, wanted in zip(part.column("text"), part.column("wanted").to_pylist(), strict=True):
+        ids, tags, pos, h, single, left, right = ([] for _ in range(7))
+        for i, tag, text, wanted in zip(part.column("id").to_pylist(), part.column("tag").to_pylist(), part.column("text"), part.column("wanted").to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             for x in wanted:
                 p = x["pos"]
+                ids.append(i)
+                tags.append(tag)
+                pos.append(p)
                 h.append(x["h"])
-                ctx.append(x["ctx"])
+                single.append(x["single"])
                 left.append(raw[max(0, p - z.reach) : p])
                 right.append(raw[p : p + z.length])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "ctx", "left", "right"])
+        columns = [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(single, pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "pos", "h", "single", "left", "right"])
 
 
 def expand(groups: list[int], lefts: list[bytes], rights: list[bytes], z: Sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -196,13 +209,14 @@ def _expand_rows(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.Rec
     held: list[tuple] = []
 
     def done() -> Iterator[pa.RecordBatch]:
-        lo, hi = expand([x[0] for x in held], [x[2] for x in held], [x[3] for x in held], z)
-        at = np.flatnonzero(hi >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in at], pa.int64()), pa.array([held[i][1] for i in at], pa.int64()), pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], names=["h", "ctx", "lo", "hi"])
+        lo, hi = expand([x[3] for x in held], [x[5] for x in held], [x[6] for x in held], z)
+        at = [i for i in np.flatnonzero(hi >= 0).tolist() if held[i][4]]
+        places = [pa.array([held[i][k] for i in at], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*places, pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32())], names=["id", "tag", "pos", "lo", "hi"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(held) >= 4096 and held[-1][0] != row[0]:
+            if len(held) >= 4096 and held[-1][3] != row[3]:
                 yield from done()
                 held.clear()
             held.append(row)
@@ -211,19 +225,19 @@ def _expand_rows(batches: Iterator[pa.RecordBatch], z: Sizes) -> Iterator[pa.Rec
 
 
 def _windows(batch: pa.RecordBatch, z: Sizes) -> Iterator[pa.RecordBatch]:
-    """A hash of every window around each anchor, for groups too large to sort in one task."""
-    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        h, ctx, left, right = row
-        prefix = _prefix(np.frombuffer(left + right, np.uint8))
-        reach = np.arange(max(0, z.length - len(right)), len(left) + 1)
-        start = len(left) - reach
-        digest = mix(mix(_between(prefix, start, start + z.length)) ^ np.uint64(h & (2**64 - 1)) + reach.astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reach), h)), pa.array(np.full(len(reach), ctx)), pa.array(reach, pa.int32()), pa.array(digest.view(np.int64))], names=["h", "ctx", "reach", "digest"])
+    """A digest of every window around each anchor, for groups too large to sort in one task."""
+    for i, tag, pos, h, single, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        data, m = memoryview(left + right), len(left)
+        reach = np.arange(max(0, z.length - len(right)), m + 1, dtype=np.int32)
+        digest = np.array([xxhash.xxh3_64_intdigest(data[m - r : m - r + z.length], r) for r in reach.tolist()], np.uint64).view(np.int64)
+        n = len(reach)
+        columns = [np.full(n, i), np.full(n, tag), np.full(n, pos, np.int32), np.full(n, h), np.full(n, single), reach, digest]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["id", "tag", "pos", "h", "single", "reach", "digest"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text")).withColumn("tag", F.hash("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text")).withColumn("tag", F.xxhash64("text"))
 
 
 def _filtered(texts: DataFrame, ids: DataFrame, anti: bool = False) -> DataFrame | None:
@@ -237,32 +251,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Texts (id, text, tag) and, by id and tag, the spans around anchors whose bytes repeat."""
     z = sizes(length)
     texts = _texts(docs, id_col, text_col)
-    found = map_arrow(texts.where(F.octet_length("text") >= z.length), partial(_anchor_rows, z=z), "id long, loc long, h long, ctx long")
-    # written first: between two plain exchanges, a hot anchor's rows can be split
+    found = materialise(map_arrow(texts.where(F.octet_length("text") >= z.length), partial(_anchor_rows, z=z), "id long, tag long, pos int, h long, ctx long"))
+    # tables are written before they are joined: between two plain exchanges, a hot anchor's rows can be split
     again = materialise(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    shared = materialise(found.join(again, "h", "left_semi"))
-    kinds = materialise(shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "loc")).alias("at")))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("h", "kinds")
-    wanted = materialise(kinds.join(groups, "h").select("h", "ctx", "n", "kinds", "at.id", "at.loc"))
-    by_text = wanted.groupBy("id", F.shiftright("loc", 32).cast("int").alias("tag")).agg(F.collect_list(F.struct(F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "h", "ctx")).alias("wanted"))
+    shared = materialise(found.join(again.hint("merge"), "h", "left_semi"))
+    kinds = materialise(shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "pos")).alias("at")))
+    # an anchor's surroundings that occur again are few as a rule: they go to its places as a list, by one join on the anchor
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("ctx"))
+    often = kinds.where("n > 1").select("h", "ctx").withColumn("rank", rank).where(F.col("rank") <= FEW + 1).groupBy("h").agg(F.collect_list("ctx").alias("often"))
+    known = materialise(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).join(often, "h", "left"))
+    repeated = F.when(F.col("often").isNull(), False).when(F.size("often") <= FEW, F.array_contains("often", F.col("ctx")))
+    placed = materialise(shared.join(known.hint("merge"), "h").select("id", "tag", "pos", "h", "ctx", "kinds", repeated.alias("repeated")))
+    unclear = placed.where("repeated is null")
+    if not unclear.isEmpty():
+        twice = kinds.where("n > 1").select("h", "ctx", F.lit(True).alias("hit"))
+        clear = unclear.join(twice, ["h", "ctx"], "left").withColumn("repeated", F.coalesce("hit", F.lit(False)))
+        placed = placed.where("repeated is not null").unionByName(clear.select(*placed.columns))
+    # surroundings that occur again are repeats outright; those that occur once are compared with all others of their anchor
+    outright = placed.where("repeated").select("id", "tag", "pos", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    one = kinds.where("n > 1").join(known.where("fewest = 1").select("h", "kinds"), "h").select("h", F.lit(False).alias("single"), "kinds", "at.*")
+    wanted = materialise(placed.where("not repeated").select("h", F.lit(True).alias("single"), "kinds", "id", "tag", "pos").unionByName(one))
+    by_text = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("pos", "h", "single")).alias("wanted"))
     some = _filtered(texts, wanted.select("id").distinct())
-    around = map_arrow((texts if some is None else some).join(by_text, ["id", "tag"]).select("text", "wanted"), partial(_cut, z=z), "h long, ctx long, left binary, right binary")
+    around = map_arrow((texts if some is None else some).join(by_text, ["id", "tag"]).select("id", "tag", "text", "wanted"), partial(_cut, z=z), _CONTEXT)
     large = wanted.where(F.col("kinds") > GROUP).select("h").distinct()
-    if large.isEmpty():
-        regular, resolved_large = around, None
-    else:
+    counted, columns = None, ["id", "tag", "pos", "h", "single", "left", "right"]
+    if not large.isEmpty():
         around = materialise(around)
-        regular = around.join(large, "h", "left_anti")
-        digests = map_arrow(around.join(large, "h", "left_semi"), partial(_windows, z=z), "h long, ctx long, reach int, digest long")
-        twice = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        resolved_large = digests.join(twice, "digest", "left_semi").groupBy("h", "ctx").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+        digests = map_arrow(around.join(large, "h", "left_semi").select(*columns), partial(_windows, z=z), "id long, tag long, pos int, h long, single boolean, reach int, digest long")
+        twice = digests.groupBy("h", "digest").agg(F.count("*").alias("n")).where("n > 1").select("h", "digest")
+        counted = digests.where("single").join(twice, ["h", "digest"], "left_semi").groupBy("id", "tag", "pos").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+        around = around.join(large, "h", "left_anti")
     n = partitions(docs.sparkSession)
-    expanded = regular.repartition(n, "h").sortWithinPartitions("h").mapInArrow(partial(_expand_rows, z=z), "h long, ctx long, lo int, hi int")
-    if resolved_large is not None:
-        expanded = expanded.unionByName(resolved_large)
-    whole = kinds.where("n > 1").select("h", "ctx", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
-    single = expanded.join(wanted.where("n = 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
-    spans = shared.join(whole.unionByName(single), ["h", "ctx"]).select("id", F.shiftright("loc", 32).cast("int").alias("tag"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "lo", "hi")
+    spans = around.select(*columns).repartition(n, "h").sortWithinPartitions("h").mapInArrow(partial(_expand_rows, z=z), _HIT).unionByName(outright)
+    if counted is not None:
+        spans = spans.unionByName(counted)
     return texts, materialise(spans.groupBy("id", "tag").agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("spans")))
 
 
@@ -295,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else too, in this text or another; strings never cross texts and are judged
     on the input. A null text is empty. Rows that repeat a text lose it whole if
     it has ``length`` bytes or more. ``kept`` may end inside a character. ``tag``
-    is a hash of the input text that tells rows with equal ids apart; a null id
+    is a 64-bit hash of the input text that tells rows with equal ids apart; a null id
     stays null. Other columns are ignored.
     """
     z = sizes(length)
@@ -304,28 +327,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some, rest = _filtered(texts, ids), _filtered(texts, ids, anti=True)
     untouched = lambda x: x.select("id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     both = (texts if some is None else some).join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans")
-    out = map_arrow(both.where("spans is not null"), partial(_strip, z=z), "id long, tag int, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(untouched(both.where("spans is null")))
+    out = map_arrow(both.where("spans is not null"), partial(_strip, z=z), "id long, tag long, n_bytes long, n_removed long, n_spans long, kept binary").unionByName(untouched(both.where("spans is null")))
     if rest is not None:
         out = out.unionByName(untouched(rest))
     return out.withColumn(id_col, F.when(F.col("id") != _NO_ID, F.col("id"))).select(id_col, "tag", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """:func:`remove_repeats` with a SHA-256 of the bytes that stay in their place."""
+    """:func:`remove_repeats` with a SHA-256 of the bytes that stay in their place, and the text that they leave.
+
+    In ``text``, bytes of a character that was cut through are left out; a null text is empty.
+    """
     out = remove_repeats(docs, id_col, text_col, length)
-    return out.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _whole(F.col("kept")).alias("text"))
+
+
+def _whole(kept: Column) -> Column:
+    """The bytes as text, without those of characters that were cut through."""
+    text = kept.cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.regexp_replace(F.make_valid_utf8(text), "\uFFFD", ""))
 
 
 def strip_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeats taken out of the text; bytes of a character that was cut through go too.
 
     Rows are matched by id and text, so rows that repeat both get the same text;
-    a null text stays null. Columns __tag and __kept must be free.
+    a null text stays null. Columns __id, __own, __tag and __kept must be free.
     """
+    if taken := {"__id", "__own", "__tag", "__kept"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are taken")
     kept = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0")
     kept = kept.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.first("kept").alias("__kept"))
-    tagged = docs.withColumn("__own", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
+    tagged = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "left")
-    whole = F.try_validate_utf8(F.col("__kept").cast("string"))
-    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "\uFFFD", "")))
+    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(_whole(F.col("__kept")))
     return joined.withColumn(text_col, text).select(*docs.columns)
