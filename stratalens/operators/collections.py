@@ -13,6 +13,8 @@ from .geo import ROMAN
 
 MONTH_LEAST, DAY_LEAST, DAY_FACTOR, DAYS, SPLIT_LEAST, SPLITS = 5, 10, 3.0, 30, 3, 60
 SIMILAR, CLUSTER_LEAST, NAME_LEAST, CLUSTERS = 0.76, 5, 0.17, 40
+#: Vectors of a block.
+BLOCK = 4096
 
 
 def years(images: DataFrame) -> DataFrame:
@@ -70,41 +72,73 @@ def time_albums(images: DataFrame, factor: float = DAY_FACTOR) -> DataFrame:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    norm = np.linalg.norm(x, axis=-1, keepdims=True)
     return x / np.where(norm == 0, 1, norm)
 
 
-def greedy_clusters(vectors: DataFrame, group: str | None = None, threshold: float = SIMILAR, least: int = CLUSTER_LEAST) -> DataFrame:
-    """(group, id, cluster): leader clustering in order of ``seq``, then each vector moves to its best centroid.
+def _lead(vectors: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums, counts and founders of the leaders of rows in order: a row joins the best centroid at the threshold or founds one."""
+    sums, units, n, first, k = np.empty_like(vectors), np.empty_like(vectors), np.empty(len(vectors)), np.empty(len(vectors), int), 0
+    for i, (v, count) in enumerate(zip(vectors, counts, strict=True)):
+        if k:
+            sim = units[:k] @ _unit(v)
+            best = int(sim.argmax())
+            if sim[best] >= threshold:
+                sums[best] += v
+                n[best] += count
+                units[best] = _unit(sums[best])
+                continue
+        sums[k], n[k], first[k], units[k] = v, count, i, _unit(v)
+        k += 1
+    return sums[:k], n[:k], first[:k]
+
+
+def greedy_clusters(vectors: DataFrame, group: str | None = None, threshold: float = SIMILAR, least: int = CLUSTER_LEAST, block: int = BLOCK) -> DataFrame:
+    """(group, id, cluster): leader clustering in order of the number ``seq``, then each vector moves to its best centroid.
 
     ``vectors(id, seq, vector[, group])``. A vector joins the first-best centroid
-    at the threshold or founds one; centroids are running means. The pass is
-    sequential within a group, so partition by library or month; clusters under
-    ``least`` members are dropped and the rest numbered by founding.
+    at the threshold or founds one; centroids are running means. The result
+    depends on the order, so the order is part of the definition: a group of more
+    than ``block`` vectors is dealt into blocks by a hash of the id, each finds
+    its leaders in order of seq, and the leaders are led in turn, in order of
+    their founders. So a task holds one block, or a group's leaders and one
+    block. Clusters under ``least`` members are dropped and the rest numbered by
+    founding; a vector under the threshold everywhere is in none.
     """
-    keyed = vectors.withColumn("__group", F.col(group).cast("string") if group else F.lit(""))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x = _unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
-        sums: list[np.ndarray] = []
-        for v in x:
-            if sums:
-                sim = _unit(np.stack(sums)) @ v
-                best = int(sim.argmax())
-                if sim[best] >= threshold:
-                    sums[best] = sums[best] + v
-                    continue
-            sums.append(v.copy())
-        sim = x @ _unit(np.stack(sums)).T
-        owner = np.where(sim.max(axis=1) >= threshold, sim.argmax(axis=1), -1)
-        size = np.bincount(owner[owner >= 0], minlength=len(sums))
-        keep = (owner >= 0) & (size[owner] >= least)
-        number = np.cumsum(size >= least) - 1
-        return pd.DataFrame({"__group": pdf["__group"][keep], "id": pdf["id"][keep], "cluster": number[owner[keep]]})
+    key = F.col(group).cast("string") if group else F.lit("")
+    keyed = vectors.select(key.alias("group"), "id", F.col("seq").cast("double").alias("seq"), F.col("vector").cast("array<double>").alias("vector"))
+    sizes = keyed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = keyed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    stacked = lambda pdf, c: np.stack(pdf[c].to_numpy()).astype(np.float64)
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "id"])
+        sums, n, first = _lead(_unit(stacked(pdf, "vector")), np.ones(len(pdf)), threshold)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "blocks": pdf["blocks"].iloc[0], "seq": pdf["seq"].to_numpy()[first], "n": n, "total": list(sums)})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        total, first = stacked(pdf, "total"), np.arange(len(pdf))
+        if pdf["blocks"].iloc[0] > 1:
+            total, _, first = _lead(total, pdf["n"].to_numpy(), threshold)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "blocks": pdf["blocks"].iloc[0], "centre": np.arange(len(first)), "total": list(total)})
+
+    def assign(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"group": [], "id": [], "centre": []})
+        centres = centres.sort_values("centre")
+        sim = _unit(stacked(own, "vector")) @ _unit(stacked(centres, "total")).T
+        best, near = sim.argmax(axis=1), sim.max(axis=1) >= threshold
+        return pd.DataFrame({"group": own["group"][near], "id": own["id"][near], "centre": centres["centre"].to_numpy()[best[near]]})
 
     kind = dict(vectors.dtypes)["id"]
-    return keyed.select("__group", "id", "seq", "vector").groupBy("__group").applyInPandas(cluster, f"__group string, id {kind}, cluster int").withColumnRenamed("__group", "group")
+    leaders = placed.groupBy("group", "block").applyInPandas(lead, "group string, blocks int, seq double, n double, total array<double>")
+    merged = leaders.groupBy("group").applyInPandas(merge, "group string, blocks int, centre int, total array<double>")
+    spread = merged.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    assigned = placed.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInPandas(assign, f"group string, id {kind}, centre int")
+    kept = assigned.groupBy("group", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    numbered = kept.withColumn("cluster", F.row_number().over(Window.partitionBy("group").orderBy("centre")) - 1)  # a group's clusters
+    return assigned.join(numbered, ["group", "centre"]).select("group", "id", F.col("cluster").cast("int").alias("cluster"))
 
 
 def name_clusters(centroids: DataFrame, labels: DataFrame, least: float = NAME_LEAST, other: str = "Moments") -> DataFrame:

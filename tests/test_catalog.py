@@ -161,6 +161,8 @@ def test_greedy_clusters_names_and_selection(spark):
     rows = [(i, i, (e[0] + 0.05 * e[2] * i).tolist()) for i in range(5)] + [(10 + i, 10 + i, e[1].tolist()) for i in range(5)] + [(20, 20, e[3].tolist())]
     got = {r.id: r.cluster for r in collections.greedy_clusters(spark.createDataFrame(rows, "id long, seq long, vector array<double>")).collect()}
     assert got == {**{i: 0 for i in range(5)}, **{10 + i: 1 for i in range(5)}}
+    blocks = collections.greedy_clusters(spark.createDataFrame(rows, "id long, seq long, vector array<double>"), block=3).collect()
+    assert {r.id: r.cluster for r in blocks} == got
     centroids = spark.createDataFrame([(0, e[0].tolist()), (1, e[3].tolist())], "cluster int, vector array<double>")
     labels = spark.createDataFrame([("sky", e[0].tolist()), ("sea", e[1].tolist())], "label string, label_vector array<double>")
     assert {r.cluster: r.name for r in collections.name_clusters(centroids, labels).collect()} == {0: "sky", 1: "Moments"}
