@@ -247,3 +247,18 @@ def clusterable(images: DataFrame, vectors: DataFrame) -> DataFrame:
 def group_totals(clusters: DataFrame) -> DataFrame:
     """(group, clusters, n): members of all clusters that share a group, a cluster without one by its name."""
     return clusters.groupBy(F.coalesce(F.nullif("group", F.lit("")), "name").alias("group")).agg(F.count("*").alias("clusters"), F.sum("size").alias("n"))
+
+
+def tag_list(tags: DataFrame) -> DataFrame:
+    """Tags by name."""
+    return tags.orderBy("name")
+
+
+def cluster_list(clusters: DataFrame) -> DataFrame:
+    """Clusters by group and then by name, whatever their case; one without a group goes by its name."""
+    return clusters.orderBy(F.lower(F.coalesce(F.nullif("group", F.lit("")), "name")), F.lower("name"))
+
+
+def album_list(albums: DataFrame) -> DataFrame:
+    """Albums, the newest first."""
+    return albums.orderBy(F.desc("created_at"), "id")

@@ -254,3 +254,14 @@ def promote(staged: DataFrame) -> DataFrame:
     """Per content, the first selected and processed row that isn't in the library: what a commit imports."""
     ready = staged.where("selected and processed and library_id is null")
     return ready.groupBy("sha").agg(F.min_by(F.struct(*staged.columns), "seq").alias("__row")).select("__row.*")
+
+
+def unprocessed(staged: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Files of open sessions that were not analysed: what a restart takes up again. ``sessions(session_id, status)``."""
+    return staged.where("not processed").join(sessions.where("status = 'staging'").select("session_id"), "session_id", "left_semi")
+
+
+def scan_status(actions: DataFrame, listed: DataFrame) -> DataFrame:
+    """(scanned, added, relocated) of a scan from its ``actions(path, action)`` and the files it listed."""
+    counted = actions.agg(F.count_if(F.col("action") == "index").alias("added"), F.count_if(F.col("action") == "relocate").alias("relocated"))
+    return listed.agg(F.count("*").alias("scanned")).crossJoin(F.broadcast(counted))
