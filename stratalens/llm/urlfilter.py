@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import ascii_lower
+from .core import ascii_lower, materialise
 
 #: Verdict, host and path; the longest rule that fits decides.
 RULES = (
@@ -23,6 +23,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 BITS_PER_URL, WORDS = 16, 8
+#: Bytes of a filter up to which it is broadcast.
+BROADCAST = 64 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -66,14 +68,19 @@ def bloom(listed: DataFrame) -> tuple[DataFrame, int]:
 
 
 def listed_hits(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """The distinct values of ``urls.canon`` that are in ``listed.canon``."""
+    """The distinct values of ``urls.canon`` that are in the distinct ``listed.canon``.
+
+    A filter of bounded size goes to all tasks, so only what passes it is
+    shuffled; a larger one is joined by block.
+    """
     table, blocks = bloom(listed)
-    probes = urls.select("canon").where("canon is not null").distinct().withColumn("block", _block(F.col("canon"), blocks))
-    passed = probes.join(table, "block")
+    probes = urls.select("canon").where("canon is not null")
+    small = blocks * WORDS * 8 <= BROADCAST
+    passed = (probes if small else probes.distinct()).withColumn("block", _block(F.col("canon"), blocks)).join(F.broadcast(table) if small else table, "block")
     for k in range(WORDS):
         bit = _bit(F.col("canon"), k)
         passed = passed.where(F.col(f"w{k}").bitwiseAND(bit) == bit)
-    return passed.select("canon").join(listed.select("canon"), "canon", "left_semi")
+    return passed.select("canon").distinct().join(listed.select("canon"), "canon", "left_semi")
 
 
 def crawler_traps(pages: DataFrame, url_col: str = "url", spellings: int = 2) -> DataFrame:
@@ -93,7 +100,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame | None = None, id_col: str =
     columns are ignored.
     """
     url = F.col(url_col)
-    listed = (crawler_traps(pages, url_col) if listed is None else listed.select("canon").where("canon is not null").distinct())
+    listed = materialise(crawler_traps(pages, url_col) if listed is None else listed.select("canon").where("canon is not null").distinct())
     parts = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": name, "verdict": verdict, "canon": F.when(F.col("host") != "", canonical(F.col("host"), F.col("path")))})
