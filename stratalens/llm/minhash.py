@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct five-word shingles; component_id is the smallest id reachable and
     kept marks it. Null or blank texts have no shingles, form a component alone
     and are kept. A null id is never linked: its component_id is null and it is
-    kept. Rows that repeat an id each get a row, judged by their own text.
+    kept. Rows that repeat an id each get a row and count as one document:
+    what is linked with the text of one is linked with all of them.
     Other columns of ``docs`` are ignored, whatever their names.
     """
     signed = materialise(signatures(docs, id_col, text_col))
@@ -205,7 +206,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id; rows that repeat it go too."""
+    """``docs`` with one document of each group: the one with the smallest id.
+
+    Of rows that repeat that id the one whose text has the smallest hash stays,
+    then the smallest by the other columns. Rows with a null id all stay.
+    Column __id must be free, which is checked.
+    """
+    if "__id" in docs.columns:
+        raise ValueError("__id is taken")
     kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__id")).distinct()
     first = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return first.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(first.where(F.col(id_col).isNull()))
+    order = F.struct(F.xxhash64(text_col), *[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    one = first.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    return one.unionByName(first.where(F.col(id_col).isNull()))
