@@ -35,8 +35,12 @@ _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words: digits, ASCII letters and everything beyond ASCII."""
-    return F.array_remove(F.split(F.lower(text), _BREAKS), "")
+    """Lower-cased words: digits, ASCII letters and everything beyond ASCII.
+
+    Phrases are plain ASCII, and the Kelvin sign is the one character beyond
+    A-Z that would become an ASCII letter: it is kept from that.
+    """
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u0138"))), _BREAKS), "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
