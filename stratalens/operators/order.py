@@ -93,7 +93,12 @@ def destinations(files: DataFrame, taken: DataFrame) -> DataFrame:
 
     columns = [F.col("__family"), F.col("day").cast("string").alias("day"), "name"]
     new = keyed(files).select(*columns, "id", "seq", F.col("__stem").alias("stem"), F.col("__ext").alias("ext"))
-    settled = new.groupBy("__family").cogroup(keyed(taken).select(*columns).groupBy("__family")).applyInPandas(settle, f"id {dict(files.dtypes)['id']}, day string, name string")
+    old = keyed(taken).select(*columns)
+    # a family of one file and no taken name needs no settling
+    crowded = new.select("__family").unionByName(old.select("__family")).groupBy("__family").count().where("count > 1").select("__family")
+    lone = new.join(crowded, "__family", "left_anti").select("id", "day", "name")
+    groups = new.join(crowded, "__family", "left_semi").groupBy("__family").cogroup(old.groupBy("__family"))
+    settled = groups.applyInPandas(settle, f"id {dict(files.dtypes)['id']}, day string, name string").unionByName(lone)
     return settled.select("id", F.concat_ws("/", F.substring("day", 1, 4), "day", "name").alias("path"))
 
 
