@@ -26,9 +26,12 @@ def name_date(name: Column) -> Column:
     ).cast("timestamp_ntz")
 
 
-def capture_date(original: Column, created: Column, modified: Column, name: Column, mtime: Column) -> Column:
-    """The first that is known: metadata dates in turn, the file name, the file's time."""
-    return F.coalesce(metadata_date(original), metadata_date(created), metadata_date(modified), name_date(name), mtime)
+def capture_date(metadata: list[Column], name: Column, mtime: Column) -> Column:
+    """The first that is known: metadata dates in turn, the file name, the file's time.
+
+    The turn of metadata: original, created, the two of XMP (date created, created), modified.
+    """
+    return F.coalesce(*map(metadata_date, metadata), name_date(name), mtime)
 
 
 def seconds_apart(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import develop
 from . import entity
-from .filters import has_edit
+from .filters import clean_rule, has_edit
 
 CONFIRMATION = "DELETE"
 #: The tag that edited rows carry, and geometry without an edit.
@@ -262,6 +262,46 @@ def sync_with_library(images: DataFrame, links: dict[str, DataFrame], files: Dat
     return now, children, report
 
 
+#: What a baked copy takes from its source; the lens and the country are not among them.
+INHERITED = ("owner_id", "taken_at", "camera_make", "camera_model", "iso", "aperture", "shutter_speed", "focal_length", "gps_lat", "gps_lon")
+
+
+def save_copy(images: DataFrame, source_id: int, new_id: int, file: dict, adjustments: str | None = None) -> DataFrame:
+    """``images`` with a baked copy of a row: a managed JPEG with the fields of ``file`` and the look that was baked in.
+
+    ``file`` names columns and their values, such as the path, name, hash and size; other columns are null.
+    """
+    kinds = dict(images.dtypes)
+    look = develop.dumped(develop.normalised(F.lit(adjustments).cast("string")))
+    values = {"id": F.lit(new_id), "file_type": F.lit("jpeg"), "applied_adjustments": look, "rating": F.lit(0), "color_label": F.lit("none"), "edit_rev": F.lit(0)} | {k: F.lit(v) for k, v in file.items()}
+    copy = images.where(F.col("id") == source_id).select(*[values.get(c, F.col(c) if c in INHERITED else F.lit(None)).cast(kinds[c]).alias(c) for c in images.columns])
+    return images.unionByName(copy)
+
+
+def create_album(albums: DataFrame, album_id: int, name: str, rule: list[str] | None = None) -> DataFrame:
+    """``albums(id, name, tag_filter)`` with a new one; its rule is cleaned, an empty one is null."""
+    kinds = dict(albums.dtypes)
+    row = {"id": F.lit(album_id), "name": F.lit(name), "tag_filter": _rule_text(rule or [])}
+    return albums.unionByName(albums.sparkSession.range(1).select(*[row.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in albums.columns]))
+
+
+def _rule_text(names: list[str]) -> Column:
+    clean = clean_rule(F.array(*map(F.lit, names)).cast("array<string>"))
+    return F.when(F.size(clean) > 0, F.to_json(clean))
+
+
+def update_album(albums: DataFrame, album_id: int, name: str | None = None, rule: list[str] | None = None) -> DataFrame:
+    """Name or rule of an album; what is None stays, an empty rule becomes null."""
+    values = {k: v for k, v in (("name", F.lit(name)), ("tag_filter", _rule_text(rule or []))) if (name if k == "name" else rule) is not None}
+    mine = F.col("id") == album_id
+    return albums.select(*[F.when(mine, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in albums.columns])
+
+
+def delete_album(albums: DataFrame, links: DataFrame, album_id: int) -> tuple[DataFrame, DataFrame]:
+    """(albums, links) without an album; its images stay."""
+    return albums.where(F.col("id") != album_id), links.where(F.col("album_id") != album_id)
+
+
 def rename(images: DataFrame, row_id: int, name: str) -> DataFrame:
     """A row and its partner take a new stem and keep their extensions; a taken name is refused."""
     stem = F.lit(name)

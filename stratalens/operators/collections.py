@@ -244,6 +244,18 @@ def clusterable(images: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "vector").join(shown, "id")
 
 
+def repaired(clusters: DataFrame, live: DataFrame, least: int = CLUSTER_LEAST) -> DataFrame:
+    """``clusters(cluster, name, group, image_ids, cover)`` without ids that are gone.
+
+    Clusters left with too few members go; a cover that is gone gives way to the first member.
+    """
+    members = clusters.select("cluster", F.posexplode("image_ids").alias("pos", "id")).join(live.select("id"), "id", "left_semi")
+    ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
+    left = members.groupBy("cluster").agg(F.transform(ids, lambda x: x["id"]).alias("__ids")).where(F.size("__ids") >= least)
+    cover = F.when(F.array_contains("__ids", F.col("cover")), F.col("cover")).otherwise(F.col("__ids")[0])
+    return clusters.join(left, "cluster").select("cluster", "name", F.coalesce(F.nullif("group", F.lit("")), "name").alias("group"), F.col("__ids").alias("image_ids"), cover.alias("cover"))
+
+
 def group_totals(clusters: DataFrame) -> DataFrame:
     """(group, clusters, n): members of all clusters that share a group, a cluster without one by its name."""
     return clusters.groupBy(F.coalesce(F.nullif("group", F.lit("")), "name").alias("group")).agg(F.count("*").alias("clusters"), F.sum("size").alias("n"))

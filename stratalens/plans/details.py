@@ -182,3 +182,27 @@ def justified_rows(spark, sf_dir):
     # four squares of 100 and their gaps fill 412 exactly
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("section"), F.col("event_id").alias("pos"), F.lit(1.0).alias("aspect"))
     return order.justified_rows(e, 412.0, 100.0).select("section", "pos", F.col("row").cast("long").alias("row"))
+
+
+# ---- clusters, copies, albums -----------------------------------------------
+
+
+@query("WITH m AS (SELECT label AS cluster, vec_id AS id, max(vec_id) OVER (PARTITION BY label) AS cover FROM embeddings), k AS (SELECT m.* FROM m JOIN v_live i ON i.id = m.id) SELECT cluster, count(*) AS n, min(id) AS first, CASE WHEN bool_or(id = cover) THEN max(cover) ELSE min(id) END AS cover FROM k GROUP BY 1 HAVING count(*) >= 5")
+def clusters_repaired(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"))
+    c = v.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("image_ids"), F.max("id").alias("cover")).select("cluster", F.col("cluster").cast("string").alias("name"), F.lit("").alias("group"), "image_ids", "cover")
+    out = collections.repaired(c, views.live(spark, sf_dir))
+    return out.select("cluster", F.size("image_ids").cast("long").alias("n"), F.col("image_ids")[0].alias("first"), "cover")
+
+
+@query("SELECT id, taken_at, camera_model, lens_model, gps_lat, gps_country, file_type, original_filename, source_root_id FROM v_image UNION ALL SELECT -1, taken_at, camera_model, NULL, gps_lat, NULL, 'jpeg', 'copy_edit-1.jpg', NULL FROM v_image WHERE id = 22")
+def copy_saved(spark, sf_dir):
+    out = changes.save_copy(views.images(spark, sf_dir), 22, -1, {"original_filename": "copy_edit-1.jpg"}, '{"contrast": 3}')
+    return out.select("id", "taken_at", "camera_model", "lens_model", "gps_lat", "gps_country", "file_type", "original_filename", "source_root_id")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN 'Trips' ELSE s_name END AS name, CASE WHEN s_suppkey = 3 THEN '[\"a\",\"b\"]' WHEN s_suppkey <> 4 THEN '[\"x\"]' END AS tag_filter FROM supplier WHERE s_suppkey <> 5 UNION ALL SELECT -1, 'New', NULL")
+def albums_changed(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit('["x"]').alias("tag_filter"))
+    a = changes.update_album(changes.create_album(a, -1, "New", [" "]), 3, "Trips", ["a ", "b", "a"])
+    return changes.delete_album(changes.update_album(a, 4, rule=[]), views.album_images(spark, sf_dir), 5)[0]

@@ -508,7 +508,7 @@ def capture_dates(spark, sf_dir):
     text = F.when(k == 0, F.date_format("taken_at", "yyyy:MM:dd HH:mm:ss"))
     name = F.when(k == 1, F.concat(F.lit("trip_"), F.date_format("taken_at", "yyyyMMdd"), F.lit(".jpg"))).otherwise(F.lit("trip.jpg"))
     none = F.lit(None).cast("string")
-    return i.select("id", dates.capture_date(none, text, none, name, F.col("imported_at")).cast("timestamp_ntz").alias("captured"))
+    return i.select("id", dates.capture_date([none, none, text, none, none], name, F.col("imported_at")).cast("timestamp_ntz").alias("captured"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN taken_at + INTERVAL 7 SECOND ELSE cast(taken_at AS date) + INTERVAL 12 HOUR END AS named FROM v_image")

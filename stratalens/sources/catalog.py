@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings
-from ..operators import order
+from ..operators import collections, entity, order
 
 VERSION = 2
 #: The fields of the slim index, beside the capture time and the version of the cached render.
@@ -105,10 +105,12 @@ def export_names(images: DataFrame, requested: list[int]) -> DataFrame:
     return order.numbered_names(F.broadcast(wanted).join(images.select("id", "original_filename"), "id"), "original_filename", [F.col("pos")]).select("pos", "id", "archive_name")
 
 
-def write_backup(images: DataFrame, albums: DataFrame, album_images: DataFrame, path: str) -> None:
-    """Three JSON tables and a manifest. Rows of source roots aren't backed up, and album rules aren't either."""
+def write_backup(images: DataFrame, albums: DataFrame, album_images: DataFrame, path: str, links: DataFrame | None = None) -> None:
+    """Three JSON tables and a manifest; images carry their tags. Rows of source roots aren't backed up, and album rules aren't either."""
     spark = images.sparkSession
     managed = images.where("source_root_id is null")
+    if links is not None:
+        managed = managed.join(entity.tags_of(managed, links), "id")
     managed.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/images")
     albums.drop("rule").write.mode("overwrite").json(f"{path}/albums")
     album_images.join(managed.select(F.col("id").alias("image_id")), "image_id", "left_semi").write.mode("overwrite").json(f"{path}/album_images")
@@ -124,6 +126,34 @@ def read_backup(spark: SparkSession, path: str, schema, defaults: dict[str, Colu
     return rows.withColumns({c: F.coalesce(F.col(c), d) for c, d in (defaults or {}).items()})
 
 
+def save_clusters(clusters: DataFrame, signature: DataFrame, path: str) -> None:
+    """A snapshot of derived clusters beside the one-row signature of what they were built from; the signature is written last."""
+    clusters.write.mode("overwrite").parquet(f"{path}/clusters")
+    signature.write.mode("overwrite").parquet(f"{path}/signature")
+
+
+def load_clusters(spark: SparkSession, path: str, live: DataFrame, signature: DataFrame) -> tuple[DataFrame, bool]:
+    """The clusters without ids that are gone, and whether they are current: built from what ``signature`` says now."""
+    was = spark.read.parquet(f"{path}/signature")
+    current = not was.exceptAll(signature.select(*was.columns)).union(signature.select(*was.columns).exceptAll(was)).limit(1).count()
+    return collections.repaired(spark.read.parquet(f"{path}/clusters"), live), current
+
+
+def restored(spark: SparkSession, path: str, schema, defaults: dict[str, Column] | None = None) -> dict[str, DataFrame]:
+    """The tables of a backup: images, image_tags, albums, album_images.
+
+    Tags come from the images' records, none in old ones. A partner that the
+    backup lacks is left out, as rows of source roots are.
+    """
+    rows = read_backup(spark, path, schema, defaults)
+    there = rows.select(F.col("id").alias("__id"))
+    images = rows.join(there, F.col("paired_image_id") == F.col("__id"), "left").withColumn("paired_image_id", F.col("__id")).drop("__id")
+    tags = F.coalesce("tags", F.array().cast("array<string>")) if "tags" in rows.columns else F.array().cast("array<string>")
+    links = rows.select(F.col("id").alias("image_id"), F.explode(tags).alias("name")).distinct()
+    other = {t: spark.read.json(f"{path}/{t}") for t in ("albums", "album_images")}
+    return {"images": images.drop("tags"), "image_tags": links} | other
+
+
 def record(images: DataFrame) -> DataFrame:
     """(id, record): every column of a row as JSON."""
     return images.select("id", F.to_json(F.struct("*")).alias("record"))
