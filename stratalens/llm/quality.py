@@ -1,14 +1,18 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
-Two generative models are fitted over hashed n-gram features, one for target text
-(labelled good and not toxic) and one for the raw corpus. A document's log
-weight is the sum of min(0, log(p_target / p_raw)) over its distinct features, of
-which only those count that labelled non-target documents bear out and that are
-ten times rarer in target ones: without that, words of any one group of copies
-would count against its members. So it is not the whole ratio: evidence for the
-target is left out, and a text without such a feature has weight 0. Keys are
-log weight / temperature plus Gumbel noise, and the k largest keys are kept;
-k is the number of documents whose log weight is over the cutoff.
+Two generative models say in what share of texts a hashed feature occurs: one
+of target text (labelled good and not toxic), one of the raw corpus, counted
+over all documents. A document's log weight is the sum of log(p_target / p_raw)
+over its distinct features, of either sign. Each log ratio is shrunk by how
+surely the labels tell target from raw text at that feature: with z the
+deviation of the feature's labelled target count from what its labelled count
+gives, by max(0, 1 - (SURE / z)**2). So rare words, and those of a group of
+copies, weigh little or nothing, as nothing is known about them.
+
+Keys are log weight / temperature plus Gumbel noise, and the k largest keys are
+kept, which draws k documents without replacement in proportion to their
+weights; k is the number of documents whose weight is at least that of all but
+a hundredth of the labelled target ones.
 
 Features: each word in lower case, and trigrams of word shapes (upper case,
 digits, punctuation, or the same word again), which carry what is wrong with
@@ -24,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .core import map_arrow, materialise, slices
 from .hashing import mix
@@ -31,9 +36,10 @@ from .pretokens import distinct, parts, split
 
 #: Labelled documents at most that the target model is fitted on, taken evenly by a hash of the id.
 LABELLED = 200_000
-#: Share of labelled non-target documents, and number, that a feature needs to count; its rate among target documents against theirs.
-SUPPORT, LEAST, RARER = 0.01, 3, 0.1
-SMOOTHING, CUTOFF, TEMPERATURE = 1.0, -1.0, 0.05
+#: Buckets of hashed features; deviations under which a feature says nothing; what is added to counts.
+BUCKETS, SURE, SMOOTHING = 1 << 20, 2.0, 0.5
+#: Share of the labelled target documents that may weigh less than what is drawn; how much the noise counts.
+LEAVE, TEMPERATURE = 0.01, 0.5
 SAME, LOWER, UPPER, DIGIT = 0, 1, 2, 3
 
 
@@ -46,7 +52,7 @@ def _shape(word: str) -> int:
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of the distinct features of each text."""
+    """Row and bucket of the distinct features of each text."""
     rows_of, keys_of = [], []
     for part in parts(texts):
         joined, start, end, hashed, row = split([x for _, x in part], False)
@@ -70,102 +76,115 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keys_of += [word[pairs % len(words)], shapes[more % max(1, len(shapes))] if len(shapes) else shapes]
     if not rows_of:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, key = np.concatenate(rows_of), np.concatenate(keys_of).view(np.int64)
+    row, key = np.concatenate(rows_of), (mix(np.concatenate(keys_of)) % np.uint64(BUCKETS)).astype(np.int64)
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     first = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))
     return row[first], key[first]
 
 
-_COUNTS = "key long, first long, second long, total boolean"
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task and bucket, target and other labelled documents that have it."""
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for batch in batches:
+        for part in slices(batch, "text", 2_000_000):
+            row, key = features([x or "" for x in part.column("text").to_pylist()])
+            target = part.column("target").to_numpy(zero_copy_only=False)[row]
+            counts += np.bincount(key[target], minlength=BUCKETS), np.bincount(key[~target], minlength=BUCKETS)
+    some = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0][some]), pa.array(counts[1][some])], names=["key", "target", "other"])
 
 
-def _rows(key: np.ndarray, first: np.ndarray, second: np.ndarray, totals: tuple[int, int]) -> pa.RecordBatch:
-    """Counts by feature and one row of totals."""
-    columns = [np.append(x, y).astype(np.int64) for x, y in zip((key, first, second), (0, *totals), strict=True)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) == len(key))], names=["key", "first", "second", "total"])
+_SLICES, _PARTS = 32, "slice int, documents long, counts binary"
 
 
-def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice and feature, target and non-target documents that have it."""
-    for batch in batches:
-        for part in slices(batch, "text", 16_000_000):
-            target = part.column("kind").to_numpy() == 1
-            row, key = features([x or "" for x in part.column("text").to_pylist()])
-            keys, which = np.unique(key, return_inverse=True)
-            first = np.bincount(which, weights=target[row], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first), pa.array(np.bincount(which, minlength=len(keys)) - first)], names=["key", "target", "other"])
+def _parts(counts: list[np.ndarray], documents: list[int], numbers: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(documents, pa.int64()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["slice", "documents", "counts"])
 
 
-def _count_candidates(candidates: np.ndarray):
-    """Per task and candidate, documents that have it, and target ones; in all, the features of either."""
+def _count_raw(wanted: np.ndarray):
+    """Per task, in how many documents each wanted bucket is, as a few arrays; and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, totals = np.zeros(len(candidates), np.int64), np.zeros(2, np.int64)
+        raw, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                row, key = features([x or "" for x in part.column("text").to_pylist()])
-                at = np.minimum(np.searchsorted(candidates, key), len(candidates) - 1)
-                raw += np.bincount(at[candidates[at] == key], minlength=len(candidates))
-                totals += len(key), int((part.column("kind").to_numpy()[row] == 1).sum())
-        yield _rows(candidates, raw, np.zeros(len(raw)), tuple(totals.tolist()))
+            for part in slices(batch, "text", 2_000_000):
+                raw += np.bincount(features([x or "" for x in part.column("text").to_pylist()])[1], minlength=BUCKETS)
+                total += part.num_rows
+        yield _parts(np.array_split(raw[wanted], _SLICES), [total] * _SLICES, list(range(_SLICES)))
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features that count and their log ratios; empty without labels of both kinds.
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each slice's arrays, one after another."""
+    sums: dict[int, np.ndarray] = {}
+    totals: dict[int, int] = {}
+    for batch in batches:
+        for k, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+            totals[k] = totals.get(k, 0) + n
+    if sums:
+        yield _parts(list(sums.values()), list(totals.values()), list(sums))
 
-    Their number is bounded whatever the input's size: each is in a share of
-    ``SUPPORT`` of the labelled non-target documents.
-    """
+
+def targets(labels: DataFrame) -> DataFrame:
+    """(__label, target) of labelled ids: whether good and not toxic; ``LABELLED`` at most."""
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     share = min(1.0, LABELLED / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    own = own.select(F.col("doc_id").alias("__label"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(2).alias("kind"))
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("__id") == F.col("__label"), "left")
-    labelled = marked.where("kind is not null").select("text", "kind")
-    totals = labelled.agg(F.count_if(F.col("kind") == 1).alias("target"), F.count_if(F.col("kind") == 2).alias("other")).first()
-    none = np.zeros(0, np.int64), np.zeros(0)
-    if not totals["target"] or not totals["other"]:
-        return none
+    return own.select(F.col("doc_id").alias("__label"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+
+
+def log_ratios(target, other, raw, targets: int, others: int, documents: int):
+    """The shrunk log ratios of features from their counts, and the numbers of target, other and all documents."""
+    share = targets / (targets + others)
+    expected = (target + other) * share
+    z = (target - expected) / np.sqrt(expected * (1 - share) + SMOOTHING)
+    shrink = np.maximum(0.0, 1 - (SURE / np.maximum(np.abs(z), 1e-9)) ** 2)
+    return np.log((target + SMOOTHING) / (raw * (targets / documents) + SMOOTHING)) * shrink
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
+    """The log ratio of every bucket; None without labels of both kinds.
+
+    What reaches the driver is bounded by the number of buckets, whatever the
+    input's size: buckets at which the labels say something.
+    """
+    own = targets(labels)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    labelled = texts.join(F.broadcast(own), F.col("__id") == F.col("__label")).select("text", "target")
+    n = labelled.agg(F.count_if("target").alias("target"), F.count_if(~F.col("target")).alias("other")).first()
+    if not n["target"] or not n["other"]:
+        return None
+    share = n["target"] / (n["target"] + n["other"])
+    expected = (F.col("target") + F.col("other")) * share
     sums = labelled.mapInArrow(_count_labelled, "key long, target long, other long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
-    borne_out = (F.col("other") >= max(LEAST, SUPPORT * totals["other"])) & (F.col("target") / totals["target"] < RARER / totals["other"] * F.col("other"))
-    found = sums.where(borne_out).select("key", "target").toPandas().sort_values("key")
-    if not len(found):
-        return none
-    keys = found["key"].to_numpy()
-    counted = marked.select("text", F.coalesce("kind", F.lit(0)).alias("kind")).mapInArrow(_count_candidates(keys), _COUNTS)
-    counted = counted.groupBy("key", "total").agg(F.sum("first").alias("first"), F.sum("second").alias("second")).toPandas()
-    all_raw, all_target = counted.loc[counted["total"], ["first", "second"]].to_numpy()[0]
-    raw = counted[~counted["total"]].sort_values("key")["first"].to_numpy()
-    p_target = (found["target"].to_numpy() + SMOOTHING) / (all_target + SMOOTHING)
-    p_raw = (raw + SMOOTHING) / (all_raw + SMOOTHING)
-    return keys, np.minimum(0.0, np.log(p_target / p_raw))
-
-
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
+    found = sums.where(F.abs(F.col("target") - expected) > SURE * F.sqrt(expected * (1 - share) + SMOOTHING)).toPandas().sort_values("key")
+    keys = found["key"].to_numpy(np.int64)
+    counted = texts.select("text").mapInArrow(_count_raw(keys), _PARTS).repartition(_SLICES, "slice").mapInArrow(_add_up, _PARTS).orderBy("slice").collect()
+    raw = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in counted])
+    model = np.zeros(BUCKETS)
+    model[keys] = log_ratios(found["target"].to_numpy(), found["other"].to_numpy(), raw, n["target"], n["other"], counted[0]["documents"])
+    return model
+
+
+def scored(docs: DataFrame, model: np.ndarray | None, text_col: str = "text") -> DataFrame:
     """``docs`` with its log weight; a null or blank text has 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    name = "log_weight"
-    if name in docs.columns:
-        raise ValueError(f"{name} is taken")
+    if "log_weight" in docs.columns:
+        raise ValueError("log_weight is taken")
+    if model is None:
+        return docs.withColumn("log_weight", F.lit(0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, ratios = shared.value
-        for part in slices(batch, batch.schema.names[text_at]):
-            weight = np.zeros(part.num_rows)
-            if len(keys):
-                row, key = features([x or "" for x in part.column(text_at).to_pylist()])
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                weight = np.bincount(row, weights=np.where(keys[at] == key, ratios[at], 0.0), minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], names=[*part.schema.names, name])
+        for part in slices(batch, batch.schema.names[text_at], 2_000_000):
+            row, key = features([x or "" for x in part.column(text_at).to_pylist()])
+            weight = np.bincount(row, weights=shared.value[key], minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], names=[*part.schema.names, "log_weight"])
 
-    from pyspark.sql import types as T
-
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
 
 
 def gumbel_key(weight: Column, *seed: str) -> Column:
@@ -195,22 +214,38 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray | None, DataFrame, float | None]:
+    """The model, (id, log_weight, key) of every row as written, and the least key that is drawn, None for all."""
+    model = fit(docs, labels, id_col, text_col)
+    own = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
+    keys = materialise(own.select("id", "log_weight", gumbel_key(F.col("log_weight"), "id", "text").alias("key")))
+    if model is None:
+        return model, keys, None
+    good = F.broadcast(targets(labels).where("target").select(F.col("__label").alias("id")))
+    least = keys.join(good, "id", "left_semi").agg(F.percentile("log_weight", F.lit(LEAVE))).first()[0]
+    row = keys.agg(F.count_if(F.col("log_weight") >= least).alias("k"), F.count("*").alias("n")).first()
+    return model, keys, None if row["k"] == row["n"] else kth_largest(keys, "key", row["k"])
+
+
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, log_weight, key, kept) of every row, as of :func:`judge`, without reading the texts once more."""
+    _, keys, least = _drawn(docs, labels, id_col, text_col)
+    return keys.withColumn("kept", F.lit(True) if least is None else F.col("key") >= least).withColumnRenamed("id", id_col)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with log_weight, key and kept.
 
     ``labels(doc_id, quality, toxic)`` may cover any part of ``docs``; a null
     quality is no label, a null toxic is 0, and of several labels of one id the
     worst counts. The k largest keys are kept, and rows that tie with the last
-    of them. A null or blank text has weight 0; without labels of both kinds all
-    weights are 0 and all rows are kept. Columns log_weight, key and kept must
-    be free; other columns pass through.
+    of them; equal rows have equal keys. A null or blank text has weight 0;
+    without labels of both kinds among the documents all weights are 0 and all
+    rows are kept, and an empty table stays empty. Columns log_weight, key and
+    kept must be free, which is checked; other columns pass through.
     """
-    out = scored(docs, fit(docs, labels, id_col, text_col), text_col)
-    out = out.withColumn("key", gumbel_key(F.col("log_weight"), id_col, text_col))
-    keys = materialise(out.select("log_weight", "key"))
-    row = keys.agg(F.count_if(F.col("log_weight") > CUTOFF).alias("k"), F.count("*").alias("n")).first()
-    if row["k"] == row["n"]:
-        return out.withColumn("kept", F.lit(True))
-    if not row["k"]:
-        return out.withColumn("kept", F.lit(False))
-    return out.withColumn("kept", F.col("key") >= kth_largest(keys, "key", row["k"]))
+    if taken := {"log_weight", "key", "kept"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(taken)} are taken")
+    model, _, least = _drawn(docs, labels, id_col, text_col)
+    out = scored(docs, model, text_col).withColumn("key", gumbel_key(F.col("log_weight"), id_col, text_col))
+    return out.withColumn("kept", F.lit(True) if least is None else F.col("key") >= least)

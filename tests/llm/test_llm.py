@@ -100,6 +100,22 @@ def test_minhash_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == {k: v[1] for k, v in brute_components(rows).items()}
 
 
+def test_minhash_outsider_with_the_smallest_id(spark, monkeypatch):
+    """Its stars find nothing; the family is found by few further edges, not by all its pairs."""
+    rng, base = random.Random(31), words(120, 77)
+    rows = [(0, " ".join(base[:84] + words(36, 78)))]  # some 0.5 alike: it shares buckets with the family
+    for i in range(1, 121):
+        own = list(base)
+        for _ in range(1 + i % 2):
+            own[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    asked, confirm = [], minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *a: asked.append(pairs.count()) or confirm(pairs, *a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {k: v[1] for k, v in brute_components(rows).items()} and len({*got.values()}) == 2
+    assert sum(asked) < 1500  # all pairs are 7,140
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -149,6 +165,22 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(docs(spark, [])).count() == 0
 
 
+def test_likeness_follows_the_true_one(spark):
+    """Over the whole range, and for very long texts."""
+    rng, rows, want = random.Random(12), [], []
+    for i, share in enumerate([0, 0.2, 0.4, 0.6, 0.8, 0.95, 1] * 4):
+        base = words(900, 50 + i)
+        n = int(share * 900)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:n] + [f"o{rng.randrange(10**6)}" for _ in range(900 - n)]))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.near_next for r in fingerprint.edited_fingerprints(docs(spark, rows)).collect()}
+    errors = [got[2 * i] - w for i, w in enumerate(want)]
+    assert max(map(abs, errors)) < 0.15 and abs(np.mean(errors)) < 0.03
+    long = fingerprint.edited_fingerprints(docs(spark, [(1, "ab cd ef gh ij kl " * 60_000), (2, " ".join(words(100_000, 2)))])).collect()
+    assert [r.n_chars for r in sorted(long)] == [18 * 60_000, len(" ".join(words(100_000, 2)))]
+
+
 def brute_repeats(rows, length):
     raw = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(x[p : p + length] for _, x in raw for p in range(len(x) - length + 1))
@@ -216,7 +248,7 @@ def test_repeats_tell_rows_without_an_id_apart(spark):
 def test_license_scan(spark):
     rows = [
         (1, "This is under the MIT License and the GNU General Public License, mit-license."), (2, None), (3, ""), (4, "mit"), (5, "cc by cc by"), (5, "cc by cc by"), (None, "Apache\nLicense 2"),
-        (6, "Permission is hereby granted, free of charge, to any lucky person obtaining a copy of it"), (7, "émit license mit licenseé"),
+        (6, "Permission is hereby granted, free of charge, to any lucky person obtaining a copy of it"), (7, "émit license mit licenseé"), (8, "the licen\u212ae, \u212a mit license"), (9, "mit license " * 20_000),
     ]
     got = licenses.license_scan(docs(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -375,31 +407,66 @@ def test_harmonic_bins_waste_little(spark, monkeypatch):
     assert len(got) == len(lengths) and 4096 * len(bins) < 1.05 * sum(lengths)
 
 
-def test_quality_on_held_out_documents(spark):
-    rng = random.Random(6)
+def quality_rows(seed=6):
+    rng = random.Random(seed)
     rows, labels = [], []
-    for i in range(400):
+    for i in range(600):
         text = [f"w{rng.randrange(300)}" for _ in range(60)]
-        kind = i % 4
-        if kind == 0:
+        toxic, shouted = i % 5 == 0, i % 10 == 1
+        if toxic:
             text[rng.randrange(60)] = rng.choice(["stupid", "idiot"])
-        if kind == 1 and i % 8 == 1:
+        if shouted:
             text = [w.upper() + "!!" for w in text]
         rows.append((i, " ".join(text)))
-        bad = kind == 0 or (kind == 1 and i % 8 == 1)
-        if i < 300:
-            labels.append((i, 0 if kind == 1 and bad else 1, 1 if kind == 0 else None if kind == 2 else 0))
-    rows += [(900, None), (901, ""), (5, rows[5][1]), (None, "no id")]
+        if i < 450:
+            labels.append((i, 0 if shouted else 1, 1 if toxic else None if i % 3 == 2 else 0))
+    return rows, labels
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_quality_log_weights_match_brute_force(spark):
+    rows, labels = quality_rows()
+    have = {i: set(quality.features([t])[1].tolist()) for i, t in rows}
+    good = {i for i, q, x in labels if q == 1 and not x}
+    bad = {i for i, *_ in labels} - good
+    share, want = len(good) / (len(good) + len(bad)), {}
+    count = lambda ids, f: sum(f in have[i] for i in ids)
+    ratio = {}
+    for f in set().union(*have.values()):
+        t, o, r = count(good, f), count(bad, f), count(have, f)
+        e = (t + o) * share
+        z = (t - e) / (e * (1 - share) + 0.5) ** 0.5
+        ratio[f] = np.log((t + 0.5) / (r * len(good) / len(rows) + 0.5)) * max(0.0, 1 - (2 / max(abs(z), 1e-9)) ** 2)
+    want = {i: sum(ratio[f] for f in fs) for i, fs in have.items()}
+    assert min(ratio.values()) < 0 < max(ratio.values())
+    out = quality.weights(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(out) == len(rows) and all(abs(r.log_weight - want[r.doc_id]) < 1e-9 for r in out)
+    # the k largest keys, k the documents that weigh as much as all but a hundredth of the good ones
+    k = sum(w >= np.quantile([want[i] for i in good], 0.01) - 1e-12 for w in want.values())
+    assert {r.doc_id for r in sorted(out, key=lambda r: -r.key)[:k]} == {r.doc_id for r in out if r.kept}
+    noise = [r.key - r.log_weight / quality.TEMPERATURE for r in out]
+    assert 0.3 < np.mean(noise) < 0.85 and 1.0 < np.std(noise) < 1.6  # Gumbel: 0.577 and 1.283
+
+
+def test_quality_on_held_out_documents(spark):
+    rows, labels = quality_rows()
+    rows = [*rows, (900, None), (901, ""), (5, rows[5][1]), (None, "no id")]
     frame = docs(spark, rows)
-    given = spark.createDataFrame([*labels, (None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    given = spark.createDataFrame([*labels, (None, 1, 0), (7, None, None)], LABELS)
     out = quality.judge(frame, given).collect()
     assert len(out) == len(rows)
-    held = [r for r in out if r.doc_id is not None and 300 <= r.doc_id < 400]
-    is_bad = lambda i: i % 4 == 0 or i % 8 == 1
-    assert np.mean([r.kept != is_bad(r.doc_id) for r in held]) > 0.97
-    assert all(r.kept for r in out if r.doc_id in (900, 901, None))
+    held = [r for r in out if r.doc_id is not None and 450 <= r.doc_id < 600]
+    is_bad = lambda i: i % 5 == 0 or i % 10 == 1
+    assert np.mean([r.kept != is_bad(r.doc_id) for r in held]) > 0.9
+    assert all(r.log_weight == 0 for r in out if r.doc_id in (900, 901))
     assert quality.judge(frame, given.limit(0)).where("kept").count() == len(rows)
     assert quality.judge(docs(spark, []), given).count() == 0
+    assert sorted((str(r.doc_id), r.kept) for r in out) == sorted((str(r.doc_id), r.kept) for r in quality.weights(frame, given).collect())
+    for name in ("key", "kept", "log_weight"):
+        with pytest.raises(ValueError):
+            quality.judge(frame.withColumnRenamed("sign", name), given)
 
 
 def test_kth_largest_is_exact(spark):
@@ -445,6 +512,21 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.embedding_links(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, dim", [("float", 64), ("double", 256)])
+def test_embedding_recall_on_planted_pairs(spark, kind, dim):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(600, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u = rng.normal(size=(600, dim))
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.99, (600, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * u
+    rows = [(2 * i + k, x[i].tolist(), i % 3) for i in range(600) for k, x in enumerate((a, b))]
+    got = embeddings.embedding_links(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()
+    assert np.mean([r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got]) > 0.98 and max(r.n_links for r in got) == 1
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(50, 8)) * 2
@@ -486,7 +568,7 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.archive_round_trip(spark, frame.limit(0)).count() == 0
 
 
-def test_url_rules_and_list(spark):
+def test_url_rules_and_list(spark, monkeypatch):
     urls = [
         "http://A.ORG/x", "http://b.a.org", "https://www.example.org/es/1?q", "http://example.org/en/12", "http://xexample.org/es/", "http://q.com/fr/a#f", "http://q.com/de/", "http://q.com/fr", "no scheme", None, "http://t.net/a", "http://www.t.net/a/",
         "http://t.net/a?x=1", "http://u.net/a", "http://u.net/a", "://h/p",
@@ -501,7 +583,11 @@ def test_url_rules_and_list(spark):
     assert [got[i][3] for i in (10, 11, 12, 13, 14)] == ["block"] * 3 + ["allow"] * 2
     listed = spark.createDataFrame([(f"z{i}.net/",) for i in range(500)] + [(None,)], "canon string")
     probes = spark.createDataFrame([(f"z{i}.net/",) for i in range(0, 1000, 3)], "canon string")
-    assert {r.canon for r in urlfilter.listed_hits(probes, listed).collect()} == {f"z{i}.net/" for i in range(0, 500, 3)}
+    for limit in (urlfilter.BROADCAST, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST", limit)
+        assert sorted(r.canon for r in urlfilter.listed_hits(probes.union(probes), listed).collect()) == sorted(f"z{i}.net/" for i in range(0, 500, 3))
+    long = urlfilter.judge_urls(spark.createDataFrame([(1, "http://x.org/" + "a" * 100_000), (2, None)], "page_id long, url string")).collect()
+    assert {(r.page_id, r.verdict, len(r.path)) for r in long} == {(1, "allow", 100_001), (2, "allow", 0)}
     assert urlfilter.judge_urls(frame.limit(0)).count() == 0
 
 
@@ -543,3 +629,81 @@ def test_pipeline_drops_what_it_should(spark, tmp_path):
     out = {r.doc_id: r for r in stages["repeats"](spark, kept, str(tmp_path)).collect()}
     assert passage not in out[92].text and passage not in out[93].text and out[5].text == rows[5][1]
     assert out[92].n_chars == len(out[92].text)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage of run() against plain Python; only the noise of the draw comes from Spark."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage = prose(70)
+    rows = [(i, prose(90) + (f" stupid {prose(5)}" if i % 4 == 0 else "")) for i in range(120)]
+    rows += [(200 + i, rows[4 * i + 1][1] + " " + prose(4)) for i in range(6)] + [(300 + i, prose(40) + " " + passage + " " + prose(30)) for i in range(5)] + [(400, None), (401, "")]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(0, 100)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    # quality
+    have = {i: set(quality.features([t or ""])[1].tolist()) for i, t in rows}
+    good, bad = {i for i, _, x in labels if not x}, {i for i, _, x in labels if x}
+    share, ratio = len(good) / 100, {}
+    for f in set().union(*have.values()):
+        t, o, r = (sum(f in have[i] for i in ids) for ids in (good, bad, have))
+        e = (t + o) * share
+        z = (t - e) / (e * (1 - share) + 0.5) ** 0.5
+        ratio[f] = np.log((t + 0.5) / (r * len(good) / len(rows) + 0.5)) * max(0.0, 1 - (2 / max(abs(z), 1e-9)) ** 2)
+    weight = {i: sum(ratio[f] for f in fs) for i, fs in have.items()}
+    frame = spark.createDataFrame(rows, "id long, text string")
+    noise = {r.id: r.noise for r in frame.select("id", quality.gumbel_key(F.lit(0.0), "id", "text").alias("noise")).collect()}
+    k = sum(w >= np.quantile([weight[i] for i in good], 0.01) - 1e-12 for w in weight.values())
+    kept = set(sorted(weight, key=lambda i: -(weight[i] / quality.TEMPERATURE + noise[i]))[:k])
+    assert len(kept & bad) < len(bad) / 4 and len(kept & good) > 0.9 * len(good)
+    left = [(i, t) for i, t in rows if i in kept]
+    # near duplicates, then repeats, then packing
+    components = brute_components(left)
+    left = [(i, t) for i, t in left if components[i][1] == i]
+    assert not {i for i, _ in left} & {200 + i for i in range(6) if 4 * i + 1 in kept}
+    raw = [(t or "").encode() for _, t in left]
+    seen = Counter(b[p : p + 240] for b in raw for p in range(len(b) - 239))
+    texts = {}
+    for (i, _), b in zip(left, raw, strict=True):
+        gone = [False] * len(b)
+        for p in range(len(b) - 239):
+            if seen[b[p : p + 240]] > 1:
+                gone[p : p + 240] = [True] * 240
+        texts[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode()
+    assert all(passage not in texts[i] for i in range(300, 305) if i in texts)
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        ids = want[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4"))
+    assert sum(r.length for r in got) == sum(map(len, want.values()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, ties, repeated rows, clashing names, no n_chars, an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 0)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(words(2000, 7))
+    rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (1, "other words under the same id here", None, 2), (2, None, "y", None), (3, "", None, 0), (None, "no id at all", "z", 1), (None, None, None, None), (4, long, "x", 1), (5, long, "x", 1), (6, "  \n ", "x", 1)]
+    schema = "doc_id long, text string, id string, sign long"
+    frame, stages = spark.createDataFrame(rows, schema), dict(corpus_pipeline.STAGES)
+    for name in ("quality", "near_dedup", "repeats"):
+        out = stages[name](spark, frame, str(tmp_path))
+        assert out.columns == frame.columns and stages[name](spark, frame.limit(0), str(tmp_path)).count() == 0
+    kept = sorted(map(tuple, stages["near_dedup"](spark, frame, str(tmp_path)).collect()), key=str)
+    assert [r[0] for r in kept] == [1, 2, 3, 4, 6, None, None] and kept == sorted(map(tuple, stages["near_dedup"](spark, frame.repartition(5), str(tmp_path)).collect()), key=str)
+    texts = {(r.doc_id, r.text) for r in stages["repeats"](spark, frame, str(tmp_path)).collect()}
+    assert (4, "") in texts and (5, "") in texts and (2, None) in texts and (1, "a b c d e f g") in texts
+    packed = stages["packing"](spark, frame, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.doc_tokens) for r in packed}) >= 7 and stages["packing"](spark, frame.limit(0), str(tmp_path)).count() == 0
+    with pytest.raises(ValueError):
+        stages["near_dedup"](spark, frame.withColumnRenamed("id", "__id"), str(tmp_path))
+    with pytest.raises(ValueError):
+        stages["quality"](spark, frame.withColumnRenamed("id", "kept"), str(tmp_path))
