@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes hashed at a time; bounds the memory of one step whatever a text's length.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Bytes or code points up to which a range is hashed by a sum.
 SHORT = 32
 _BASE = 0x9E3779B97F4A7C15 | 1

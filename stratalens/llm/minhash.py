@@ -4,8 +4,11 @@ Each distinct shingle set gets one 128-bin signature; empty bins borrow from
 filled ones along a fixed random order of their own. Bands of four bins give
 buckets, each bucket offers only a star of edges to its smallest member, and
 every edge is confirmed on the full shingle sets. Buckets whose members are
-not yet in one component are then compared block by block on their signatures,
-so that no link is lost because the star's centre was the wrong member.
+not yet in one component offer further stars, with centres drawn at random, of
+edges to members of other components that look alike. What is left mixed then is
+compared block by block on the signatures, so that no link is lost because the
+stars' centres were the wrong members, and a large family is never listed in
+pairs because the smallest id is an outsider.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ BLOCK = 1024
 BROADCAST_IDS = 4_000_000
 #: Share of equal bins under which a pair isn't confirmed: the threshold less four deviations.
 SLACK = 4 * (0.75 * 0.25 / BINS) ** 0.5
+#: Rounds of stars with random centres.
+STARS = 2
 #: Bins of the finer signature, eight bits each, that members of mixed buckets are compared on.
 FINE = 1024
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
@@ -49,7 +54,7 @@ def signature(hashes: np.ndarray, edges: np.ndarray = _EDGES, order: np.ndarray
 
 
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text"):
+    for part in slices(batch, "text", 2_000_000):
         n, low, high, signs = [], [], [], []
         for hashes in shingle_sets(part.column("text")):
             n.append(len(hashes))
@@ -73,7 +78,7 @@ def _fine() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign_finely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text"):
+    for part in slices(batch, "text", 2_000_000):
         signs = [(signature(x, *_fine()) & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in shingle_sets(part.column("text"))]
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(signs, pa.binary())], names=["id", "fine"])
 
@@ -106,6 +111,31 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     return map_arrow(both.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
 
+def _look_alike(floor: float):
+    """Edges (a, b) whose signatures have at least this share of equal bins."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sign_a", "sign_b"))
+        yield batch.select(["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= floor))
+
+    return run
+
+
+def _open(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, bucket, id, component) of the buckets of over two members that lie in several components."""
+    known = stars.join(labels, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
+    return known.join(mixed, "bucket")
+
+
+def _more_edges(members: DataFrame, signs: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, b): from a centre drawn in each open bucket to its members of other components that look alike."""
+    centre = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed))).alias("c"))
+    edges = members.join(centre, "bucket").where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).where("a <> b").distinct()
+    signed = edges.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+    return map_arrow(signed, _look_alike(percent / 100 - SLACK), "a long, b long")
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs over the floor between the components of one bucket's block; rows come sorted by key."""
 
@@ -183,15 +213,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = materialise(stars.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
     links = materialise(confirm(edges, docs, id_col, text_col, percent))
     labels = connected_components(links)
-    open_buckets = stars.join(labels, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = open_buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-    members = materialise(open_buckets.join(mixed, "bucket"))
+    signs, tested = distinct.select("id", "sign").dropDuplicates(["id"]), edges
+    for seed in range(1, STARS + 1):
+        more = materialise(_more_edges(_open(stars, labels), signs, percent, seed).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        found = materialise(confirm(more, docs, id_col, text_col, percent))
+        tested = tested.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected_components(links)
+    members = materialise(_open(stars, labels))
     ids = materialise(members.select("id").distinct())
     count = ids.count()
     if count:
         fine = materialise(map_arrow(_chosen(docs.where(F.col(id_col).isNotNull()), ids, count, id_col, text_col), _sign_finely, "id long, fine binary").dropDuplicates(["id"]))
         members = members.join(distinct.join(ids, "id", "left_semi").select("id", "sign").join(fine, "id"), "id")
-        rest = materialise(residual_pairs(members, percent).join(edges, ["a", "b"], "left_anti"))
+        rest = materialise(residual_pairs(members, percent).join(tested, ["a", "b"], "left_anti"))
         more = materialise(confirm(rest, docs, id_col, text_col, percent))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
