@@ -300,8 +300,8 @@ def test_names_and_dates(spark):
     assert one(spark, strings.renamed(F.lit(" trip "), F.lit(".jpg"))) == "trip.jpg"
     assert one(spark, strings.renamed(F.lit("a/b"), F.lit(".jpg"))) is None and one(spark, strings.renamed(F.lit("é" * 130), F.lit(".jpg"))) is None and one(spark, strings.renamed(F.lit(".."), F.lit(""))) is None
     lens = {"undef": None, "8.8 25.7 1.8 2.8": "8.8-25.7mm f/1.8-2.8", "35 35 2 2": "35mm f/2", "0 0 0 0": None, " XF23mm ": "XF23mm", "0.0 mm f/0.0": None, "128": None, "Unknown (0 0)": None, "none": None, "0 16 55 2.8 2.8 0": "16-55mm f/2.8", "10 24 4 4 0 0": "10-24mm f/4", "23 23 0 0": "23mm", "1 2 3": None, "1 2 3 4 5": None}
-    for k, v in lens.items():
-        assert one(spark, strings.clean_lens(F.lit(k))) == v, k
+    got = spark.createDataFrame([(k,) for k in lens], "k string").select("k", strings.clean_lens(F.col("k")).alias("v")).collect()
+    assert {r.k: r.v for r in got} == lens
     assert one(spark, strings.hamming(F.lit("ffffffffffffffff"), F.lit("0fffffffffffffff"))) == 4
     assert one(spark, dates.metadata_date(F.lit("2026:07:01 12:00:00.5+02:00"))) == dt.datetime(2026, 7, 1, 12, 0, 0, 500000)
     assert one(spark, dates.metadata_date(F.lit("2026:13:01 12:00:00"))) is None and one(spark, dates.metadata_date(F.lit("x"))) is None
@@ -312,18 +312,17 @@ def test_names_and_dates(spark):
 
 
 def test_develop_documents(spark):
-    n = lambda doc: one(spark, develop.normalised(F.lit(doc)))
-    for doc in (None, "nonsense", "{}", '{"unknown": 3}'):
-        assert one(spark, develop.is_neutral(develop.normalised(F.lit(doc).cast("string")))) and one(spark, develop.dumped(develop.normalised(F.lit(doc).cast("string")))) is None
-    got = n('{"exposure": 99, "contrast": "2.5", "grain_amount": -4, "clarity": 3.5, "film_sim": "velvia", "tone_mapper": "x", "hsl": {"red": [10, 300]}, "point_curves": {"luma": [[255, 200], [0, 10], ["x", 1]], "red": [[1, 2]]}, "color_grading": {"global": {"hue": 400}}, "parametric_curve": {"blue": {"split1": 30}}}')
+    mask = '{"masks": [{"id": 7, "opacity": 250, "sub_masks": [{"type": "radial", "mode": "odd"}, {"type": "cube"}], "adjustments": {"exposure": 20, "contrast": 0, "unknown": 1}}, {"visible": false}]}'
+    full = '{"exposure": 99, "contrast": "2.5", "grain_amount": -4, "clarity": 3.5, "film_sim": "velvia", "tone_mapper": "x", "hsl": {"red": [10, 300]}, "point_curves": {"luma": [[255, 200], [0, 10], ["x", 1]], "red": [[1, 2]]}, "color_grading": {"global": {"hue": 400}}, "parametric_curve": {"blue": {"split1": 30}}}'
+    neutral = {None, "nonsense", "{}", '{"unknown": 3}', mask.replace('"exposure": 20, ', ""), mask.replace('"radial"', '"cube"'), '{"grain_size": 25, "curve_mode": "odd"}'}
+    docs = spark.createDataFrame([(d,) for d in [*neutral, mask, full, '{"hue": 3}']], "doc string").select("doc", develop.normalised(F.col("doc")).alias("n"))
+    rows = {r.doc: r for r in docs.select("doc", "n", develop.is_neutral(F.col("n")).alias("neutral"), develop.dumped(F.col("n")).alias("text")).collect()}
+    assert {d for d, r in rows.items() if r.neutral} == neutral and all((r.text is None) == r.neutral for r in rows.values())
+    got = rows[full].n
     assert (got.exposure, got.contrast, got.grain_amount, got.clarity, got.film_sim, got.tone_mapper) == (8.0, 2, 0, 4, "velvia", "basic")
     assert (got.hsl.red, got.point_curves.luma, got.point_curves.red) == ([10, 100, 0], [[255, 200], [0, 10], [0, 1]], [[0, 0], [255, 255]])
     assert (got.color_grading["global"].hue, got.color_grading.blending, got.parametric_curve.blue.split1, got.parametric_curve.red.split1, got.sharpness_threshold) == (360, 50, 30, 25, 15)
-    mask = '{"masks": [{"id": 7, "opacity": 250, "sub_masks": [{"type": "radial", "mode": "odd"}, {"type": "cube"}], "adjustments": {"exposure": 20, "contrast": 0, "unknown": 1}}, {"visible": false}]}'
-    got = n(mask).masks
-    assert [(m.id, m.name, m.visible, m.opacity, m.adjustments, [(s.type, s.mode, s.visible) for s in m.sub_masks]) for m in got] == [("7", "Mask", True, 100, {"exposure": 8.0}, [("radial", "additive", True)]), ("", "Mask", False, 100, {}, [])]
-    neutral = lambda doc: one(spark, develop.is_neutral(develop.normalised(F.lit(doc))))
-    assert not neutral(mask) and neutral(mask.replace('"exposure": 20, ', "")) and neutral(mask.replace('"radial"', '"cube"')) and not neutral('{"hue": 3}') and neutral('{"grain_size": 25, "curve_mode": "odd"}')
+    assert [(m.id, m.name, m.visible, m.opacity, m.adjustments, [(s.type, s.mode, s.visible) for s in m.sub_masks]) for m in rows[mask].n.masks] == [("7", "Mask", True, 100, {"exposure": 8.0}, [("radial", "additive", True)]), ("", "Mask", False, 100, {}, [])]
     both = one(spark, develop.merged(develop.only_groups(F.lit('{"exposure": 1, "vibrance": 2}'), ["tone"]), F.create_map(F.lit("exposure"), F.lit("3"))))
     assert both == {"exposure": "3"}
     blend = spark.createDataFrame([(1, 0.75, '{"contrast": 10}'), (1, 0.25, '{"contrast": 20}')], "query int, weight double, doc string").withColumn("adj", develop.normalised(F.col("doc")))
