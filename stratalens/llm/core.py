@@ -33,6 +33,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as it takes to clash with no column, in upper or lower case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, _UPPER, _LOWER)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .core import map_arrow, materialise, partitions, slices
+from .core import free, map_arrow, materialise, partitions, slices
 from .hashing import jaccard, mix, shingle_sets
 
 BINS, ROWS = 128, 4
@@ -210,12 +210,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Of rows that repeat that id the one whose text has the smallest hash stays,
     then the smallest by the other columns. Rows with a null id all stay.
-    Column __id must be free, which is checked.
     """
-    if "__id" in docs.columns:
-        raise ValueError("__id is taken")
-    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    first = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    own, whole = free(docs, "__id", "__row")
+    kept = near_duplicates(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias(own)).distinct()
+    first = docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
     order = F.struct(F.xxhash64(text_col), *[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-    one = first.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    one = first.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.min_by(F.struct(*docs.columns), order).alias(whole)).select(f"{whole}.*")
     return one.unionByName(first.where(F.col(id_col).isNull()))

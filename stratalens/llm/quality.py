@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import map_arrow, materialise, slices
+from .core import free, map_arrow, materialise, slices
 from .hashing import mix
 from .pretokens import distinct, parts, split
 
@@ -169,22 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def scored(docs: DataFrame, model: np.ndarray | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with its log weight; a null or blank text has 0."""
-    if "log_weight" in docs.columns:
-        raise ValueError("log_weight is taken")
+def scored(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", name: str = "log_weight") -> DataFrame:
+    """``docs`` with its log weight as the column ``name``, which must be free; a null or blank text has 0."""
     if model is None:
-        return docs.withColumn("log_weight", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, batch.schema.names[text_at], 2_000_000):
             row, key = features([x or "" for x in part.column(text_at).to_pylist()])
-            weight = np.bincount(row, weights=shared.value[key], minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], names=[*part.schema.names, "log_weight"])
+            # of no features at all numpy counts in whole numbers
+            weight = np.bincount(row, weights=shared.value[key], minlength=part.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight)], names=[*part.schema.names, name])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def gumbel_key(weight: Column, *seed: str) -> Column:
@@ -241,11 +240,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     worst counts. The k largest keys are kept, and rows that tie with the last
     of them; equal rows have equal keys. A null or blank text has weight 0;
     without labels of both kinds among the documents all weights are 0 and all
-    rows are kept, and an empty table stays empty. Columns log_weight, key and
-    kept must be free, which is checked; other columns pass through.
+    rows are kept, and an empty table stays empty. The columns of ``docs`` pass
+    through and come first; where one has the name of a new column, the new one
+    is led by an underscore.
     """
-    if taken := {"log_weight", "key", "kept"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} are taken")
+    weight, key, kept = free(docs, "log_weight", "key", "kept")
     model, _, least = _drawn(docs, labels, id_col, text_col)
-    out = scored(docs, model, text_col).withColumn("key", gumbel_key(F.col("log_weight"), id_col, text_col))
-    return out.withColumn("kept", F.lit(True) if least is None else F.col("key") >= least)
+    out = scored(docs, model, text_col, weight).withColumn(key, gumbel_key(F.col(weight), id_col, text_col))
+    return out.withColumn(kept, F.lit(True) if least is None else F.col(key) >= least)
+
+
+def keep_drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with their own columns only."""
+    judged = judge(docs, labels, id_col, text_col)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)

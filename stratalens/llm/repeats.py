@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import map_arrow, materialise, partitions, slices
+from .core import free, map_arrow, materialise, partitions, slices
 from .hashing import _BASE, _CODES, _INVERSE, flat, mix, powers
 
 #: Bytes of a string that counts as a repeat.
@@ -352,13 +352,12 @@ def strip_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeats taken out of the text; bytes of a character that was cut through go too.
 
     Rows are matched by id and text, so rows that repeat both get the same text;
-    a null text stays null. Columns __id, __own, __tag and __kept must be free.
+    a null text stays null.
     """
-    if taken := {"__id", "__own", "__tag", "__kept"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} are taken")
+    own_id, own, tag, stays = free(docs, "__id", "__own", "__tag", "__kept")
     kept = remove_repeats(docs, id_col, text_col, length).where("n_removed > 0")
-    kept = kept.groupBy(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).agg(F.first("kept").alias("__kept"))
-    tagged = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")), "left")
-    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(_whole(F.col("__kept")))
+    kept = kept.groupBy(F.col(id_col).alias(own_id), F.col("tag").alias(tag)).agg(F.first("kept").alias(stays))
+    tagged = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(tag)), "left")
+    text = F.when(F.col(stays).isNull(), F.col(text_col)).otherwise(_whole(F.col(stays)))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -229,8 +229,9 @@ def test_strip_texts_keeps_characters_whole(spark):
     assert out.columns == ["doc_id", "text", "id", "sign"] and got[3] is None
     assert got[1] == "ab" and got[2] == "cd"
     assert repeats.repeat_report(docs(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        repeats.strip_texts(docs(spark, []).selectExpr("*", "1 as __tag"))
+    clash = ["__id", "__own", "__tag", "__KEPT"]
+    named = docs(spark, [(1, "a" + body + "b"), (2, "c" + body + "d")]).selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(clash)])
+    assert [tuple(r)[1:] for r in sorted(repeats.strip_texts(named, length=41).collect())] == [("ab", "x", 1, 0, 1, 2, 3), ("cd", "x", 1, 0, 1, 2, 3)]
 
 
 def test_repeats_tell_rows_without_an_id_apart(spark):
@@ -461,9 +462,12 @@ def test_quality_on_held_out_documents(spark):
     assert quality.judge(frame, given.limit(0)).where("kept").count() == len(rows)
     assert quality.judge(docs(spark, []), given).count() == 0
     assert sorted((str(r.doc_id), r.kept) for r in out) == sorted((str(r.doc_id), r.kept) for r in quality.weights(frame, given).collect())
-    for name in ("key", "kept", "log_weight"):
-        with pytest.raises(ValueError):
-            quality.judge(frame.withColumnRenamed("sign", name), given)
+    drawn = sorted((str(r.doc_id), r.text) for r in out if r.kept)
+    for name in ("key", "Kept", "log_weight"):
+        named = frame.withColumnRenamed("sign", name)
+        assert f"_{name.lower()}" in quality.judge(named, given).columns
+        stays = quality.keep_drawn(named, given)
+        assert stays.columns == named.columns and sorted((str(r.doc_id), r.text) for r in stays.collect()) == drawn
 
 
 def test_kth_largest_is_exact(spark):
@@ -700,7 +704,7 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert (4, "") in texts and (5, "") in texts and (2, None) in texts and (1, "a b c d e f g") in texts
     packed = stages["packing"](spark, frame, str(tmp_path)).collect()
     assert len({(r.doc_id, r.doc_tokens) for r in packed}) >= 7 and stages["packing"](spark, frame.limit(0), str(tmp_path)).count() == 0
-    with pytest.raises(ValueError):
-        stages["near_dedup"](spark, frame.withColumnRenamed("id", "__id"), str(tmp_path))
-    with pytest.raises(ValueError):
-        stages["quality"](spark, frame.withColumnRenamed("id", "kept"), str(tmp_path))
+    named = frame.selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(("__id", "__row", "kept", "key", "LOG_WEIGHT", "tag", "bucket"))])
+    for stage, n in (("quality", None), ("near_dedup", 7), ("repeats", 10)):
+        out = stages[stage](spark, named, str(tmp_path))
+        assert out.columns == named.columns and out.count() in (n, n or stages[stage](spark, frame, str(tmp_path)).count())
