@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise, partitions
+
 
 def total_order() -> list[Column]:
     """Newest first, undated last, then by name and id."""
@@ -189,3 +191,27 @@ def rolling_rate(done: DataFrame, partition: str, ts: str, window: int = 20) ->
 def ema(values: Column, keep: float = 0.6) -> Column:
     """0.6 of what was and 0.4 of what comes, from the first value of an ordered array."""
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1))), F.element_at(values, 1).cast("double"), lambda acc, x: acc * keep + x * (1 - keep))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column, first: int = 1) -> DataFrame:
+    """``rows`` with their place in the whole order as the column ``name``, counted from ``first``.
+
+    Rows are dealt into ranges of the order, each range is sorted where it lies,
+    and a range's first number is the count of rows in the ranges before it. So
+    no task sees the whole table, and what reaches the driver is one count for
+    each range. Equal rows of the order come as they happen to lie.
+    """
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    placed = materialise(dealt.withColumn(name, F.monotonically_increasing_id()))
+    range_of = F.shiftright(name, 33)
+    sizes = placed.groupBy(range_of.alias("range")).agg(F.max(name).alias("last")).orderBy("range").collect()
+    if not sizes:
+        return placed
+    # from a place that counts on from its range's number to one that counts on from the rows before
+    shifts, before = {}, first
+    for r in sizes:
+        shifts[r["range"]] = before - (r["range"] << 33)
+        before += r["last"] - (r["range"] << 33) + 1
+    table = F.broadcast(rows.sparkSession.createDataFrame(list(shifts.items()), "__range long, __shift long"))
+    joined = placed.join(table, range_of == F.col("__range"))
+    return joined.withColumn(name, F.col(name) + F.col("__shift")).select(*placed.columns)
