@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on a local master where none is set, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratalens-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get()
-
+from ..session import materialise, partitions, shared_folder  # noqa: F401  (used by the operators)
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared checkpoint folder and survive the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
@@ -48,11 +29,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which is set in proportion to the input."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about ``limit`` bytes of ``column``; one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -25,6 +25,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TERM = np.zeros(256, bool)
+_TERM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -84,18 +86,31 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all white-space separated, ASCII-lower-cased words; the offset of each row's first."""
-    full = ~_SPACE[raw]
+def spans(full: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of ``full`` bytes inside the rows; the number of each row's first."""
     start, end = full.copy(), full.copy()
     start[1:] &= ~full[:-1]
     end[:-1] &= ~full[1:]
     inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(raw))]
+    inner = inner[(inner > 0) & (inner < len(full))]
     start[inner] = full[inner]
     end[inner - 1] = full[inner - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return range_hashes(_LOWER[raw], starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all white-space separated, ASCII-lower-cased words; the offset of each row's first."""
+    starts, ends, bounds = spans(~_SPACE[raw], offsets)
+    return range_hashes(_LOWER[raw], starts, ends), bounds
+
+
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The column's bytes, A-Z lower-cased, and of each run of letters, digits and non-ASCII bytes its start, end and hash; the number of each row's first."""
+    raw, offsets = flat(column)
+    raw = _LOWER[raw]
+    starts, ends, bounds = spans(_TERM[raw], offsets)
+    return raw, starts, ends, range_hashes(raw, starts, ends), bounds
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:

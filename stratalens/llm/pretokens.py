@@ -9,10 +9,10 @@ without making a string of every occurrence.
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import cache
 
 import numpy as np
+import tiktoken
 
 from .hashing import long_hashes, mix, powers
 
@@ -21,20 +21,23 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points handled at a time; longer texts are cut where white space begins.
 LIMIT = 1 << 20
-_CUT = re.compile(r"(?<=\S)\s")
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(rf"(?<=[^{_WHITE}])[{_WHITE}]")
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, as the tokenizer libraries' own patterns see it.
+
+    Both libraries follow one version of Unicode, which is not Python's, so
+    their classes are asked for: a pattern of one class leaves its characters.
+    """
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+    every, ranks = points.tobytes().decode("utf-32-le"), {bytes([i]): i for i in range(256)}
     out = np.zeros(0x110000, np.uint8)
-    for i in range(0x110000):
-        kind = unicodedata.category(chr(i))[0]
-        if kind == "L":
-            out[i] = LETTER
-        elif kind == "N":
-            out[i] = NUMBER
-    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every)).decode()
+        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -44,11 +47,14 @@ def _codes() -> np.ndarray:
 
 
 def parts(texts: list[str]) -> list[list[tuple[int, str]]]:
-    """(row, text) lists of about ``LIMIT`` code points; a longer text is cut before white space."""
+    """(row, text) lists of about ``LIMIT`` code points, in the order of rows; a longer text is cut before white space."""
     out, now, total = [], [], 0
     for row, text in enumerate(texts):
         at = 0
         while len(text) - at > LIMIT and (cut := _CUT.search(text, at + LIMIT)):
+            if now:
+                out.append(now)
+                now, total = [], 0
             out.append([(row, text[at : cut.start()])])
             at = cut.start()
         if total + len(text) - at > LIMIT and now:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table as _table
-from . import bpe, embeddings, fingerprint, licenses, minhash, packing, quality, repeats, urlfilter, warc
+from . import bpe, embeddings, fingerprint, licenses, minhash, packing, prefix_bpe, quality, ranked, repeats, resampling, urlfilter, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefix_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_document_fingerprints, op3_suffix_array_dedup, op4_license_scan, op5_byte_bpe, op6_importance_resampling, op7_harmonic_packing, op8_embedding_near_dedup, op9_warc_bundles, op10_url_filter)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_document_fingerprints, op3_suffix_array_dedup, op4_license_scan, op5_byte_bpe, op6_importance_resampling, op7_harmonic_packing, op8_embedding_near_dedup,
+        op9_warc_bundles, op10_url_filter, op11_ranked_search, op12_target_resampling, op13_prefix_bpe,
+    )
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _NEAR = f"""
@@ -103,5 +121,33 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host <> '' AND canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM c
 """
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents), n AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), c AS (SELECT count(*) AS docs, cast(sum(n) AS BIGINT) AS total FROM n),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+w AS (SELECT q.item_id, q.term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN df ON df.term = q.term, c),
+s AS (SELECT w.item_id, n.r, n.doc_id, cast(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * n.n * docs) // total)))) AS BIGINT) AS score FROM w JOIN tf ON tf.term = w.term JOIN n ON n.r = tf.r, c GROUP BY 1, 2, 3),
+k AS (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+_RESAMPLED = f"""
+WITH v AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS v),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents), x AS (SELECT r, unnest(ws) AS word FROM d), y AS (SELECT unnest({_TERMS}) AS word FROM benchmark),
+words AS (SELECT DISTINCT word FROM (SELECT word FROM x UNION ALL SELECT word FROM y)), hexed AS (SELECT word, hex(encode(word)) AS h FROM words),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: cast('0x' || substr(h, cast(2 * i + 1 AS INT), 2) AS BIGINT))), lambda c, o: xor(c >> 8, v[(xor(c, o) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, v),
+s AS (SELECT bucket, count(*) AS n FROM x JOIN b USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM y JOIN b USING (word) GROUP BY 1), sums AS (SELECT coalesce((SELECT cast(sum(n) AS BIGINT) FROM s), 0) AS ss, coalesce((SELECT cast(sum(n) AS BIGINT) FROM t), 0) AS tt),
+g AS (SELECT s.bucket, cast(floor(1000 * ln(((coalesce(t.n, 0) + 1) * (ss + 10000)) / ((s.n + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t ON t.bucket = s.bucket, sums),
+w AS (SELECT r, cast(sum(gain) AS BIGINT) AS total, count(*) AS n FROM x JOIN b USING (word) JOIN g USING (bucket) GROUP BY 1),
+k AS (SELECT d.r, d.doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w ON w.r = d.r),
+z AS (SELECT r, doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM k),
+e AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (10 * n) // 100 THEN place END AS rank FROM z LEFT JOIN e ON e.r = z.r
+"""
+
 #: The other operators have no form in SQL; the tests hold them against brute force.
-ORACLE: dict[str, str] = {"op1_minhash_near_dedup": _NEAR, "op8_embedding_near_dedup": _VECTORS, "op9_warc_bundles": _WARC, "op10_url_filter": _URLS}
+ORACLE: dict[str, str] = {
+    "op1_minhash_near_dedup": _NEAR, "op8_embedding_near_dedup": _VECTORS, "op9_warc_bundles": _WARC, "op10_url_filter": _URLS, "op11_ranked_search": _RANKED, "op12_target_resampling": _RESAMPLED,
+}
