@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import aggregates
 from .filters import edited
 from .geo import ROMAN
 
 MONTH_LEAST, DAY_LEAST, DAY_FACTOR, DAYS, SPLIT_LEAST, SPLITS = 5, 10, 3.0, 30, 3, 60
 SIMILAR, CLUSTER_LEAST, NAME_LEAST, CLUSTERS = 0.76, 5, 0.17, 40
-#: Vectors of a block.
-BLOCK = 4096
+#: Vectors of a block; vectors looked through in a round, and centres of a chunk. The result doesn't hang on them.
+BLOCK, CANDIDATES = 4096, 512
 
 
 def years(images: DataFrame) -> DataFrame:
@@ -71,74 +74,129 @@ def time_albums(images: DataFrame, factor: float = DAY_FACTOR) -> DataFrame:
     return y.unionByName(m).unionByName(d)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(norm == 0, 1, norm)
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1.0, n)
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows, to twelve decimals, so that they don't hang on how many rows are multiplied at a time."""
+    return np.round(_unit(a) @ _unit(b).T, 12)
+
+
+def _stacked(pdf: pd.DataFrame, column: str = "vector") -> np.ndarray:
+    return np.stack(pdf[column].to_numpy()).astype(np.float64)
+
+
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows dealt by a hash of the id into blocks of some ``block`` rows of a group; what is computed is per row."""
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return rows.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _spread(few: DataFrame, placed: DataFrame) -> DataFrame:
+    """A copy of each of a group's few rows for every block of the group."""
+    sizes = placed.select(F.col("group").alias("of"), F.col("blocks").alias("count")).distinct()
+    joined = few.select(*[F.col(c).alias(c) for c in few.columns]).join(sizes, F.col("group") == F.col("of"))
+    return joined.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).drop("of", "count")
+
+
+def leaders(vectors: DataFrame, threshold: float, block: int = BLOCK, candidates: int = CANDIDATES) -> DataFrame:
+    """(group, id, seq, vector): the vectors that no earlier leader of their group is like, earlier by seq, then id.
+
+    Round after round, a group's first ``candidates`` vectors that no leader
+    covers are looked through in order, which settles them, as no earlier
+    vector is left; the leaders among them then take what they cover out of the
+    rest. So a task holds the candidates of a group, or a block and the leaders
+    of one round, and the result is that of one pass in order, whatever the
+    sizes of blocks and rounds. Every round settles its candidates, so there
+    are as many as the least settled group has leaders over those of a round.
+    """
+    kind, rest, found = dict(vectors.dtypes)["id"], materialise(vectors.select("group", "id", "seq", "vector")), []
+    schema = f"group string, id {kind}, seq double, vector array<double>"
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["seq", "id"], ignore_index=True)
+        alike = _likeness(_stacked(pdf), _stacked(pdf)) >= threshold
+        covered, chosen = np.zeros(len(pdf), bool), []
+        for i in range(len(pdf)):
+            if not covered[i]:
+                chosen.append(i)
+                covered |= alike[i]
+        return pdf.iloc[chosen][["group", "id", "seq", "vector"]]
+
+    def uncovered(own: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
+        if len(own) and len(few):
+            own = own[~own["id"].isin(few["id"]) & ~(_likeness(_stacked(own), _stacked(few)) >= threshold).any(axis=1).astype(bool)]
+        return own[["group", "id", "seq", "vector"]]
+
+    while not rest.isEmpty():
+        first = rest.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("seq", "id"))).where(F.col("place") <= candidates)
+        chosen = materialise(first.groupBy("group").applyInPandas(choose, schema))
+        found.append(chosen)
+        placed = _blocks(rest, block)
+        rest = materialise(placed.groupBy("group", "block").cogroup(_spread(chosen, placed).groupBy("group", "block")).applyInPandas(uncovered, schema))
+    return reduce(DataFrame.unionByName, found) if found else rest
+
+
+def _nearest_centre(placed: DataFrame, centres: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(group, id, centre): the centre most like each vector, of equal ones the smallest, if it is at the threshold.
+
+    A group's centres come in chunks of a bounded number; each block meets each chunk.
+    """
 
+    def score(own: pd.DataFrame, few: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(few):
+            return pd.DataFrame({"group": [], "id": [], "score": [], "centre": []})
+        few = few.sort_values("centre")
+        sim = _likeness(_stacked(own), _stacked(few))
+        best = sim.argmax(axis=1)
+        return pd.DataFrame({"group": own["group"], "id": own["id"], "score": sim.max(axis=1), "centre": few["centre"].to_numpy()[best]})
 
-def _lead(vectors: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums, counts and founders of the leaders of rows in order: a row joins the best centroid at the threshold or founds one."""
-    sums, units, n, first, k = np.empty_like(vectors), np.empty_like(vectors), np.empty(len(vectors)), np.empty(len(vectors), int), 0
-    for i, (v, count) in enumerate(zip(vectors, counts, strict=True)):
-        if k:
-            sim = units[:k] @ _unit(v)
-            best = int(sim.argmax())
-            if sim[best] >= threshold:
-                sums[best] += v
-                n[best] += count
-                units[best] = _unit(sums[best])
-                continue
-        sums[k], n[k], first[k], units[k] = v, count, i, _unit(v)
-        k += 1
-    return sums[:k], n[:k], first[:k]
+    chunks = F.floor((F.row_number().over(Window.partitionBy("group").orderBy("centre")) - 1) / CANDIDATES).cast("int")
+    few = materialise(centres.withColumn("chunk", chunks))
+    most = few.groupBy("group").agg(F.max("chunk").alias("last"))
+    dealt = placed.join(most, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    keys = ["group", "block", "chunk"]
+    scored = dealt.groupBy(*keys).cogroup(_spread(few, placed).groupBy(*keys)).applyInPandas(score, f"group string, id {kind}, score double, centre long")
+    best = scored.where(F.col("score") >= threshold).groupBy("group", "id").agg(F.max(F.struct("score", (-F.col("centre")).alias("back"))).alias("best"))
+    return best.select("group", "id", (-F.col("best.back")).alias("centre"))
 
 
 def greedy_clusters(vectors: DataFrame, group: str | None = None, threshold: float = SIMILAR, least: int = CLUSTER_LEAST, block: int = BLOCK) -> DataFrame:
     """(group, id, cluster): leader clustering in order of the number ``seq``, then each vector moves to its best centroid.
 
-    ``vectors(id, seq, vector[, group])``. A vector joins the first-best centroid
-    at the threshold or founds one; centroids are running means. The result
-    depends on the order, so the order is part of the definition: a group of more
-    than ``block`` vectors is dealt into blocks by a hash of the id, each finds
-    its leaders in order of seq, and the leaders are led in turn, in order of
-    their founders. So a task holds one block, or a group's leaders and one
-    block. Clusters under ``least`` members are dropped and the rest numbered by
-    founding; a vector under the threshold everywhere is in none.
+    ``vectors(id, seq, vector[, group])``, ids unique. A vector that is like no earlier leader,
+    by a cosine at the threshold, is a leader; each vector joins the leader most
+    like it, the earliest of equals; a cluster's centroid is the mean of its
+    members' unit vectors; then each vector moves to the centroid most like it,
+    if that is at the threshold, and else is in no cluster. Clusters under
+    ``least`` members are dropped and the rest numbered from the largest, equal
+    ones by their leaders. Cosines count to twelve decimals. A null vector, or
+    one with a part that is null or not finite, is left out; one of zeros is
+    like nothing.
+
+    Leaders stay where they were founded until all are known, so the result is
+    the same for any ``block``, partitioning and order of rows.
     """
-    key = F.col(group).cast("string") if group else F.lit("")
-    keyed = vectors.select(key.alias("group"), "id", F.col("seq").cast("double").alias("seq"), F.col("vector").cast("array<double>").alias("vector"))
-    sizes = keyed.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = keyed.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    stacked = lambda pdf, c: np.stack(pdf[c].to_numpy()).astype(np.float64)
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "id"])
-        sums, n, first = _lead(_unit(stacked(pdf, "vector")), np.ones(len(pdf)), threshold)
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "blocks": pdf["blocks"].iloc[0], "seq": pdf["seq"].to_numpy()[first], "n": n, "total": list(sums)})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        total, first = stacked(pdf, "total"), np.arange(len(pdf))
-        if pdf["blocks"].iloc[0] > 1:
-            total, _, first = _lead(total, pdf["n"].to_numpy(), threshold)
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "blocks": pdf["blocks"].iloc[0], "centre": np.arange(len(first)), "total": list(total)})
-
-    def assign(own: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"group": [], "id": [], "centre": []})
-        centres = centres.sort_values("centre")
-        sim = _unit(stacked(own, "vector")) @ _unit(stacked(centres, "total")).T
-        best, near = sim.argmax(axis=1), sim.max(axis=1) >= threshold
-        return pd.DataFrame({"group": own["group"][near], "id": own["id"][near], "centre": centres["centre"].to_numpy()[best[near]]})
-
-    kind = dict(vectors.dtypes)["id"]
-    leaders = placed.groupBy("group", "block").applyInPandas(lead, "group string, blocks int, seq double, n double, total array<double>")
-    merged = leaders.groupBy("group").applyInPandas(merge, "group string, blocks int, centre int, total array<double>")
-    spread = merged.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    assigned = placed.groupBy("group", "block").cogroup(spread.groupBy("group", "block")).applyInPandas(assign, f"group string, id {kind}, centre int")
+    key, kind = F.col(group).cast("string") if group else F.lit(""), dict(vectors.dtypes)["id"]
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    keyed = vectors.select(F.coalesce(key, F.lit("")).alias("group"), key.isNull().alias("none"), "id", F.col("seq").cast("double").alias("seq"), F.col("vector").cast("array<double>").alias("vector"))
+    keyed = materialise(keyed.withColumn("group", F.when(F.col("none"), "-").otherwise(F.concat(F.lit("="), "group"))).drop("none").where(F.col("vector").isNotNull() & (F.size("vector") > 0) & sound))
+    founders = materialise(leaders(keyed, threshold, block))
+    order = Window.partitionBy("group").orderBy("seq", "id")
+    founders = founders.select("group", "vector", F.row_number().over(order).cast("long").alias("centre"))
+    placed = _blocks(keyed, block)
+    joined = _nearest_centre(placed, founders, threshold, kind)
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x))
+    parts = keyed.join(joined, ["group", "id"]).select("group", "centre", F.posexplode("vector").alias("at", "part"), length.alias("length"))
+    means = parts.groupBy("group", "centre", "at").agg(F.avg(F.col("part") / F.col("length")).alias("part"))
+    centroids = means.groupBy("group", "centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("vector"))
+    assigned = materialise(_nearest_centre(placed, centroids, threshold, kind))
     kept = assigned.groupBy("group", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    numbered = kept.withColumn("cluster", F.row_number().over(Window.partitionBy("group").orderBy("centre")) - 1)  # a group's clusters
-    return assigned.join(numbered, ["group", "centre"]).select("group", "id", F.col("cluster").cast("int").alias("cluster"))
+    numbered = kept.withColumn("cluster", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "centre")) - 1)  # a group's clusters
+    back = F.when(F.col("group") != "-", F.substring("group", 2, 1 << 30))
+    return assigned.join(numbered, ["group", "centre"]).select(back.alias("group"), "id", F.col("cluster").cast("int").alias("cluster"))
 
 
 def name_clusters(centroids: DataFrame, labels: DataFrame, least: float = NAME_LEAST, other: str = "Moments") -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 RADIUS_KM = 6371.0
 KM_PER_DEGREE = 111.195
 
@@ -92,53 +96,108 @@ def nearest(points: DataFrame, cities: DataFrame) -> DataFrame:
     return points.join(far if found is None else found.unionByName(far), ["gps_lat", "gps_lon"]).select("id", "best.city", "best.km")
 
 
-def _lead(rows: np.ndarray, radius_km: float) -> np.ndarray:
-    """Leaders (lat, lon, count, seq) of rows (lat, lon, count, seq) in order of seq: the nearest within the radius takes a row, or it founds one."""
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 3]))]
-    lat, lon, n, seq = (np.empty(len(rows)) for _ in range(4))
-    size = 0
-    for a, b, count, at in rows:
-        if size:
-            km = distance_km(lat[:size], lon[:size], a, b)
-            i = int(km.argmin())
-            if km[i] <= radius_km:
-                total = n[i] + count
-                lat[i], lon[i], n[i] = (lat[i] * n[i] + a * count) / total, (lon[i] * n[i] + b * count) / total, total
+def _around(rows: DataFrame, height: float, band: str, cell: str) -> DataFrame:
+    """A copy of each row for its own cell and each of those that a circle of ``height`` degrees around it can reach."""
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    out = rows.withColumn(band, F.explode(F.transform(near, lambda d: F.floor(F.col("lat") / height).cast("int") + d)))
+    own, count = _ring(F.col(band), F.col("lon"), height)
+    return out.withColumn(cell, F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(own + d, count)))))
+
+
+def _km9(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return F.round(haversine_km(lat1, lon1, lat2, lon2), 9)
+
+
+def _last_founders(spots: pd.DataFrame, radius_km: float) -> list[int]:
+    """The places in ``spots`` of its founders, in one pass in order; leaders are looked up by cells of the radius' height."""
+    height = radius_km / KM_PER_DEGREE + 0.01
+    bands: dict[tuple, list[tuple[float, float]]] = {}
+    out = []
+    for k, (group, lat, lon) in enumerate(zip(spots["group"], spots["lat"], spots["lon"], strict=True)):
+        band = math.floor(lat / height)
+        have = [x for d in (-1, 0, 1) for x in bands.get((group, band + d), ())]
+        if have:
+            near = np.array(have)
+            if (np.round(distance_km(near[:, 0], near[:, 1], lat, lon), 9) <= radius_km).any():
                 continue
-        lat[size], lon[size], n[size], seq[size] = a, b, count, at
-        size += 1
-    return np.stack([lat[:size], lon[:size], n[:size], seq[:size]], axis=1)
+        bands.setdefault((group, band), []).append((lat, lon))
+        out.append(k)
+    return out
+
+
+#: Spots not yet settled at most that are settled in one task; it changes how they are settled, not what comes out.
+FEW_SPOTS = 100_000
+
+
+def founders(spots: DataFrame, radius_km: float, few: int | None = None) -> DataFrame:
+    """(group, lat, lon, seq) of the spots that have no earlier founder of their group within the radius; earlier by seq, lat, lon.
+
+    In each round a cell's spots wait for the first unsettled one among all that
+    can be within reach of the cell; where that one lies in the cell itself, no
+    earlier spot is left that could take it, so it is a founder, and what is
+    within its radius is settled too. Counts by cell are grouped minima, so no
+    task holds a group or a crowded cell. When few spots are left, one task
+    looks through them in order, which gives the same.
+    """
+    height, few = radius_km / KM_PER_DEGREE + 0.01, FEW_SPOTS if few is None else few
+    band, cell, _ = _cells(F.col("lat"), F.col("lon"), height)
+    order = F.struct(F.col("seq").isNull().alias("late"), "seq", "lat", "lon", F.col("own_band").alias("b"), F.col("own_cell").alias("c"))
+    rest, found = materialise(spots.select("group", "lat", "lon", "seq").withColumn("own_band", band).withColumn("own_cell", cell)), []
+    while (left := rest.limit(few + 1).count()) > few:
+        first = _around(rest, height, "band", "cell").groupBy("group", "band", "cell").agg(F.min(order).alias("first"))
+        chosen = materialise(first.where((F.col("first.b") == F.col("band")) & (F.col("first.c") == F.col("cell"))).select("group", "first.lat", "first.lon", "first.seq"))
+        found.append(chosen)
+        near = _around(chosen, height, "own_band", "own_cell").groupBy("group", "own_band", "own_cell").agg(F.collect_list(F.struct("lat", "lon")).alias("near"))  # a few of each cell
+        taken = F.exists("near", lambda x: _km9(x["lat"], x["lon"], F.col("lat"), F.col("lon")) <= radius_km)
+        rest = materialise(rest.join(near, ["group", "own_band", "own_cell"], "left").where(~F.coalesce(taken, F.lit(False))).select("group", "lat", "lon", "seq", "own_band", "own_cell"))
+    if left:
+
+        def settle(batches):
+            own = [b.to_pandas() for b in batches]
+            if own:
+                spots = pd.concat(own).sort_values(["group", "seq", "lat", "lon"], ignore_index=True, na_position="last")
+                yield pa.RecordBatch.from_pandas(spots.iloc[_last_founders(spots, radius_km)], preserve_index=False)
+
+        found.append(rest.select("group", "lat", "lon", "seq").repartition(1).mapInArrow(settle, "group string, lat double, lon double, seq double"))
+    return reduce(DataFrame.unionByName, found) if found else rest.select("group", "lat", "lon", "seq")
 
 
 def leader_places(points: DataFrame, radius_km: float, group: str | None = None) -> DataFrame:
-    """(group, place, lat, lon, members): greedy centres in order of the number ``seq``.
-
-    A leader pass depends on its order, so the order is part of the definition:
-    positions equal to four decimals (some ten metres) are first summed up, at
-    the place of their first row; then each block of a degree, or of four radii,
-    finds its leaders in order; then the leaders of a group are led in turn. A
-    leader takes what is nearest within the radius, as a running mean. The rows
-    of a block are bounded by its area over ten metres squared, leaders by the
-    earth's over the radius squared, however many rows there are.
+    """(group, place, lat, lon, members): places in order of the number ``seq``.
+
+    A spot is a position of any number of points, at the seq of its first. A
+    spot with no earlier founder of its group within the radius founds a place;
+    each spot joins the nearest founder, of equal ones the earliest; a place's
+    centre is the mean of its points; members are all points of the group
+    within the radius of the centre, so a point may count at several places or
+    at none. Places are numbered by members, largest first, equal ones by their
+    founders. Kilometres count to nine decimals. Points without a position are
+    left out; a null seq comes last, and a null group is one.
+
+    Founders stay where they are until all are known, so the result is the same
+    for any partitioning and order of rows.
     """
-    keyed = points.withColumn("group", F.col(group).cast("string") if group else F.lit(""))
-    located = keyed.where("gps_lat is not null and gps_lon is not null")
-    spots = located.groupBy("group", F.round("gps_lat", 4).alias("lat"), F.round("gps_lon", 4).alias("lon")).agg(F.count("*").cast("double").alias("n"), F.min("seq").cast("double").alias("seq"))
-    size = max(1.0, 4 * radius_km / KM_PER_DEGREE)
-    columns, schema = ["lat", "lon", "n", "seq"], "group string, lat double, lon double, n double, seq double"
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_lead(pdf[columns].to_numpy(), radius_km), columns=columns)
-        out.insert(0, "group", pdf["group"].iloc[0])
-        return out
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _lead(pdf[columns].to_numpy(), radius_km)
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "place": np.arange(len(out)), "lat": out[:, 0].round(4), "lon": out[:, 1].round(4), "members": out[:, 2].astype(int)})
-
-    blocks = spots.withColumn("x", F.floor(F.col("lon") / size)).withColumn("y", F.floor(F.col("lat") / size))
-    leaders = blocks.groupBy("group", "x", "y").applyInPandas(lead, schema)
-    return leaders.groupBy("group").applyInPandas(merge, "group string, place int, lat double, lon double, members int")
+    height = radius_km / KM_PER_DEGREE + 0.01
+    band, cell, _ = _cells(F.col("lat"), F.col("lon"), height)
+    name = F.col(group).cast("string") if group else F.lit("")
+    keyed = points.where("gps_lat is not null and gps_lon is not null").select(F.coalesce(F.concat(F.lit("="), name), F.lit("-")).alias("group"), F.col("gps_lat").cast("double").alias("lat"), F.col("gps_lon").cast("double").alias("lon"), F.col("seq").cast("double").alias("seq"))
+    spots = materialise(keyed.groupBy("group", "lat", "lon").agg(F.min("seq").alias("seq"), F.count("*").alias("n")).withColumn("band", band).withColumn("cell", cell))
+    heads = materialise(founders(spots, radius_km))
+    far = _around(heads, height, "band", "cell").select("group", "band", "cell", F.col("lat").alias("at"), F.col("lon").alias("along"), F.col("seq").alias("since"))
+    nearness = F.struct(_km9(F.col("lat"), F.col("lon"), F.col("at"), F.col("along")).alias("km"), F.col("since").isNull().alias("late"), "since", "at", "along")
+    joined = spots.join(far, ["group", "band", "cell"]).groupBy("group", "lat", "lon").agg(F.first("n").alias("n"), F.min(nearness).alias("best"))
+    centres = joined.groupBy("group", "best.late", "best.since", "best.at", "best.along").agg((F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("lat"), (F.sum(F.col("lon") * F.col("n")) / F.sum("n")).alias("lon"))
+    centres = materialise(centres)
+    around = _around(centres, height, "band", "cell").select("group", "band", "cell", "late", "since", "at", "along", F.col("lat").alias("mid"), F.col("lon").alias("mean"))
+    inside = spots.join(around, ["group", "band", "cell"]).where(_km9(F.col("lat"), F.col("lon"), F.col("mid"), F.col("mean")) <= radius_km)
+    keys = ["group", "late", "since", "at", "along"]
+    counted = inside.groupBy(*keys).agg(F.sum("n").alias("members"))
+    known = centres.withColumns({f"__{c}": F.col(c) for c in keys}).drop(*keys)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    places = known.join(counted, same, "left").select(F.col("__group").alias("group"), "lat", "lon", F.coalesce("members", F.lit(0)).alias("members"), *[F.col(f"__{c}").alias(c) for c in keys[1:]])
+    numbers = Window.partitionBy("group").orderBy(F.desc("members"), "late", "since", "at", "along")  # a group's places, bounded by the earth over the radius squared
+    back = F.when(F.col("group") != "-", F.substring("group", 2, 1 << 30))
+    return places.withColumn("place", (F.row_number().over(numbers) - 1).cast("int")).select(back.alias("group"), "place", "lat", "lon", "members")
 
 
 def place_albums(points: DataFrame, centres: DataFrame, radius_km: float, least: int = 5, limit: int = 30) -> DataFrame:

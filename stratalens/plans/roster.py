@@ -303,10 +303,25 @@ def located_centroid(spark, sf_dir):
     return geo.centroid(views.live(spark, sf_dir)).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query()
+def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return f"12742.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT gps_country AS grp, gps_lat AS lat, gps_lon AS lon, min(epoch_us(cast(taken_at AS TIMESTAMP))) AS seq, count(*) AS n FROM v_live WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL GROUP BY 1, 2, 3),
+r(grp, lat, lon, seq, step) AS (
+  SELECT grp, lat, lon, seq, 0 FROM p UNION ALL
+  SELECT grp, lat, lon, seq, step + 1 FROM (SELECT *, first_value(lat) OVER w AS la, first_value(lon) OVER w AS lo FROM r WINDOW w AS (PARTITION BY grp ORDER BY seq NULLS LAST, lat, lon)) WHERE round({_km("la", "lo", "lat", "lon")}, 9) > 500
+), founders AS (SELECT grp, step, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY grp, step ORDER BY seq NULLS LAST, lat, lon) AS k FROM r) WHERE k = 1),
+joined AS (SELECT p.*, f.step, row_number() OVER (PARTITION BY p.grp, p.lat, p.lon ORDER BY round({_km("p.lat", "p.lon", "f.lat", "f.lon")}, 9), f.step) AS k FROM p JOIN founders f ON f.grp IS NOT DISTINCT FROM p.grp),
+centres AS (SELECT grp, step, sum(lat * n) / sum(n) AS lat, sum(lon * n) / sum(n) AS lon FROM joined WHERE k = 1 GROUP BY 1, 2),
+counted AS (SELECT c.grp, c.step, c.lat, c.lon, cast(coalesce(sum(p.n) FILTER (WHERE round({_km("p.lat", "p.lon", "c.lat", "c.lon")}, 9) <= 500), 0) AS BIGINT) AS members FROM centres c JOIN p ON p.grp IS NOT DISTINCT FROM c.grp GROUP BY 1, 2, 3, 4)
+SELECT cast(grp AS VARCHAR) AS "group", cast(row_number() OVER (PARTITION BY grp ORDER BY members DESC, step) - 1 AS INT) AS place, round(lat, 9) AS lat, round(lon, 9) AS lon, members FROM counted
+""")
 def leader_places(spark, sf_dir):
     points = views.live(spark, sf_dir).withColumn("seq", F.unix_micros(F.col("taken_at").cast("timestamp")))
-    return geo.leader_places(points.select("id", "seq", "gps_lat", "gps_lon", "gps_country"), 500.0, group="gps_country")
+    places = geo.leader_places(points.select("id", "seq", "gps_lat", "gps_lon", "gps_country"), 500.0, group="gps_country")
+    return places.select("group", "place", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "members")
 
 
 # ---- vectors ----------------------------------------------------------------
@@ -356,7 +371,24 @@ def missing_embeddings_anti(spark, sf_dir):
     return _ids(vectors.missing_vectors(images, _vectors(spark, sf_dir), images.where("id % 5 = 0"), 100))
 
 
-@query()
+_COS = "round(list_cosine_similarity(v.e, f.e), 12)"
+
+
+def _most_like(centres: str) -> str:
+    return f"SELECT * FROM (SELECT v.*, f.centre, row_number() OVER (PARTITION BY v.id ORDER BY {_COS} DESC, f.centre) AS k, {_COS} AS cos FROM v JOIN {centres} f ON f.grp IS NOT DISTINCT FROM v.grp) WHERE k = 1 AND cos >= 0.3"
+
+
+@query(f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label AS grp, cast(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), r(grp, id, e, step) AS (
+  SELECT grp, id, e, 0 FROM v UNION ALL
+  SELECT grp, id, e, step + 1 FROM (SELECT *, first_value(id) OVER w AS first_id, first_value(e) OVER w AS first_e FROM r WINDOW w AS (PARTITION BY grp ORDER BY id)) WHERE id <> first_id AND round(list_cosine_similarity(e, first_e), 12) < 0.3
+), founders AS (SELECT grp, step AS centre, arg_min(e, id) AS e FROM r GROUP BY 1, 2), joined AS ({_most_like("founders")}),
+parts AS (SELECT grp, centre, unnest(e) / sqrt(list_dot_product(e, e)) AS x, generate_subscripts(e, 1) AS pos FROM joined), means AS (SELECT grp, centre, pos, avg(x) AS x FROM parts GROUP BY 1, 2, 3), centroids AS (SELECT grp, centre, list(x ORDER BY pos) AS e FROM means GROUP BY 1, 2),
+moved AS ({_most_like("centroids")}), kept AS (SELECT grp, centre, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, centre) - 1 AS cluster FROM moved GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT cast(m.grp AS VARCHAR) AS "group", m.id, cast(k.cluster AS INT) AS cluster FROM moved m JOIN kept k ON k.grp IS NOT DISTINCT FROM m.grp AND k.centre = m.centre
+""")
 def greedy_clusters(spark, sf_dir):
     v = _vectors(spark, sf_dir).withColumn("seq", F.col("id"))
     return collections.greedy_clusters(v, group="label", threshold=0.3, least=2)

@@ -76,8 +76,9 @@ def with_views(select: str) -> str:
     need = [v for v in views if re.search(rf"\b{v}\b", select) or (v == "v_image" and "v_live" in select)]
     if not need:
         return select
-    own = select.removeprefix("WITH ")
-    return "WITH " + ", ".join(f"{v} AS ({views[v]})" for v in need) + (", " if own != select else " ") + own
+    select = select.strip()
+    own = select.removeprefix("WITH ").removeprefix("RECURSIVE ")
+    return ("WITH RECURSIVE " if select.startswith("WITH RECURSIVE ") else "WITH ") + ", ".join(f"{v} AS ({views[v]})" for v in need) + (", " if own != select else " ") + own
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

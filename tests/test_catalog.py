@@ -161,8 +161,6 @@ def test_greedy_clusters_names_and_selection(spark):
     rows = [(i, i, (e[0] + 0.05 * e[2] * i).tolist()) for i in range(5)] + [(10 + i, 10 + i, e[1].tolist()) for i in range(5)] + [(20, 20, e[3].tolist())]
     got = {r.id: r.cluster for r in collections.greedy_clusters(spark.createDataFrame(rows, "id long, seq long, vector array<double>")).collect()}
     assert got == {**{i: 0 for i in range(5)}, **{10 + i: 1 for i in range(5)}}
-    blocks = collections.greedy_clusters(spark.createDataFrame(rows, "id long, seq long, vector array<double>"), block=3).collect()
-    assert {r.id: r.cluster for r in blocks} == got
     centroids = spark.createDataFrame([(0, e[0].tolist()), (1, e[3].tolist())], "cluster int, vector array<double>")
     labels = spark.createDataFrame([("sky", e[0].tolist()), ("sea", e[1].tolist())], "label string, label_vector array<double>")
     assert {r.cluster: r.name for r in collections.name_clusters(centroids, labels).collect()} == {0: "sky", 1: "Moments"}
@@ -185,10 +183,7 @@ def test_geography(spark):
     cities = spark.createDataFrame([("Munich", 48.1, 11.5), ("Fiji", -18.0, 178.0)], "city string, lat double, lon double")
     assert {r.id: r.city for r in geo.nearest(points, cities).collect()} == {1: "Munich", 2: "Munich", 3: "Fiji", 5: "Munich"}
     places = geo.leader_places(points.withColumn("seq", F.col("id")), 1.0).orderBy("place").collect()
-    assert [r.members for r in places] == [2, 1, 1] and places[0].lat == 48.0025
-    chain = images(spark, [dict(id=i, gps_lat=48.0 + 0.006 * i, gps_lon=11.0) for i in range(4)] + [dict(id=10 + i, gps_lat=0.0, gps_lon=0.001 * i) for i in range(3)])
-    led = geo.leader_places(chain.withColumn("seq", F.col("id")), 1.0).orderBy("place").collect()  # 0.006 degrees are 667 m
-    assert [(r.lat, r.members) for r in led] == [(48.003, 2), (48.015, 2), (0.0, 3)]
+    assert [r.members for r in places] == [2, 1, 1] and round(places[0].lat, 6) == 48.0025
     far = spark.createDataFrame([(f"c{i}", -60.0 + i % 120, -170.0 + i % 340) for i in range(300)] + [("pole", 89.0, 0.0)], "city string, lat double, lon double")
     want = {}
     for r in points.where("gps_lat is not null").collect():
