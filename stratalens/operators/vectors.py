@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: The largest candidate pool of a search.
 POOL_MOST = 4096
+#: Pivots of a nearest-neighbour join, vectors or queries of a block, targets that are broadcast at a time.
+PIVOTS, BLOCK, TARGETS = 128, 4096, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,6 +55,102 @@ def nearest_to_row(vectors: DataFrame, row_id: int, k: int, id_col: str = "id",
     return out.select(F.col(id_col), l2(F.col(vector_col), F.col("__query")).alias("distance")).orderBy("distance", id_col).limit(min(k, POOL_MOST))
 
 
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy()).astype(np.float64)
+
+
+def _cells_of(pivots: np.ndarray):
+    """Each vector with its nearest pivot and the distance to it, or with the distances to all."""
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                far = np.stack([np.sqrt(((pivots - v) ** 2).sum(axis=1)) for v in _matrix(pdf["vector"])])
+                cell = far.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), reach=far[np.arange(len(pdf)), cell], all=list(far))
+
+    return place
+
+
+def nearest_join(queries: DataFrame, vectors: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """(query, id, distance, rank): the ``k`` vectors nearest to each query, ties by id, exact; never the query's own id.
+
+    ``queries(id, vector)``, ``vectors(id, vector)``, ids unique. Vectors lie in the cell of
+    their nearest pivot, a bounded sample. A query first meets the cells nearest
+    to it that hold ``k`` others; their k-th distance bounds the search, and then
+    it meets just those cells that can hold anything nearer, by the triangle
+    inequality on the cell's largest reach. Cells are dealt into blocks of
+    vectors and of queries, and a task keeps the best k of each query, so no
+    task holds a cell. Distances count to nine decimals. Null vectors, and those
+    with a part that is null or not finite, are neither queries nor found; fewer than k vectors are all
+    found.
+    """
+    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    sound = vectors.where(whole).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.where(whole).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    kind = dict(vectors.dtypes)["id"]
+    centres = [r["vector"] for r in sound.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    out = f"query {kind}, id {kind}, distance double"
+    if not centres:
+        return vectors.sparkSession.createDataFrame([], f"{out}, rank int")
+    place = _cells_of(np.array(centres, np.float64))
+    schema = f"id {kind}, vector array<double>, cell int, reach double, all array<double>"
+    placed = materialise(sound.mapInPandas(place, schema).drop("all"))
+    # no more rows than pivots
+    cells = {r["cell"]: (r["n"], r["reach"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()}
+    size = F.create_map(*[F.lit(x) for c, (n, _) in cells.items() for x in (c, -(-n // BLOCK))])
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), size[F.col("cell")]).cast("int")).select("cell", "block", "id", "vector")
+    known, count, reach = np.array(sorted(cells)), np.array([cells[c][0] for c in sorted(cells)]), np.array([cells[c][1] for c in sorted(cells)])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The nearest cells that hold k others, and what the distance to any vector of each cell is at least."""
+        for pdf in batches:
+            if len(pdf):
+                far = _matrix(pdf["all"])[:, known]
+                order = np.argsort(far, axis=1, kind="stable")
+                held = np.cumsum(count[order], axis=1)
+                first = [known[o[: int(np.searchsorted(h, k + 1)) + 1]].astype(np.int32) for o, h in zip(order, held, strict=True)]
+                yield pd.DataFrame({"id": pdf["id"], "vector": pdf["vector"], "first": first, "least": list(far - reach)})
+
+    looking = materialise(asked.mapInPandas(place, schema).mapInPandas(near, f"id {kind}, vector array<double>, first array<int>, least array<double>"))
+
+    def visit(meets: DataFrame) -> DataFrame:
+        """``meets(query, q, cell)`` against the blocks of those cells: the best k of each query and block."""
+        blocks = meets.withColumn("block", F.explode(F.sequence(F.lit(0), size[F.col("cell")] - 1)))
+        crowd = blocks.groupBy("cell").agg(F.ceil(F.countDistinct("query") / BLOCK).cast("int").alias("chunks"))
+        mine = blocks.join(F.broadcast(crowd), "cell").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int"))
+        of = crowd.select(F.col("cell").alias("of"), F.col("chunks").alias("parts"))
+        theirs = dealt.select(*[F.col(c).alias(c) for c in dealt.columns]).join(F.broadcast(of), F.col("cell") == F.col("of")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows = {"query": [], "id": [], "distance": []}
+            if len(left) and len(right):
+                right = right.sort_values("id", ignore_index=True)
+                m, ids = _matrix(right["vector"]), right["id"].to_numpy()
+                for query, q in zip(left["query"].to_numpy(), left["q"], strict=True):
+                    distance = np.round(np.sqrt(((m - q) ** 2).sum(axis=1)), 9)
+                    distance[ids == query] = np.inf
+                    few = np.argsort(distance, kind="stable")[: k + 1]
+                    few = few[np.isfinite(distance[few])][:k]
+                    rows["query"] += [query] * len(few)
+                    rows["id"] += ids[few].tolist()
+                    rows["distance"] += distance[few].tolist()
+            return pd.DataFrame(rows)
+
+        keys = ["cell", "block", "chunk"]
+        return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(best, out)
+
+    ranked = Window.partitionBy("query").orderBy("distance", "id")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    found = materialise(visit(looking.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.explode("first").alias("cell"))))
+    bound = top(found).groupBy("query").agg(F.max("distance").alias("bound"), F.count("*").alias("n"))
+    numbers = F.array(*[F.lit(int(c)) for c in known])
+    may = looking.join(bound.withColumnRenamed("query", "id"), "id", "left").withColumn("limit", F.when(F.coalesce("n", F.lit(0)) >= k, F.col("bound") + 1e-6).otherwise(float("inf")))
+    more = F.array_except(F.transform(F.filter(F.arrays_zip(numbers.alias("cell"), F.col("least").alias("least")), lambda x: x["least"] <= F.col("limit")), lambda x: x["cell"]), F.col("first"))
+    rest = visit(may.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.explode(more).alias("cell")))
+    return top(found.unionByName(rest)).select("query", "id", "distance", F.col("rank").cast("int").alias("rank"))
+
+
 def pool_size(limit: int) -> int:
     return min(max(5 * limit, 200), POOL_MOST)
 
@@ -78,10 +183,20 @@ def example_pool(images: DataFrame) -> DataFrame:
 def example_neighbours(targets: DataFrame, examples: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query, id, doc, score) of the best ``k`` examples of each target, one of each pair, never itself or its partner.
 
-    ``targets(id, vector, is_raw, pair)`` are a user's selection, whose number is
-    the caller's bound, and are broadcast; examples of the target's own kind are
+    ``targets(id, vector, is_raw, pair)`` are broadcast in blocks of a bounded
+    number, so any number of them may come; examples of the target's own kind are
     used if there are any that have a vector. An example without a vector takes its partner's.
     """
+    count = targets.count()
+    if count > TARGETS:
+        blocks = 2 * -(-count // TARGETS)  # twice as many, as a hash doesn't deal evenly
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_example_block(targets.where(block == k), examples, vectors, k_best=k) for k in range(blocks)])
+    return _example_block(targets, examples, vectors, k_best=k)
+
+
+def _example_block(targets: DataFrame, examples: DataFrame, vectors: DataFrame, k_best: int) -> DataFrame:
+    k = k_best
     own = vectors.select("id", F.col("vector").alias("__own"))
     other = vectors.select(F.col("id").alias("pair"), F.col("vector").alias("__other"))
     known = examples.join(own, "id", "left").join(other, "pair", "left").withColumn("v", F.coalesce("__own", "__other")).where("v is not null")

@@ -148,9 +148,9 @@ def image_paths(spark, sf_dir):
     return views.images(spark, sf_dir).select("id", strings.image_path("/lib", F.col("source_root_id"), F.col("file_path")).alias("path"))
 
 
-@query(f"SELECT n_nationkey AS id FROM nation WHERE n_nationkey % 3 = 1 ORDER BY {KM.format(lat1='10.0', lon1='20.0', lat2='(n_nationkey * 7 - 80)', lon2='(n_nationkey * 14 - 175)')}, n_name LIMIT 1")
+@query(f"SELECT n_nationkey AS id FROM nation ORDER BY {KM.format(lat1='10.0', lon1='20.0', lat2='(n_nationkey * 7 - 80)', lon2='(n_nationkey * 14 - 175)')}, n_name LIMIT 1")
 def place_resolved(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 1")
+    n = table(spark, sf_dir, "nation")
     c = n.selectExpr("n_nationkey as id", "n_name as key", "cast(n_nationkey * 7 - 80 as double) as lat", "cast(n_nationkey * 14 - 175 as double) as lon")
     return geo.resolve_place(c, 10.0, 20.0).select("id")
 

@@ -287,6 +287,9 @@ def merge_carried_over(spark, sf_dir):
     return out.select("id", "rating", F.coalesce("edit_adjustments", F.lit("")).alias("doc"), F.col("edit_rev").alias("rev"))
 
 
+_FAR = "sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (cast(x[1] AS double) - cast(x[2] AS double)) * (cast(x[1] AS double) - cast(x[2] AS double)))))"
+
+
 # ---- the remote copy --------------------------------------------------------
 
 
@@ -296,24 +299,25 @@ def _albums(spark, sf_dir) -> DataFrame:
     return named.join(ruled, "album_id", "left").withColumn("rule", F.coalesce("rule", F.array().cast("array<string>")))
 
 
-@query("SELECT id FROM v_image WHERE deleted_at IS NULL AND file_type = 'jpeg' AND remote_id IS NULL AND (remote_sync OR id IN (SELECT image_id FROM v_image_tag WHERE name IN (SELECT name FROM v_rule WHERE album_sync AND album_id < 12)))")
+@query("SELECT id FROM v_image WHERE deleted_at IS NULL AND file_type = 'jpeg' AND remote_id IS NULL AND (remote_sync OR id IN (SELECT image_id FROM v_image_tag WHERE name IN (SELECT name FROM v_rule WHERE album_sync)))")
 def mirror_upload_candidates(spark, sf_dir):
-    return mirror.upload_candidates(views.images(spark, sf_dir), _albums(spark, sf_dir).where("album_id < 12"), views.image_tags(spark, sf_dir), "selective")
+    return mirror.upload_candidates(views.images(spark, sf_dir), _albums(spark, sf_dir), views.image_tags(spark, sf_dir), "selective")
 
 
-_PAIRS = "(SELECT m.album_id, 'x' AS x, image_id FROM v_album_image m WHERE album_id % 3 = 0 AND album_id < 40 UNION SELECT album_id, 'x', image_id FROM v_rule r JOIN v_image_tag t ON t.name = r.name WHERE album_sync AND album_id < 40)"
+_PAIRS = "(SELECT m.album_id, 'x' AS x, image_id FROM v_album_image m WHERE album_id % 3 = 0 UNION SELECT album_id, 'x', image_id FROM v_rule r JOIN v_image_tag t ON t.name = r.name WHERE album_sync)"
 
 
-@query(f"SELECT DISTINCT s_name AS album, remote_id FROM {_PAIRS} p JOIN supplier ON s_suppkey = p.album_id JOIN v_image i ON i.id = p.image_id WHERE i.deleted_at IS NULL AND remote_id IS NOT NULL AND i.id % 2 = 1")
+@query(f"SELECT DISTINCT s_name AS album, remote_id FROM {_PAIRS} p JOIN supplier ON s_suppkey = p.album_id JOIN v_image i ON i.id = p.image_id WHERE i.deleted_at IS NULL AND remote_id IS NOT NULL EXCEPT SELECT s_name, remote_id FROM v_album_image m JOIN supplier ON s_suppkey = m.album_id JOIN v_image i ON i.id = m.image_id WHERE position < 5")
 def mirror_album_pushes(spark, sf_dir):
-    images, albums = views.images(spark, sf_dir), _albums(spark, sf_dir).where("album_id < 40")
-    pushed = images.where("id % 2 = 0 and remote_id is not null").select("remote_id").crossJoin(F.broadcast(albums.select("album")))
-    return mirror.album_pushes(images, albums, views.album_images(spark, sf_dir), views.image_tags(spark, sf_dir), pushed, "selective")
+    """The remote copy has what lies at the front of an album."""
+    images, albums, members = views.images(spark, sf_dir), _albums(spark, sf_dir), views.album_images(spark, sf_dir)
+    there = members.where("position < 5").join(albums.select("album_id", "album"), "album_id").join(images.select(F.col("id").alias("image_id"), "remote_id"), "image_id")
+    return mirror.album_pushes(images, albums, members, views.image_tags(spark, sf_dir), there.where("remote_id is not null").select("remote_id", "album"), "selective")
 
 
 @query(f"SELECT i.id, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS albums FROM {_PAIRS} p JOIN supplier ON s_suppkey = p.album_id JOIN v_live i ON i.id = p.image_id GROUP BY 1")
 def mirror_album_names(spark, sf_dir):
-    out = mirror.album_names(views.live(spark, sf_dir), _albums(spark, sf_dir).where("album_id < 40"), views.album_images(spark, sf_dir), views.image_tags(spark, sf_dir), "selective")
+    out = mirror.album_names(views.live(spark, sf_dir), _albums(spark, sf_dir), views.album_images(spark, sf_dir), views.image_tags(spark, sf_dir), "selective")
     return out.select("id", F.array_join("albums", ",").alias("albums"))
 
 
@@ -396,15 +400,21 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: cast(x[1] AS doubl
 
 @query(
     f"WITH e AS (SELECT i.id, coalesce(applied_adjustments, edit_adjustments) AS doc, file_type = 'raw' AS is_raw, paired_image_id AS pair, coalesce(o.embedding, p.embedding) AS v FROM v_live i LEFT JOIN embeddings o ON o.vec_id = i.id LEFT JOIN embeddings p ON p.vec_id = i.paired_image_id WHERE applied_adjustments IS NOT NULL OR edit_adjustments IS NOT NULL), "
-    f"t AS (SELECT vec_id AS query, embedding AS q, file_type = 'raw' AS raw_query, paired_image_id AS pair_query FROM embeddings JOIN v_live i ON i.id = vec_id WHERE vec_id < 40), s AS (SELECT query, id, doc, is_raw = raw_query AS same, least(id, coalesce(pair, id)) AS shot, {_DOT.format(a='q', b='v')} AS score FROM e, t WHERE v IS NOT NULL AND id <> query AND id IS DISTINCT FROM pair_query), "
+    f"t AS (SELECT vec_id AS query, embedding AS q, file_type = 'raw' AS raw_query, paired_image_id AS pair_query FROM embeddings JOIN v_live i ON i.id = vec_id WHERE vec_id % 50 = 0), s AS (SELECT query, id, doc, is_raw = raw_query AS same, least(id, coalesce(pair, id)) AS shot, {_DOT.format(a='q', b='v')} AS score FROM e, t WHERE v IS NOT NULL AND id <> query AND id IS DISTINCT FROM pair_query), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY query, same, shot ORDER BY score DESC, id) AS k FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query, same ORDER BY score DESC, id) AS n, bool_or(same) OVER (PARTITION BY query) AS any_same FROM o WHERE k = 1) SELECT query, id, doc, round(score, 6) AS score FROM r WHERE n <= 5 AND same = any_same"
 )
 def example_neighbours(spark, sf_dir):
     live, v = views.live(spark, sf_dir), _vectors(spark, sf_dir).select("id", "vector")
-    targets = v.where("id < 40").join(live.select("id", (F.col("file_type") == "raw").alias("is_raw"), F.col("paired_image_id").alias("pair")), "id")
+    targets = v.where("id % 50 = 0").join(live.select("id", (F.col("file_type") == "raw").alias("is_raw"), F.col("paired_image_id").alias("pair")), "id")
     return vectors.example_neighbours(targets, vectors.example_pool(live), v).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT query, id, round(distance, 6) AS distance, cast(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), id) AS n FROM (SELECT q.vec_id AS query, e.vec_id AS id, {_FAR} AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE n <= 10")
+def knn_join_top10(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select("id", "vector")
+    return vectors.nearest_join(v.where("id % 50 = 0"), v, 10).withColumn("distance", F.round("distance", 6))
+
+
 @query("SELECT i.id, coalesce(o.vec_id, p.vec_id) AS of FROM v_live i LEFT JOIN embeddings o ON o.vec_id = i.id LEFT JOIN embeddings p ON p.vec_id = i.paired_image_id")
 def own_or_partner_vector(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", F.array(F.col("id").cast("double")).alias("vector"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from stratalens.operators import collections, geo
+from stratalens.operators import collections, geo, vectors
 
 
 def unit(v):
@@ -39,7 +39,7 @@ def plain_clusters(rows, threshold, least):
     return out
 
 
-def vectors(n=240, d=6, seed=1):
+def vector_rows(n=240, d=6, seed=1):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, d))
     rows = [("abc"[i % 7 % 3] if i % 11 else None, i, float(rng.integers(0, 50)), (centres[rng.integers(12)] + 0.35 * rng.normal(size=d)).tolist()) for i in range(n)]
@@ -50,7 +50,7 @@ def vectors(n=240, d=6, seed=1):
 def test_greedy_clusters_equal_the_plain_pass(spark, monkeypatch, block, candidates, parts):
     monkeypatch.setattr(collections, "CANDIDATES", candidates)
     monkeypatch.setattr(collections.leaders, "__defaults__", (block, candidates))
-    rows = vectors()
+    rows = vector_rows()
     frame = spark.createDataFrame(rows, "label string, id long, seq double, vector array<double>").repartition(parts)
     got = {r.id: (r.group, r.cluster) for r in collections.greedy_clusters(frame, group="label", threshold=0.8, least=2, block=block).collect()}
     want = plain_clusters(rows, 0.8, 2)
@@ -92,3 +92,32 @@ def test_leader_places_equal_the_plain_pass(spark, monkeypatch, few, parts):
     got = geo.leader_places(frame, 50.0, group="country").collect()
     assert sorted(((r.group, r.place, round(r.lat, 6), round(r.lon, 6), r.members) for r in got), key=str) == plain_places(rows, 50.0)
     assert geo.leader_places(frame.limit(0), 50.0).count() == 0
+
+
+@pytest.mark.parametrize(("pivots", "block"), [(128, 4096), (7, 5), (1, 50)])
+def test_nearest_join_equals_brute_force(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) + 3 * (i % 5)).tolist()) for i in range(160)]
+    rows += [(500 + i, rows[i][1]) for i in range(6)] + [(600, None), (601, [None, 1.0, 1.0, 1.0]), (602, [float("inf")] * 4)]
+    asked = [*rows[::7], (900, [100.0] * 4), (600, None)]
+    frame = lambda x: spark.createDataFrame(x, "id long, vector array<double>")
+    got = {}
+    for r in sorted(vectors.nearest_join(frame(asked), frame(rows).repartition(3), 4, pivots).collect(), key=lambda r: (r.query, r.rank)):
+        got.setdefault(r.query, []).append((r.distance, r.id))
+    sound = [(i, np.array(v)) for i, v in rows if i < 600]
+    want = {q: sorted((round(float(np.sqrt(((v - np.array(x)) ** 2).sum())), 9), i) for i, v in sound if i != q)[:4] for q, x in asked if x is not None and np.isfinite(x).all()}
+    assert got == want
+    assert vectors.nearest_join(frame(asked), frame([]), 4).count() == 0 and vectors.nearest_join(frame([]), frame(rows), 4).count() == 0
+    few = vectors.nearest_join(frame(rows[:1]), frame(rows[:3]), 4).collect()
+    assert len(few) == 2
+
+
+def test_example_neighbours_in_blocks_of_targets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "id long, vector array<double>")
+    examples = spark.createDataFrame([(i, f"d{i}", i % 2 == 0, None) for i in range(40)], "id long, doc string, is_raw boolean, pair long")
+    targets = v.where("id % 3 = 0").selectExpr("id", "vector", "id % 2 = 0 as is_raw", "cast(null as long) as pair")
+    whole = sorted(map(tuple, vectors.example_neighbours(targets, examples, v, 3).collect()))
+    monkeypatch.setattr(vectors, "TARGETS", 5)
+    assert sorted(map(tuple, vectors.example_neighbours(targets, examples, v, 3).collect())) == whole and len(whole) == 42
