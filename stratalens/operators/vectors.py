@@ -191,12 +191,11 @@ def example_neighbours(targets: DataFrame, examples: DataFrame, vectors: DataFra
     if count > TARGETS:
         blocks = 2 * -(-count // TARGETS)  # twice as many, as a hash doesn't deal evenly
         block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        return reduce(DataFrame.unionByName, [_example_block(targets.where(block == k), examples, vectors, k_best=k) for k in range(blocks)])
-    return _example_block(targets, examples, vectors, k_best=k)
+        return reduce(DataFrame.unionByName, [_example_block(targets.where(block == b), examples, vectors, k) for b in range(blocks)])
+    return _example_block(targets, examples, vectors, k)
 
 
-def _example_block(targets: DataFrame, examples: DataFrame, vectors: DataFrame, k_best: int) -> DataFrame:
-    k = k_best
+def _example_block(targets: DataFrame, examples: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     own = vectors.select("id", F.col("vector").alias("__own"))
     other = vectors.select(F.col("id").alias("pair"), F.col("vector").alias("__other"))
     known = examples.join(own, "id", "left").join(other, "pair", "left").withColumn("v", F.coalesce("__own", "__other")).where("v is not null")
