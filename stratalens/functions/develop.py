@@ -75,79 +75,131 @@ MASK_MODES = ("additive", "subtractive", "intersect")
 CURVE_POINTS = 16
 CURVE_XS = (0, 32, 64, 96, 128, 160, 192, 224, 255)
 
-_SUB_MASK = "struct<id:string,type:string,mode:string,visible:string,invert:string,parameters:map<string,string>>"
-_MASK = f"struct<id:string,name:string,visible:string,opacity:string,invert:string,sub_masks:array<{_SUB_MASK}>,adjustments:map<string,string>>"
-_SCHEMA = ", ".join(
-    [
-        *(f"{n} string" for n in (*SCALARS, *ENUMS)), "hsl map<string,array<string>>", "point_curves map<string,array<array<string>>>", "parametric_curve map<string,map<string,string>>",
-        f"color_grading struct<{','.join(f'{z}:map<string,string>' for z in ZONES)},blending:string,balance:string>", "color_calibration map<string,string>", f"masks array<{_MASK}>",
-    ]
-)
-
 
 def clamp(value: Column, low: float, high: float, default: float) -> Column:
-    """A number from text within bounds; no number, the default; whole bounds round half to even."""
+    """A number, or text of one, within bounds; no number, the default; whole bounds round half to even, and zero has no sign."""
     number = value.try_cast("double")
     number = F.when(number.isNull() | F.isnan(number), F.lit(float(default))).otherwise(number)
     held = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
-    return held if isinstance(low, float) else F.bround(held).cast("int")
+    return held + F.lit(0.0) if isinstance(low, float) else F.bround(held).cast("int")
 
 
-def _clamped(value: Column, spec: Column) -> Column:
-    """:func:`clamp` with the bounds in a struct column, as a double."""
-    number = value.try_cast("double")
-    number = F.when(number.isNull() | F.isnan(number), spec["default"]).otherwise(F.greatest(spec["low"], F.least(spec["high"], number)))
-    return F.when(spec["whole"], F.bround(number)).otherwise(number)
+def parsed(doc: Column) -> Column:
+    """The document as a variant, which tells nulls, truth values, numbers and text apart; malformed text, or an object that repeats a key, is null."""
+    return F.try_parse_json(doc)
 
 
-def parsed(doc: Column) -> Column:
-    """The document as text fields; null and malformed documents have none."""
-    return F.from_json(doc, _SCHEMA)
+def _at(value: Column, path: str, kind: str) -> Column:
+    """A part of a variant; one that is missing, or of a kind that doesn't turn into ``kind``, is null."""
+    return F.try_variant_get(value, path, kind)
+
+
+def _number(value: Column, path: str, low: float, high: float, default: float) -> Column:
+    return clamp(_at(value, path, "double"), low, high, default)
+
 
+def _list(value: Column, path: str = "$") -> Column:
+    return F.coalesce(_at(value, path, "array<variant>"), F.array().cast("array<variant>"))
 
-def _curve(points: Column) -> Column:
+
+def _object(value: Column, path: str = "$") -> Column:
+    return _at(value, path, "map<string,variant>")
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def truth(value: Column, default: bool) -> Column:
+    """Whether a JSON value holds: null, false, 0, and empty text, lists and objects don't; one that is missing is ``default``."""
+    kind = _kind(value)
+    held = (
+        F.when(F.is_variant_null(value), False).when(kind == "BOOLEAN", _at(value, "$", "boolean")).when(kind == "STRING", _at(value, "$", "string") != "")
+        .when(kind.startswith("ARRAY"), F.size(_list(value)) > 0).when(kind.startswith("OBJECT"), F.size(F.map_keys(_object(value))) > 0).otherwise(_at(value, "$", "double") != 0)
+    )
+    return F.when(value.isNull(), F.lit(default)).otherwise(held)
+
+
+def _text(value: Column, default: str) -> Column:
+    """A JSON value as text: of null None, of truth values True and False; one that is missing is ``default``."""
+    flag = F.when(_at(value, "$", "boolean"), "True").otherwise("False")
+    shown = F.when(F.is_variant_null(value), "None").when(_kind(value) == "BOOLEAN", flag).otherwise(F.coalesce(_at(value, "$", "string"), F.to_json(value)))
+    return F.when(value.isNull(), F.lit(default)).otherwise(shown)
+
+
+def _curve(value: Column, path: str) -> Column:
     """The first sixteen points in bounds; the straight line unless two or more come."""
-    some = F.filter(F.slice(points, 1, CURVE_POINTS), lambda p: F.size(p) >= 2)
-    clean = F.transform(some, lambda p: F.array(clamp(p[0], 0, 255, 0), clamp(p[1], 0, 255, 0)))
+    points = _list(value, path)
+    pairs = F.filter(F.transform(F.slice(points, 1, CURVE_POINTS), lambda p: _list(p)), lambda p: F.size(p) >= 2)
+    clean = F.transform(pairs, lambda p: F.array(_number(p[0], "$", 0, 255, 0), _number(p[1], "$", 0, 255, 0)))
     return F.when((F.size(points) >= 2) & (F.size(clean) >= 2), clean).otherwise(F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255))))
 
 
-def _flag(value: Column, default: bool) -> Column:
-    """A JSON truth value from text; absent, the default."""
-    return F.coalesce(~F.lower(value).isin("false", "0", ""), F.lit(default))
+def _sparse(value: Column) -> Column:
+    """Of a mask's adjustments those that are known and not neutral."""
+    held = _object(value, "$.adjustments")
+    spec = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(float(default)).alias("default"), F.lit(not isinstance(low, float)).alias("whole")) for n, (low, high, default) in SCALARS.items()])
+
+    def one(s: Column) -> Column:
+        number = _at(F.try_element_at(held, s["name"]), "$", "double")
+        bound = F.greatest(s["low"], F.least(s["high"], number))
+        now = F.when(number.isNull() | F.isnan(number), s["default"]).when(s["whole"], F.bround(bound)).otherwise(bound)
+        return F.struct(s["name"].alias("name"), now.alias("now"), (now != s["default"]).alias("counts"))
+
+    some = F.filter(F.transform(spec, one), lambda x: x["counts"])
+    return F.map_from_entries(F.transform(some, lambda x: F.struct(x["name"], x["now"])))
 
 
-def _masks(raw: Column) -> Column:
-    """Masks with known parts, and of their adjustments those that are known and not neutral."""
-    spec = F.create_map(*[c for n, (low, high, default) in SCALARS.items() for c in (F.lit(n), F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.lit(float(default)).alias("default"), F.lit(not isinstance(low, float)).alias("whole")))])
-    known = lambda m: F.transform_values(F.map_filter(m, lambda k, _: F.map_contains_key(spec, k)), lambda k, v: F.struct(_clamped(v, F.try_element_at(spec, k)).alias("now"), F.try_element_at(spec, k)["default"].alias("default")))
-    sparse = lambda m: F.transform_values(F.map_filter(known(m), lambda _, v: v["now"] != v["default"]), lambda _, v: v["now"])
+def _masks(value: Column) -> Column:
+    """Masks with the parts of a known type; what is no object is left out."""
+    has = lambda m, name: F.try_element_at(m, F.lit(name))
+    shown = lambda v: F.when(_kind(v) == "STRING", _at(v, "$", "string")).otherwise(F.to_json(v))
+    given = lambda s: F.coalesce(F.transform_values(_object(has(s, "parameters")), lambda _, v: shown(v)), F.create_map().cast("map<string,string>"))
+    word = lambda s, name: F.when(_kind(has(s, name)) == "STRING", _at(has(s, name), "$", "string"))
     part = lambda s: F.struct(
-        F.coalesce(s["id"], F.lit("")).alias("id"), s["type"].alias("type"), F.when(s["mode"].isin(*MASK_MODES), s["mode"]).otherwise("additive").alias("mode"),
-        _flag(s["visible"], True).alias("visible"), _flag(s["invert"], False).alias("invert"), F.coalesce(s["parameters"], F.create_map().cast("map<string,string>")).alias("parameters"),
+        _text(has(s, "id"), "").alias("id"), word(s, "type").alias("type"), F.when(word(s, "mode").isin(*MASK_MODES), word(s, "mode")).otherwise("additive").alias("mode"),
+        truth(has(s, "visible"), True).alias("visible"), truth(has(s, "invert"), False).alias("invert"), given(s).alias("parameters"),
     )
-    parts = lambda m: F.transform(F.filter(F.coalesce(m["sub_masks"], F.array().cast(f"array<{_SUB_MASK}>")), lambda s: s["type"].isin(*MASK_TYPES)), part)
-    mask = lambda m: F.struct(
-        F.coalesce(m["id"], F.lit("")).alias("id"), F.coalesce(m["name"], F.lit("Mask")).alias("name"), _flag(m["visible"], True).alias("visible"), clamp(m["opacity"], 0, 100, 100).alias("opacity"),
-        _flag(m["invert"], False).alias("invert"), parts(m).alias("sub_masks"), F.coalesce(sparse(m["adjustments"]), F.create_map().cast("map<string,double>")).alias("adjustments"),
+    objects = lambda items: F.filter(F.transform(items, lambda x: _object(x)), lambda x: x.isNotNull())
+    parts = lambda v: F.transform(F.filter(objects(_list(v, "$.sub_masks")), lambda s: F.coalesce(word(s, "type").isin(*MASK_TYPES), F.lit(False))), part)
+    mask = lambda v: F.struct(
+        _text(_at(v, "$.id", "variant"), "").alias("id"), _text(_at(v, "$.name", "variant"), "Mask").alias("name"), truth(_at(v, "$.visible", "variant"), True).alias("visible"),
+        _number(v, "$.opacity", 0, 100, 100).alias("opacity"), truth(_at(v, "$.invert", "variant"), False).alias("invert"), parts(v).alias("sub_masks"), _sparse(v).alias("adjustments"),
     )
-    return F.transform(F.filter(F.coalesce(raw, F.array().cast(f"array<{_MASK}>")), lambda m: m.isNotNull()), mask)
+    return F.transform(F.filter(_list(value, "$.masks"), lambda v: _object(v).isNotNull()), mask)
+
+
+def _scalar(value: Column, name: str) -> Column:
+    return _number(value, f"$.{name}", *SCALARS[name])
+
+
+def scalar(doc: Column, name: str) -> Column:
+    """One adjustment of a document as :func:`normalised` has it, without the others."""
+    return _scalar(parsed(doc), name)
 
 
 def normalised(doc: Column) -> Column:
-    """Every key present and in bounds, unknown keys dropped."""
-    raw = parsed(doc)
-    fields = [clamp(raw[n], *spec).alias(n) for n, spec in SCALARS.items()]
-    fields += [F.when(raw[n].isin(*names), raw[n]).otherwise(names[0]).alias(n) for n, names in ENUMS.items()]
-    band = lambda b: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: clamp(F.get(raw["hsl"][b], i), -100, 100, 0))
-    hsl = F.struct(*[band(b).alias(b) for b in BANDS])
-    curves = F.struct(*[_curve(raw["point_curves"][c]).alias(c) for c in CHANNELS])
-    parametric = F.struct(*[F.struct(*[clamp(raw["parametric_curve"][c][k], -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
-    grade = raw["color_grading"]
-    wheels = [F.struct(*[clamp(grade[z][k], *spec).alias(k) for k, spec in WHEEL.items()]).alias(z) for z in ZONES]
-    grading = F.struct(*wheels, clamp(grade["blending"], 0, 100, 50).alias("blending"), clamp(grade["balance"], -100, 100, 0).alias("balance"))
-    calibration = F.struct(*[clamp(raw["color_calibration"][k], -100, 100, 0).alias(k) for k in CALIBRATION])
-    return F.struct(*fields, hsl.alias("hsl"), curves.alias("point_curves"), parametric.alias("parametric_curve"), grading.alias("color_grading"), calibration.alias("color_calibration"), _masks(raw["masks"]).alias("masks"))
+    """Every key present and in bounds, unknown keys dropped.
+
+    Kinds count as in JSON: true is the number 1 and false 0, text counts as the
+    number that it spells, null and everything else as none. Masks' flags hold
+    as in :func:`truth`. A null or malformed document is neutral. The text is
+    parsed once a row: the lambda's variable stands for it, which no rule of the
+    optimiser copies into each field.
+    """
+    return F.transform(F.array(parsed(doc)), _normalised)[0]
+
+
+def _normalised(raw: Column) -> Column:
+    fields = [_scalar(raw, n).alias(n) for n in SCALARS]
+    fields += [F.when(_at(raw, f"$.{n}", "string").isin(*names), _at(raw, f"$.{n}", "string")).otherwise(names[0]).alias(n) for n, names in ENUMS.items()]
+    hsl = F.struct(*[F.array(*[_number(raw, f"$.hsl.{b}[{i}]", -100, 100, 0) for i in range(3)]).alias(b) for b in BANDS])
+    curves = F.struct(*[_curve(raw, f"$.point_curves.{c}").alias(c) for c in CHANNELS])
+    parametric = F.struct(*[F.struct(*[_number(raw, f"$.parametric_curve.{c}.{k}", -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
+    wheels = [F.struct(*[_number(raw, f"$.color_grading.{z}.{k}", *spec).alias(k) for k, spec in WHEEL.items()]).alias(z) for z in ZONES]
+    grading = F.struct(*wheels, _number(raw, "$.color_grading.blending", 0, 100, 50).alias("blending"), _number(raw, "$.color_grading.balance", -100, 100, 0).alias("balance"))
+    calibration = F.struct(*[_number(raw, f"$.color_calibration.{k}", -100, 100, 0).alias(k) for k in CALIBRATION])
+    return F.struct(*fields, hsl.alias("hsl"), curves.alias("point_curves"), parametric.alias("parametric_curve"), grading.alias("color_grading"), calibration.alias("color_calibration"), _masks(raw).alias("masks"))
 
 
 def _neutral_text() -> str:

@@ -533,7 +533,7 @@ def search_country_stage(spark, sf_dir):
 def json_normalise(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     doc = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("contrast")))
-    return e.select("event_id", develop.normalised(doc)["contrast"].alias("contrast"))
+    return e.select("event_id", develop.scalar(doc, "contrast").alias("contrast"))
 
 
 @query("SELECT id, CASE WHEN lower(original_filename) LIKE '%.raf' THEN 'raw' WHEN lower(original_filename) LIKE '%.jpg' THEN 'jpeg' ELSE 'png' END AS kind, lower(regexp_replace(original_filename, '\\.[^.]*$', '')) AS stem, strftime(taken_at, '%Y/%Y-%m-%d/') || original_filename AS path FROM v_image")

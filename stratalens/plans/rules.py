@@ -558,6 +558,26 @@ def develop_normalised(spark, sf_dir):
     )
 
 
+#: JSON values by number, whether each holds as a flag, and the number that it counts as, null for none.
+_VALUES = (("null", False, None), ("true", True, 1), ("false", False, 0), ('"false"', True, None), ('""', False, None), ("0", False, 0), ("7", True, 7), ("[]", False, None), ("[0]", True, None), ("{}", False, None), ('{"a":1}', True, None), ('" 12 "', True, 12), ("-0.0", False, 0))
+_VALUE = "(VALUES " + ", ".join(f"({n}, '{v}', {holds}, {'NULL' if x is None else x})" for n, (v, holds, x) in enumerate(_VALUES)) + ") AS v(n, js, holds, number)"
+
+
+@query(f"SELECT event_id AS id, a.holds AS visible, NOT b.holds AND FALSE OR b.holds AS invert, CASE WHEN a.number IS NULL THEN 100 ELSE a.number END AS opacity, coalesce(b.number, 0) AS contrast, coalesce(a.number, 0) <> 0 AS adjusted, a.holds AND b.holds AS part_shown, a.holds AND coalesce(a.number, 0) <> 0 OR coalesce(b.number, 0) <> 0 AS edited FROM events JOIN {_VALUE} ON v.n = event_id % {len(_VALUES)} JOIN (SELECT n AS m, js AS js2, holds, number FROM {_VALUE}) b ON b.m = event_id // 7 % {len(_VALUES)}, LATERAL (SELECT v.holds AS holds, v.number AS number) a".replace("NOT b.holds AND FALSE OR ", ""))
+def develop_masks(spark, sf_dir):
+    """Flags and numbers of every kind of JSON value, in masks and beside them."""
+    values = F.array(*[F.lit(v) for v, _, _ in _VALUES])
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get(values, F.col("event_id") % len(_VALUES)).alias("a"), F.get(values, F.floor(F.col("event_id") / 7) % len(_VALUES)).alias("b"))
+    part = F.format_string('[{"type": "radial", "visible": %s}, {"type": "other"}, 5]', "b")
+    doc = F.format_string('{"contrast": %s, "masks": [{"visible": %s, "invert": %s, "opacity": %s, "sub_masks": %s, "adjustments": {"hue": %s, "none": 3}}, null, "x"]}', "b", "a", "b", "a", part, "a")
+    n = e.select("id", develop.normalised(doc).alias("n"))
+    mask = F.col("n.masks")[0]
+    return n.select(
+        "id", mask["visible"].alias("visible"), mask["invert"].alias("invert"), mask["opacity"].alias("opacity"), F.col("n.contrast").alias("contrast"), (F.size(F.map_keys(mask["adjustments"])) > 0).alias("adjusted"),
+        (mask["visible"] & mask["sub_masks"][0]["visible"]).alias("part_shown"), (~develop.is_neutral(F.col("n"))).alias("edited"),
+    )
+
+
 @query("SELECT id, edit_adjustments IS NULL OR edit_adjustments = '{}' OR id % 150 = 0 AS neutral FROM v_image")
 def develop_neutral(spark, sf_dir):
     return views.images(spark, sf_dir).select("id", develop.is_neutral(develop.normalised(F.col("edit_adjustments"))).alias("neutral"))
