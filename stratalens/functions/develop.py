@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +79,7 @@ CURVE_XS = (0, 32, 64, 96, 128, 160, 192, 224, 255)
 
 def clamp(value: Column, low: float, high: float, default: float) -> Column:
     """A number, or text of one, within bounds; no number, the default; whole bounds round half to even, and zero has no sign."""
-    number = value.try_cast("double")
-    number = F.when(number.isNull() | F.isnan(number), F.lit(float(default))).otherwise(number)
+    number = F.coalesce(F.nanvl(value.try_cast("double"), F.lit(float(default))), F.lit(float(default)))
     held = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
     return held + F.lit(0.0) if isinstance(low, float) else F.bround(held).cast("int")
 
@@ -95,7 +95,19 @@ def _at(value: Column, path: str, kind: str) -> Column:
 
 
 def _number(value: Column, path: str, low: float, high: float, default: float) -> Column:
-    return clamp(_at(value, path, "double"), low, high, default)
+    number = F.coalesce(F.nanvl(_at(value, path, "double"), F.lit(float(default))), F.lit(float(default)))
+    held = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
+    return held + F.lit(0.0) if isinstance(low, float) else F.bround(held).cast("int")
+
+
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.transform(F.array(value), function)[0]
+
+
+def _section(value: Column, name: str, function: Callable[[Column], Column], neutral: Column) -> Column:
+    """A part of the document by ``function`` of it, or ``neutral`` if it is missing."""
+    return _once(_at(value, f"$.{name}", "variant"), lambda x: F.when(x.isNull(), neutral).otherwise(function(x)))
 
 
 def _list(value: Column, path: str = "$") -> Column:
@@ -129,10 +141,14 @@ def _text(value: Column, default: str) -> Column:
 
 def _curve(value: Column, path: str) -> Column:
     """The first sixteen points in bounds; the straight line unless two or more come."""
-    points = _list(value, path)
-    pairs = F.filter(F.transform(F.slice(points, 1, CURVE_POINTS), lambda p: _list(p)), lambda p: F.size(p) >= 2)
-    clean = F.transform(pairs, lambda p: F.array(_number(p[0], "$", 0, 255, 0), _number(p[1], "$", 0, 255, 0)))
-    return F.when((F.size(points) >= 2) & (F.size(clean) >= 2), clean).otherwise(F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255))))
+    straight = F.array(F.array(F.lit(0), F.lit(0)), F.array(F.lit(255), F.lit(255)))
+
+    def clean(points: Column) -> Column:
+        pairs = F.filter(F.transform(F.slice(points, 1, CURVE_POINTS), lambda p: _list(p)), lambda p: F.size(p) >= 2)
+        return F.transform(pairs, lambda p: F.array(_number(p[0], "$", 0, 255, 0), _number(p[1], "$", 0, 255, 0)))
+
+    held = lambda points: _once(clean(points), lambda x: F.when(F.size(x) >= 2, x).otherwise(straight))
+    return _once(_list(value, path), lambda points: F.when(F.size(points) >= 2, held(points)).otherwise(straight))
 
 
 def _sparse(value: Column) -> Column:
@@ -187,19 +203,23 @@ def normalised(doc: Column) -> Column:
     parsed once a row: the lambda's variable stands for it, which no rule of the
     optimiser copies into each field.
     """
-    return F.transform(F.array(parsed(doc)), _normalised)[0]
+    return _once(parsed(doc), _normalised)
 
 
 def _normalised(raw: Column) -> Column:
-    fields = [_scalar(raw, n).alias(n) for n in SCALARS]
-    fields += [F.when(_at(raw, f"$.{n}", "string").isin(*names), _at(raw, f"$.{n}", "string")).otherwise(names[0]).alias(n) for n, names in ENUMS.items()]
-    hsl = F.struct(*[F.array(*[_number(raw, f"$.hsl.{b}[{i}]", -100, 100, 0) for i in range(3)]).alias(b) for b in BANDS])
-    curves = F.struct(*[_curve(raw, f"$.point_curves.{c}").alias(c) for c in CHANNELS])
-    parametric = F.struct(*[F.struct(*[_number(raw, f"$.parametric_curve.{c}.{k}", -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
-    wheels = [F.struct(*[_number(raw, f"$.color_grading.{z}.{k}", *spec).alias(k) for k, spec in WHEEL.items()]).alias(z) for z in ZONES]
-    grading = F.struct(*wheels, _number(raw, "$.color_grading.blending", 0, 100, 50).alias("blending"), _number(raw, "$.color_grading.balance", -100, 100, 0).alias("balance"))
-    calibration = F.struct(*[_number(raw, f"$.color_calibration.{k}", -100, 100, 0).alias(k) for k in CALIBRATION])
-    return F.struct(*fields, hsl.alias("hsl"), curves.alias("point_curves"), parametric.alias("parametric_curve"), grading.alias("color_grading"), calibration.alias("color_calibration"), _masks(raw).alias("masks"))
+    nothing = F.lit(None).cast("variant")
+    hsl = lambda x: F.struct(*[F.array(*[_number(x, f"$.{b}[{i}]", -100, 100, 0) for i in range(3)]).alias(b) for b in BANDS])
+    curves = lambda x: F.struct(*[_curve(x, f"$.{c}").alias(c) for c in CHANNELS])
+    parametric = lambda x: F.struct(*[F.struct(*[_number(x, f"$.{c}.{k}", -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
+    wheels = lambda x: [F.struct(*[_number(x, f"$.{z}.{k}", *spec).alias(k) for k, spec in WHEEL.items()]).alias(z) for z in ZONES]
+    grading = lambda x: F.struct(*wheels(x), _number(x, "$.blending", 0, 100, 50).alias("blending"), _number(x, "$.balance", -100, 100, 0).alias("balance"))
+    calibration = lambda x: F.struct(*[_number(x, f"$.{k}", -100, 100, 0).alias(k) for k in CALIBRATION])
+    parts = {"hsl": hsl, "point_curves": curves, "parametric_curve": parametric, "color_grading": grading, "color_calibration": calibration}
+    choice = lambda n, names: _once(_at(raw, f"$.{n}", "string"), lambda x: F.when(x.isin(*names), x).otherwise(names[0]))
+    fields = [_scalar(raw, n).alias(n) for n in SCALARS] + [choice(n, names).alias(n) for n, names in ENUMS.items()]
+    # the neutral parts are literals once the optimiser has folded them
+    fields += [_section(raw, n, f, f(nothing)).alias(n) for n, f in parts.items()]
+    return F.struct(*fields, _masks(raw).alias("masks"))
 
 
 def _neutral_text() -> str:
