@@ -456,7 +456,15 @@ def pair_stem_1to1(spark, sf_dir):
     return entity.pairs_one_to_one(_shots(spark, sf_dir), dt.timedelta(days=30))
 
 
-@query()
+@query("""
+WITH RECURSIVE s AS (SELECT l_orderkey AS stem, l_linestatus = 'O' AS raw, {'id': l_orderkey * 100 + l_linenumber, 'at': epoch(l_shipdate), 'camera': lower(trim(coalesce(l_returnflag, '')))} AS x FROM lineitem),
+g AS (SELECT stem, list(x ORDER BY x.id) FILTER (WHERE raw) AS raws, list(x ORDER BY x.id) FILTER (WHERE NOT raw) AS others FROM s GROUP BY 1 HAVING bool_or(raw) AND NOT bool_and(raw)),
+r(stem, raws, others, k, raw_id, other_id) AS (
+  SELECT stem, raws, others, 0, cast(NULL AS BIGINT), cast(NULL AS BIGINT) FROM g UNION ALL
+  SELECT stem, raws, CASE WHEN len(hits) = 1 THEN list_filter(others, lambda o: o.id <> hits[1].id) ELSE others END, k + 1, raws[k + 1].id, CASE WHEN len(hits) = 1 THEN hits[1].id END FROM (
+    SELECT *, list_filter(others, lambda o: (len(raws) = 1 AND len(others) = 1 OR raws[k + 1].at IS NOT NULL AND o.at IS NOT NULL) AND coalesce(abs(raws[k + 1].at - o.at) <= 2592000, true) AND (raws[k + 1].camera = '' OR o.camera = '' OR raws[k + 1].camera = o.camera)) AS hits FROM r WHERE k < len(raws)))
+SELECT stem, raw_id, other_id FROM r WHERE other_id IS NOT NULL
+""")
 def pair_groups(spark, sf_dir):
     return entity.pair_groups(_shots(spark, sf_dir), dt.timedelta(days=30))
 
@@ -510,7 +518,15 @@ def ordered_union_stages(spark, sf_dir):
     return order.ordered_union([stage("color_label = 'red'"), stage("rating >= 4")]).select("id", "stage")
 
 
-@query()
+@query(f"""
+WITH tagged AS (SELECT DISTINCT i.* FROM (SELECT i.*, t.name FROM v_live i JOIN v_image_tag t ON t.image_id = i.id WHERE lower(t.name) LIKE '%econ%' ORDER BY {ORDER}, t.name LIMIT 40) h JOIN v_live i ON i.id = h.id),
+here AS (SELECT * FROM v_live WHERE gps_country = 'NATION_7' ORDER BY {ORDER} LIMIT 40), near AS (SELECT e.vec_id, {_L2} AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY distance, vec_id LIMIT 200),
+stages AS (SELECT 0 AS stage, row_number() OVER (ORDER BY {ORDER}) AS pos, id, file_type, paired_image_id FROM tagged UNION ALL SELECT 1, row_number() OVER (ORDER BY {ORDER}), id, file_type, paired_image_id FROM here UNION ALL SELECT 2, row_number() OVER (ORDER BY n.distance, i.id), i.id, i.file_type, i.paired_image_id FROM near n JOIN v_live i ON i.id = n.vec_id),
+hits AS (SELECT *, row_number() OVER (ORDER BY stage, pos) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stage, pos) AS n FROM stages) WHERE n = 1),
+pairs AS (SELECT place, id, file_type, paired_image_id FROM hits UNION ALL SELECT h.place, p.id, p.file_type, p.paired_image_id FROM hits h JOIN v_live p ON p.id = h.paired_image_id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY place, file_type = 'raw', id) AS rank FROM (SELECT id, file_type, paired_image_id, min(place) AS place FROM pairs GROUP BY 1, 2, 3))
+SELECT cast(rank AS INT) AS rank, id, file_type, paired_image_id FROM ranked r WHERE rank <= 100 OR rank = 101 AND least(id, coalesce(paired_image_id, id)) = (SELECT least(id, coalesce(paired_image_id, id)) FROM ranked WHERE rank = 100)
+""")
 def search_three_stages(spark, sf_dir):
     scope = views.live(spark, sf_dir)
     v = _vectors(spark, sf_dir)

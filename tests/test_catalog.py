@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stratalens.functions import dates, develop, kernels, pixels, strings
+from stratalens.functions import dates, develop, pixels, strings
 from stratalens.operators import aggregates, changes, collections, entity, filters, geo, order, search, vectors
 from stratalens.plans import roster
 from stratalens.sources import catalog
@@ -352,23 +352,6 @@ def test_pixels(spark):
     assert one(spark, pixels.base_gain(F.lit(0.001))) == 8.0 and one(spark, pixels.vignette(F.lit(11.5), F.lit(11.5), 24, 24, -50.0)) == 1.0
 
 
-def test_kernels(spark):
-    rng = np.random.default_rng(2)
-    x = rng.random((24, 20, 3)).astype(np.float32)
-    tiles = spark.createDataFrame([(1, 24, 20, x.ravel().tolist())], kernels.SCHEMA)
-    run = lambda k: (lambda r: np.array(r.rgb).reshape(r.h, r.w, 3))(kernels.over_tiles(tiles, k).first())
-    for name in ("unsharp", "clarity", "dehaze", "denoise", "glow", "distorted", "aberration"):
-        kernel = getattr(kernels, name)
-        still, moved = kernel(x, 0), kernel(x, 60)
-        assert np.allclose(still, x, atol=2e-3), name
-        assert moved.shape == x.shape and np.isfinite(moved).all() and not np.allclose(moved, x), name
-    assert np.allclose(kernels.grain(x, 50, 1), kernels.grain(x, 50, 1)) and not np.allclose(kernels.grain(x, 50, 1), kernels.grain(x, 50, 2))
-    assert np.allclose(run(lambda a: kernels.oriented(kernels.oriented(a, 1), 3)), x)
-    assert run(lambda a: kernels.downscaled(a, 12)).shape == (12, 10, 3) and run(lambda a: kernels.framed(a, 50)).shape == (48, 44, 3)
-    assert len(kernels.perceptual_hash(x)) == 16 and kernels.brush_field(9, 9, [(4, 4, 2)])[4, 4] == 1
-    assert kernels.denoise(np.full((8, 8, 3), 0.4), 80) == pytest.approx(0.4)
-
-
 def test_sources(spark, tmp_path):
     root = tmp_path / "in"
     for name, data in (("a/1.jpg", b"1"), ("a/2.RAF", b"22"), ("a/.x.jpg", b"3"), (".d/4.jpg", b"4"), ("5.txt", b"5"), ("6.jpg", b"1")):

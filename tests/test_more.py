@@ -1,42 +1,10 @@
-"""Curves, geometry, place names and settings."""
+"""Place names and settings."""
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from stratalens.functions import curves, geometry
 from stratalens.operators import places, settings
 
 
-def test_curves(spark):
-    line = curves.table([(0, 0), (255, 255)])
-    assert np.allclose(line, np.arange(256))
-    bent = curves.table([(0, 0), (64, 100), (128, 110), (255, 255)])
-    assert (np.diff(bent) >= -1e-9).all() and bent[64] == pytest.approx(100)
-    assert np.allclose(curves.parametric_table({}), np.arange(256)) and curves.parametric_from_points([(0, 0), (255, 255)]) == dict.fromkeys(curves.REGIONS, 0)
-    amounts = {"shadows": 20, "darks": 10, "lights": -10, "highlights": 5}
-    back = curves.parametric_from_points(curves.points_from_parametric(amounts, 33))
-    assert all(abs(back[k] - v) <= 3 for k, v in amounts.items())
-    got = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (2.0,)], "v double").select(curves.applied(F.col("v"), line).alias("x")).toPandas()["x"]
-    assert np.allclose(got, [0, 0.5, 1, 1])
-    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 9)] * 3, indexing="ij"), axis=-1)
-    x = np.random.default_rng(1).random((5, 6, 3))
-    assert np.allclose(curves.cube_applied(x, grid), x) and np.allclose(curves.cube_applied(x, 1 - grid, 0.5), 0.5)
-
-
-def test_geometry(spark):
-    one = spark.createDataFrame([(600.0, 400.0, 0.0), (600.0, 400.0, 10.0), (400.0, 400.0, 45.0)], "w double, h double, d double")
-    got = one.select(geometry.inscribed(F.col("w"), F.col("h"), F.col("d")).alias("r"), "d").select("d", "r.*").orderBy("d").collect()
-    assert (got[0].w, got[0].h) == (600, 400) and 0 < got[1].w < 600 and 0 < got[1].h < 400 and got[2].w == pytest.approx(got[2].h)
-    square = [(0, 0), (1, 0), (1, 1), (0, 1)]
-    assert np.allclose(geometry.perspective(square, square), [1, 0, 0, 0, 1, 0, 0, 0])
-    x = np.random.default_rng(2).random((12, 16, 3))
-    assert np.array_equal(geometry.keystone(x, 0, 0), x) and geometry.keystone(x, 30, -40).shape == x.shape
-    assert geometry.rotated_crop((0.1, 0.2, 0.3, 0.4), 4) == (0.1, 0.2, 0.3, 0.4) and geometry.rotated_crop((0, 0, 0.25, 1), 1) == (0, 0, 1, 0.25)
-    mask = F.struct(F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.1).alias("rx"), F.lit(0.2).alias("ry"))
-    assert tuple(spark.range(1).select(geometry.remapped(mask, 0.25, 0.25, 0.5, 0.5).alias("m")).first().m) == (0.5, 0.5, 0.2, 0.4)
-
-
 NAMES = [("Germany", None, "DE"), ("Deutschland", "de", "DE"), ("Italy", None, "IT"), ("United States", None, "US")]
 CITIES = [("Rome", "Lazio", "IT", 41.9, 12.5), ("Rome", "New York", "US", 43.2, -75.5), ("New York City", "New York", "US", 40.7, -74.0), ("Lübeck", "Schleswig-Holstein", "DE", 53.9, 10.7), ("Florence", "Tuscany", "IT", 43.8, 11.3)]
 
