@@ -49,7 +49,7 @@ def signature(hashes: np.ndarray, edges: np.ndarray = _EDGES, order: np.ndarray
 
 
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text", 2_000_000):
+    for part in slices(batch, "text", 1_000_000):
         n, low, high, signs = [], [], [], []
         for hashes in shingle_sets(part.column("text")):
             n.append(len(hashes))
@@ -73,7 +73,7 @@ def _fine() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign_finely(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, "text", 2_000_000):
+    for part in slices(batch, "text", 1_000_000):
         signs = [(signature(x, *_fine()) & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in shingle_sets(part.column("text"))]
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(signs, pa.binary())], names=["id", "fine"])
 
@@ -91,7 +91,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perce
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text_b", 2_000_000):
+        for part in slices(batch, "text_b", 1_000_000):
             keep, seen, last = [], None, None
             second = shingle_sets(part.column("text_b"))
             first = part.column("text_a")

@@ -46,18 +46,19 @@ def _codes() -> np.ndarray:
     return mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-def parts(texts: list[str]) -> list[list[tuple[int, str]]]:
-    """(row, text) lists of about ``LIMIT`` code points, in the order of rows; a longer text is cut before white space."""
+def parts(texts: list[str], limit: int | None = None) -> list[list[tuple[int, str]]]:
+    """(row, text) lists of about ``limit`` code points, in the order of rows; a longer text is cut before white space."""
+    limit = limit or LIMIT
     out, now, total = [], [], 0
     for row, text in enumerate(texts):
         at = 0
-        while len(text) - at > LIMIT and (cut := _CUT.search(text, at + LIMIT)):
+        while len(text) - at > limit and (cut := _CUT.search(text, at + limit)):
             if now:
                 out.append(now)
                 now, total = [], 0
             out.append([(row, text[at : cut.start()])])
             at = cut.start()
-        if total + len(text) - at > LIMIT and now:
+        if total + len(text) - at > limit and now:
             out.append(now)
             now, total = [], 0
         now.append((row, text[at:]))

@@ -38,6 +38,8 @@ from .pretokens import distinct, parts, split
 LABELLED = 200_000
 #: Buckets of hashed features; deviations under which a feature says nothing; what is added to counts.
 BUCKETS, SURE, SMOOTHING = 1 << 20, 2.0, 0.5
+#: Bytes of text handled at a time, and code points that are split at a time: a task's memory, not its result.
+SLICE, PART = 1_000_000, 1 << 18
 #: Share of the labelled target documents that may weigh less than what is drawn; how much the noise counts.
 LEAVE, TEMPERATURE = 0.01, 0.5
 SAME, LOWER, UPPER, DIGIT = 0, 1, 2, 3
@@ -54,7 +56,7 @@ def _shape(word: str) -> int:
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of the distinct features of each text."""
     rows_of, keys_of = [], []
-    for part in parts(texts):
+    for part in parts(texts, PART):
         joined, start, end, hashed, row = split([x for _, x in part], False)
         if not len(row):
             continue
@@ -87,7 +89,7 @@ def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Per task and bucket, target and other labelled documents that have it."""
     counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for part in slices(batch, "text", 2_000_000):
+        for part in slices(batch, "text", SLICE):
             row, key = features([x or "" for x in part.column("text").to_pylist()])
             target = part.column("target").to_numpy(zero_copy_only=False)[row]
             counts += np.bincount(key[target], minlength=BUCKETS), np.bincount(key[~target], minlength=BUCKETS)
@@ -108,7 +110,7 @@ def _count_raw(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", SLICE):
                 raw += np.bincount(features([x or "" for x in part.column("text").to_pylist()])[1], minlength=BUCKETS)
                 total += part.num_rows
         yield _parts(np.array_split(raw[wanted], _SLICES), [total] * _SLICES, list(range(_SLICES)))
@@ -177,7 +179,7 @@ def scored(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", na
     text_at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, batch.schema.names[text_at], 2_000_000):
+        for part in slices(batch, batch.schema.names[text_at], SLICE):
             row, key = features([x or "" for x in part.column(text_at).to_pylist()])
             # of no features at all numpy counts in whole numbers
             weight = np.bincount(row, weights=shared.value[key], minlength=part.num_rows).astype(np.float64)

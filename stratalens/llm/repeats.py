@@ -37,7 +37,7 @@ FEW = 1024
 #: Documents up to which texts are filtered by a broadcast of ids before a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes of one text handled at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _NO_ID = -(1 << 63)
 
 
