@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .core import partitions, slices
 from .pretokens import distinct, parts, ragged, split
 
-#: Code points of a block; more texts start a new one.
-BLOCK = 1 << 22
+#: Code points of a block; more texts start a new one. Bytes read, and code points split, at a time: a task's memory, not its result.
+BLOCK, SLICE, PART = 1 << 22, 2_000_000, 1 << 18
 _SCHEMA = "block long, kind int, bucket int, id long, n long, data binary"
 _NAMES = ["block", "kind", "bucket", "id", "n", "data"]
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -88,7 +88,7 @@ def _block(ids: list, texts: list[str], buckets: int, words_wanted: bool) -> Ite
         digest.update(f"{i} {len(text)} ".encode() + text.encode())
     key = int.from_bytes(digest.digest(), "little", signed=True)
     hashes, owners, known = [], [], {}
-    for part in parts(texts):
+    for part in parts(texts, PART):
         joined, start, end, hashed, row = split([x for _, x in part], True)
         keys, words, _ = distinct(joined, start, end, hashed)
         if words_wanted:
@@ -125,7 +125,7 @@ def _to_blocks(buckets: int, words_wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, total = [], [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids.append(i)
                     texts.append(text or "")
