@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, strings
 from ..operators import collections, entity, order
+from . import files
 
 VERSION = 2
 #: The fields of the slim index, beside the capture time and the version of the cached render.
@@ -105,10 +106,18 @@ def export_names(images: DataFrame, requested: list[int]) -> DataFrame:
     return order.numbered_names(F.broadcast(wanted).join(images.select("id", "original_filename"), "id"), "original_filename", [F.col("pos")]).select("pos", "id", "archive_name")
 
 
-def write_backup(images: DataFrame, albums: DataFrame, album_images: DataFrame, path: str, links: DataFrame | None = None) -> None:
-    """Three JSON tables and a manifest; images carry their tags. Rows of source roots aren't backed up, and album rules aren't either."""
+def write_backup(images: DataFrame, albums: DataFrame, album_images: DataFrame, path: str, links: DataFrame | None = None, library: str | None = None) -> None:
+    """Three JSON tables, the files and a manifest; images carry their tags. Rows of source roots aren't backed up, and album rules aren't either.
+
+    With ``library``, the folder that ``file_path`` starts from, files go along
+    in an archive; those that are gone are left out. The manifest goes first and
+    comes last, so what a stopped backup has left is not read as one.
+    """
     spark = images.sparkSession
+    files.remove(f"{path}/manifest")
     managed = images.where("source_root_id is null")
+    if library is not None:
+        files.write_archive(managed.select(F.col("file_path").alias("name"), F.concat(F.lit(library.rstrip("/") + "/"), "file_path").alias("path")), f"{path}/files")
     if links is not None:
         managed = managed.join(entity.tags_of(managed, links), "id")
     managed.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/images")
@@ -154,6 +163,11 @@ def restored(spark: SparkSession, path: str, schema, defaults: dict[str, Column]
     return {"images": images.drop("tags"), "image_tags": links} | other
 
 
+def restored_files(spark: SparkSession, path: str, library: str) -> DataFrame:
+    """(name, bytes): the files of a backup, written below the folder ``library`` when rows are asked for."""
+    return files.unpack(files.read_archive(spark, f"{path}/files"), library)
+
+
 def record(images: DataFrame) -> DataFrame:
     """(id, record): every column of a row as JSON."""
     return images.select("id", F.to_json(F.struct("*")).alias("record"))
