@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Luma weights of sRGB.
@@ -80,6 +80,120 @@ def tone(y: Column, exposure: Column, contrast: Column, highlights: Column, shad
     return 0.18 * F.pow(F.lit(2.0), moved)
 
 
+#: Middle grey; the regions of the tone sliders as (slider, part of its travel, stops at full travel, where the
+#: region begins and is full in stops from middle grey, its side); gains of contrast up and down; width of the brightness bell.
+GREY = 0.18
+REGIONS = (
+    ("shadows", "within", 2.2, -1.5, 4.5, -1),
+    ("shadows", "above", 3.0, -0.5, 2.5, -1),
+    ("shadows", "below", 3.0, -1.5, 3.0, -1),
+    ("highlights", "whole", 2.2, -1.5, 4.5, 1),
+    ("blacks", "positive", 1.5, 2.5, 6.0, -1),
+    ("whites", "positive", 1.3, 2.0, 5.0, 1),
+    ("whites", "negative", 1.6, 2.75, 6.0, 1),
+)
+CONTRAST_UP, CONTRAST_DOWN, BELL = 1.2, 0.85, 2.2
+TONE_SLIDERS = ("highlights", "shadows", "whites", "blacks", "contrast", "brightness")
+#: The grid of the guard in stops from middle grey.
+GUARD_FROM, GUARD_TO, GUARD_STEPS = -20.0, 10.0, 4096
+
+
+def _travel(v: Column, part: str) -> Column:
+    """The part of a slider's travel, in units of 100, that drives a region."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    within = F.greatest(-one, F.least(one, v))
+    return {"whole": v, "positive": F.greatest(v, zero), "negative": F.least(v, zero), "within": within, "above": F.greatest(v - within, zero), "below": F.least(v - within, zero)}[part]
+
+
+def tone_stops(stops: Column, sliders: dict[str, Column]) -> Column:
+    """Stops from middle grey after the tone sliders (-150 to 150; brightness -200 to 200), each a column of :data:`TONE_SLIDERS`.
+
+    Regions shift by smooth steps, contrast turns the line about middle grey,
+    brightness lifts a bell around it; all of it sums in stops.
+    """
+    at = {n: F.coalesce(sliders[n], F.lit(0)) / 100.0 for n in TONE_SLIDERS}
+    out = stops
+    for slider, part, most, start, full, side in REGIONS:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (stops * side - start) / (full - start)))
+        out = out + _travel(at[slider], part) * most * t * t * (3 - 2 * t)
+    out = out * (1 + F.when(at["contrast"] > 0, CONTRAST_UP).otherwise(CONTRAST_DOWN) * at["contrast"])
+    seen = F.greatest(out, F.log2(F.lit(1e-6 / GREY)))
+    return out + 0.5 * at["brightness"] * F.exp(-(seen * seen) / (2 * BELL * BELL))
+
+
+def tone_guards(settings: DataFrame) -> DataFrame:
+    """(sliders, step, low, high) of the settings whose curve would turn back: its running maximum at a grid step and at the next.
+
+    ``settings`` has the columns :data:`TONE_SLIDERS`. Only those with a slider
+    of the four regions beyond 100 are looked at. One window is one setting's
+    4,096 steps.
+    """
+    keys = [F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in TONE_SLIDERS]
+    beyond = F.greatest(*[F.abs(F.col(n)) for n in TONE_SLIDERS[:4]]) > 100 + 1e-4
+    steps = settings.select(*keys).distinct().where(beyond).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(GUARD_STEPS - 1))))
+    at = GUARD_FROM + F.col("step") * ((GUARD_TO - GUARD_FROM) / (GUARD_STEPS - 1))
+    curve = steps.withColumn("__v", F.greatest(tone_stops(at, {n: F.col(n) for n in TONE_SLIDERS}), F.log2(F.lit(1e-9 / GREY))))
+    own = Window.partitionBy(*TONE_SLIDERS)
+    along = own.orderBy("step")
+    held = curve.withColumns({"low": F.max("__v").over(along), "__back": (F.col("__v") < F.lag("__v").over(along)).cast("int")})
+    held = held.withColumns({"high": F.coalesce(F.lead("low").over(along), F.col("low")), "__turns": F.max("__back").over(own)})
+    return held.where("__turns = 1").select(*TONE_SLIDERS, "step", "low", "high")
+
+
+def tone_ratio(frame: DataFrame, y: str = "y") -> DataFrame:
+    """``frame(.., y, sliders)`` with ``ratio``, the factor that the tone sliders ask of a linear luminance.
+
+    Settings whose curve would turn back take the guard's, interpolated between
+    its steps: they meet it by setting and step. A null slider is 0, and so is a
+    null luminance.
+    """
+    frame = frame.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("double") for n in TONE_SLIDERS})
+    guards = tone_guards(frame.select(*TONE_SLIDERS)).select(*TONE_SLIDERS, *[F.col(c).alias(f"__{c}") for c in ("step", "low", "high")])
+    stops = F.log2(F.greatest(F.coalesce(F.col(y), F.lit(0.0)), F.lit(1e-6)) / GREY)
+    place = F.greatest(F.lit(0.0), F.least(F.lit(float(GUARD_STEPS - 1)), (stops - GUARD_FROM) / ((GUARD_TO - GUARD_FROM) / (GUARD_STEPS - 1))))
+    rows = frame.withColumns({"__stops": stops, "__place": place}).withColumn("__step", F.floor("__place").cast("int"))
+    met = rows.join(guards, [*TONE_SLIDERS, "__step"], "left")
+    held = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__place") - F.col("__step"))
+    after = F.coalesce(held, tone_stops(F.col("__stops"), {n: F.col(n) for n in TONE_SLIDERS}))
+    return met.withColumn("ratio", F.pow(F.lit(2.0), after - F.col("__stops"))).select(*[c for c in frame.columns if c != "ratio"], "ratio")
+
+
+def _near(h: Column, centre: float) -> Column:
+    """A raised cosine over hue that ends a quarter turn from its centre."""
+    d = F.abs(h - centre)
+    d = F.least(d, 360.0 - d)
+    return F.when(d < 90.0, 0.5 + 0.5 * F.cos(d * (3.141592653589793 / 90.0))).otherwise(0.0)
+
+
+def chrome(r: Column, g: Column, b: Column, amount: Column, blue: Column) -> Column:
+    """Colourful pixels made deeper by their chroma, and blue ones again by how near their hue is to 250 degrees."""
+    weight = F.least(F.lit(1.0), (F.greatest(r, g, b) - F.least(r, g, b)) * 1.4)
+    factor = (1 - 0.32 * amount / 100.0 * F.pow(weight, F.lit(1.5))) * (1 - 0.35 * blue / 100.0 * weight * _near(hue(r, g, b), 250.0))
+    return F.struct(*[F.greatest(F.lit(0.0), F.least(F.lit(1.0), c * factor)).alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))])
+
+
+#: The primaries' hues.
+PRIMARIES = (("red", 0.0), ("green", 120.0), ("blue", 240.0))
+
+
+def calibrated(frame: DataFrame, amounts: dict[str, float]) -> DataFrame:
+    """``frame(.., r, g, b)``: primaries turned by up to 30 degrees and saturated by up to a half, then a green or magenta tint of the shadows.
+
+    ``amounts`` has red_hue, red_saturation, .., shadows_tint, each -100 to 100; those that lack are 0.
+    """
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    rows = frame.withColumn("__x", hsl(F.col("r"), F.col("g"), F.col("b")))
+    rows = rows.withColumns({f"__{name}": _near(F.col("__x.h"), centre) for name, centre in PRIMARIES})
+    turn, scale = F.lit(0.0), F.lit(1.0)
+    for name, _ in PRIMARIES:
+        turn = turn + F.col(f"__{name}") * (0.3 * amounts.get(f"{name}_hue", 0))
+        scale = scale * (1 + F.col(f"__{name}") * (0.005 * amounts.get(f"{name}_saturation", 0)))
+    rows = rows.withColumn("__x", F.struct(F.pmod(F.col("__x.h") + turn, F.lit(360.0)).alias("h"), held(F.col("__x.s") * scale).alias("s"), F.col("__x.l").alias("l")))
+    rows = rows.withColumns({"__y": from_hsl(F.col("__x")), "__t": held(1 - F.col("__x.l") * 2) * (0.0006 * amounts.get("shadows_tint", 0))})
+    out = {n: held(held(F.col(f"__y.{n}")) + side * F.col("__t")) for n, side in (("r", 1), ("g", -1), ("b", 1))}
+    return rows.withColumns(out).select(*frame.columns)
+
+
 def band_weight(h: Column, centre: float, width: float = 45.0) -> Column:
     """A tent over hue; neighbouring tents at ``width`` apart sum to one."""
     d = F.abs(F.pmod(h - centre + 180.0, F.lit(360.0)) - 180.0)

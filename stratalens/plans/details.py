@@ -57,6 +57,79 @@ def pixel_masks(spark, sf_dir):
     return out.withColumn("composed", both).select("id", *[F.round(c, 6).alias(c) for c in (*m, "composed")])
 
 
+_TONED = (
+    "(SELECT event_id AS id, (event_id % 997 + 1) / 500.0 AS y, CAST((user_id % 7 - 3) * 50 AS DOUBLE) AS highlights, CAST((user_id % 5 - 2) * 75 AS DOUBLE) AS shadows, CAST((user_id % 3 - 1) * 150 AS DOUBLE) AS whites, "
+    "CAST(CASE WHEN user_id % 4 = 0 THEN 150 ELSE 0 END AS DOUBLE) AS blacks, CAST((user_id % 3 - 1) * 60 AS DOUBLE) AS contrast, CAST(CASE WHEN user_id % 2 = 0 THEN -120 ELSE 80 END AS DOUBLE) AS brightness FROM events)"
+)
+
+
+def _step_sql(at: str, start: float, full: float, side: int) -> str:
+    t = f"greatest(0.0, least(1.0, ({side} * {at} - ({start})) / {full - start}))"
+    return f"({t} * {t} * (3 - 2 * {t}))"
+
+
+def _curve_sql(at: str) -> str:
+    """The tone curve over stops, written out slider by slider."""
+    shifted = (
+        f"({at} + greatest(-1.0, least(1.0, shadows / 100)) * 2.2 * {_step_sql(at, -1.5, 4.5, -1)} + greatest(0.0, shadows / 100 - 1) * 3.0 * {_step_sql(at, -0.5, 2.5, -1)} + least(0.0, shadows / 100 + 1) * 3.0 * {_step_sql(at, -1.5, 3.0, -1)} "
+        f"+ highlights / 100 * 2.2 * {_step_sql(at, -1.5, 4.5, 1)} + greatest(0.0, blacks / 100) * 1.5 * {_step_sql(at, 2.5, 6.0, -1)} + greatest(0.0, whites / 100) * 1.3 * {_step_sql(at, 2.0, 5.0, 1)} + least(0.0, whites / 100) * 1.6 * {_step_sql(at, 2.75, 6.0, 1)})"
+    )
+    return f"{shifted} * (1 + CASE WHEN contrast > 0 THEN 1.2 ELSE 0.85 END * contrast / 100)"
+
+
+_BELL = "v + 0.5 * brightness / 100 * exp(-pow(greatest(v, log2(1e-6 / 0.18)), 2) / (2 * 2.2 * 2.2))"
+_KEYS = "highlights, shadows, whites, blacks, contrast, brightness"
+
+
+@query(
+    f"WITH p AS (SELECT *, log2(y / 0.18) AS l FROM {_TONED}), g0 AS (SELECT *, -20 + step * 30.0 / 4095 AS l FROM (SELECT DISTINCT {_KEYS} FROM p WHERE greatest(abs(highlights), abs(shadows), abs(whites), abs(blacks)) > 100), (SELECT range AS step FROM range(4096))), "
+    f"g1 AS (SELECT *, {_curve_sql('l')} AS v FROM g0), g2 AS (SELECT {_KEYS}, step, greatest({_BELL}, log2(1e-9 / 0.18)) AS v FROM g1), g3 AS (SELECT *, max(v) OVER w AS low, v < lag(v) OVER w AS back FROM g2 WINDOW w AS (PARTITION BY {_KEYS} ORDER BY step)), "
+    f"g4 AS (SELECT *, coalesce(lead(low) OVER (PARTITION BY {_KEYS} ORDER BY step), low) AS high, bool_or(back) OVER (PARTITION BY {_KEYS}) AS turns FROM g3), q AS (SELECT *, (l + 20) / (30.0 / 4095) AS place, {_curve_sql('l')} AS v FROM p), r AS (SELECT * EXCLUDE (v), {_BELL} AS v FROM q) "
+    f"SELECT r.id, turns IS NOT NULL AS guarded, round(pow(2.0, coalesce(low + (high - low) * (place - step), r.v) - l), 5) AS ratio FROM r LEFT JOIN (SELECT * FROM g4 WHERE turns) g ON {' AND '.join(f'g.{k} = r.{k}' for k in _KEYS.split(', '))} AND g.step = floor(place)"
+)
+def pixel_tone_guarded(spark, sf_dir):
+    part = lambda c: f"cast({c} as double)"
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id as id", "cast(event_id % 997 + 1 as double) / 500 as y", f"{part('(user_id % 7 - 3) * 50')} as highlights", f"{part('(user_id % 5 - 2) * 75')} as shadows", f"{part('(user_id % 3 - 1) * 150')} as whites",
+        f"{part('case when user_id % 4 = 0 then 150 else 0 end')} as blacks", f"{part('(user_id % 3 - 1) * 60')} as contrast", f"{part('case when user_id % 2 = 0 then -120 else 80 end')} as brightness",
+    )
+    turning = pixels.tone_guards(rows).select(*pixels.TONE_SLIDERS).distinct().withColumn("guarded", F.lit(True))
+    out = pixels.tone_ratio(rows).join(turning, list(pixels.TONE_SLIDERS), "left")
+    return out.select("id", F.coalesce("guarded", F.lit(False)).alias("guarded"), F.round("ratio", 5).alias("ratio"))
+
+
+_HUE = "(CASE WHEN hi = lo THEN 0 WHEN hi = r THEN ((g - b) / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END) * 60 WHEN hi = g THEN ((b - r) / (hi - lo) + 2) * 60 ELSE ((r - g) / (hi - lo) + 4) * 60 END)"
+
+
+def _near_sql(centre: int) -> str:
+    d = f"least(abs(h - {centre}), 360 - abs(h - {centre}))"
+    return f"CASE WHEN {d} < 90 THEN 0.5 + 0.5 * cos({d} * pi() / 90) ELSE 0 END"
+
+
+@query(
+    f"WITH x AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {_RGB}), y AS (SELECT *, {_HUE} AS h, least(1.0, (hi - lo) * 1.4) AS w FROM x), z AS (SELECT *, (1 - 0.32 * 0.7 * pow(w, 1.5)) * (1 - 0.35 * 0.9 * w * ({_near_sql(250)})) AS f FROM y) "
+    "SELECT id, round(least(1.0, r * f), 6) AS r, round(least(1.0, g * f), 6) AS g, round(least(1.0, b * f), 6) AS b FROM z"
+)
+def pixel_chrome(spark, sf_dir):
+    x = pixels.chrome(F.col("r"), F.col("g"), F.col("b"), F.lit(70.0), F.lit(90.0))
+    return _rgb(spark, sf_dir).select("id", x.alias("x")).select("id", *[F.round(f"x.{c}", 6).alias(c) for c in "rgb"])
+
+
+def _channel_sql(n: int) -> str:
+    k = f"(({n} + h2 / 30) - 12 * floor(({n} + h2 / 30) / 12))"
+    return f"greatest(0.0, least(1.0, l - (1 - abs(2 * l - 1)) * s2 / 2 * greatest(-1.0, least({k} - 3, 9 - {k}, 1.0))))"
+
+
+@query(
+    f"WITH x AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM {_RGB}), y AS (SELECT *, {_HUE} AS h, (hi + lo) / 2 AS l, CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(hi + lo - 1)) END AS s FROM x), "
+    f"z AS (SELECT id, l, (h + ({_near_sql(0)}) * 12 - ({_near_sql(120)}) * 18) - 360 * floor((h + ({_near_sql(0)}) * 12 - ({_near_sql(120)}) * 18) / 360) AS h2, greatest(0.0, least(1.0, s * (1 + ({_near_sql(240)}) * 0.4))) AS s2, greatest(0.0, least(1.0, 1 - 2 * l)) * 0.03 AS t FROM y) "
+    f"SELECT id, round(greatest(0.0, least(1.0, {_channel_sql(0)} + t)), 9) AS r, round(greatest(0.0, least(1.0, {_channel_sql(8)} - t)), 9) AS g, round(greatest(0.0, least(1.0, {_channel_sql(4)} + t)), 9) AS b FROM z"
+)
+def pixel_calibrated(spark, sf_dir):
+    out = pixels.calibrated(_rgb(spark, sf_dir), {"red_hue": 40, "green_hue": -60, "blue_saturation": 80, "shadows_tint": 50})
+    return out.select("id", *[F.round(c, 9).alias(c) for c in "rgb"])
+
+
 # ---- lists ------------------------------------------------------------------
 
 
