@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import develop
+from ..functions import develop, strings
 from . import entity
 from .filters import clean_rule, has_edit
 
@@ -313,6 +313,54 @@ def rename(images: DataFrame, row_id: int, name: str) -> DataFrame:
     return update(images, ids, {"original_filename": F.concat(stem, ext)})
 
 
+def rename_plan(images: DataFrame, wanted: DataFrame, pairs: bool = True) -> DataFrame:
+    """(id, filename, path, error, asked) of renames ``wanted(id, name)`` and of their partners, all settled before anything changes.
+
+    A typed name loses its row's own ending if it carries it; the ending stays.
+    Of a row named twice the smaller name counts; a name that doesn't change
+    anything gives no row. ``error`` is ``name`` for one that can't be a file's,
+    ``taken`` where another row has the path, also one about to leave it, or
+    where a row of smaller id goes there in the same plan. A partner follows its
+    row's stem unless it is asked for itself or its row can't be renamed; what
+    is in its own way doesn't stop the row. ``images(id, original_filename,
+    file_path, paired_image_id, ..)``; unknown ids are left out.
+    """
+    ext = lambda c: F.regexp_extract(c, r"(?<=.)(\.[^.]*)$", 1)
+    rows = images.select("id", "original_filename", "file_path", "paired_image_id", ext("original_filename").alias("ext"))
+    one = wanted.groupBy("id").agg(F.min("name").alias("name"))
+    typed = F.trim("name")
+    bare = F.when((F.col("ext") != "") & F.lower(typed).endswith(F.lower("ext")), F.trim(F.expr("left(trim(name), length(trim(name)) - length(ext))"))).otherwise(typed)
+    asked = rows.join(one, "id").withColumn("stem", bare).withColumn("filename", strings.renamed(F.col("stem"), F.col("ext"))).withColumn("asked", F.lit(True))
+    named = _rename_targets(asked, images)
+    if not pairs:
+        return named.drop("stem", "partner")
+    going = named.where("error is null and partner is not null").select(F.col("partner").alias("id"), "stem").groupBy("id").agg(F.min("stem").alias("stem"))
+    follow = rows.join(going, "id").join(one.select("id"), "id", "left_anti").withColumn("filename", strings.renamed(F.col("stem"), F.col("ext"))).withColumn("asked", F.lit(False))
+    # rows that were asked for have their places already; partners take what is left
+    gone = named.where("error is null").select("path")
+    partners = _rename_targets(follow, images)
+    met = partners.join(gone.withColumn("__met", F.lit(True)), "path", "left").withColumn("error", F.when(F.col("error").isNull() & F.col("__met"), "taken").otherwise(F.col("error")))
+    return named.unionByName(met.drop("__met")).drop("stem", "partner")
+
+
+def _rename_targets(asked: DataFrame, images: DataFrame) -> DataFrame:
+    folder = F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1)
+    to = asked.withColumn("path", F.concat(folder, "filename")).where("path is null or path <> file_path")
+    held = images.groupBy(F.col("file_path").alias("path")).agg(F.lit(True).alias("__held"))
+    first = to.where("path is not null").groupBy("path").agg(F.min("id").alias("__first"))
+    met = to.join(first, "path", "left").join(held, "path", "left")
+    error = F.when(F.col("filename").isNull(), "name").when(F.col("__held") | (F.col("id") != F.col("__first")), "taken")
+    return met.select("id", "filename", "path", error.alias("error"), "asked", "stem", F.col("paired_image_id").alias("partner"))
+
+
+def apply_renames(images: DataFrame, plan: DataFrame) -> DataFrame:
+    """The next rows: names and paths of a plan's rows without error; ids and all else stay."""
+    new = plan.where("error is null").select("id", F.col("filename").alias("__filename"), F.col("path").alias("__path"))
+    both = images.join(new, "id", "left")
+    given = {"original_filename": "__filename", "file_path": "__path"}
+    return both.select(*[F.coalesce(given[c], c).alias(c) if c in given else F.col(c) for c in images.columns])
+
+
 def wipe(images: DataFrame, owner: int, confirmation: str) -> DataFrame:
     """All rows but the owner's; the exact confirmation is required."""
     if confirmation != CONFIRMATION:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import normalised_name
@@ -77,3 +77,55 @@ def candidates(queries: DataFrame, gazetteer: DataFrame, names: DataFrame) -> Da
     found = found.where(fits).select("query", "turn", "name", "admin1", "cc", "lat", "lon").distinct()
     first = found.groupBy("query").agg(F.min("turn").alias("turn"))
     return found.join(first, ["query", "turn"]).drop("turn")
+
+
+#: Rows that a key's longer names may add, and the letters that a key needs for that.
+PREFIX_ROWS, PREFIX_LETTERS = 20, 4
+
+
+def _readings(asked: DataFrame, exonyms: DataFrame) -> DataFrame:
+    """``asked(.., name, __own)`` by ``key``: the name; in German also its umlauts for ae, oe, ue, and what its exonym stands for."""
+    own = asked.withColumn("key", normalised_name("name"))
+    german = own.where("__own = 'de'")
+    umlauts = german.withColumn("key", normalised_name(F.regexp_replace("name", "([aou])e", "$1")))
+    known = exonyms.select(normalised_name("exonym").alias("key"), normalised_name("name").alias("__known")).distinct()
+    meant = german.unionByName(umlauts).join(known, "key").withColumn("key", F.col("__known")).drop("__known")
+    return own.unionByName(umlauts).unionByName(meant).where("key <> ''").distinct()
+
+
+def located(queries: DataFrame, gazetteer: DataFrame, names: DataFrame, exonyms: DataFrame) -> DataFrame:
+    """(query, lang, name, admin1, cc, lat, lon): the cities that each distinct query may mean.
+
+    A name finds the cities of its key and up to :data:`PREFIX_ROWS` whose key
+    goes on with another word, by (key, name, lat, lon), the latter only for
+    keys of :data:`PREFIX_LETTERS` letters. A text after the first comma is a
+    qualifier: the city's country code, country by ``names(name, lang, cc)`` in
+    general or in the query's language, or first-level division. Without one,
+    where the whole name finds nothing, trailing words are tried as one, the
+    fewest first. Of rows with the same name and position the first by country
+    and division counts. Null and empty queries find nothing.
+    """
+    spots = gazetteer.where("lat is not null and lon is not null").groupBy("name", "lat", "lon").agg(F.min(F.struct("cc", "admin1")).alias("x")).select("name", "lat", "lon", "x.*")
+    spots = spots.withColumns({"key": normalised_name("name"), "__code": normalised_name("cc"), "__division": normalised_name("admin1")})
+    words = F.split("key", " ")
+    starts = spots.where(F.size(words) > 1).withColumn("__key", F.col("key")).withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, 1, n), " "))))
+    parts = F.transform(F.split(F.lower(F.trim("query")), ","), lambda x: F.trim(x))
+    asked = queries.select("query", "lang").distinct().withColumns({"__own": F.lower(F.coalesce(F.split("lang", "-")[0], F.lit(""))), "__parts": parts})
+    asked = asked.withColumns({"name": F.col("__parts")[0], "qualifier": F.nullif(F.try_element_at("__parts", F.lit(2)), F.lit(""))}).where("name <> ''").drop("__parts")
+    typed = F.split("name", r"\s+")
+    peeled = asked.where(F.col("qualifier").isNull() & (F.size(typed) > 1)).withColumn("turn", F.explode(F.sequence(F.lit(1), F.size(typed) - 1)))
+    left = F.size(typed) - F.col("turn")
+    peeled = peeled.select("query", "lang", "__own", "turn", F.array_join(F.slice(typed, 1, left), " ").alias("name"), F.array_join(F.slice(typed, left + 1, F.col("turn")), " ").alias("qualifier"))
+    split = asked.withColumn("turn", F.lit(0)).unionByName(peeled).withColumn("wanted", normalised_name("qualifier"))
+    countries = names.select(normalised_name("name").alias("wanted"), F.lower(F.coalesce("lang", F.lit(""))).alias("__in"), "cc").where("wanted <> ''")
+    codes = split.select("wanted", "__own").where("wanted is not null").distinct().join(countries, "wanted").where("__in = '' or __in = __own").groupBy("wanted", "__own").agg(F.collect_set("cc").alias("__ccs"))
+    keyed = _readings(split.drop("qualifier"), exonyms).join(codes, ["wanted", "__own"], "left")
+    asked_keys = keyed.select("key").distinct()
+    first = Window.partitionBy("key").orderBy("__key", "name", "lat", "lon")
+    more = starts.where(F.length("key") >= PREFIX_LETTERS).join(asked_keys, "key", "left_semi").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= PREFIX_ROWS)
+    fields = ["key", F.col("name").alias("city"), "admin1", "cc", "lat", "lon", "__code", "__division"]
+    found = keyed.drop("name").join(spots.select(*fields).unionByName(more.select(*fields)), "key")
+    fits = F.col("wanted").isNull() | (F.col("__code") == F.col("wanted")) | (F.col("__division") == F.col("wanted")) | F.array_contains("__ccs", F.col("cc"))
+    found = found.where(fits).select("query", "lang", "turn", F.col("city").alias("name"), "admin1", "cc", "lat", "lon").distinct()
+    turn = Window.partitionBy("query", "lang")  # what one query finds
+    return found.withColumn("__first", F.min("turn").over(turn)).where("turn = __first").drop("turn", "__first")

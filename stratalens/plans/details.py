@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import develop, pixels, strings
-from ..operators import changes, collections, entity, geo, order
+from ..operators import changes, collections, entity, geo, order, places
 from ..session import table
 from ..sources import catalog
 from ..streaming import ingest
@@ -228,6 +228,56 @@ def place_resolved(spark, sf_dir):
     return geo.resolve_place(c, 10.0, 20.0).select("id")
 
 
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_CITY = "p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || CAST(p_partkey % 9 AS {text}) ELSE '' END AS name, p_brand AS admin1, 'N' || CAST(p_partkey % 25 AS {text}) AS cc, CAST(p_partkey % 180 - 90 AS DOUBLE) AS lat, CAST(p_partkey * 7 % 360 - 180 AS DOUBLE) AS lon"
+_ASKED = (
+    "CASE c_custkey % 8 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN p_name || ', nation_' || CAST(c_custkey % 25 AS {text}) WHEN 3 THEN p_name || ' nation_' || CAST(c_custkey % 25 AS {text}) WHEN 4 THEN p_name || ', ' || p_brand "
+    "WHEN 5 THEN upper(p_name) || ' n' || CAST(c_custkey % 25 AS {text}) WHEN 6 THEN 'exo ' || split_part(p_name, ' ', 2) || ', land ' || CAST(c_custkey % 25 AS {text}) ELSE p_name || ' nowhere ' || CAST(c_custkey % 25 AS {text}) END AS query"
+)
+_LANG = "CASE WHEN c_custkey % 3 > 0 THEN 'de-DE' END AS lang"
+# exonyms stand for the small ones of each kind; countries have a general name and one in German
+
+
+@query(
+    f"WITH g AS (SELECT *, {_norm_sql('name')} AS key FROM (SELECT name, lat, lon, min(struct_pack(cc := cc, admin1 := admin1)) AS x FROM (SELECT {_CITY.format(text='VARCHAR')} FROM part) GROUP BY ALL)), a AS (SELECT DISTINCT query, lang, coalesce(split_part(lang, '-', 1), '') AS own FROM (SELECT {_ASKED.format(text='VARCHAR')}, {_LANG} FROM customer JOIN part ON p_partkey = c_custkey)), "
+    "b AS (SELECT *, trim(split_part(lower(query), ',', 1)) AS name, nullif(trim(split_part(lower(query), ',', 2)), '') AS q FROM a), c AS (SELECT query, lang, own, 0 AS turn, name, q FROM b UNION ALL SELECT query, lang, own, t, array_to_string(w[1:len(w) - t], ' '), array_to_string(w[len(w) - t + 1:], ' ') FROM (SELECT *, string_split(name, ' ') AS w, unnest(generate_series(1, len(string_split(name, ' ')) - 1)) AS t FROM b WHERE q IS NULL)), "
+    f"d AS (SELECT query, lang, own, turn, {_norm_sql('q')} AS wanted, {_norm_sql('name')} AS key, name FROM c), e AS (SELECT DISTINCT 'exo ' || split_part(p_name, ' ', 2) AS key, 'small ' || split_part(p_name, ' ', 2) AS known FROM part), u AS (SELECT * FROM d UNION SELECT * REPLACE ({_norm_sql("regexp_replace(name, '([aou])e', '\\1', 'g')")} AS key) FROM d WHERE own = 'de'), "
+    "k AS (SELECT query, lang, own, turn, wanted, key FROM u UNION SELECT query, lang, own, turn, wanted, known FROM u JOIN e USING (key) WHERE own = 'de'), p AS (SELECT k.key, g.name, g.lat, g.lon, g.x FROM (SELECT DISTINCT key FROM k WHERE len(key) >= 4) k JOIN g ON starts_with(g.key, k.key || ' ') QUALIFY row_number() OVER (PARTITION BY k.key ORDER BY g.key, g.name, g.lat, g.lon) <= 20), "
+    f"f AS (SELECT DISTINCT query, lang, turn, s.name, s.lat, s.lon FROM k JOIN (SELECT key, name, lat, lon, x FROM g UNION ALL FROM p) s USING (key) WHERE wanted IS NULL OR lower(s.x.cc) = wanted OR {_norm_sql('s.x.admin1')} = wanted OR wanted = 'nation ' || s.x.cc[2:] OR (own = 'de' AND wanted = 'land ' || s.x.cc[2:])) "
+    "SELECT query, lang, count(*) AS cities, count(DISTINCT name) AS names, sum(lat * 1000 + lon) AS places FROM (SELECT *, min(turn) OVER (PARTITION BY query, lang) AS least FROM f) WHERE turn = least GROUP BY ALL"
+)
+def places_located(spark, sf_dir):
+    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    cities = part.selectExpr(*views._split(_CITY.format(text="STRING")))
+    asked = table(spark, sf_dir, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).selectExpr(_ASKED.format(text="STRING"), _LANG)
+    code = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))
+    names = nation.select(F.col("n_name").alias("name"), F.lit(None).cast("string").alias("lang"), code.alias("cc"))
+    names = names.unionByName(nation.select(F.concat(F.lit("Land "), F.col("n_nationkey").cast("string")).alias("name"), F.lit("de").alias("lang"), code.alias("cc")))
+    kind = F.split("p_name", " ")[1]
+    exonyms = part.select(F.concat(F.lit("Exo "), kind).alias("exonym"), F.concat(F.lit("small "), kind).alias("name")).distinct()
+    found = places.located(asked, cities, names, exonyms)
+    return found.groupBy("query", "lang").agg(F.count("*").alias("cities"), F.countDistinct("name").alias("names"), F.sum(F.col("lat") * 1000 + F.col("lon")).alias("places"))
+
+
+_TYPED = "CASE id % 9 WHEN 0 THEN 'a/b' WHEN 1 THEN '  ' WHEN 2 THEN concat('DSCF', cast((id + 40) % 5000 AS {text})) WHEN 3 THEN concat(' same', cast(id % 50 AS {text}), '.JPG') ELSE concat('shot-', cast(id AS {text}), '.v2') END"
+_EXT, _DIR = "regexp_extract(original_filename, '(\\.[^.]*)$', 1)", "regexp_extract(file_path, '^(.*/)?[^/]*$', 1)"
+
+
+@query(
+    f"WITH t AS (SELECT id, file_path, paired_image_id, {_EXT} AS ext, {_DIR} AS dir, trim({_TYPED.format(text='VARCHAR')}) AS typed, rating >= 4 AS asked FROM v_image), s AS (SELECT *, CASE WHEN lower(typed) LIKE '%' || ext THEN trim(left(typed, length(typed) - length(ext))) ELSE typed END AS stem FROM t WHERE asked), "
+    "n AS (SELECT *, CASE WHEN stem <> '' AND NOT contains(stem, '/') THEN stem || ext END AS filename FROM s), p AS (SELECT *, dir || filename AS path FROM n), c AS (SELECT * FROM p WHERE path IS NULL OR path <> file_path), "
+    "a AS (SELECT id, filename, path, CASE WHEN filename IS NULL THEN 'name' WHEN path IN (SELECT file_path FROM t) OR id <> min(id) OVER (PARTITION BY path) THEN 'taken' END AS error, true AS asked, stem, paired_image_id FROM c), "
+    "f AS (SELECT t.id, x.stem || t.ext AS filename, t.dir || x.stem || t.ext AS path FROM (SELECT paired_image_id AS id, min(stem) AS stem FROM a WHERE error IS NULL AND paired_image_id IS NOT NULL GROUP BY 1) x JOIN t ON t.id = x.id WHERE NOT t.asked AND t.dir || x.stem || t.ext <> t.file_path) "
+    "SELECT id, filename, path, error, asked FROM a UNION ALL SELECT id, filename, path, CASE WHEN path IN (SELECT file_path FROM t) OR id <> min(id) OVER (PARTITION BY path) OR path IN (SELECT path FROM a WHERE error IS NULL) THEN 'taken' END, false FROM f"
+)
+def renames_planned(spark, sf_dir):
+    i = views.images(spark, sf_dir)
+    return changes.rename_plan(i, i.where("rating >= 4").select("id", F.expr(_TYPED.format(text="STRING")).alias("name")))
+
+
 @query("SELECT id FROM v_image WHERE id % 5 = 0")
 def library_wiped(spark, sf_dir):
     i = views.images(spark, sf_dir).withColumn("owner_id", F.when(F.col("id") % 5 == 0, 2).otherwise(1))
