@@ -28,8 +28,8 @@ BANDS = BINS // ROWS
 BLOCK = 1024
 #: Ids of unconfirmed pairs up to which the texts are filtered by a broadcast before they are shuffled.
 BROADCAST_IDS = 4_000_000
-#: Share of equal bins under which a pair isn't confirmed: the threshold less four deviations.
-SLACK = 4 * (0.75 * 0.25 / BINS) ** 0.5
+#: How far the share of equal bins may fall short of the threshold before a pair is left unconfirmed: six deviations.
+SLACK = 6 * (0.75 * 0.25 / BINS) ** 0.5
 #: Bins of the finer signature, eight bits each, that members of mixed buckets are compared on.
 FINE = 1024
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
@@ -145,7 +145,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def residual_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``members(band, bucket, id, component, sign, fine)`` -> pairs of a bucket, in different components, that look alike.
 
-    Both signatures may fall short of ``percent`` by four standard deviations.
+    Both signatures may fall short of ``percent`` by six standard deviations.
 
     A bucket of more than ``BLOCK`` members is cut into blocks, and each pair of
     blocks is one group, so no task holds more than two blocks of a bucket.
