@@ -116,6 +116,21 @@ def test_mirror_modes(spark):
         mirror.deletion_queue(rows, "some")
 
 
+def test_mirror_lists_no_pairs_of_rules(spark, capsys):
+    rows = images(spark, [dict(id=i, remote_id=f"r{i}") for i in range(1, 5)])
+    albums = spark.createDataFrame([(k, f"A{k % 20:02}", ["sky", "sea"][: 1 + k % 2], True) for k in range(200)] + [(900, "Z", [], True), (901, "A03", [], True)], "album_id long, album string, rule array<string>, album_sync boolean")
+    links, members = spark.createDataFrame([(1, "sky"), (1, "sea"), (2, "sea"), (3, "land")], "image_id long, name string"), spark.createDataFrame([(900, 1), (901, 2), (900, 3)], "album_id long, image_id long")
+    every, odd = [f"A{k:02}" for k in range(20)], [f"A{k:02}" for k in range(1, 20, 2)]
+    out = mirror.album_names(rows, albums, members, links, "full")
+    assert {r.id: r.albums for r in out.collect()} == {1: [*every, "Z"], 2: odd, 3: ["Z"]}
+    known = spark.createDataFrame([("r1", a) for a in every] + [("r2", "A01")], "remote_id string, album string")
+    assert sorted((r.remote_id, r.album) for r in mirror.album_pushes(rows, albums, members, links, known, "full").collect()) == [("r1", "Z")] + [("r2", a) for a in odd[1:]] + [("r3", "Z")]
+    # albums meet the tags of rules by name only, once each, before any image comes to them
+    out.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "Join LeftSemi, (name" in plan and "Join Inner, (name" in plan
+
+
 def test_collections_and_rules(spark):
     rows = images(spark, [dict(id=1, gps_lat=48.0, gps_lon=11.0, gps_country="Germany"), dict(id=2, file_type="raw"), dict(id=3, deleted_at=T0)])
     clusters = spark.createDataFrame([(0, "sky", "", 1), (1, "sea", "water", 2)], "cluster int, name string, `group` string, image_id long")
