@@ -266,10 +266,9 @@ def blended(neighbours: DataFrame, by: str = "query") -> DataFrame:
     order of name; curves are read at nine places, and one that stays within
     one of the straight line is that line.
     """
-    w = F.col("weight") / F.col("__sum")
-    rows = neighbours.join(neighbours.groupBy(by).agg(F.sum("weight").alias("__sum")), by)
     adj, aggs = F.col("adj"), {}
-    mean = lambda c: F.sum(w * c)
+    # one division at the end: sums of whole weights are exact, and so is a mean that lies halfway
+    mean = lambda c: F.sum(F.col("weight") * c) / F.sum("weight")
     for name in SCALARS:
         aggs[name] = mean(adj[name])
     aggs["hue"] = _polar(mean(F.cos(F.radians(adj["hue"]))), mean(F.sin(F.radians(adj["hue"]))))
@@ -293,7 +292,7 @@ def blended(neighbours: DataFrame, by: str = "query") -> DataFrame:
     for name, names in ENUMS.items():
         for choice in names:
             aggs[f"vote_{name}_{choice}"] = mean((adj[name] == choice).cast("double"))
-    means = rows.groupBy(by).agg(*[a.alias(n) for n, a in aggs.items()])
+    means = neighbours.groupBy(by).agg(*[a.alias(n) for n, a in aggs.items()])
     held = lambda name, *spec: clamp(F.col(name).cast("string"), *spec)
     fields = [held(n, *spec).alias(n) for n, spec in SCALARS.items()]
     fields += [F.array_max(F.array(*[F.struct(F.col(f"vote_{n}_{c}").alias("w"), F.lit(c).alias("v")) for c in names]))["v"].alias(n) for n, names in ENUMS.items()]

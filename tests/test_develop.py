@@ -44,3 +44,9 @@ def test_text_is_parsed_once_a_row(spark, capsys):
     rows.select("n.contrast", "n.hue", F.size("n.masks").alias("masks"), develop.is_neutral(F.col("n")).alias("neutral")).explain("extended")
     plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
     assert plan.count("parse_json") + plan.count("parseJson") == 1
+
+
+def test_blended_mean_halfway_rounds_to_even(spark):
+    rows = spark.createDataFrame([(1, 3.0, '{"contrast": 0}'), (1, 2.0, '{"contrast": 1}'), (1, 1.0, '{"contrast": 7}')], "query int, weight double, doc string")
+    out = develop.blended(rows.coalesce(1).select("query", "weight", develop.normalised(F.col("doc")).alias("adj"))).first()
+    assert out.contrast == 2  # the mean is 1.5; by shares of the weight it was 1.4999999999999998
