@@ -126,7 +126,8 @@ def pair_groups(shots: DataFrame, tolerance: dt.timedelta = TOLERANCE) -> DataFr
     One raw and one JPEG pair unless they conflict. In a larger group each raw,
     in order of id, takes the only free JPEG that confirms it: both times known
     and within the tolerance, the cameras not at odds; whatever stays ambiguous
-    stays alone. Files of other kinds take no part.
+    stays alone. Files of other kinds take no part. A JPEG that is taken takes
+    all rows of its id along.
     """
     limit = tolerance.total_seconds()
 
@@ -141,7 +142,7 @@ def pair_groups(shots: DataFrame, tolerance: dt.timedelta = TOLERANCE) -> DataFr
             hits = [o for o in others if (alone or raw["taken_at"] is not None and o["taken_at"] is not None) and not clash(raw, o)]
             if len(hits) == 1:
                 out.append((raw["stem"], raw["id"], hits[0]["id"]))
-                others.remove(hits[0])
+                others = [o for o in others if o["id"] != hits[0]["id"]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def pair_groups(shots: DataFrame, tolerance: dt.timedelta = TOLERANCE) -> DataFr
     own = shots.where(F.col("kind").isin("raw", "jpeg"))
     some = own.groupBy("stem").agg(F.count_if(F.col("kind") == "raw").alias("r"), F.count("*").alias("n")).where("r > 0 and n > r").select("stem")
     chosen = own.join(some, "stem", "left_semi").select("stem", "id", "kind", "taken_at", camera_key(F.col("camera")).alias("camera"))
-    return chosen.repartition("stem").sortWithinPartitions("stem", "id").mapInArrow(run, f"stem {kinds['stem']}, raw_id {kinds['id']}, other_id {kinds['id']}")
+    return chosen.repartition("stem").sortWithinPartitions("stem", "id", "taken_at", "camera").mapInArrow(run, f"stem {kinds['stem']}, raw_id {kinds['id']}, other_id {kinds['id']}")
 
 
 def conflicting_pairs(images: DataFrame, tolerance: dt.timedelta = TOLERANCE) -> DataFrame:

@@ -262,6 +262,13 @@ def test_pairing_evidence(spark):
     assert entity.pair_groups(shots.limit(0)).count() == 0
 
 
+def test_pairing_takes_all_rows_of_an_id(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("s", 1, "raw", at(0), "A"), ("s", 2, "raw", at(100), "A"), ("s", 3, "jpeg", at(0), "A"), ("s", 3, "jpeg", at(100), "A")]
+    shots = spark.createDataFrame(rows, "stem string, id long, kind string, taken_at timestamp_ntz, camera string")
+    assert [(r.raw_id, r.other_id) for r in entity.pair_groups(shots).collect()] == [(1, 3)]
+
+
 def test_changes(spark):
     rows = images(spark, [dict(id=1, paired_image_id=2), dict(id=2, paired_image_id=1, deleted_at=T0), dict(id=3, source_root_id="r", deleted_at=T0), dict(id=4, original_filename="4_edit-2.jpg", remote_id="a")])
     assert {r.id: r.rating for r in changes.rate(rows, [1], rating=5).collect()} == {1: 5, 2: 5, 3: 0, 4: 0}
