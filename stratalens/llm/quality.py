@@ -34,8 +34,6 @@ from .core import free, map_arrow, materialise, slices
 from .hashing import mix
 from .pretokens import distinct, parts, split
 
-#: Labelled documents at most that the target model is fitted on, taken evenly by a hash of the id.
-LABELLED = 200_000
 #: Buckets of hashed features; deviations under which a feature says nothing; what is added to counts.
 BUCKETS, SURE, SMOOTHING = 1 << 20, 2.0, 0.5
 #: Bytes of text handled at a time, and code points that are split at a time: a task's memory, not its result.
@@ -131,10 +129,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def targets(labels: DataFrame) -> DataFrame:
-    """(__label, target) of labelled ids: whether good and not toxic; ``LABELLED`` at most."""
+    """(__label, target) of all labelled ids: whether good and not toxic."""
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    share = min(1.0, LABELLED / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     return own.select(F.col("doc_id").alias("__label"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
 
 
@@ -155,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     own = targets(labels)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    labelled = texts.join(F.broadcast(own), F.col("__id") == F.col("__label")).select("text", "target")
+    labelled = texts.join(own, F.col("__id") == F.col("__label")).select("text", "target")
     n = labelled.agg(F.count_if("target").alias("target"), F.count_if(~F.col("target")).alias("other")).first()
     if not n["target"] or not n["other"]:
         return None
@@ -215,6 +211,15 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return lo
 
 
+def quantile(values: DataFrame, column: str, share: float) -> float:
+    """The exact quantile, straight between the two values beside it, of any number of rows and in no single task."""
+    n = values.count()
+    place = (n - 1) * share
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    below = kth_largest(values, column, n - low)
+    return below if low == high else (high - place) * below + (place - low) * kth_largest(values, column, n - high)
+
+
 def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray | None, DataFrame, float | None]:
     """The model, (id, log_weight, key) of every row as written, and the least key that is drawn, None for all."""
     model = fit(docs, labels, id_col, text_col)
@@ -222,8 +227,8 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     keys = materialise(own.select("id", "log_weight", gumbel_key(F.col("log_weight"), "id", "text").alias("key")))
     if model is None:
         return model, keys, None
-    good = F.broadcast(targets(labels).where("target").select(F.col("__label").alias("id")))
-    least = keys.join(good, "id", "left_semi").agg(F.percentile("log_weight", F.lit(LEAVE))).first()[0]
+    good = targets(labels).where("target").select(F.col("__label").alias("id"))
+    least = quantile(materialise(keys.join(good, "id", "left_semi").select("log_weight")), "log_weight", LEAVE)
     row = keys.agg(F.count_if(F.col("log_weight") >= least).alias("k"), F.count("*").alias("n")).first()
     return model, keys, None if row["k"] == row["n"] else kth_largest(keys, "key", row["k"])
 
