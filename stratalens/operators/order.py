@@ -83,12 +83,14 @@ def destinations(files: DataFrame, taken: DataFrame) -> DataFrame:
     keyed = lambda df: df.withColumn("__family", F.concat_ws("/", F.col("day").cast("string"), F.regexp_replace(stem, r"(_\d+)+$", ""), ext)).withColumn("__stem", stem).withColumn("__ext", ext)
 
     def settle(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(old["name"]), []
-        for row in new.sort_values("seq").itertuples():
-            name, n = row.name, 0
-            while name in used:
+        used, last, out = set(old["name"]), {}, []
+        for row in new.sort_values(["seq", "id"]).itertuples():
+            # names are only ever taken, so the next file of a name need not try the numbers before
+            name, n = row.name, last.get(row.name, 0)
+            while (name if n == 0 else f"{row.stem}_{n}{row.ext}") in used:
                 n += 1
-                name = f"{row.stem}_{n}{row.ext}"
+            last[row.name] = n
+            name = name if n == 0 else f"{row.stem}_{n}{row.ext}"
             used.add(name)
             out.append((row.id, row.day, name))
         return pd.DataFrame(out, columns=["id", "day", "name"])
@@ -96,11 +98,14 @@ def destinations(files: DataFrame, taken: DataFrame) -> DataFrame:
     columns = [F.col("__family"), F.col("day").cast("string").alias("day"), "name"]
     new = keyed(files).select(*columns, "id", "seq", F.col("__stem").alias("stem"), F.col("__ext").alias("ext"))
     old = keyed(taken).select(*columns)
-    # a family of one file and no taken name needs no settling
-    crowded = new.select("__family").unionByName(old.select("__family")).groupBy("__family").count().where("count > 1").select("__family")
-    lone = new.join(crowded, "__family", "left_anti").select("id", "day", "name")
-    groups = new.join(crowded, "__family", "left_semi").groupBy("__family").cogroup(old.groupBy("__family"))
-    settled = groups.applyInPandas(settle, f"id {dict(files.dtypes)['id']}, day string, name string").unionByName(lone)
+    # in a family of one name, taken or not, the numbers are row numbers; only others need settling
+    seen = new.select("__family", "name", F.lit(False).alias("old")).unionByName(old.select("__family", "name", F.lit(True).alias("old")))
+    families = seen.groupBy("__family").agg(F.coalesce(F.min("name") == F.max("name"), F.lit(True)).alias("plain"), F.max("old").cast("int").alias("gone"))
+    numbered = new.join(families.where("plain"), "__family").withColumn("n", F.row_number().over(Window.partitionBy("__family").orderBy("seq", "id")) - 1 + F.col("gone"))
+    plain = numbered.select("id", "day", F.when(F.col("n") == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), F.col("n").cast("string"), "ext")).alias("name"))
+    mixed = families.where("not plain").select("__family")
+    groups = new.join(mixed, "__family", "left_semi").groupBy("__family").cogroup(old.join(mixed, "__family", "left_semi").groupBy("__family"))
+    settled = groups.applyInPandas(settle, f"id {dict(files.dtypes)['id']}, day string, name string").unionByName(plain)
     return settled.select("id", F.concat_ws("/", F.substring("day", 1, 4), "day", "name").alias("path"))
 
 
