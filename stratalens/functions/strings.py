@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,26 +65,38 @@ def millimetres(x: Column) -> Column:
     return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.regexp_replace(F.format_string("%.4f", x), r"0+$", ""))
 
 
+def once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.transform(F.array(value), function)[0]
+
+
 def clean_lens(value: Column) -> Column:
     """A lens name: nothing for placeholders, ``8.8-25.7mm f/1.8-2.8`` for four numbers, else trimmed text.
 
     More than four numbers lose zeros at their start, then at their end, until
-    four are left; other numbers alone name no lens.
+    four are left; other numbers alone name no lens. Each step names the one
+    before several times, so each is computed once.
     """
-    text = F.trim(value)
-    numbers = F.transform(F.split(text, r"\s+"), lambda x: x.try_cast("double"))
-    spare = F.greatest(F.size(numbers) - 4, F.lit(0))
-    zeros = lambda xs: F.least(spare, F.coalesce(F.array_position(F.transform(xs, lambda x: x != 0), True).cast("int") - 1, F.size(xs)))
-    head = F.when(F.array_position(F.transform(numbers, lambda x: x != 0), True) == 0, spare).otherwise(zeros(numbers))
-    cut = F.slice(numbers, head + 1, F.greatest(F.size(numbers) - head, F.lit(0)))
-    tail = F.least(F.greatest(F.size(cut) - 4, F.lit(0)), F.array_position(F.transform(F.reverse(cut), lambda x: x != 0), True).cast("int") - 1)
-    core = F.slice(cut, 1, F.greatest(F.size(cut) - F.greatest(tail, F.lit(0)), F.lit(0)))
-    spread = lambda a, b: F.when(a == b, millimetres(a)).otherwise(F.concat(millimetres(a), F.lit("-"), millimetres(b)))
-    at = lambda i: F.get(core, F.lit(i))
-    made = F.concat(spread(at(0), at(1)), F.lit("mm"), F.when(at(2) > 0, F.concat(F.lit(" f/"), spread(at(2), at(3)))).otherwise(""))
-    nothing = text.isNull() | F.lower(text).isin("", *NO_LENS) | text.startswith("Unknown (") | text.startswith("0.0 mm")
     none = F.lit(None).cast("string")
-    return F.when(nothing, none).when(F.exists(numbers, lambda x: x.isNull()), text).when((F.size(core) == 4) & (at(0) > 0), made).otherwise(none)
+    spread = lambda a, b: F.when(a == b, millimetres(a)).otherwise(F.concat(millimetres(a), F.lit("-"), millimetres(b)))
+    spare = lambda xs: F.greatest(F.size(xs) - 4, F.lit(0))
+    zeros = lambda xs: F.array_position(F.transform(xs, lambda x: x != 0), True).cast("int") - 1
+
+    def made(core: Column) -> Column:
+        at = lambda i: F.get(core, F.lit(i))
+        name = F.concat(spread(at(0), at(1)), F.lit("mm"), F.when(at(2) > 0, F.concat(F.lit(" f/"), spread(at(2), at(3)))).otherwise(""))
+        return F.when((F.size(core) == 4) & (at(0) > 0), name).otherwise(none)
+
+    # all zeros lose as many as are to spare at the start
+    head = lambda xs: once(zeros(xs), lambda z: F.when(z < 0, spare(xs)).otherwise(F.least(spare(xs), z)))
+    cut = lambda xs: once(head(xs), lambda n: F.slice(xs, n + 1, F.size(xs) - n))
+    core = lambda xs: F.slice(xs, 1, F.size(xs) - F.greatest(F.least(spare(xs), zeros(F.reverse(xs))), F.lit(0)))
+    # what doesn't begin like a number is none, and is cheaper to tell so
+    number = lambda x: F.when(x.rlike(r"^[\x00-\x20]*[-+.0-9iInN]"), x.try_cast("double"))
+    numbered = lambda text, xs: F.when(F.exists(xs, lambda x: x.isNull()), text).otherwise(once(cut(xs), lambda c: once(core(c), made)))
+    nothing = lambda text: text.isNull() | F.lower(text).isin("", *NO_LENS) | text.startswith("Unknown (") | text.startswith("0.0 mm")
+    named = lambda text: F.when(nothing(text), none).otherwise(once(F.transform(F.split(text, r"\s+"), number), lambda xs: numbered(text, xs)))
+    return once(F.trim(value), named)
 
 
 def hamming(a: Column, b: Column) -> Column:
