@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .strings import once as _once
+
 #: Scalar adjustments with their lowest, highest and neutral value; whole numbers but for exposure.
 SCALARS = {
     "exposure": (-8.0, 8.0, 0.0),
@@ -95,14 +96,10 @@ def _at(value: Column, path: str, kind: str) -> Column:
 
 
 def _number(value: Column, path: str, low: float, high: float, default: float) -> Column:
-    number = F.coalesce(F.nanvl(_at(value, path, "double"), F.lit(float(default))), F.lit(float(default)))
-    held = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number))
-    return held + F.lit(0.0) if isinstance(low, float) else F.bround(held).cast("int")
-
-
-def _once(value: Column, function: Callable[[Column], Column]) -> Column:
-    """``function`` of a value that is computed once, however often the function names it."""
-    return F.transform(F.array(value), function)[0]
+    given = _at(value, path, "double")
+    held = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.nanvl(given, F.lit(float(default)))))
+    # most values are missing, and then nothing else is computed
+    return F.when(given.isNull(), F.lit(default)).otherwise(held + F.lit(0.0) if isinstance(low, float) else F.bround(held).cast("int"))
 
 
 def _section(value: Column, name: str, function: Callable[[Column], Column], neutral: Column) -> Column:
@@ -194,8 +191,8 @@ def scalar(doc: Column, name: str) -> Column:
     return _scalar(parsed(doc), name)
 
 
-def normalised(doc: Column) -> Column:
-    """Every key present and in bounds, unknown keys dropped.
+def normalised(doc: Column, names: Iterable[str] | None = None) -> Column:
+    """Every key present and in bounds, unknown keys dropped; of a caller that reads some keys only, those of ``names``.
 
     Kinds count as in JSON: true is the number 1 and false 0, text counts as the
     number that it spells, null and everything else as none. Masks' flags hold
@@ -203,11 +200,11 @@ def normalised(doc: Column) -> Column:
     parsed once a row: the lambda's variable stands for it, which no rule of the
     optimiser copies into each field.
     """
-    return _once(parsed(doc), _normalised)
+    wanted = None if names is None else set(names)
+    return _once(parsed(doc), lambda raw: _normalised(raw, wanted))
 
 
-def _normalised(raw: Column) -> Column:
-    nothing = F.lit(None).cast("variant")
+def _normalised(raw: Column, wanted: set[str] | None) -> Column:
     hsl = lambda x: F.struct(*[F.array(*[_number(x, f"$.{b}[{i}]", -100, 100, 0) for i in range(3)]).alias(b) for b in BANDS])
     curves = lambda x: F.struct(*[_curve(x, f"$.{c}").alias(c) for c in CHANNELS])
     parametric = lambda x: F.struct(*[F.struct(*[_number(x, f"$.{c}.{k}", -100, 100, d).alias(k) for k, d in PARAMETRIC.items()]).alias(c) for c in CHANNELS])
@@ -216,26 +213,32 @@ def _normalised(raw: Column) -> Column:
     calibration = lambda x: F.struct(*[_number(x, f"$.{k}", -100, 100, 0).alias(k) for k in CALIBRATION])
     parts = {"hsl": hsl, "point_curves": curves, "parametric_curve": parametric, "color_grading": grading, "color_calibration": calibration}
     choice = lambda n, names: _once(_at(raw, f"$.{n}", "string"), lambda x: F.when(x.isin(*names), x).otherwise(names[0]))
-    fields = [_scalar(raw, n).alias(n) for n in SCALARS] + [choice(n, names).alias(n) for n, names in ENUMS.items()]
-    # the neutral parts are literals once the optimiser has folded them
-    fields += [_section(raw, n, f, f(nothing)).alias(n) for n, f in parts.items()]
-    return F.struct(*fields, _masks(raw).alias("masks"))
+    fields = {n: lambda n=n: _scalar(raw, n) for n in SCALARS} | {n: lambda n=n, names=names: choice(n, names) for n, names in ENUMS.items()}
+    fields |= {n: lambda n=n, f=f: _section(raw, n, f, _neutral()[n]) for n, f in parts.items()} | {"masks": lambda: _masks(raw)}
+    return F.struct(*[f().alias(n) for n, f in fields.items() if wanted is None or n in wanted])
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.items()])
+    return F.array(*map(_literal, value)) if isinstance(value, list) else F.lit(value)
 
 
-def _neutral_text() -> str:
-    """The JSON text of a neutral document up to its masks, which come last."""
+def _neutral() -> dict[str, Column]:
+    """The neutral value of each key but masks: literals once the optimiser has folded them."""
     line = [[0, 0], [255, 255]]
     out = {n: default for n, (_, _, default) in SCALARS.items()} | {n: names[0] for n, names in ENUMS.items()}
     out |= {"hsl": {b: [0, 0, 0] for b in BANDS}, "point_curves": {c: line for c in CHANNELS}, "parametric_curve": {c: PARAMETRIC for c in CHANNELS}}
     out["color_grading"] = {z: {k: default for k, (_, _, default) in WHEEL.items()} for z in ZONES} | {"blending": 50, "balance": 0}
     out["color_calibration"] = {k: 0 for k in CALIBRATION}
-    return json.dumps(out, separators=(",", ":"))[:-1]
+    return {k: _literal(v) for k, v in out.items()}
 
 
 def is_neutral(adjustments: Column) -> Column:
     """Whether a normalised document changes nothing: all values neutral and no visible mask with a part and an adjustment."""
-    same = F.split(F.to_json(adjustments), ',"masks":', 2)[0] == _neutral_text()
-    return same & ~F.exists(adjustments["masks"], lambda m: m["visible"] & (F.size(m["sub_masks"]) > 0) & (F.size(F.map_keys(m["adjustments"])) > 0))
+    plain = [(n, value) for n, value in _neutral().items()]
+    acts = lambda m: m["visible"] & (F.size(m["sub_masks"]) > 0) & (F.size(F.map_keys(m["adjustments"])) > 0)
+    return _once(adjustments, lambda a: (F.struct(*[a[n].alias(n) for n, _ in plain]) == F.struct(*[v.alias(n) for n, v in plain])) & ~F.exists(a["masks"], acts))
 
 
 def dumped(adjustments: Column) -> Column:
