@@ -221,7 +221,9 @@ def trashed_duplicates(staged: DataFrame, images: DataFrame) -> DataFrame:
 def selectable(staged: DataFrame, images: DataFrame) -> DataFrame:
     """``staged`` with ``selectable``: no duplicate, or a copy of a row of a source root or of the trash."""
     back = images.where("source_root_id is not null or deleted_at is not null").select(F.col("id").alias("__id"), F.lit(True).alias("__back"))
-    joined = staged.join(back, F.col("duplicate_of_image_id") == F.col("__id"), "left")
+    # most files are no copies: their nulls, which match nothing, would all be dealt to one task
+    copies = staged.where("duplicate_of_image_id is not null").join(back, F.col("duplicate_of_image_id") == F.col("__id"), "left")
+    joined = copies.unionByName(staged.where("duplicate_of_image_id is null").withColumns({"__id": F.lit(None).cast(dict(images.dtypes)["id"]), "__back": F.lit(None).cast("boolean")}))
     fresh = F.col("duplicate_of_image_id").isNull() & F.col("duplicate_of_staged_file_id").isNull()
     return joined.withColumn("selectable", fresh | F.coalesce("__back", F.lit(False))).drop("__id", "__back")
 
