@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import develop, strings
-from stratalens.operators import entity, order
+from stratalens.operators import entity, order, vectors
 
 DAY = dt.date(2026, 7, 1)
 
@@ -76,3 +76,17 @@ def test_files_that_are_no_copies_are_not_dealt_to_one_task(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_examples_meet_targets_in_blocks(spark, monkeypatch, capsys):
+    rng = np.random.default_rng(7)
+    v = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "id long, vector array<double>")
+    examples = spark.createDataFrame([(i, f"d{i}", i % 3 == 0, i ^ 1) for i in range(40)], "id long, doc string, is_raw boolean, pair long")
+    targets = v.where("id % 3 = 0").selectExpr("id", "vector", "id % 2 = 0 as is_raw", "cast(null as long) as pair")
+    whole = sorted(map(tuple, vectors.example_neighbours(targets, examples, v, 3).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "TARGETS", 5)
+    out = vectors.example_neighbours(targets, examples, v, 3)
+    assert sorted(map(tuple, out.collect())) == whole and whole
+    out.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
