@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,12 +84,38 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return row[first], key[first]
 
 
+def packed(row: np.ndarray, key: np.ndarray, n: int) -> pa.Array:
+    """The features of each of n rows as bytes, three to a bucket."""
+    ends = np.append(0, 3 * np.cumsum(np.bincount(row, minlength=n))).astype(np.int32)
+    data = np.ascontiguousarray(key.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of what :func:`packed` wrote."""
+    row = np.repeat(np.arange(len(column)), pc.binary_length(column).to_numpy(zero_copy_only=False) // 3)
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+    return row, data[:, 0] | data[:, 1] << 8 | data[:, 2] << 16
+
+
+def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, drawn, features) of every row as written: texts are read once, and from then on stand for their features."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text", SLICE):
+            row, key = features([x or "" for x in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("drawn"), packed(row, key, part.num_rows)], names=["id", "drawn", "features"])
+
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("drawn"), F.col(text_col).alias("text"))
+    return materialise(map_arrow(own, run, T.StructType([*own.schema.fields[:2], T.StructField("features", T.BinaryType())])))
+
+
 def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and bucket, target and other labelled documents that have it."""
     counts = np.zeros((2, BUCKETS), np.int64)
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            row, key = features([x or "" for x in part.column("text").to_pylist()])
+        for part in slices(batch, "features", SLICE):
+            row, key = unpacked(part.column("features"))
             target = part.column("target").to_numpy(zero_copy_only=False)[row]
             counts += np.bincount(key[target], minlength=BUCKETS), np.bincount(key[~target], minlength=BUCKETS)
     some = np.flatnonzero(counts.any(axis=0))
@@ -108,8 +135,8 @@ def _count_raw(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                raw += np.bincount(features([x or "" for x in part.column("text").to_pylist()])[1], minlength=BUCKETS)
+            for part in slices(batch, "features", SLICE):
+                raw += np.bincount(unpacked(part.column("features"))[1], minlength=BUCKETS)
                 total += part.num_rows
         yield _parts(np.array_split(raw[wanted], _SLICES), [total] * _SLICES, list(range(_SLICES)))
 
@@ -143,15 +170,14 @@ def log_ratios(target, other, raw, targets: int, others: int, documents: int):
     return np.log((target + SMOOTHING) / (raw * (targets / documents) + SMOOTHING)) * shrink
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
-    """The log ratio of every bucket; None without labels of both kinds.
+def fit(rows: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """The log ratio of every bucket from rows of :func:`featured`; None without labels of both kinds.
 
-    What reaches the driver is bounded by the number of buckets, whatever the
+    Labels grow with the documents, so they are dealt by id at any size and
+    never broadcast; features are what comes to them, not texts. What reaches the driver is bounded by the number of buckets, whatever the
     input's size: buckets at which the labels say something.
     """
-    own = targets(labels)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    labelled = texts.join(own, F.col("__id") == F.col("__label")).select("text", "target")
+    labelled = rows.join(targets(labels).hint("merge"), F.col("id") == F.col("__label")).select("features", "target")
     n = labelled.agg(F.count_if("target").alias("target"), F.count_if(~F.col("target")).alias("other")).first()
     if not n["target"] or not n["other"]:
         return None
@@ -160,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = labelled.mapInArrow(_count_labelled, "key long, target long, other long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
     found = sums.where(F.abs(F.col("target") - expected) > SURE * F.sqrt(expected * (1 - share) + SMOOTHING)).toPandas().sort_values("key")
     keys = found["key"].to_numpy(np.int64)
-    counted = texts.select("text").mapInArrow(_count_raw(keys), _PARTS).repartition(_SLICES, "slice").mapInArrow(_add_up, _PARTS).orderBy("slice").collect()
+    counted = rows.select("features").mapInArrow(_count_raw(keys), _PARTS).repartition(_SLICES, "slice").mapInArrow(_add_up, _PARTS).orderBy("slice").collect()
     raw = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in counted])
     model = np.zeros(BUCKETS)
     model[keys] = log_ratios(found["target"].to_numpy(), found["other"].to_numpy(), raw, n["target"], n["other"], counted[0]["documents"])
@@ -184,9 +210,28 @@ def scored(docs: DataFrame, model: np.ndarray | None, text_col: str = "text", na
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def _weighed(rows: DataFrame, model: np.ndarray | None) -> DataFrame:
+    """(id, drawn, log_weight) of rows of :func:`featured`, as :func:`scored` weighs their texts."""
+    if model is None:
+        return rows.select("id", "drawn", F.lit(0.0).alias("log_weight"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "features", SLICE):
+            row, key = unpacked(part.column("features"))
+            weight = np.bincount(row, weights=shared.value[key], minlength=part.num_rows).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("drawn"), pa.array(weight)], names=["id", "drawn", "log_weight"])
+
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields[:2], T.StructField("log_weight", T.DoubleType())]))
+
+
 def gumbel_key(weight: Column, *seed: str) -> Column:
     """log weight / temperature plus Gumbel noise drawn from a hash of the row."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(*seed), 11).cast("double") + 0.5) / float(1 << 53)
+    return _noisy(weight, F.xxhash64(*seed))
+
+
+def _noisy(weight: Column, drawn: Column) -> Column:
+    uniform = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) / float(1 << 53)
     return weight / TEMPERATURE - F.log(-F.log(uniform))
 
 
@@ -222,13 +267,13 @@ def quantile(values: DataFrame, column: str, share: float) -> float:
 
 def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray | None, DataFrame, float | None]:
     """The model, (id, log_weight, key) of every row as written, and the least key that is drawn, None for all."""
-    model = fit(docs, labels, id_col, text_col)
-    own = scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)
-    keys = materialise(own.select("id", "log_weight", gumbel_key(F.col("log_weight"), "id", "text").alias("key")))
+    rows = featured(docs, id_col, text_col)
+    model = fit(rows, labels)
+    keys = materialise(_weighed(rows, model).select("id", "log_weight", _noisy(F.col("log_weight"), F.col("drawn")).alias("key")))
     if model is None:
         return model, keys, None
     good = targets(labels).where("target").select(F.col("__label").alias("id"))
-    least = quantile(materialise(keys.join(good, "id", "left_semi").select("log_weight")), "log_weight", LEAVE)
+    least = quantile(materialise(keys.join(good.hint("merge"), "id", "left_semi").select("log_weight")), "log_weight", LEAVE)
     row = keys.agg(F.count_if(F.col("log_weight") >= least).alias("k"), F.count("*").alias("n")).first()
     return model, keys, None if row["k"] == row["n"] else kth_largest(keys, "key", row["k"])
 

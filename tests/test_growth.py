@@ -24,6 +24,32 @@ def test_labels_are_all_used(spark, monkeypatch):
         assert got == pytest.approx(float(np.quantile(xs, 0.01)), rel=1e-12)
 
 
+def test_labels_meet_features_in_one_way_at_any_size(spark, monkeypatch, capsys):
+    quality = pytest.importorskip("stratalens.llm.quality")
+    docs = spark.createDataFrame([(i, f"good w{i % 7} w{i % 5}" if i % 2 else f"BAD x{i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    joined, join = [], type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, *a, **k: joined.append((self.columns, join(self, *a, **k))) or joined[-1][1])
+    assert quality.weights(docs, labels).count() == 60 and len(joined) == 2
+    for columns, out in joined:
+        assert "text" not in columns
+        out.explain()
+        assert "Broadcast" not in capsys.readouterr().out  # labels are few here, and would be sent to all tasks
+
+
+def test_packed_features_come_back():
+    quality = pytest.importorskip("stratalens.llm.quality")
+    texts = ["", "a b c a b c", "", "Some 12 WORDS, some more", *(" ".join(f"w{k * j}" for j in range(90)) for k in range(40)), ""]
+    row, key = quality.features(texts)
+    column = quality.packed(row, key, len(texts))
+    for start, length in ((0, len(texts)), (3, 20), (len(texts) - 1, 1)):
+        inside = (row >= start) & (row < start + length)
+        got = quality.unpacked(column.slice(start, length))
+        assert got[0].tolist() == (row[inside] - start).tolist() and got[1].tolist() == key[inside].tolist()
+    top = quality.BUCKETS - 1
+    assert quality.unpacked(quality.packed(np.array([0, 2]), np.array([0, top]), 3))[1].tolist() == [0, top]
+
+
 def test_destinations_of_one_crowded_name(spark):
     n = 20_000
     files = spark.range(n).select("id", F.col("id").alias("seq"), F.lit(DAY).alias("day"), F.lit("a.jpg").alias("name"))
