@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import develop, strings
-from stratalens.operators import entity, order, vectors
+from stratalens.operators import collections, entity, filters, order, vectors
+from stratalens.plans import views
 
 DAY = dt.date(2026, 7, 1)
 
@@ -116,3 +117,26 @@ def test_examples_meet_targets_in_blocks(spark, monkeypatch, capsys):
     assert sorted(map(tuple, out.collect())) == whole and whole
     out.explain()
     assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_tags_and_rows_of_albums_are_dealt_before_they_are_made_distinct(spark, sf, capsys):
+    views.image_tags(spark, sf).explain()
+    above, below = capsys.readouterr().out.split("Exchange hashpartitioning(image_id", 1)
+    assert "HashAggregate" in above and "HashAggregate" not in below
+    views.album_images(spark, sf).explain()
+    assert "Aggregate" not in capsys.readouterr().out  # pairs hardly repeat: one sort, no tables of them
+
+
+def test_album_sizes_count_sets_of_tags_once(spark, capsys):
+    rules = spark.createDataFrame([(a, n) for a in range(6) for n in ("abc", "bcd")[a % 2]] + [(9, "none")], "album_id long, name string")
+    links = spark.createDataFrame([(i, n) for i in range(40) for k, n in enumerate("abcdxy") if (i >> k) & 1], "image_id long, name string")
+    members = spark.createDataFrame([(a, i) for a in (0, 7) for i in (0, 3, 16, 16, 38, 39)], "album_id long, image_id long")
+    shown = spark.range(39)
+    tagged = lambda names: {r.image_id for r in links.where(links["name"].isin(*names)).collect()} & set(range(39))
+    hand = {0, 3, 16, 38}
+    want = {a: len(tagged(("abc", "bcd")[a % 2]) | (hand if a == 0 else set())) for a in range(6)} | {7: len(hand)}
+    out = filters.album_sizes(rules, members, links, shown)
+    assert {r.album_id: r.n for r in out.collect()} == want
+    out.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "Generate explode(names" in plan  # rules meet sets of tags, which are few, not images
