@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import aggregates
+from . import aggregates, filters
 from .filters import edited
 from .geo import ROMAN
 
@@ -274,16 +274,20 @@ def album_covers(albums: DataFrame, rules: DataFrame, album_images: DataFrame, l
     """(album_id, covers): visible rows added by hand in their order, then rows of the rule, the newest first; JPEGs if there is any.
 
     ``albums(album_id)``, ``rules(album_id, name)``. Rows of a rule are cut to
-    the newest of each distinct rule before albums meet them: as many as could
-    be needed however many of them an album holds by hand already.
+    the newest of each set of rule tags that occurs, then of each distinct rule,
+    before albums meet them: as many as could be needed however many of them an
+    album holds by hand already.
     """
     shown = images.select(F.col("id").alias("image_id"), "taken_at", (F.col("file_type") == "jpeg").alias("jpeg"))
     newest = [F.col("taken_at").desc_nulls_last(), F.col("image_id")]
-    manual = album_images.groupBy("album_id", "image_id").agg(F.min("position").alias("position")).join(shown, "image_id")
-    w = Window.partitionBy("album_id", "jpeg").orderBy("position", "image_id")
+    manual = filters.first_places(album_images).select("album_id", "image_id", "position").join(shown, "image_id")
+    w = Window.partitionBy("album_id", "jpeg").orderBy("position", *newest)
     manual = manual.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).select("album_id", "image_id", "jpeg", F.lit(0).alias("__stage"), F.col("position").cast("long").alias("__a"), "taken_at")
     sets = rules.groupBy("album_id").agg(F.array_sort(F.collect_set("name")).alias("rule"))
-    tagged = links.select("image_id", "name").join(sets.select("rule").distinct().withColumn("name", F.explode("rule")), "name").select("rule", "image_id").distinct().join(shown, "image_id")
+    by_set = Window.partitionBy("names", "jpeg").orderBy(*newest)
+    near = filters.tag_sets(links, rules).join(shown, "image_id").withColumn("__n", F.row_number().over(by_set)).where(F.col("__n") <= 2 * k).drop("__n")
+    by_name = sets.select("rule").distinct().withColumn("name", F.explode("rule"))
+    tagged = near.withColumn("name", F.explode("names")).join(by_name, "name").select("rule", "image_id", "taken_at", "jpeg").distinct()
     by_rule = Window.partitionBy("rule", "jpeg").orderBy(*newest)
     top = tagged.withColumn("__n", F.row_number().over(by_rule)).where(F.col("__n") <= 2 * k)
     more = sets.join(top, "rule").select("album_id", "image_id", "jpeg", F.lit(1).alias("__stage"), F.lit(0).cast("long").alias("__a"), "taken_at")

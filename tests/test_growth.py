@@ -140,3 +140,12 @@ def test_album_sizes_count_sets_of_tags_once(spark, capsys):
     out.explain("extended")
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert "Generate explode(names" in plan  # rules meet sets of tags, which are few, not images
+
+
+def test_album_covers_of_equal_positions_are_the_newest(spark):
+    images = spark.createDataFrame([(i, dt.datetime(2026, 1, 1) + dt.timedelta(i), "jpeg") for i in range(9)], "id long, taken_at timestamp_ntz, file_type string")
+    members = spark.createDataFrame([(1, i, 5) for i in range(9)] + [(1, 0, 2), (1, 1, None)], "album_id long, image_id long, position int")
+    albums, none = spark.createDataFrame([(1,), (2,)], "album_id long"), spark.createDataFrame([], "album_id long, name string")
+    rules, links = spark.createDataFrame([(2, "a"), (2, "b")], "album_id long, name string"), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(8)] + [(7, "a"), (8, "c")], "image_id long, name string")
+    got = lambda r: {x.album_id: x.covers for x in collections.album_covers(albums, r, members, links, images).collect()}
+    assert got(none) == {1: [0, 8, 7, 6]} and got(rules) == {1: [0, 8, 7, 6], 2: [7, 6, 5, 4]}
