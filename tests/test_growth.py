@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import develop, strings
-from stratalens.operators import collections, entity, filters, order, vectors
+from stratalens.operators import collections, entity, filters, mirror, order, vectors
 from stratalens.plans import views
 
 DAY = dt.date(2026, 7, 1)
@@ -149,3 +149,35 @@ def test_album_covers_of_equal_positions_are_the_newest(spark):
     rules, links = spark.createDataFrame([(2, "a"), (2, "b")], "album_id long, name string"), spark.createDataFrame([(i, "ab"[i % 2]) for i in range(8)] + [(7, "a"), (8, "c")], "image_id long, name string")
     got = lambda r: {x.album_id: x.covers for x in collections.album_covers(albums, r, members, links, images).collect()}
     assert got(none) == {1: [0, 8, 7, 6]} and got(rules) == {1: [0, 8, 7, 6], 2: [7, 6, 5, 4]}
+
+
+def _library(spark, images, names):
+    """Images 0.., each with one of three sets of tags and every fifth in an album by hand; albums of two rules, some of whose names occur twice."""
+    rows = spark.range(images).select("id", F.concat(F.lit("r"), F.col("id") % (images - 3)).alias("remote_id"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    albums = [(k, f"A{k % (names - 5):04}", ["sky"] if k % 2 else ["sea", "sky"], True) for k in range(names)] + [(9000, "M", [], True), (9001, "A0003", [], True), (9002, None, ["sea"], True)]
+    sets = (["sky"], ["sea", "sky"], ["land"])
+    tags = [(i, t) for i in range(images) for t in sets[i % 3]]
+    members = [(9000 + i % 2, i) for i in range(0, images, 5)]
+    held = {}
+    for i in range(images):
+        got = {name for _, name, rule, _ in albums if name and set(sets[i % 3]) & set(rule)} | ({["M", "A0003"][i % 2]} if i % 5 == 0 else set())
+        if got:
+            held[i] = got
+    return rows, spark.createDataFrame(albums, "album_id long, album string, rule array<string>, album_sync boolean"), spark.createDataFrame(members, "album_id long, image_id long"), spark.createDataFrame(tags, "image_id long, name string"), held
+
+
+def _runs(batches):
+    """Places where a value is not the one before it, in all files."""
+    return sum(1 + sum(a != b for a, b in zip(x, x[1:])) for x in batches if x)
+
+
+def test_album_names_of_equal_images_lie_side_by_side(spark, monkeypatch):
+    rows, albums, members, links, held = _library(spark, 600, 30)
+    for size in (2048, 7):
+        monkeypatch.setattr(mirror, "SAME", size, raising=False)
+        out = mirror.album_names(rows, albums, members, links, "full")
+        parts = out.rdd.glom().collect()
+        assert {r.id: r.albums for p in parts for r in p} == {i: sorted(x) for i, x in held.items()} and sum(map(len, parts)) == len(held)
+        # six lists occur; each comes in pieces of at most so many images (twice as many pieces, as they are dealt by their ids)
+        assert _runs([[tuple(r.albums) for r in p] for p in parts]) <= 6 * (1 + 2 * 600 // size) + 6
+    assert {r.id: r.albums for r in mirror.album_names(rows, albums, members, links, "full", sep="|").collect()} == {i: "|".join(sorted(x)) for i, x in held.items()}
