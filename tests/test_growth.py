@@ -181,3 +181,17 @@ def test_album_names_of_equal_images_lie_side_by_side(spark, monkeypatch):
         # six lists occur; each comes in pieces of at most so many images (twice as many pieces, as they are dealt by their ids)
         assert _runs([[tuple(r.albums) for r in p] for p in parts]) <= 6 * (1 + 2 * 600 // size) + 6
     assert {r.id: r.albums for r in mirror.album_names(rows, albums, members, links, "full", sep="|").collect()} == {i: "|".join(sorted(x)) for i, x in held.items()}
+
+
+def test_album_pushes_repeat_what_was_just_written(spark, monkeypatch):
+    rows, albums, members, links, held = _library(spark, 600, 60)
+    known = [(f"r{i}", name) for i in range(0, 600, 4) for name in ("A0001", "A0002", "M", "other")] + [("r7", None)]
+    want = {(name, f"r{i % 597}") for i, x in held.items() for name in x} - {(name, r) for r, name in known}
+    pushed = spark.createDataFrame(known, "remote_id string, album string")
+    for images, names in ((256, 8192), (16, 5)):
+        monkeypatch.setattr(mirror, "ROWS", images, raising=False)
+        monkeypatch.setattr(mirror, "NAMES", names, raising=False)
+        parts = mirror.album_pushes(rows, albums, members, links, pushed, "full").rdd.glom().collect()
+        got = [(r.album, r.remote_id) for p in parts for r in p]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert _runs([[r.album for r in p] for p in parts]) < len(got) / 4
